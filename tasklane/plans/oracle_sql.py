@@ -32,7 +32,7 @@ scored AS (
          [3, 7, 10][vec_id % 3 + 1] AS n_classes,
          CAST(label % [3, 7, 10][vec_id % 3 + 1] AS INTEGER) AS target,
          list_transform(embedding[1:[3, 7, 10][vec_id % 3 + 1]],
-                        x -> CAST(x AS DOUBLE)) AS logits,
+                        lambda x: CAST(x AS DOUBLE)) AS logits,
          CAST(vec_id // 32 AS BIGINT) AS batch_id
   FROM embeddings
 )"""
@@ -40,7 +40,7 @@ scored AS (
 TOKENS = """
 tokens AS (
   SELECT CAST(vec_id // 8 AS BIGINT) AS id, CAST(vec_id % 8 AS INTEGER) AS pos,
-         list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vec,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec,
          (vec_id % 8) < 1 + (vec_id // 8) % 8 AS mask
   FROM embeddings
 )"""
@@ -48,7 +48,7 @@ tokens AS (
 LAYERS = """
 layers AS (
   SELECT CAST(vec_id // 4 AS BIGINT) AS id, CAST(vec_id % 4 AS INTEGER) AS layer,
-         list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vec
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec
   FROM embeddings
 )"""
 
@@ -58,7 +58,7 @@ params_raw AS (
          CASE WHEN vec_id % 5 = 0 THEN 'head.' || CAST(vec_id % 3 AS VARCHAR)
               WHEN vec_id % 5 = 1 THEN 'emb.position_ids'
               ELSE 'shared.' || CAST((vec_id // 3) % 20 AS VARCHAR) END AS name,
-         vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vals
+         vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vals
   FROM embeddings
 ),
 params AS (
