@@ -599,3 +599,85 @@ def q_h3(spark, sf):
                 heads=heads_table(spark, sf),
                 hidden=heads_table(spark, sf, offset=100, rows=64))
     return s.select("id", "task_id", _ra("logits", 6).alias("logits"))
+
+
+# ---------------------------------------------------------------- ST1 (streaming)
+
+@register("st1_running_kpi_stream", _DTP + """
+SELECT batch_id, task_id, round(kpi, 9) AS kpi, round(r, 9) AS r, round(w, 9) AS w FROM ww""")
+def q_st1(spark, sf):
+    from tasklane.streaming.kpi import run_to_table
+    t = run_to_table(spark, fx.scored(spark, sf), n_files=4)
+    return t.select("batch_id", "task_id", _r("kpi").alias("kpi"),
+                    _r("r").alias("r"), _r("w").alias("w"))
+
+
+# ---------------------------------------------------------------- F7, H4-H6, H8
+# Weights are model-sized: a bounded number of embedding rows is collected
+# once and broadcast. No oracle: checked against numpy in tests.
+
+def _rows(spark, sf, lo, hi):
+    import numpy as np
+    e = read_table(spark, sf, "embeddings").where(
+        (F.col("vec_id") >= lo) & (F.col("vec_id") < hi)).select(
+        "vec_id", "embedding").orderBy("vec_id").collect()
+    return np.array([r[1] for r in e], dtype=np.float64)
+
+
+def numpy_model(spark, sf):
+    import numpy as np
+    d = 64
+    towers = {t: [(_rows(spark, sf, 0, c).T, np.zeros(c))]
+              for t, c in enumerate([3, 7, 10])}
+    e1 = [(_rows(spark, sf, 100, 164).T, np.zeros(d))]
+    e2 = [(_rows(spark, sf, 200, 264).T, np.zeros(d))]
+    gate = (_rows(spark, sf, 300, 302).T, np.zeros(2))
+    gates = {t: (_rows(spark, sf, 300 + 2 * t, 302 + 2 * t).T, np.zeros(2))
+             for t in range(3)}
+    return {"towers": towers, "expert": e1, "experts": [e1, e2],
+            "gate": gate, "gates": gates}
+
+
+def _numpy_head(arch):
+    def q(spark, sf):
+        s = H.score(features_table(spark, sf), arch,
+                    model=numpy_model(spark, sf))
+        return s.select("id", "task_id", _ra("logits", 6).alias("logits"))
+    return q
+
+
+register("h4_expert_mlp")(_numpy_head("expert"))
+register("h5_mixture_of_experts")(_numpy_head("moe"))
+register("h6_multi_gate_moe")(_numpy_head("mmoe"))
+
+
+@register("f7_attention_pool")
+def q_f7(spark, sf):
+    import numpy as np
+    tok = fx.tokens(spark, sf)
+    task_of = tok.select("id").distinct().withColumn(
+        "task_id", (F.col("id") % 3).cast("int"))
+    w = {"task_embedding": _rows(spark, sf, 400, 403),
+         "wq": np.eye(64), "wk": np.eye(64), "wv": np.eye(64)}
+    p = P.attention_pool(tok, task_of, w, n_heads=4)
+    return p.select("id", _ra("feature", 6).alias("feature"))
+
+
+@register("h8_fit_linear_heads")
+def q_h8(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    f = features_table(spark, sf)
+    models = H.fit_linear_heads(f, max_iter=50)
+    out = None
+    for t, m in models.items():
+        pred = m.transform(f.where(F.col("task_id") == t).select(
+            "id", "task_id", array_to_vector("feature").alias("features"),
+            F.col("target").cast("double").alias("label")))
+        acc = pred.groupBy("task_id").agg(
+            F.avg((F.col("prediction") == F.col("label")).cast("double"))
+            .alias("accuracy"), F.count(F.lit(1)).alias("n"))
+        out = acc if out is None else out.unionByName(acc)
+    maj = (f.groupBy("task_id", "target").count().groupBy("task_id")
+           .agg((F.max("count")).alias("_m"), F.sum("count").alias("_n"))
+           .select("task_id", (F.col("_m") / F.col("_n")).alias("majority_share")))
+    return out.join(maj, "task_id")
