@@ -681,3 +681,52 @@ def q_h8(spark, sf):
            .agg((F.max("count")).alias("_m"), F.sum("count").alias("_n"))
            .select("task_id", (F.col("_m") / F.col("_n")).alias("majority_share")))
     return out.join(maj, "task_id")
+
+
+# ---------------------------------------------------------------- J5 / J6
+
+_J_LOGITS = "WITH " + _HEAD_SQL.strip() + """,
+sc0 AS (SELECT f.id, f.task_id,
+               CAST(e.label % [3, 7, 10][f.task_id + 1] AS INTEGER) AS target,
+               list_transform(list_slice((SELECT W FROM wm), 1, [3, 7, 10][f.task_id + 1]),
+                              lambda r: list_dot_product(r, f.x)) AS logits
+        FROM f JOIN embeddings e ON e.vec_id = f.id),
+s1 AS (SELECT *, list_max(logits) AS mx FROM sc0),
+s2 AS (SELECT *, mx + ln(list_sum(list_transform(logits, lambda v: exp(v - mx)))) AS lse,
+              CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred
+       FROM s1)"""
+
+
+@register("j5_evaluate_model", _J_LOGITS + "," + _REPORT_ROWS + f"""
+SELECT round(l0, 6) AS loss_ocnli, round(l1, 6) AS loss_ocemotion, round(l2, 6) AS loss_tnews,
+       round(vl, 6) AS val_loss,
+       round(f0, 9) AS f1_ocnli, round(f1_, 9) AS f1_ocemotion, round(f2, 9) AS f1_tnews,
+       round((f0 + f1_ + f2) / 3.0, 9) AS competition_score
+FROM (SELECT max(loss) FILTER (WHERE task_id = 0) AS l0,
+             max(loss) FILTER (WHERE task_id = 1) AS l1,
+             max(loss) FILTER (WHERE task_id = 2) AS l2,
+             sum(loss) FILTER (WHERE loss > 0) / count(loss) FILTER (WHERE loss > 0) AS vl,
+             {_F1COLS}
+      FROM pt)""")
+def q_j5(spark, sf):
+    from tasklane.plans.jobs import evaluate_model
+    r = evaluate_model(features_table(spark, sf), heads_table(spark, sf))
+    return r.select(*[_r(c, 6 if c.startswith(("loss", "val")) else 9).alias(c)
+                      for c in r.columns])
+
+
+def _j6_sql():
+    from tasklane.operators.labels import TASK_LABELS
+    dec = " ".join(f"WHEN task_id = {t} AND pred = {i} THEN '{k}'"
+                   for t, d in TASK_LABELS.items() for k, i in d.items())
+    return _J_LOGITS + f"""
+SELECT CAST(id AS VARCHAR) AS id,
+       CASE task_id WHEN 0 THEN 'ocnli' WHEN 1 THEN 'ocemotion' ELSE 'tnews' END AS task,
+       CASE {dec} END AS label
+FROM s2"""
+
+
+@register("j6_predictions", _j6_sql())
+def q_j6(spark, sf):
+    from tasklane.plans.jobs import predictions
+    return predictions(features_table(spark, sf), heads_table(spark, sf))

@@ -26,9 +26,25 @@ PARAMS = "model_id int, ord int, name string, vals array<double>"
 
 
 def _with_pos(df: DataFrame) -> DataFrame:
-    """Input order key taken directly above the scan: (file, row in file)."""
-    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
-        "_row", F.monotonically_increasing_id())
+    """Input order key taken directly above the scan: (file, block start,
+    row id); ``monotonically_increasing_id`` grows with the row inside a
+    block."""
+    return (df.withColumn("_file", F.col("_metadata.file_path"))
+            .withColumn("_block", F.col("_metadata.file_block_start"))
+            .withColumn("_row", F.monotonically_increasing_id()))
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    return _with_pos(df)
+
+
+def number_rows(df: DataFrame, out: str = "id", groups=()) -> DataFrame:
+    """P7 over file order: dense 0..n-1 by (groups, file, block, row)."""
+    from tasklane.plans.rank import two_level_rank
+    r = two_level_rank(df, order=["_file", "_block", "_row"],
+                       buckets=[F.col("_file"), F.col("_block")],
+                       groups=groups, out=out)
+    return r.drop("_file", "_block", "_row")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = PAIR_JSON,
@@ -80,13 +96,8 @@ def parse_delimited_lines(lines: DataFrame, line_no: str = "line_no",
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """S4 from files: the line number is the position of the line in its
     file order (file path, offset)."""
-    raw = _with_pos(spark.read.text(path))
-    from tasklane.plans.rank import two_level_rank
-    ranked = two_level_rank(raw, order=["_file", "_row"],
-                            buckets=[F.col("_file"),
-                                     F.shiftright(F.col("_row"), 33)],
-                            out="line_no")
-    return parse_delimited_lines(ranked.drop("_file", "_row"))
+    raw = number_rows(_with_pos(spark.read.text(path)), out="line_no")
+    return parse_delimited_lines(raw)
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
