@@ -64,7 +64,8 @@ def read_tsv(spark: SparkSession, path: str, schema: str = SINGLE_TSV,
     (``quoted=True``: double quotes honoured). No header."""
     r = spark.read.schema(schema).option("sep", "\t").option("header", False)
     if quoted:
-        r = r.option("quote", '"').option("escape", '"')
+        r = (r.option("quote", '"').option("escape", '"')
+             .option("multiLine", True))
     else:
         r = r.option("quote", "")
     return r.option("nullValue", "").csv(path)
