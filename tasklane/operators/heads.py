@@ -51,6 +51,20 @@ def linear_head(features: DataFrame, heads: DataFrame,
         .drop("W", "bias")
 
 
+def single_linear_head(features: DataFrame, head: DataFrame,
+                       x: str = "feature",
+                       limit: int = HEAD_BROADCAST_LIMIT) -> DataFrame:
+    """H1: one linear head for every row. The head (classes x dim values,
+    size checked against ``limit``) is collected once and embedded as a
+    literal, so scoring is a narrow projection with no join."""
+    rows = head.select("cls", "w", "b").orderBy("cls").collect()
+    if sum(len(r.w) for r in rows) > limit:
+        raise ValueError("head too large to embed; use linear_head")
+    W = F.array(*[F.array(*[F.lit(float(v)) for v in r.w]) for r in rows])
+    b = F.array(*[F.lit(float(r.b)) for r in rows])
+    return features.withColumn("logits", matvec(W, F.col(x), b))
+
+
 def hard_plus_head(features: DataFrame, hidden: DataFrame, heads: DataFrame,
                    x: str = "feature") -> DataFrame:
     """H3: linear -> tanh -> linear, per task. ``hidden`` has the same
@@ -135,8 +149,10 @@ def score(features: DataFrame, arch: str, heads: DataFrame | None = None,
           x: str = "feature") -> DataFrame:
     """H7: architecture dispatch (``hard``/``single``, ``hard_plus``,
     ``expert``, ``moe``, ``mmoe``)."""
-    if arch in ("hard", "single"):
+    if arch == "hard":
         return linear_head(features, heads, x)
+    if arch == "single":
+        return single_linear_head(features, heads, x)
     if arch == "hard_plus":
         return hard_plus_head(features, hidden, heads, x)
     if arch in ("expert", "moe", "mmoe"):

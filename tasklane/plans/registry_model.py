@@ -581,8 +581,9 @@ SELECT f.id, list_transform((SELECT W FROM wm),
                             lambda r: round(list_dot_product(r, f.x), 6)) AS logits
 FROM f""")
 def q_h1(spark, sf):
-    f = features_table(spark, sf).withColumn("task_id", F.lit(2))
-    s = H.linear_head(f, heads_table(spark, sf).where(F.col("task_id") == 2))
+    f = features_table(spark, sf)
+    s = H.score(f, "single", heads=heads_table(spark, sf).where(
+        F.col("task_id") == 2))
     return s.select("id", _ra("logits", 6).alias("logits"))
 
 
