@@ -95,6 +95,14 @@ def replace_chars(col, lexicon: Mapping[str, str]) -> Column:
     description; one pass, map literal, no shuffle."""
     if not lexicon:
         return _c(col)
+    keys = list(lexicon)
+    if all(len(k) == 1 for k in keys) and not any(
+            k in v for k in keys for v in lexicon.values()):
+        # No description contains a lexicon character, so chained
+        # ``replace`` (codegen, no array) equals the one-pass mapping.
+        return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]),
+                                                F.lit(kv[1])),
+                      lexicon.items(), _c(col))
     m = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
     chars = F.split(_c(col), "")
     return F.array_join(

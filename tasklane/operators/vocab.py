@@ -1,6 +1,7 @@
 """Character vocabularies (T6-T8 over tables, E1).
 
-Counting is ``explode`` + ``groupBy`` with map-side partials; membership is an
+Counting pre-aggregates per task on Arrow batches (one row per distinct
+character leaves a task), then sums per character; membership is an
 anti/equi join whose build side AQE broadcasts only when its measured size
 is small. Re-assembly after a per-character join keeps one document per
 group, i.e. bounded by the text's own length.
@@ -8,6 +9,9 @@ group, i.e. bounded by the text's own length.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +22,32 @@ SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 
 
+def _count_partition(batches):
+    """Map-side pre-aggregation: one (ch, n) row per distinct character of
+    the task's input (bounded by the character set, not by the data)."""
+    c = Counter()
+    for b in batches:
+        for s in b.column(0).to_pylist():
+            if s:
+                c.update(s)
+    yield pa.RecordBatch.from_pydict({
+        "ch": pa.array(list(c.keys()), pa.string()),
+        "n": pa.array(list(c.values()), pa.int64())})
+
+
 def char_counts(df: DataFrame, text: str) -> DataFrame:
-    """(ch, n) over all texts."""
+    """(ch, n) over all texts (trimmed, spaces removed, code points).
+
+    Each task counts its characters on Arrow batches and emits one row per
+    distinct character; the shuffle then carries partial counts only."""
+    src = df.select(F.replace(F.trim(F.col(text)), F.lit(" "), F.lit(""))
+                    .alias("_s"))
+    return (src.mapInArrow(_count_partition, "ch string, n long")
+            .groupBy("ch").agg(F.sum("n").alias("n")))
+
+
+def char_counts_exploded(df: DataFrame, text: str) -> DataFrame:
+    """T6 as a pure expression plan: explode characters, count."""
     return (df.select(F.explode(char_array(text)).alias("ch"))
             .groupBy("ch").agg(F.count(F.lit(1)).alias("n")))
 

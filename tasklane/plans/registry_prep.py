@@ -116,9 +116,8 @@ SELECT c AS ch, count(*) AS n
 FROM (SELECT unnest(string_split(replace(trim(text), ' ', ''), '')) AS c FROM documents)
 WHERE c <> '' GROUP BY c""")
 def q_t6(spark, sf):
-    d = _docs(spark, sf)
-    return (d.select(F.explode(T.char_array("text")).alias("ch"))
-            .groupBy("ch").agg(F.count(F.lit(1)).alias("n")))
+    from tasklane.operators.vocab import char_counts
+    return char_counts(_docs(spark, sf), "text")
 
 
 _EMOJI_SPARK = "concat(text, repeat('😭', cast(doc_id % 3 as int)), '😀')"
