@@ -457,3 +457,30 @@ def q_k6(spark, sf):
     o = K.shuffle_order(_docs(spark, sf).select("doc_id"), "doc_id", epoch=1)
     return K.assign_batches(o, "order", batch_size=32, accumulation=8).select(
         "doc_id", "order", "batch_id", "step")
+
+
+# ---------------------------------------------------------------- D1 / D2 / D4
+
+@register("d1_keep_first", """
+SELECT text, min(doc_id) AS pos FROM documents GROUP BY text""")
+def q_d1(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id").alias("pos"), "text")
+    return dedup.keep_first(d, F.col("text"), "pos").select(
+        F.col("key").alias("text"), "pos")
+
+
+@register("d2_subtract_earlier", osql.with_(osql.CORPUS, """
+fp AS (SELECT text, min(prio) AS p FROM corpus GROUP BY text)""") + """
+SELECT c.prio, c.pos, c.text FROM corpus c JOIN fp ON c.text = fp.text AND c.prio = fp.p""")
+def q_d2(spark, sf):
+    from tasklane.plans import fixtures as fx
+    return dedup.subtract_earlier(fx.corpus(spark, sf), "text", "prio").select(
+        "prio", "pos", "text")
+
+
+@register("d4_overlap_audit", osql.with_(osql.CORPUS) + """
+SELECT text AS key, count(DISTINCT prio) AS n_sources FROM corpus GROUP BY text
+HAVING count(DISTINCT prio) > 1""")
+def q_d4(spark, sf):
+    from tasklane.plans import fixtures as fx
+    return dedup.overlap_audit(fx.corpus(spark, sf), "text", "prio")
