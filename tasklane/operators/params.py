@@ -16,13 +16,30 @@ from pyspark.sql import functions as F
 KEEP_LAST = "position_ids"
 
 
-def chunk_params(params: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """Split every tensor into rows of at most ``size`` values."""
+def chunk_params(params: DataFrame, size: int = 1 << 16,
+                 chunk_len: int | None = None) -> DataFrame:
+    """Split every tensor into rows of at most ``size`` values.
+
+    An already chunked table (``chunk`` column, ``chunk_len`` values per
+    chunk except the last) is split further: piece j of chunk c becomes
+    chunk ``c * ceil(chunk_len / size) + j``, so chunk order is kept.
+    """
     n = F.size("vals")
-    return (params.withColumn("chunk", F.explode(F.sequence(
-        F.lit(0), F.greatest(F.ceil(n / size) - 1, F.lit(0)).cast("int"))))
-        .withColumn("vals", F.slice("vals", F.col("chunk") * size + 1,
-                                    F.lit(size))))
+    sub = F.explode(F.sequence(
+        F.lit(0), F.greatest(F.ceil(n / size) - 1, F.lit(0)).cast("int")))
+    if "chunk" in params.columns:
+        if not chunk_len:
+            raise ValueError("chunk_len is required for a chunked table")
+        per = -(-chunk_len // size)
+        return (params.withColumn("_cp_sub", sub)
+                .withColumn("vals", F.slice("vals", F.col("_cp_sub") * size + 1,
+                                            F.lit(size)))
+                .withColumn("chunk", (F.col("chunk") * per + F.col("_cp_sub"))
+                            .cast("int"))
+                .drop("_cp_sub"))
+    return (params.withColumn("chunk", sub)
+            .withColumn("vals", F.slice("vals", F.col("chunk") * size + 1,
+                                        F.lit(size))))
 
 
 def average_params(params: DataFrame, chunked: bool = False) -> DataFrame:
@@ -49,7 +66,12 @@ def average_params(params: DataFrame, chunked: bool = False) -> DataFrame:
 
 def shape_conflicts(params: DataFrame) -> DataFrame:
     """A3: names whose tensors disagree in size across models (should be
-    empty)."""
-    return (params.groupBy("name").agg(
-        F.count_distinct(F.size("vals")).alias("n_shapes"))
-        .where(F.col("n_shapes") > 1))
+    empty). A chunked tensor's size is the sum over its chunks."""
+    if "chunk" in params.columns:
+        params = params.groupBy("model_id", "name").agg(
+            F.sum(F.size("vals")).alias("_sc_n"))
+        n = F.col("_sc_n")
+    else:
+        n = F.size("vals")
+    return (params.groupBy("name").agg(F.count_distinct(n).alias("n_shapes"))
+            .where(F.col("n_shapes") > 1))

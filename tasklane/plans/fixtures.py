@@ -81,25 +81,22 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameter table (model_id, ord, name, vals).
+    """Chunked parameter table (model_id, ord, name, chunk, vals).
 
-    model_id = ord = vec_id % 3; names: 'shared.<(vec_id div 3) % 20>'
-    (averaged), 'head.<model_id>' (copied), 'emb.position_ids' (last wins)
-    by vec_id % 5 == 0 / == 1 / else shared. One row per (model_id, name):
-    the smallest vec_id.
+    Every embeddings row is one chunk of one tensor, so tensors grow with
+    the table: model_id = ord = vec_id % 3, r = vec_id div 3, chunk = r div 20;
+    name by r % 20: 0 -> 'head.<model_id>' (seen once, copied),
+    1 -> 'emb.position_ids' (last model wins), else 'shared.<r % 20>'
+    (averaged). (model_id, name, chunk) is unique.
     """
     e = read_table(spark, sf_dir, "embeddings")
     m = (F.col("vec_id") % 3).cast("int")
-    r = F.col("vec_id") % 5
-    name = (F.when(r == 0, F.concat(F.lit("head."), m.cast("string")))
-            .when(r == 1, F.lit("emb.position_ids"))
-            .otherwise(F.concat(F.lit("shared."),
-                                (F.floor(F.col("vec_id") / 3) % 20)
-                                .cast("string"))))
-    rows = e.select(m.alias("model_id"), name.alias("name"), "vec_id",
+    r = F.floor(F.col("vec_id") / 3)
+    k = r % 20
+    name = (F.when(k == 0, F.concat(F.lit("head."), m.cast("string")))
+            .when(k == 1, F.lit("emb.position_ids"))
+            .otherwise(F.concat(F.lit("shared."), k.cast("string"))))
+    return e.select(m.alias("model_id"), m.alias("ord"), name.alias("name"),
+                    F.floor(r / 20).cast("int").alias("chunk"),
                     F.transform("embedding", lambda x: x.cast("double"))
                     .alias("vals"))
-    first = rows.groupBy("model_id", "name").agg(
-        F.min(F.struct("vec_id", "vals")).alias("w"))
-    return first.select("model_id", F.col("model_id").alias("ord"), "name",
-                        F.col("w.vals").alias("vals"))

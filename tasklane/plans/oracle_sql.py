@@ -53,17 +53,14 @@ layers AS (
 )"""
 
 PARAMS = """
-params_raw AS (
-  SELECT CAST(vec_id % 3 AS INTEGER) AS model_id,
-         CASE WHEN vec_id % 5 = 0 THEN 'head.' || CAST(vec_id % 3 AS VARCHAR)
-              WHEN vec_id % 5 = 1 THEN 'emb.position_ids'
+params AS (
+  SELECT CAST(vec_id % 3 AS INTEGER) AS model_id, CAST(vec_id % 3 AS INTEGER) AS ord,
+         CASE WHEN (vec_id // 3) % 20 = 0 THEN 'head.' || CAST(vec_id % 3 AS VARCHAR)
+              WHEN (vec_id // 3) % 20 = 1 THEN 'emb.position_ids'
               ELSE 'shared.' || CAST((vec_id // 3) % 20 AS VARCHAR) END AS name,
-         vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vals
+         CAST((vec_id // 3) // 20 AS INTEGER) AS chunk,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vals
   FROM embeddings
-),
-params AS (
-  SELECT model_id, model_id AS ord, name, arg_min(vals, vec_id) AS vals
-  FROM params_raw GROUP BY model_id, name
 )"""
 
 

@@ -302,41 +302,46 @@ def q_m15(spark, sf):
 # ---------------------------------------------------------------- A1-A3
 
 @register("a1_average_params", osql.with_(osql.PARAMS, """
-x AS (SELECT name, ord, unnest(vals) AS v, generate_subscripts(vals, 1) AS i FROM params)""", """
-avgd AS (SELECT name, i, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL)""") + """
-SELECT name, list(round(v, 9) ORDER BY i) AS vals, CAST(max(n) AS INTEGER) AS n_models
-FROM avgd WHERE NOT contains(name, 'position_ids') GROUP BY name
+x AS (SELECT name, chunk, ord, unnest(vals) AS v, generate_subscripts(vals, 1) AS i
+      FROM params)""", """
+avgd AS (SELECT name, chunk, i, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL)""") + """
+SELECT name, chunk, list(round(v, 9) ORDER BY i) AS vals, CAST(max(n) AS INTEGER) AS n_models
+FROM avgd WHERE NOT contains(name, 'position_ids') GROUP BY name, chunk
 UNION ALL
-SELECT name, list_transform(arg_max(vals, ord), lambda v: round(v, 9)), 1
-FROM params WHERE contains(name, 'position_ids') GROUP BY name""")
+SELECT name, chunk, list_transform(arg_max(vals, ord), lambda v: round(v, 9)), 1
+FROM params WHERE contains(name, 'position_ids') GROUP BY name, chunk""")
 def q_a1(spark, sf):
-    a = A.average_params(fx.params(spark, sf))
-    return a.select("name", _ra("vals").alias("vals"), "n_models")
+    a = A.average_params(fx.params(spark, sf), chunked=True)
+    return a.select("name", "chunk", _ra("vals").alias("vals"), "n_models")
 
 
 @register("a1_average_params_chunked", osql.with_(osql.PARAMS, """
-x AS (SELECT name, ord, unnest(vals) AS v, generate_subscripts(vals, 1) AS i FROM params)""", """
-avgd AS (SELECT name, i, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL)""") + """
-SELECT name, CAST((i - 1) // 16 AS INTEGER) AS chunk, list(round(v, 9) ORDER BY i) AS vals,
+x AS (SELECT name, chunk, ord, unnest(vals) AS v, generate_subscripts(vals, 1) AS i
+      FROM params)""", """
+avgd AS (SELECT name, chunk * 4 + (i - 1) // 16 AS c, i, avg(v) AS v, count(*) AS n
+         FROM x WHERE NOT contains(name, 'position_ids') GROUP BY ALL)""", """
+last AS (SELECT name, chunk, arg_max(vals, ord) AS vals FROM params
+         WHERE contains(name, 'position_ids') GROUP BY name, chunk)""", """
+lx AS (SELECT name, chunk, unnest(vals) AS v, generate_subscripts(vals, 1) AS i FROM last)""") + """
+SELECT name, CAST(c AS INTEGER) AS chunk, list(round(v, 9) ORDER BY i) AS vals,
        CAST(max(n) AS INTEGER) AS n_models
-FROM avgd WHERE NOT contains(name, 'position_ids') GROUP BY ALL
+FROM avgd GROUP BY name, c
 UNION ALL
-SELECT name, CAST((i - 1) // 16 AS INTEGER), list(round(v, 9) ORDER BY i), 1
-FROM (SELECT name, unnest(arg_max(vals, ord)) AS v,
-             generate_subscripts(arg_max(vals, ord), 1) AS i
-      FROM params WHERE contains(name, 'position_ids') GROUP BY name)
-GROUP BY ALL""")
+SELECT name, CAST(chunk * 4 + (i - 1) // 16 AS INTEGER), list(round(v, 9) ORDER BY i), 1
+FROM lx GROUP BY name, chunk * 4 + (i - 1) // 16""")
 def q_a1_chunked(spark, sf):
-    c = A.chunk_params(fx.params(spark, sf), size=16)
+    c = A.chunk_params(fx.params(spark, sf), size=16, chunk_len=64)
     a = A.average_params(c, chunked=True)
     return a.select("name", "chunk", _ra("vals").alias("vals"), "n_models")
 
 
 @register("a3_shape_conflicts", osql.with_(osql.PARAMS, """
-p2 AS (SELECT name, CASE WHEN model_id = 2 AND name LIKE 'shared.1%' THEN vals[1:32]
-                         ELSE vals END AS vals FROM params)""") + """
-SELECT name, count(DISTINCT len(vals)) AS n_shapes FROM p2 GROUP BY name
-HAVING count(DISTINCT len(vals)) > 1""")
+p2 AS (SELECT model_id, name,
+              CASE WHEN model_id = 2 AND name LIKE 'shared.1%' THEN vals[1:32]
+                   ELSE vals END AS vals FROM params)""", """
+shp AS (SELECT name, model_id, sum(len(vals)) AS n FROM p2 GROUP BY name, model_id)""") + """
+SELECT name, count(DISTINCT n) AS n_shapes FROM shp GROUP BY name
+HAVING count(DISTINCT n) > 1""")
 def q_a3(spark, sf):
     p = fx.params(spark, sf)
     p = p.withColumn("vals", F.when(
