@@ -9,12 +9,10 @@ group, i.e. bounded by the text's own length.
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasklane.functions.codepoints import CountAccumulator, code_points
 from tasklane.functions.text import char_array
 
 # Special tokens first, in this order, ids 0..3.
@@ -25,24 +23,20 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 def _count_partition(batches):
     """Map-side pre-aggregation: one (ch, n) row per distinct character of
     the task's input (bounded by the character set, not by the data)."""
-    c = Counter()
+    acc = CountAccumulator()
     for b in batches:
-        for s in b.column(0).to_pylist():
-            if s:
-                c.update(s)
-    yield pa.RecordBatch.from_pydict({
-        "ch": pa.array(list(c.keys()), pa.string()),
-        "n": pa.array(list(c.values()), pa.int64())})
+        acc.add(code_points(b.column(0))[0])
+    yield acc.batch()
 
 
 def char_counts(df: DataFrame, text: str) -> DataFrame:
     """(ch, n) over all texts (trimmed, spaces removed, code points).
 
-    Each task counts its characters on Arrow batches and emits one row per
-    distinct character; the shuffle then carries partial counts only."""
-    src = df.select(F.replace(F.trim(F.col(text)), F.lit(" "), F.lit(""))
-                    .alias("_s"))
-    return (src.mapInArrow(_count_partition, "ch string, n long")
+    Each task counts its characters on Arrow batches (vectorised) and emits
+    one row per distinct character; the shuffle carries partial counts
+    only."""
+    return (df.select(F.col(text).alias("_s"))
+            .mapInArrow(_count_partition, "ch string, n long")
             .groupBy("ch").agg(F.sum("n").alias("n")))
 
 

@@ -25,7 +25,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     1 = doc_id % 3 = 0, made full-width where doc_id % 6 = 0;
     2 = doc_id % 2 = 0; 3 = all documents.
     """
-    docs = read_table(spark, sf_dir, "documents").select(
+    docs = read_table(spark, sf_dir, "documents", spread=True).select(
         F.col("doc_id").alias("pos"), "text")
     bench = read_table(spark, sf_dir, "benchmark").select(
         (F.col("item_id") + BENCH_SHIFT).alias("pos"), "text")

@@ -366,7 +366,8 @@ vocab AS (SELECT token, CAST(id AS INTEGER) AS id FROM (VALUES ('[PAD]', 0), ('[
 @register("e1_build_vocab", "WITH " + _VOCAB_SQL.format(src="documents", size=200)
           + "\nSELECT token, id FROM vocab")
 def q_e1(spark, sf):
-    return V.build_vocab(read_table(spark, sf, "documents"), "text", 200)
+    return V.build_vocab(read_table(spark, sf, "documents", spread=True),
+                         "text", 200)
 
 
 _ENC_ONE = """
@@ -387,7 +388,7 @@ SELECT d.doc_id, [2] || coalesce(ea.ids, []) || [3] AS input_ids,
        CAST(len(coalesce(ea.ids, [])) + 2 AS INTEGER) AS length
 FROM documents d LEFT JOIN ea ON d.doc_id = ea.k""")
 def q_e2(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = read_table(spark, sf, "documents", spread=True)
     v = V.build_vocab(d, "text", 200)
     return E.encode(d.select("doc_id", "text"), v, "text").select(
         "doc_id", "input_ids", "token_type_ids", "length")
@@ -419,7 +420,7 @@ col AS (SELECT *, max(length) OVER (PARTITION BY batch_id) AS ml FROM enc)
 
 def _pair_encoded(spark, sf):
     from tasklane.plans.registry_prep import conversation_pairs
-    c = read_table(spark, sf, "conversations")
+    c = read_table(spark, sf, "conversations", spread=True)
     v = V.build_vocab(c, "text", 200)
     p = conversation_pairs(spark, sf).select("pos", "sentence1", "sentence2")
     enc = E.encode(p, v, "sentence1", "sentence2")

@@ -20,7 +20,7 @@ LEXICON = {"😭": ":大声哭喊的脸:", "😀": ":嘿嘿:"}
 
 
 def _docs(spark, sf):
-    return read_table(spark, sf, "documents")
+    return read_table(spark, sf, "documents", spread=True)
 
 
 # ---------------------------------------------------------------- T1 / T2
@@ -388,7 +388,7 @@ SELECT l_orderkey, l_linenumber, l_returnflag,
                       l_orderkey || '-' || l_linenumber) - 1) % 5 AS INTEGER) AS fold
 FROM lineitem""")
 def q_k1_lineitem(spark, sf):
-    li = read_table(spark, sf, "lineitem").select(
+    li = read_table(spark, sf, "lineitem", spread=True).select(
         "l_orderkey", "l_linenumber", "l_returnflag")
     li = li.withColumn("_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
                                           F.col("l_linenumber").cast("string")))

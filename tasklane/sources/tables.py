@@ -17,7 +17,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str,
+               spread: bool = False) -> DataFrame:
+    """Scan a supplied table. ``spread=True`` (for tables feeding CPU-heavy
+    per-row work) fans a scan with fewer partitions than cores out
+    round-robin; Catalyst still prunes columns and pushes filters below
+    that exchange into the scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if spread:
+        from tasklane.plans.parallel import spread as _spread
+        df = _spread(df)
+    return df

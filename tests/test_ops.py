@@ -98,6 +98,30 @@ def test_encode_pair_types(spark):
     assert r.length == 7
 
 
+def test_encode_arrow_matches_expr(spark):
+    vocab = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3),
+                                   ("a", 4), ("中", 5), ("😀", 6), ("\t", 7)],
+                                  "token string, id int")
+    rows = [(0, " a 中😀b ", "😭a"), (1, "", None), (2, None, " "),
+            (3, "a\ta  中", "中中"), (4, "😀" * 3, "")]
+    df = spark.createDataFrame(rows, "k int, s1 string, s2 string").repartition(3)
+    for pair in (None, "s2"):
+        arrow = sorted(E.encode(df, vocab, "s1", pair).collect())
+        expr = sorted(E.encode(df, vocab, "s1", pair, method="expr").collect())
+        assert arrow == expr
+    r = {x.k: x for x in E.encode(df, vocab, "s1", "s2").collect()}
+    assert r[0].input_ids == [2, 4, 5, 6, 1, 3, 1, 4, 3]
+    assert r[2].input_ids == [2, 3, 3] and r[2].token_type_ids == [0, 0, 1]
+
+
+def test_char_counts_kernel_matches_explode(spark):
+    from tasklane.operators import vocab as V
+    df = spark.createDataFrame([(" a 中😀b ",), ("",), (None,), ("a\ta😀😀",)],
+                               "t string").repartition(2)
+    assert sorted(V.char_counts(df, "t").collect()) == sorted(
+        V.char_counts_exploded(df, "t").collect())
+
+
 def _scored(spark, rows):
     return spark.createDataFrame(rows, "id long, task_id int, target int, "
                                  "logits array<double>, batch_id long")
