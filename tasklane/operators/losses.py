@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from tasklane.functions.metrics import cross_entropy, focal
 from tasklane.operators import metrics as M
 from tasklane.operators.labels import TASKS
-from tasklane.plans.rank import position_bucket, two_level_rank
-from tasklane.plans.scan import affine_scan
+from tasklane.plans.scan import affine_scan, scan_levels
 
 
 def sample_loss(scored: DataFrame, groups: Sequence[str] = (),
@@ -94,24 +93,56 @@ def uncertainty_loss(losses: DataFrame, groups: Sequence[str] = (),
         F.coalesce(F.sum(F.when(ok, term)), F.lit(0.0)).alias("loss"))
 
 
+def _loss_and_kpi(scored: DataFrame, batch: str, sample: str,
+                  eps: float = M.EPS) -> DataFrame:
+    """Per (batch, task): mean sample loss (ce) and hard macro-F1 over all
+    C classes, in one scan and one partial aggregate: each row explodes to
+    its C one-hot entries and carries its loss (and count) on class 0."""
+    if sample != "ce":
+        per = sample_loss(scored, [batch], sample)
+        kpi = M.hard_f1(scored, [batch])
+        return per.join(kpi, [batch, "task_id"], "inner")
+    from tasklane.functions.metrics import argmax
+    pred = argmax("logits")
+    loss = cross_entropy("logits", "target")
+    ex = scored.select(batch, "task_id", "target", loss.alias("_l"),
+                       F.posexplode(F.transform(
+                           "logits", lambda _, i: (i == pred).cast("double")))
+                       .alias("cls", "p"))
+    y = (F.col("cls") == F.col("target")).cast("double")
+    first = F.col("cls") == 0
+    per_cls = ex.groupBy(batch, "task_id", "cls").agg(
+        F.sum(y * F.col("p")).alias("tp"),
+        F.sum((F.lit(1.0) - y) * F.col("p")).alias("fp"),
+        F.sum(y * (F.lit(1.0) - F.col("p"))).alias("fn"),
+        F.sum(F.when(first, F.col("_l"))).alias("_ls"),
+        F.sum(F.when(first, F.lit(1))).alias("_n"))
+    f1 = F.col("tp") * 2 / (F.col("tp") * 2 + F.col("fn") + F.col("fp")
+                            + F.lit(eps))
+    return per_cls.groupBy(batch, "task_id").agg(
+        (F.sum("_ls") / F.sum("_n")).alias("loss"), F.avg(f1).alias("kpi"))
+
+
 def running_kpi(scored: DataFrame, running_alpha: float = 0.05,
                 task_alpha: float = 1.0, task_gamma: float = 1.0,
                 batch: str = "batch_id", sample: str = "ce",
-                r0: float = 0.5) -> DataFrame:
+                r0: float = 0.5, levels: int | None = None) -> DataFrame:
     """M12 state: per (batch, task) with rows: loss, kpi (hard macro-F1),
     running KPI ``r`` and priority weight ``w = -alpha (1-r)^gamma ln r``.
 
     ``r`` follows batches in order within each task, starting from ``r0``;
-    computed by the distributed affine scan.
+    computed by the distributed affine scan indexed by the (increasing,
+    not necessarily dense) batch id. ``levels=None`` sizes the scan from
+    the largest batch id (one scalar aggregate over that column).
     """
-    per = sample_loss(scored, [batch], sample)
-    kpi = M.hard_f1(scored, [batch])
-    bt = per.join(kpi, [batch, "task_id"], "inner")
-    ranked = two_level_rank(bt, order=[batch], buckets=[position_bucket(batch)],
-                            groups=["task_id"], out="_k")
-    seq = (ranked.withColumn("_a", F.lit(1.0 - running_alpha))
+    bt = _loss_and_kpi(scored, batch, sample)
+    if levels is None:
+        mx = scored.agg(F.max(batch)).first()[0]
+        levels = scan_levels(mx or 0)
+    seq = (bt.withColumn("_a", F.lit(1.0 - running_alpha))
            .withColumn("_b", F.lit(running_alpha) * F.col("kpi")))
-    r = affine_scan(seq, ["task_id"], "_k", "_a", "_b", r0, out="r")
+    r = affine_scan(seq, ["task_id"], batch, "_a", "_b", r0, out="r",
+                    levels=levels)
     w = (-F.lit(task_alpha) * F.pow(F.lit(1.0) - F.col("r"), F.lit(task_gamma))
          * F.log("r"))
     return r.select(batch, "task_id", "loss", "kpi", "r", w.alias("w"))

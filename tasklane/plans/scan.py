@@ -64,12 +64,23 @@ def _exclusive_prefix(df: DataFrame, groups: list[str], idx: str, a: str,
                          .alias("pb"))
 
 
+def scan_levels(max_idx: int, width: int = 1024) -> int:
+    """Fewest levels whose top group holds at most ``width`` elements."""
+    levels, span = 1, width
+    while max_idx >= span:
+        levels, span = levels + 1, span * width
+    return levels
+
+
 def affine_scan(df: DataFrame, groups: Sequence[str], idx: str, a: str,
                 b: str, r0: float, out: str = "r", width: int = 1024,
                 levels: int = 3) -> DataFrame:
     """Add ``out`` = r after applying maps 0..idx (inclusive) to ``r0``.
 
-    ``idx`` must be dense 0..n-1 within each group.
+    ``idx`` holds distinct integers increasing in the order within each
+    group; they need not be dense (a chunk of ``width`` consecutive values
+    holds at most ``width`` elements). The top level holds at most
+    ``max(idx) / width**(levels-1) + 1`` elements per group.
     """
     groups = list(groups)
     pref = _exclusive_prefix(df, groups, idx, a, b, width, levels - 1)
