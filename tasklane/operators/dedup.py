@@ -43,18 +43,46 @@ def keep_first(df: DataFrame, key, pos: str = "pos",
                           "_kf_prio", pos, payload).drop("_kf_prio")
 
 
+# Packing (prio, pos) into one long keeps the aggregation buffer fixed-width,
+# so Spark plans a hash aggregate (a struct minimum forces a sort aggregate
+# that sorts every text twice). pos must lie in [0, 2^40), prio in [0, 2^23).
+POS_BITS = 40
+_POS_MAX = 1 << POS_BITS
+_PRIO_MAX = 1 << (63 - POS_BITS)
+
+
+def _packed(prio: str, pos: str) -> Column:
+    ok = (F.col(prio).between(0, _PRIO_MAX - 1)
+          & F.col(pos).between(0, _POS_MAX - 1))
+    packed = F.shiftleft(F.col(prio).cast("long"), POS_BITS) + F.col(pos)
+    return F.when(ok, packed).otherwise(F.raise_error(F.concat(
+        F.lit("priority_dedup: prio/pos out of packable range: "),
+        F.col(prio).cast("string"), F.lit("/"),
+        F.col(pos).cast("string")))).cast("long")
+
+
 def priority_dedup(df: DataFrame, key, prio: str = "prio", pos: str = "pos",
                    payload: Sequence[str] = (), key_name: str = "key"
                    ) -> DataFrame:
     """D3: first occurrence under (prio, pos) survives, one row per key.
 
     Returns ``key_name, prio, pos, *payload``. NULL keys form one group, as
-    pandas does.
+    pandas does. Without payload the winner is ``min`` of the packed
+    (prio, pos) long (hash aggregate with map-side partials); with payload
+    it is ``min(struct(prio, pos, *payload))``.
     """
-    k = _c(key)
     fields = [prio, pos, *payload]
-    best = (df.groupBy(F.xxhash64(k).alias("_pd_h"), k.alias(key_name))
-            .agg(F.min(F.struct(*[F.col(f) for f in fields])).alias("_pd_w")))
+    keyed = df.select(_c(key).alias(key_name), *fields)
+    grp = keyed.groupBy(F.xxhash64(key_name).alias("_pd_h"), key_name)
+    if not payload:
+        best = grp.agg(F.min(_packed(prio, pos)).alias("_pd_m"))
+        ptype = dict(df.select(prio).dtypes)[prio]
+        return best.select(
+            key_name,
+            F.shiftright("_pd_m", POS_BITS).cast(ptype).alias(prio),
+            F.col("_pd_m").bitwiseAND(F.lit(_POS_MAX - 1))
+            .cast(dict(df.select(pos).dtypes)[pos]).alias(pos))
+    best = grp.agg(F.min(F.struct(*[F.col(f) for f in fields])).alias("_pd_w"))
     return best.select(key_name, *[F.col(f"_pd_w.{f}").alias(f)
                                    for f in fields])
 

@@ -24,22 +24,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     0 = benchmark (pos shifted by 10^9) + documents with doc_id % 7 = 0;
     1 = doc_id % 3 = 0, made full-width where doc_id % 6 = 0;
     2 = doc_id % 2 = 0; 3 = all documents.
+    One scan of documents: each document emits one row per source that
+    holds it (``inline`` of its membership list).
     """
     docs = read_table(spark, sf_dir, "documents", spread=True).select(
         F.col("doc_id").alias("pos"), "text")
+    pos, text = F.col("pos"), F.col("text")
+
+    def member(prio, cond, t=text):
+        return F.when(cond, F.struct(F.lit(prio).alias("prio"),
+                                     t.alias("text")))
+
+    rows = F.array(
+        member(0, pos % 7 == 0),
+        member(1, pos % 3 == 0,
+               F.when(pos % 6 == 0, to_full_width(text)).otherwise(text)),
+        member(2, pos % 2 == 0),
+        member(3, F.lit(True)))
+    from_docs = docs.select("pos", F.inline(F.filter(rows, lambda r: r.isNotNull())))
     bench = read_table(spark, sf_dir, "benchmark").select(
-        (F.col("item_id") + BENCH_SHIFT).alias("pos"), "text")
-    p0 = bench.unionByName(docs.where(F.col("pos") % 7 == 0))
-    p1 = docs.where(F.col("pos") % 3 == 0).withColumn(
-        "text", F.when(F.col("pos") % 6 == 0, to_full_width("text"))
-        .otherwise(F.col("text")))
-    p2 = docs.where(F.col("pos") % 2 == 0)
-    parts = [p.withColumn("prio", F.lit(i)) for i, p in
-             enumerate([p0, p1, p2, docs])]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("prio", "pos", "text")
+        F.lit(0).alias("prio"), (F.col("item_id") + BENCH_SHIFT).alias("pos"),
+        "text")
+    return bench.unionByName(from_docs.select("prio", "pos", "text"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

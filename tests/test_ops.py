@@ -72,6 +72,20 @@ def test_priority_dedup_properties(spark):
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_priority_dedup_packed_matches_struct(spark):
+    df = spark.createDataFrame(
+        [("a", 2, 5), ("a", 1, 9), ("a", 1, 7), ("b", 3, 0), (None, 2, 1), (None, 0, 4)],
+        "k string, prio int, pos long")
+    packed = sorted(map(tuple, dedup.priority_dedup(df, "k").collect()), key=str)
+    with_payload = dedup.priority_dedup(df.withColumn("x", F.lit(1)), "k",
+                                        payload=["x"]).drop("x")
+    assert packed == sorted(map(tuple, with_payload.collect()), key=str)
+    assert ("a", 1, 7) in packed and (None, 0, 4) in packed
+    bad = spark.createDataFrame([("a", 0, -1)], "k string, prio int, pos long")
+    with pytest.raises(Exception, match="packable"):
+        dedup.priority_dedup(bad, "k").collect()
+
+
 def test_subtract_earlier(spark):
     df = spark.createDataFrame([(0, "a"), (1, "a"), (1, "b"), (1, "b"), (2, "b"), (2, "c")],
                                "prio int, k string")
