@@ -68,3 +68,4 @@ def q_d3_folded(spark, sf):
 # two dictionaries above.
 from tasklane.plans import registry_prep  # noqa: E402,F401
 from tasklane.plans import registry_model  # noqa: E402,F401
+from tasklane.plans import registry_io  # noqa: E402,F401

@@ -704,7 +704,7 @@ s2 AS (SELECT *, mx + ln(list_sum(list_transform(logits, lambda v: exp(v - mx)))
        FROM s1)"""
 
 
-@register("j5_evaluate_model", _J_LOGITS + "," + _REPORT_ROWS + f"""
+ORACLES_J5 = _J_LOGITS + "," + _REPORT_ROWS + f"""
 SELECT round(l0, 6) AS loss_ocnli, round(l1, 6) AS loss_ocemotion, round(l2, 6) AS loss_tnews,
        round(vl, 6) AS val_loss,
        round(f0, 9) AS f1_ocnli, round(f1_, 9) AS f1_ocemotion, round(f2, 9) AS f1_tnews,
@@ -714,7 +714,10 @@ FROM (SELECT max(loss) FILTER (WHERE task_id = 0) AS l0,
              max(loss) FILTER (WHERE task_id = 2) AS l2,
              sum(loss) FILTER (WHERE loss > 0) / count(loss) FILTER (WHERE loss > 0) AS vl,
              {_F1COLS}
-      FROM pt)""")
+      FROM pt)"""
+
+
+@register("j5_evaluate_model", ORACLES_J5)
 def q_j5(spark, sf):
     from tasklane.plans.jobs import evaluate_model
     r = evaluate_model(features_table(spark, sf), heads_table(spark, sf))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tasklane.functions.text import clean
+from tasklane.session import checkpoint_dir
 from tasklane.operators import labels as L
 from tasklane.operators.splits import N_FOLDS, fold_select, stratified_folds
 
@@ -144,6 +145,13 @@ def load_split(spark: SparkSession, spec: Mapping, task: str,
 
 # ---------------------------------------------------------------- sinks
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder of the session
+    (never a machine-local temporary folder)."""
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None,
               mode: str = "overwrite") -> None:
     """CSV with header."""
