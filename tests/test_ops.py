@@ -296,3 +296,62 @@ def test_io_roundtrips_and_jobs(spark, tmp_out):
     io.write_tsv(docs, f"{tmp_out}/test_in")
     out = jobs.test_conversion(spark, f"{tmp_out}/test_in", f"{tmp_out}/test_out")
     assert out.where(F.col("sentence").contains("ｅ")).count() == 0
+
+
+def _write_lines(path, lines):
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/part-00000.txt", "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def test_headline_preparation_job_brute_force(spark, tmp_out):
+    """J2 on hand-made sources: priority test < dev < train < extra, dedup
+    on the cleaned (tab-free, width-folded) sentence, ids per source."""
+    _write_lines(f"{tmp_out}/test", ["0\t同一句\t101", "1\tＡＢＣ\t102"])
+    _write_lines(f"{tmp_out}/dev", [json.dumps({"sentence": "ABC", "label": "103"}),
+                                    json.dumps({"sentence": "新句\t子", "label": "104"})])
+    _write_lines(f"{tmp_out}/train", [json.dumps({"sentence": "新句子", "label": "105"}),
+                                      json.dumps({"sentence": "训练", "label": "106"}),
+                                      json.dumps({"sentence": "训练", "label": "107"}),
+                                      json.dumps({"sentence": "第二", "label": "111"})])
+    _write_lines(f"{tmp_out}/extra", ["9_!_108_!_x_!_训练_!_kw", "10_!_109_!_x_!_额外_!_",
+                                      "11_!_110_!_x_!_ＡＢＣ_!_", "12_!_112_!_x_!_同一句_!_"])
+    outs = jobs.headline_preparation(spark, f"{tmp_out}/test", f"{tmp_out}/dev",
+                                     f"{tmp_out}/train", f"{tmp_out}/extra",
+                                     f"{tmp_out}/out")
+    got = {k: sorted(map(tuple, v.collect())) for k, v in outs.items()}
+    assert got["dev"] == [(0, "新句子", 104)]
+    assert got["train"] == [(0, "训练", 106), (1, "第二", 111)]
+    assert got["extra"] == [(0, "额外", 109)]
+    assert got["trainval"] == [(0, "训练", 106), (1, "第二", 111), (2, "新句子", 104)]
+    back = io.read_csv(spark, f"{tmp_out}/out/train.csv", "id long, sentence string, label int")
+    assert sorted(map(tuple, back.collect())) == got["train"]
+
+
+def test_emotion_cleaning_job_brute_force(spark, tmp_out):
+    """J3 against plain Python re on sample texts plus constructed runs,
+    emotes, Latin letters and emoji."""
+    import re
+    from collections import Counter
+    docs = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+            .orderBy("doc_id").select("text").collect()]
+    extras = ["哈" * 9 + "abc", "[怒]" * 35 + " x", "[笑哭]" * 31, "好😀😭Z ", "  ",
+              " " * 8]
+    sents = [re.sub(r"[\t\n\r]", " ", t) for t in docs[:30]] + extras
+    _write_lines(f"{tmp_out}/train", [f"{i}\t{s}\t1" for i, s in enumerate(sents)])
+    vocab = spark.createDataFrame([(c,) for c in "哈好[]怒"], "token string")
+    lex = {"😭": ":大声哭喊的脸:", "😀": ":嘿嘿:"}
+    out = jobs.emotion_cleaning(spark, f"{tmp_out}/train", vocab, lex, f"{tmp_out}/out")
+
+    def py_clean(s):
+        s = re.sub(r"(.)\1{6,}", lambda m: m.group(1) * 6, s)
+        s = re.sub(r"((\[[一-龥]+\])\2{29})\2+", r"\1", s)
+        s = re.sub(r"[A-Za-z]+", "", s)
+        return "".join(lex.get(c, c) for c in s)
+
+    got = {r.id: r.sentence for r in out["clean"].collect()}
+    assert got == {i: py_clean(s) for i, s in enumerate(sents)}
+    want = Counter(c for s in sents for c in s.strip(" ").replace(" ", ""))
+    for c in "哈好[]怒":
+        want.pop(c, None)
+    assert {r.ch: r.n for r in out["oov"].collect()} == dict(want)
