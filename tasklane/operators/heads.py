@@ -4,7 +4,7 @@ Each row is scored only by its own task's head. Linear heads are array
 expressions over a per-task weight table joined on ``task_id`` (tasks x
 classes x dim values: a fixed, small table, broadcast explicitly). MLP,
 experts and gates run as numpy matrix products on Arrow batches
-(``mapInPandas``) with weights in a broadcast variable.
+(``mapInArrow``) with weights in a broadcast variable.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,52 +96,63 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def score_numpy(features: DataFrame, model: Mapping, arch: str,
                 x: str = "feature") -> DataFrame:
-    """H4-H6 on Arrow batches.
+    """H4-H6 on Arrow batches (``mapInArrow``).
 
     ``model``:
       ``towers``: {task: [(W, b), ...]} final per-task linear layers
       (H4 uses ``expert`` = [(W, b), ...] shared ReLU MLP before them);
       ``experts``: [[(W, b), ...], ...] and ``gate`` (W, b) for ``moe``;
       ``gates``: {task: (W, b)} for ``mmoe``.
-    Dropout is the identity at inference.
+    Dropout is the identity at inference. Features of one batch become one
+    (rows x dim) matrix from the flat Arrow values; logits of all rows are
+    written into one flat array by per-task offsets, so there is no Python
+    work per row.
     """
     sc = features.sparkSession.sparkContext
     bm = sc.broadcast(model)
+    keep = [f.name for f in features.schema.fields if f.name != x]
 
     def run(batches):
         m = bm.value
-        for pdf in batches:
-            X = np.stack(pdf[x].map(lambda v: np.asarray(v, np.float64)))
-            tasks = pdf["task_id"].to_numpy()
+        n_out = {int(t): tw[-1][0].shape[1] for t, tw in m["towers"].items()}
+        for bt in batches:
+            n = bt.num_rows
+            col = bt.column(x)
+            X = (col.flatten().to_numpy(zero_copy_only=False)
+                 .astype(np.float64).reshape(n, -1) if n else
+                 np.zeros((0, 0)))
+            tasks = bt.column("task_id").to_numpy(zero_copy_only=False)
+            width = np.array([n_out[int(t)] for t in tasks], np.int64) \
+                if n else np.zeros(0, np.int64)
+            offs = np.zeros(n + 1, np.int64)
+            np.cumsum(width, out=offs[1:])
+            vals = np.empty(offs[-1], np.float64)
             if arch == "expert":
                 shared = np.maximum(_mlp(X, m["expert"]), 0.0)
             elif arch in ("moe", "mmoe"):
                 E = np.stack([np.maximum(_mlp(X, ex), 0.0)
                               for ex in m["experts"]], axis=1)
-            out = [None] * len(pdf)
             for t in np.unique(tasks):
                 idx = np.nonzero(tasks == t)[0]
                 if arch == "expert":
                     h = shared[idx]
-                elif arch == "moe":
-                    gw, gb = m["gate"]
-                    g = _softmax(X[idx] @ gw + gb)
-                    h = np.einsum("ne,ned->nd", g, E[idx])
                 else:
-                    gw, gb = m["gates"][int(t)]
+                    gw, gb = m["gate"] if arch == "moe" else m["gates"][int(t)]
                     g = _softmax(X[idx] @ gw + gb)
                     h = np.einsum("ne,ned->nd", g, E[idx])
                 lg = _mlp(h, m["towers"][int(t)])
-                for k, i in enumerate(idx):
-                    out[i] = lg[k].tolist()
-            res = pdf.drop(columns=[x]).copy()
-            res["logits"] = out
-            yield res
+                vals[offs[idx][:, None] + np.arange(lg.shape[1])] = lg
+            logits = pa.ListArray.from_arrays(
+                pa.array(offs.astype(np.int32), pa.int32()),
+                pa.array(vals, pa.float64()))
+            yield pa.RecordBatch.from_arrays(
+                [bt.column(c) for c in keep] + [logits],
+                names=keep + ["logits"])
 
     fields = [f for f in features.schema.fields if f.name != x]
     schema = T.StructType(fields + [T.StructField(
         "logits", T.ArrayType(T.DoubleType()))])
-    return features.mapInPandas(run, schema)
+    return features.mapInArrow(run, schema)
 
 
 def score(features: DataFrame, arch: str, heads: DataFrame | None = None,

@@ -624,23 +624,35 @@ def q_st1(spark, sf):
 # once and broadcast. No oracle: checked against numpy in tests.
 
 def _rows(spark, sf, lo, hi):
+    return _row_ranges(spark, sf, [(lo, hi)])[0]
+
+
+def _row_ranges(spark, sf, ranges):
+    """Embedding rows of several vec_id ranges, one bounded collect (model
+    weights: at most sum(hi - lo) rows)."""
     import numpy as np
-    e = read_table(spark, sf, "embeddings").where(
-        (F.col("vec_id") >= lo) & (F.col("vec_id") < hi)).select(
-        "vec_id", "embedding").orderBy("vec_id").collect()
-    return np.array([r[1] for r in e], dtype=np.float64)
+    cond = None
+    for lo, hi in ranges:
+        c = (F.col("vec_id") >= lo) & (F.col("vec_id") < hi)
+        cond = c if cond is None else cond | c
+    got = {r[0]: r[1] for r in read_table(spark, sf, "embeddings").where(cond)
+           .select("vec_id", "embedding").collect()}
+    return [np.array([got[i] for i in range(lo, hi)], dtype=np.float64)
+            for lo, hi in ranges]
 
 
 def numpy_model(spark, sf):
     import numpy as np
     d = 64
-    towers = {t: [(_rows(spark, sf, 0, c).T, np.zeros(c))]
-              for t, c in enumerate([3, 7, 10])}
-    e1 = [(_rows(spark, sf, 100, 164).T, np.zeros(d))]
-    e2 = [(_rows(spark, sf, 200, 264).T, np.zeros(d))]
-    gate = (_rows(spark, sf, 300, 302).T, np.zeros(2))
-    gates = {t: (_rows(spark, sf, 300 + 2 * t, 302 + 2 * t).T, np.zeros(2))
-             for t in range(3)}
+    t0, t1, t2, x1, x2, g = _row_ranges(
+        spark, sf, [(0, 3), (0, 7), (0, 10), (100, 164), (200, 264),
+                    (300, 306)])
+    towers = {t: [(w.T, np.zeros(w.shape[0]))]
+              for t, w in enumerate([t0, t1, t2])}
+    e1 = [(x1.T, np.zeros(d))]
+    e2 = [(x2.T, np.zeros(d))]
+    gate = (g[0:2].T, np.zeros(2))
+    gates = {t: (g[2 * t:2 * t + 2].T, np.zeros(2)) for t in range(3)}
     return {"towers": towers, "expert": e1, "experts": [e1, e2],
             "gate": gate, "gates": gates}
 
