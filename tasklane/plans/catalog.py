@@ -62,10 +62,3 @@ def q_d3_raw(spark, sf):
 @register("d3_priority_dedup_folded", _d3_sql(_FOLD))
 def q_d3_folded(spark, sf):
     return _d3(spark, sf, folded=True)
-
-
-# Further registrations live next to their areas; importing them fills the
-# two dictionaries above.
-from tasklane.plans import registry_prep  # noqa: E402,F401
-from tasklane.plans import registry_model  # noqa: E402,F401
-from tasklane.plans import registry_io  # noqa: E402,F401
