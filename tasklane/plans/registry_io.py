@@ -113,3 +113,69 @@ def q_w4(spark, sf):
     io.append_metrics(q_j5(spark, sf).withColumn("step", F.lit(0)), root,
                       "eval")
     return spark.read.schema(io.METRICS_SCHEMA).parquet(root)
+
+
+# ---------------------------------------------------------------- S5 / S6 / S7
+
+@register("s5_line_scan", """
+SELECT unnest(string_split(text, chr(10))) AS value FROM documents""")
+def q_s5(spark, sf):
+    """Documents written as plain text, scanned line by line."""
+    root = io.scratch_dir(spark, "s5")
+    read_table(spark, sf, "documents").select("text").write.text(root)
+    return io.read_lines(spark, root)
+
+
+_PAIR_DICT = {"user": "entailment", "assistant": "neutral",
+              "system": "contradiction"}
+
+
+@register("s6_load_split_train", osql.with_(_PAIRS_SQL, """
+tv AS (SELECT pos AS id, replace(sentence1, chr(10), ' ') AS sentence1,
+              replace(sentence2, chr(10), ' ') AS sentence2,
+              CASE label WHEN 'user' THEN 'entailment' WHEN 'assistant' THEN 'neutral'
+                         WHEN 'system' THEN 'contradiction' ELSE label END AS label
+       FROM pairs)""", """
+f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('606:' || id), id) - 1) % 5
+                  AS fold FROM tv)""") + """
+SELECT id, sentence1, sentence2, label, 0 AS task_id,
+       CASE label WHEN 'entailment' THEN 0 WHEN 'neutral' THEN 1
+                  WHEN 'contradiction' THEN 2 END AS target
+FROM f WHERE fold <> 0""")
+def q_s6(spark, sf):
+    """The pair task's trainval TSV (S2, quotes plain) resolved to the
+    train split of fold 0 (stratified 5-fold), labels encoded."""
+    root = io.scratch_dir(spark, "s6")
+    p = conversation_pairs(spark, sf)
+    lab = F.col("label")
+    for raw, name in _PAIR_DICT.items():
+        lab = F.when(F.col("label") == raw, F.lit(name)).otherwise(lab)
+    nl = "\n"
+    tv = p.select(F.col("pos").alias("id"),
+                  F.replace("sentence1", F.lit(nl), F.lit(" ")).alias("sentence1"),
+                  F.replace("sentence2", F.lit(nl), F.lit(" ")).alias("sentence2"),
+                  lab.alias("label"))
+    io.write_tsv(tv, f"{root}/trainval.tsv")
+    spec = {"ocnli_trainval_path": f"{root}/trainval.tsv", "n_folds": 5,
+            "fold": 0}
+    return io.load_split(spark, spec, "ocnli", "train").select(
+        "id", "sentence1", "sentence2", "label", "task_id", "target")
+
+
+def _a1_sql() -> str:
+    from tasklane.plans.catalog import ORACLES
+    return ORACLES["a1_average_params"]
+
+
+@register("s7_param_scan_average", _a1_sql())
+def q_s7(spark, sf):
+    """S7 + A1: one checkpoint folder per model (parquet), scanned and
+    averaged by name and chunk."""
+    from tasklane.operators import params as A
+    from tasklane.plans import fixtures as fx
+    from tasklane.plans.registry_model import _ra
+    root = io.scratch_dir(spark, "s7")
+    fx.params(spark, sf).write.partitionBy("model_id").parquet(root)
+    a = A.average_params(io.read_params(spark, root, chunked=True),
+                         chunked=True)
+    return a.select("name", "chunk", _ra("vals").alias("vals"), "n_models")

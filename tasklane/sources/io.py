@@ -102,9 +102,12 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return parse_delimited_lines(raw)
 
 
-def read_params(spark: SparkSession, path: str) -> DataFrame:
-    """Parameter table (model_id, ord, name, vals) from parquet."""
-    return spark.read.schema(PARAMS).parquet(path)
+def read_params(spark: SparkSession, path: str,
+                chunked: bool = False) -> DataFrame:
+    """Parameter table (model_id, ord, name, [chunk,] vals) from parquet
+    (a folder of checkpoints, e.g. one sub-folder per model)."""
+    return spark.read.schema(PARAMS + (", chunk int" if chunked else "")
+                             ).parquet(path)
 
 
 # ---------------------------------------------------------------- S6
@@ -154,15 +157,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None,
               mode: str = "overwrite") -> None:
-    """CSV with header."""
+    """CSV with header; text is written as is (no whitespace trim)."""
     (df.select(*(columns or df.columns)).write.mode(mode)
-     .option("header", True).option("escape", '"').csv(path))
+     .option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """TSV without header."""
+    """TSV without header; text is written as is (no whitespace trim)."""
     (df.write.mode(mode).option("sep", "\t").option("header", False)
-     .option("escape", '"').csv(path))
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_predictions(df: DataFrame, path: str, task: str = "task",

@@ -355,3 +355,20 @@ def test_emotion_cleaning_job_brute_force(spark, tmp_out):
     for c in "哈好[]怒":
         want.pop(c, None)
     assert {r.ch: r.n for r in out["oov"].collect()} == dict(want)
+
+
+def test_jsonl_corrupt_lines_and_sink_whitespace(spark, tmp_out):
+    _write_lines(f"{tmp_out}/in", [json.dumps({"sentence1": " a ", "sentence2": "b\t",
+                                               "label": "1"}), "{not json"])
+    df = io.read_jsonl(spark, f"{tmp_out}/in", keep_corrupt=True).cache()
+    rows = sorted(df.collect(), key=lambda r: r._corrupt_record or "")
+    assert rows[0].sentence1 == " a " and rows[0]._corrupt_record is None
+    assert rows[1]._corrupt_record == "{not json" and rows[1].sentence1 is None
+    good = df.where(F.col("_corrupt_record").isNull()).select(
+        F.lit(7).cast("long").alias("id"), "sentence1", "sentence2", "label")
+    io.write_tsv(good, f"{tmp_out}/tsv")
+    back = io.read_tsv(spark, f"{tmp_out}/tsv", io.PAIR_TSV, quoted=True).collect()
+    assert [tuple(r) for r in back] == [(7, " a ", "b\t", "1")]
+    io.write_csv(good, f"{tmp_out}/csv")
+    back = io.read_csv(spark, f"{tmp_out}/csv", io.PAIR_TSV).collect()
+    assert [tuple(r) for r in back] == [(7, " a ", "b\t", "1")]
