@@ -423,9 +423,11 @@ def _pair_encoded(spark, sf):
     c = read_table(spark, sf, "conversations", spread=True)
     v = V.build_vocab(c, "text", 200)
     p = conversation_pairs(spark, sf).select("pos", "sentence1", "sentence2")
-    enc = E.encode(p, v, "sentence1", "sentence2")
-    o = K.shuffle_order(enc, "pos", epoch=0)
-    return K.assign_batches(o, "order", batch_size=32, accumulation=8)
+    # Order and batch first, then encode (row-wise): the rank reads its
+    # input twice (counts and rows), so the encoder runs once, after it.
+    o = K.shuffle_order(p, "pos", epoch=0)
+    b = K.assign_batches(o, "order", batch_size=32, accumulation=8)
+    return E.encode(b, v, "sentence1", "sentence2")
 
 
 @register("e3_e4_pair_collate", _PAIR_ENC + """
