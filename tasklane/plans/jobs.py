@@ -1,7 +1,8 @@
 """End-to-end jobs (J1-J6): file in, file out, one lazy plan per output.
 
-Each job composes the operators; no intermediate files are written between
-steps. Row order of an input file is kept through (file, block, row) keys
+Each job composes the operators. An intermediate that feeds several
+outputs is checkpointed once into the shared checkpoint folder
+(``cut_lineage``) rather than recomputed per output. Row order of an input file is kept through (file, block, row) keys
 taken right above the scan.
 """
 
@@ -17,6 +18,7 @@ from tasklane.functions.metrics import argmax
 from tasklane.operators import dedup, labels as L, metrics as M
 from tasklane.operators import heads as H
 from tasklane.operators import vocab as V
+from tasklane.session import cut_lineage
 from tasklane.sources import io
 
 
@@ -43,6 +45,9 @@ def pair_task_preparation(spark: SparkSession, train_path: str,
                             T.fold_width("sentence1").alias("sentence1"),
                             T.fold_width("sentence2").alias("sentence2"),
                             "label")
+        # Feeds the split's CSV and the union: checkpoint once into the
+        # shared folder instead of recomputing the ranks per output.
+        clean = cut_lineage(clean)
         outs[name] = clean.select("id", "sentence1", "sentence2", "label")
         io.write_csv(outs[name], f"{out_dir}/{name}.csv")
         parts.append(clean.drop("id"))
@@ -83,6 +88,9 @@ def headline_preparation(spark: SparkSession, test_path: str, dev_path: str,
     best = best.where(F.col("src") > 0).withColumn(
         "label", L.strict_int("label"))
     ided = dedup.dense_ids_per_source(best, prio="src", pos="pos", out="id")
+    # Four outputs read the deduplicated table: checkpoint it once into the
+    # shared folder (survives executor loss, no recomputation per output).
+    ided = cut_lineage(ided)
     outs = {}
     for name, s in (("dev", 1), ("train", 2), ("extra", 3)):
         outs[name] = ided.where(F.col("src") == s).select(
