@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,7 +105,8 @@ def attention_pool(tokens: DataFrame, task_of: DataFrame,
     softmax(q.k / sqrt(d_head)) over the unmasked positions; weighted sum
     of v; heads concatenated. ``weights``: ``task_embedding`` (tasks x d),
     ``wq``, ``wk``, ``wv`` (d x d). Tokens are grouped per sequence (one
-    shuffle), then Arrow batches of sequences are scored with numpy.
+    shuffle), then each Arrow batch of sequences is scored in one vectorised
+    numpy pass (segment max / sum by ``reduceat``; no Python loop per row).
     """
     sc = tokens.sparkSession.sparkContext
     bw = sc.broadcast({k: np.asarray(v, dtype=np.float64)
@@ -120,26 +121,43 @@ def attention_pool(tokens: DataFrame, task_of: DataFrame,
         te, wq, wk, wv = W["task_embedding"], W["wq"], W["wk"], W["wv"]
         d = wq.shape[1]
         dh = d // n_heads
-        for pdf in batches:
-            out = []
-            for toks, task in zip(pdf["toks"], pdf["task_id"]):
-                x = np.stack([np.asarray(r["vec"], dtype=np.float64)
-                              for r in toks])
-                m = np.array([bool(r["mask"]) for r in toks])
-                q = te[int(task)] @ wq
-                k, v = x @ wk, x @ wv
-                heads = []
+        Q = te @ wq                               # tasks x d
+        for bt in batches:
+            n = bt.num_rows
+            toks = bt.column("toks")
+            offs = toks.offsets.to_numpy().astype(np.int64)
+            offs = offs - offs[0]
+            lens = np.diff(offs)
+            flat = toks.flatten()
+            X = (flat.field("vec").flatten().to_numpy(zero_copy_only=False)
+                 .astype(np.float64).reshape(-1, wk.shape[0]))
+            m = flat.field("mask").to_numpy(zero_copy_only=False).astype(bool)
+            tt = np.repeat(bt.column("task_id").to_numpy(
+                zero_copy_only=False).astype(np.int64), lens)
+            K, V = X @ wk, X @ wv                  # tokens x d
+            # per head score of every token: k . q / sqrt(dh)
+            S = (K * Q[tt]).reshape(-1, n_heads, dh).sum(axis=2) / np.sqrt(dh)
+            S = np.where(m[:, None], S, -np.inf)
+            starts = offs[:-1]
+            feat = np.zeros((n, d))
+            if len(S):
+                with np.errstate(invalid="ignore"):
+                    mx = np.maximum.reduceat(S, starts, axis=0)
+                    E = np.where(m[:, None], np.exp(S - np.repeat(mx, lens, 0)),
+                                 0.0)
+                den = np.add.reduceat(E, starts, axis=0)
+                P = E / np.repeat(np.where(den > 0, den, 1.0), lens, 0)
                 for h in range(n_heads):
                     sl = slice(h * dh, (h + 1) * dh)
-                    s = k[:, sl] @ q[sl] / np.sqrt(dh)
-                    s = np.where(m, s, -np.inf)
-                    p = np.exp(s - s[m].max()) if m.any() else np.zeros_like(s)
-                    p = p / p.sum() if p.sum() > 0 else p
-                    heads.append(p @ v[:, sl])
-                out.append(np.concatenate(heads).tolist())
-            yield pd.DataFrame({"id": pdf["id"], "feature": out})
+                    feat[:, sl] = np.add.reduceat(P[:, h, None] * V[:, sl],
+                                                  starts, axis=0)
+            feature = pa.ListArray.from_arrays(
+                pa.array((np.arange(n + 1) * d).astype(np.int32), pa.int32()),
+                pa.array(feat.reshape(-1), pa.float64()))
+            yield pa.RecordBatch.from_arrays([bt.column("id"), feature],
+                                             names=["id", "feature"])
 
     schema = T.StructType([T.StructField("id", T.LongType()),
                            T.StructField("feature",
                                          T.ArrayType(T.DoubleType()))])
-    return seq.select("id", "task_id", "toks").mapInPandas(score, schema)
+    return seq.select("id", "task_id", "toks").mapInArrow(score, schema)
