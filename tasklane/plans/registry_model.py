@@ -623,7 +623,7 @@ def q_st1(spark, sf):
 
 # ---------------------------------------------------------------- F7, H4-H6, H8
 # Weights are model-sized: a bounded number of embedding rows is collected
-# once and broadcast. No oracle: checked against numpy in tests.
+# once and broadcast. Oracles use the same rows; tests also compare with numpy.
 
 def _rows(spark, sf, lo, hi):
     return _row_ranges(spark, sf, [(lo, hi)])[0]
@@ -667,12 +667,57 @@ def _numpy_head(arch):
     return q
 
 
-register("h4_expert_mlp")(_numpy_head("expert"))
-register("h5_mixture_of_experts")(_numpy_head("moe"))
-register("h6_multi_gate_moe")(_numpy_head("mmoe"))
-
-
-@register("f7_attention_pool")
+_EXPERT_SQL = "WITH " + _HEAD_SQL.strip() + """,
+e2m AS (SELECT list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER BY vec_id)
+               AS W FROM embeddings WHERE vec_id >= 200 AND vec_id < 264),
+gm AS (SELECT list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER BY vec_id)
+              AS W FROM embeddings WHERE vec_id >= 300 AND vec_id < 306),
+ex AS (SELECT f.id, f.task_id, f.x,
+              list_transform((SELECT W FROM hm), lambda r: greatest(list_dot_product(r, f.x), 0.0))
+                AS a1,
+              list_transform((SELECT W FROM e2m), lambda r: greatest(list_dot_product(r, f.x), 0.0))
+                AS a2
+       FROM f)"""
+
+
+def _mixture_sql(gate_row: str) -> str:
+    """Gate logits from gate rows ``gate_row`` and ``gate_row + 1`` (1-based
+    positions in gm), softmax over the two experts, mixture, task tower."""
+    return _EXPERT_SQL + f""",
+gz AS (SELECT *, list_dot_product((SELECT W FROM gm)[{gate_row}], x) AS z0,
+              list_dot_product((SELECT W FROM gm)[{gate_row} + 1], x) AS z1 FROM ex),
+mix AS (SELECT id, task_id, a1, a2,
+               exp(z0 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1)))
+                 AS g0 FROM gz)
+SELECT id, task_id,
+       list_transform(list_slice((SELECT W FROM wm), 1, [3, 7, 10][task_id + 1]),
+                      lambda r: round(list_dot_product(r, list_transform(range(64),
+                        lambda i: g0 * a1[i + 1] + (1 - g0) * a2[i + 1])), 6)) AS logits
+FROM mix"""
+
+
+register("h4_expert_mlp", _EXPERT_SQL + """
+SELECT id, task_id,
+       list_transform(list_slice((SELECT W FROM wm), 1, [3, 7, 10][task_id + 1]),
+                      lambda r: round(list_dot_product(r, a1), 6)) AS logits
+FROM ex""")(_numpy_head("expert"))
+register("h5_mixture_of_experts", _mixture_sql("1"))(_numpy_head("moe"))
+register("h6_multi_gate_moe", _mixture_sql("2 * task_id + 1"))(_numpy_head("mmoe"))
+
+
+@register("f7_attention_pool", osql.with_(osql.TOKENS, """
+te AS (SELECT vec_id - 400 AS task, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q
+       FROM embeddings WHERE vec_id >= 400 AND vec_id < 403)""", """
+sc AS (SELECT t.id, h.h, t.pos, t.vec,
+              list_dot_product(t.vec[h.h * 16 + 1:h.h * 16 + 16],
+                               te.q[h.h * 16 + 1:h.h * 16 + 16]) / 4.0 AS s
+       FROM tokens t JOIN te ON te.task = t.id % 3 CROSS JOIN range(4) h(h)
+       WHERE t.mask)""", """
+ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY id, h)) AS e FROM sc)""", """
+pr AS (SELECT *, e / sum(e) OVER (PARTITION BY id, h) AS p FROM ex)""", """
+dims AS (SELECT id, h, i, sum(p * vec[h * 16 + i + 1]) AS v
+         FROM pr CROSS JOIN range(16) r(i) GROUP BY id, h, i)""") + """
+SELECT id, list(round(v, 6) ORDER BY h, i) AS feature FROM dims GROUP BY id""")
 def q_f7(spark, sf):
     import numpy as np
     tok = fx.tokens(spark, sf)
