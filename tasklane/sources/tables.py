@@ -13,6 +13,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations")
 
 
+_SCHEMAS: dict = {}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -25,7 +28,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     that exchange into the scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        # First read of a table infers its schema from the footers (a small
+        # job); later reads in this process declare it and skip that job.
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+    else:
+        df = spark.read.schema(schema).parquet(path)
     if spread:
         from tasklane.plans.parallel import spread as _spread
         df = _spread(df)
