@@ -10,14 +10,25 @@ shuffle is added where the scan already fans out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+
+def spread(df: DataFrame, min_partitions: int | None = None,
+           keys: Sequence[Column] | None = None) -> DataFrame:
+    """Fan ``df`` out to at least ``min_partitions`` (default: the session's
+    parallelism) when it has fewer partitions.
+
+    ``keys``: deterministic, content-independent columns to hash on (for a
+    file scan: file path and row index), so a recomputed task after executor
+    loss sends every row to the same partition and hot values do not pile
+    up. Without keys: round-robin, made deterministic by Spark's local sort
+    before repartition (slower).
+    """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    # Round-robin after a local sort (spark.sql.execution.sortBeforeRepartition)
-    # is deterministic, so a recomputed task after executor loss gets the
-    # same rows.
+    if keys:
+        return df.repartition(target, *keys)
     return df.repartition(target)

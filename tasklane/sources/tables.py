@@ -7,6 +7,7 @@ reader, so a caller selecting two columns reads two columns.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
@@ -23,9 +24,9 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                spread: bool = False) -> DataFrame:
     """Scan a supplied table. ``spread=True`` (for tables feeding CPU-heavy
-    per-row work) fans a scan with fewer partitions than cores out
-    round-robin; Catalyst still prunes columns and pushes filters below
-    that exchange into the scan."""
+    per-row work) fans a scan with fewer partitions than cores out by a hash
+    of (file path, row index in file); Catalyst still prunes columns and
+    pushes filters below that exchange into the scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     path = table_path(sf_dir, name)
@@ -39,5 +40,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
         df = spark.read.schema(schema).parquet(path)
     if spread:
         from tasklane.plans.parallel import spread as _spread
-        df = _spread(df)
+        df = _spread(df, keys=[F.col("_metadata.file_path"),
+                               F.col("_metadata.row_index")])
     return df
