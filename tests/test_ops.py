@@ -372,3 +372,20 @@ def test_jsonl_corrupt_lines_and_sink_whitespace(spark, tmp_out):
     io.write_csv(good, f"{tmp_out}/csv")
     back = io.read_csv(spark, f"{tmp_out}/csv", io.PAIR_TSV).collect()
     assert [tuple(r) for r in back] == [(7, " a ", "b\t", "1")]
+
+
+def test_spread_keeps_rows_and_only_fans_out_small_inputs(spark):
+    from tasklane.plans.parallel import spread
+    from tasklane.sources.tables import read_table
+    d = read_table(spark, SF_SMALL, "documents")
+    s = read_table(spark, SF_SMALL, "documents", spread=True)
+    target = spark.sparkContext.defaultParallelism
+    assert s.rdd.getNumPartitions() >= min(target, max(d.rdd.getNumPartitions(), target))
+    assert sorted(map(tuple, s.select("doc_id", "text").collect())) == sorted(
+        map(tuple, d.select("doc_id", "text").collect()))
+    # pruning and filters still reach the scan under the exchange
+    plan = s.where(F.col("doc_id") > 5).select("doc_id")._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "GreaterThan(doc_id,5)" in plan and "text" not in plan
+    wide = spark.range(0, 100, numPartitions=target * 2)
+    assert spread(wide) is wide
