@@ -179,3 +179,71 @@ def q_s7(spark, sf):
     a = A.average_params(io.read_params(spark, root, chunked=True),
                          chunked=True)
     return a.select("name", "chunk", _ra("vals").alias("vals"), "n_models")
+
+
+# ---------------------------------------------------------------- J2
+
+def _j2(spark, sf):
+    """The four corpus sources as the job's inputs: priority 0 as a TSV
+    test file, 1 and 2 as JSON lines (dev, train), 3 as ``_!_`` lines
+    (extra); label = 100 + pos % 17; newlines folded to spaces so every
+    record is one line. Each file is written in position order."""
+    from tasklane.plans import fixtures as fx
+    root = io.scratch_dir(spark, "j2")
+    c = fx.corpus(spark, sf).select(
+        "prio", "pos",
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"),
+        (F.lit(100) + F.col("pos") % 17).cast("string").alias("label"))
+    p = F.col("prio")
+    (c.where(p == 0).orderBy("pos")
+     .select(F.concat_ws("\t", F.col("pos").cast("string"), "t", "label"))
+     .write.text(f"{root}/test"))
+    for prio, name in ((1, "dev"), (2, "train")):
+        (c.where(p == prio).orderBy("pos")
+         .select(F.col("t").alias("sentence"), "label")
+         .write.json(f"{root}/{name}"))
+    (c.where(p == 3).orderBy("pos")
+     .select(F.concat(F.col("pos").cast("string"), F.lit("_!_"), "label",
+                      F.lit("_!_name_!_"), "t", F.lit("_!_")))
+     .write.text(f"{root}/extra"))
+    jobs.headline_preparation(spark, f"{root}/test", f"{root}/dev",
+                              f"{root}/train", f"{root}/extra", f"{root}/out")
+    return root + "/out"
+
+
+_J2_IDED = osql.with_(osql.CORPUS, """
+src AS (SELECT prio, pos, replace(text, chr(10), ' ') AS t,
+               CAST(100 + pos % 17 AS VARCHAR) AS label FROM corpus)""", """
+src2 AS (SELECT prio, pos, label,
+                CASE WHEN prio = 3
+                     THEN string_split(CAST(pos AS VARCHAR) || '_!_' || label || '_!_name_!_'
+                                       || t || '_!_', '_!_')[4]
+                     ELSE t END AS s FROM src)""", f"""
+fp AS (SELECT prio, row_number() OVER (PARTITION BY prio ORDER BY pos) - 1 AS fpos,
+              translate(replace(s, chr(9), ''), {FULL}, {HALF}) AS sentence, label
+       FROM src2)""", """
+w AS (SELECT *, row_number() OVER (PARTITION BY sentence ORDER BY prio, fpos) AS rn FROM fp)""",
+"""
+ided AS (SELECT prio, fpos, sentence, CAST(label AS INTEGER) AS label,
+                CAST(row_number() OVER (PARTITION BY prio ORDER BY fpos) - 1 AS BIGINT) AS id
+         FROM w WHERE rn = 1 AND prio > 0)""")
+
+
+@register("j2_headline_extra_csv", _J2_IDED + """
+SELECT id, sentence, label FROM ided WHERE prio = 3""")
+def q_j2_extra(spark, sf):
+    """J2 extra output (W1 CSV) read back with S3."""
+    out = _j2(spark, sf)
+    return io.read_csv(spark, f"{out}/extra.csv",
+                       "id long, sentence string, label int")
+
+
+@register("j2_headline_trainval_tsv", _J2_IDED + """
+SELECT CAST(row_number() OVER (ORDER BY CASE prio WHEN 2 THEN 0 ELSE 1 END, fpos) - 1
+            AS BIGINT) AS id,
+       sentence, CAST(label AS VARCHAR) AS label
+FROM ided WHERE prio IN (1, 2)""")
+def q_j2_trainval(spark, sf):
+    """J2 train-then-dev union (W2 TSV) read back with S2b."""
+    out = _j2(spark, sf)
+    return io.read_tsv(spark, f"{out}/trainval.tsv", io.SINGLE_TSV, quoted=True)
