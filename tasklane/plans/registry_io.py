@@ -247,3 +247,72 @@ def q_j2_trainval(spark, sf):
     """J2 train-then-dev union (W2 TSV) read back with S2b."""
     out = _j2(spark, sf)
     return io.read_tsv(spark, f"{out}/trainval.tsv", io.SINGLE_TSV, quoted=True)
+
+
+# ---------------------------------------------------------------- J3
+
+# Every document becomes one training sentence with a run, an emote block,
+# Latin letters and emoji appended (newlines folded to spaces).
+_J3_SENT_SPARK = ("concat(replace(text, '\\n', ' '), repeat('哈', cast(doc_id % 15 as int)), "
+                  "'b', repeat('[怒]', cast(doc_id % 40 as int)), 'Zz', "
+                  "repeat('😭', cast(doc_id % 3 as int)), '😀')")
+_J3_SENT_SQL = ("replace(text, chr(10), ' ') || repeat('哈', CAST(doc_id % 15 AS INTEGER)) || "
+                "'b' || repeat('[怒]', CAST(doc_id % 40 AS INTEGER)) || 'Zz' || "
+                "repeat('😭', CAST(doc_id % 3 AS INTEGER)) || '😀'")
+
+
+def _j3(spark, sf):
+    from tasklane.plans.registry_prep import LEXICON
+    root = io.scratch_dir(spark, "j3")
+    d = read_table(spark, sf, "documents", spread=True).select(
+        "doc_id", F.expr(_J3_SENT_SPARK).alias("s"),
+        (F.col("doc_id") % 7).cast("string").alias("label"))
+    (d.orderBy("doc_id")
+     .select(F.concat_ws("\t", F.col("doc_id").cast("string"), "s", "label"))
+     .write.text(f"{root}/train"))
+    vocab = (read_table(spark, sf, "benchmark")
+             .select(F.explode(T.char_array("text")).alias("token")).distinct())
+    outs = jobs.emotion_cleaning(spark, f"{root}/train", vocab, LEXICON,
+                                 f"{root}/out")
+    return root, outs
+
+
+@register("j3_emotion_clean_tsv", f"""
+WITH src AS (SELECT doc_id, {_J3_SENT_SQL} AS x, CAST(doc_id % 7 AS VARCHAR) AS label,
+                    CAST(doc_id % 40 AS INTEGER) AS ne FROM documents),
+ch AS (SELECT doc_id, unnest(string_split(x, '')) AS c,
+              generate_subscripts(string_split(x, ''), 1) AS i FROM src),
+isl AS (SELECT doc_id, c, i,
+               i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM ch),
+runs AS (SELECT doc_id, c, i,
+                row_number() OVER (PARTITION BY doc_id, c, g ORDER BY i) AS k FROM isl),
+sq AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS y FROM runs
+       WHERE c = chr(10) OR k <= 6 GROUP BY doc_id),
+em AS (SELECT sq.doc_id, src.label,
+              replace(y, 'b' || repeat('[怒]', ne) || 'Zz',
+                      'b' || repeat('[怒]', least(ne, 30)) || 'Zz') AS y
+       FROM sq JOIN src ON sq.doc_id = src.doc_id)
+SELECT doc_id AS id,
+       replace(replace(regexp_replace(y, '[A-Za-z]+', '', 'g'), '😭', ':大声哭喊的脸:'),
+               '😀', ':嘿嘿:') AS sentence,
+       label
+FROM em""")
+def q_j3_clean(spark, sf):
+    """J3 cleaned sentences (W2 TSV) read back with S2b."""
+    root, _ = _j3(spark, sf)
+    return io.read_tsv(spark, f"{root}/out/train_clean.tsv", io.SINGLE_TSV,
+                       quoted=True)
+
+
+@register("j3_emotion_oov_report", f"""
+WITH v AS (SELECT DISTINCT unnest(string_split(replace(trim(text), ' ', ''), '')) AS c
+           FROM benchmark),
+x AS (SELECT unnest(string_split(replace(trim({_J3_SENT_SQL}), ' ', ''), '')) AS c
+      FROM documents)
+SELECT c AS ch, count(*) AS n FROM x
+WHERE c <> '' AND c NOT IN (SELECT c FROM v WHERE c IS NOT NULL)
+GROUP BY c""")
+def q_j3_oov(spark, sf):
+    """J3 out-of-vocabulary character report over the training file."""
+    _, outs = _j3(spark, sf)
+    return outs["oov"]
