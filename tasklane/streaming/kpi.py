@@ -18,8 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tasklane.functions.metrics import argmax
 from tasklane.session import checkpoint_dir
 
 OUT_SCHEMA = ("batch_id long, task_id int, kpi double, r double, w double, "
@@ -27,19 +29,19 @@ OUT_SCHEMA = ("batch_id long, task_id int, kpi double, r double, w double, "
 STATE_SCHEMA = "r double, last_batch long, late long"
 
 
-def hard_macro_f1(target: np.ndarray, logits: list, eps: float = 1e-7
-                  ) -> float:
-    """KPI of one (batch, task): macro F1 of the argmax over all C classes."""
-    n_cls = len(logits[0])
-    pred = np.array([int(np.argmax(np.asarray(v))) for v in logits])
-    t = np.asarray(target, dtype=np.int64)
-    f1 = []
-    for c in range(n_cls):
-        tp = float(np.sum((pred == c) & (t == c)))
-        fp = float(np.sum((pred == c) & (t != c)))
-        fn = float(np.sum((pred != c) & (t == c)))
-        f1.append(2 * tp / (2 * tp + fn + fp + eps))
-    return float(np.mean(f1))
+def batch_macro_f1(batch: np.ndarray, target: np.ndarray, pred: np.ndarray,
+                   n_cls: int, eps: float = 1e-7
+                   ) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted batch ids, KPI per batch): macro F1 of the argmax over all C
+    classes (absent classes count as 0), for every batch at once."""
+    ub, inv = np.unique(batch, return_inverse=True)
+    size = len(ub) * n_cls
+    hit = pred == target
+    tp = np.bincount(inv[hit] * n_cls + target[hit], minlength=size)
+    fn = np.bincount(inv[~hit] * n_cls + target[~hit], minlength=size)
+    fp = np.bincount(inv[~hit] * n_cls + pred[~hit], minlength=size)
+    f1 = (2 * tp / (2 * tp + fp + fn + eps)).reshape(len(ub), n_cls)
+    return ub, f1.mean(axis=1)
 
 
 def _updater(running_alpha: float, task_alpha: float, task_gamma: float,
@@ -54,29 +56,41 @@ def _updater(running_alpha: float, task_alpha: float, task_gamma: float,
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True)
+        b = pdf["batch_id"].to_numpy(np.int64)
+        fresh = b > last
+        late += int((~fresh).sum())
+        if not fresh.any():
+            state.update((float(r), int(last), int(late)))
+            return
+        ub, kpi = batch_macro_f1(
+            b[fresh], pdf["target"].to_numpy(np.int64)[fresh],
+            pdf["pred"].to_numpy(np.int64)[fresh],
+            int(pdf["n_cls"].max()))
         out = []
-        for b, g in sorted(pdf.groupby("batch_id"), key=lambda kv: kv[0]):
-            if b <= last:
-                late += len(g)
-                continue
-            kpi = hard_macro_f1(g["target"].to_numpy(), list(g["logits"]))
-            r = (1.0 - running_alpha) * r + running_alpha * kpi
+        # the recurrence itself is sequential: one step per batch
+        for bid, k in zip(ub.tolist(), kpi.tolist()):
+            r = (1.0 - running_alpha) * r + running_alpha * k
             w = -task_alpha * (1.0 - r) ** task_gamma * np.log(r)
-            out.append((int(b), task, kpi, r, w, int(late)))
-            last = int(b)
+            out.append((int(bid), task, k, r, w, int(late)))
+        last = int(ub[-1])
         state.update((float(r), int(last), int(late)))
-        if out:
-            yield pd.DataFrame(out, columns=["batch_id", "task_id", "kpi",
-                                             "r", "w", "late"])
+        yield pd.DataFrame(out, columns=["batch_id", "task_id", "kpi",
+                                         "r", "w", "late"])
     return update
 
 
 def running_kpi_stream(stream: DataFrame, running_alpha: float = 0.05,
                        task_alpha: float = 1.0, task_gamma: float = 1.0,
                        r0: float = 0.5) -> DataFrame:
-    """Streaming DataFrame of (batch_id, task_id, kpi, r, w, late)."""
-    return stream.select("task_id", "batch_id", "target", "logits") \
-        .groupBy("task_id").applyInPandasWithState(
+    """Streaming DataFrame of (batch_id, task_id, kpi, r, w, late).
+
+    The argmax is a column expression, so only (batch, target, pred) reach
+    the Python state function, which scores all batches of a trigger with
+    one ``bincount`` and keeps O(1) state per task."""
+    return stream.select(
+        "task_id", "batch_id", "target", argmax("logits").alias("pred"),
+        F.size("logits").alias("n_cls")).groupBy("task_id") \
+        .applyInPandasWithState(
             _updater(running_alpha, task_alpha, task_gamma, r0),
             OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
