@@ -2,7 +2,8 @@
 
 Each row is scored only by its own task's head. Linear heads are array
 expressions over a per-task weight table joined on ``task_id`` (tasks x
-classes x dim values: a fixed, small table, broadcast explicitly). MLP,
+classes x dim values: model-sized; broadcast after a size check, a plain
+join beyond ``HEAD_BROADCAST_LIMIT``). MLP,
 experts and gates run as numpy matrix products on Arrow batches
 (``mapInArrow``) with weights in a broadcast variable.
 """
@@ -41,12 +42,21 @@ def head_table(heads: DataFrame) -> DataFrame:
                     F.col("_h.b").alias("bias"))
 
 
+def _bounded(table: DataFrame, values: Column,
+             limit: int = HEAD_BROADCAST_LIMIT) -> DataFrame:
+    """Broadcast ``table`` only when it holds at most ``limit`` values (one
+    small aggregate checks it); otherwise leave the join to the planner."""
+    n = table.agg(F.sum(values)).first()[0] or 0
+    return F.broadcast(table) if n <= limit else table
+
+
 def linear_head(features: DataFrame, heads: DataFrame,
                 x: str = "feature") -> DataFrame:
     """H1/H2: ``logits = W_task x + b_task`` (hard sharing: one linear layer
-    per task over a shared feature)."""
+    per task over a shared feature). The head table (tasks x classes x dim
+    values) is broadcast after a size check."""
     ht = head_table(heads)
-    j = features.join(F.broadcast(ht), "task_id")
+    j = features.join(_bounded(ht, F.size(F.flatten("W"))), "task_id")
     return j.withColumn("logits", matvec(F.col("W"), F.col(x), F.col("bias"))) \
         .drop("W", "bias")
 
@@ -71,7 +81,7 @@ def hard_plus_head(features: DataFrame, hidden: DataFrame, heads: DataFrame,
     layout as ``heads`` (rows = hidden units)."""
     h1 = head_table(hidden).select("task_id", F.col("W").alias("W1"),
                                    F.col("bias").alias("b1"))
-    j = features.join(F.broadcast(h1), "task_id")
+    j = features.join(_bounded(h1, F.size(F.flatten("W1"))), "task_id")
     z = F.transform(matvec(F.col("W1"), F.col(x), F.col("b1")),
                     lambda v: F.tanh(v))
     j = j.withColumn("_hid", z).drop("W1", "b1")

@@ -65,13 +65,17 @@ def layer_select(layers: DataFrame, layer: int) -> DataFrame:
         "id", F.col("vec").alias("feature"))
 
 
+# Bound for broadcasting the (task, layer, weight) table of F6.
+MIXTURE_BROADCAST_ROWS = 100_000
+
+
 def layer_mixture(layers: DataFrame, scores: DataFrame,
                   task_of: DataFrame) -> DataFrame:
     """per task, softmax over its layer scores (layers >= 1; the
     embedding layer 0 is excluded), weighted sum of first-token states.
 
-    ``scores(task_id, layer, score)`` is tasks x layers rows (a fixed,
-    small table: broadcast); ``task_of(id, task_id)``.
+    ``scores(task_id, layer, score)`` is tasks x layers rows (broadcast
+    after a row-count check); ``task_of(id, task_id)``.
     """
     s = scores.where(F.col("layer") >= 1)
     mx = F.max("score").over(_w("task_id"))
@@ -79,7 +83,10 @@ def layer_mixture(layers: DataFrame, scores: DataFrame,
     w = e.withColumn("w", F.col("_e") / F.sum("_e").over(_w("task_id"))) \
         .select("task_id", "layer", "w")
     lt = layers.where(F.col("layer") >= 1).join(task_of, "id")
-    j = lt.join(F.broadcast(w), ["task_id", "layer"])
+    # Broadcast behind a row-count check (tasks x layers is model config,
+    # but it is checked rather than assumed); a plain join beyond it.
+    small = w.limit(MIXTURE_BROADCAST_ROWS + 1).count() <= MIXTURE_BROADCAST_ROWS
+    j = lt.join(F.broadcast(w) if small else w, ["task_id", "layer"])
     g = j.groupBy("id").agg(F.collect_list(F.transform(
         "vec", lambda x: x * F.col("w"))).alias("_v"))
     return g.select("id", _fold(F.col("_v"), lambda a, b: a + b)
