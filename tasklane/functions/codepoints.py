@@ -15,6 +15,35 @@ import pyarrow.compute as pc
 
 SPACE = 0x20
 BMP = 0x10000
+# Arrow list offsets are int32: a slice's text bytes (>= its code points)
+# stay below this so the encoded arrays of one slice cannot overflow them.
+SLICE_BYTES = 1 << 29
+
+
+def slices(batch: pa.RecordBatch, cols: list[str],
+           limit: int = SLICE_BYTES):
+    """Cut ``batch`` into row slices whose text columns hold at most
+    ``limit`` bytes (a single longer row is its own slice)."""
+    n = batch.num_rows
+    if n == 0:
+        yield batch
+        return
+    size = np.zeros(n, np.int64)
+    for c in cols:
+        a = batch.column(c)
+        size += pc.binary_length(a).fill_null(0).to_numpy(
+            zero_copy_only=False).astype(np.int64)
+    if size.sum() <= limit:
+        yield batch
+        return
+    cum = np.cumsum(size)
+    start = 0
+    while start < n:
+        base = cum[start - 1] if start else 0
+        end = int(np.searchsorted(cum, base + limit, side="right"))
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

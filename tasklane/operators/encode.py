@@ -87,18 +87,22 @@ def _encode_arrow(df: DataFrame, vocab: DataFrame, text: str,
     names = [f.name for f in keep]
 
     def run(batches):
-        for b in batches:
-            segs = []
-            for c in cols:
-                cps, offs = CP.code_points(b.column(c))
-                segs.append((lookup(cps), offs))
-            ids, types, length = CP.frame(segs, CLS_ID, SEP_ID)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in names] + [ids, types, length],
-                schema=pa.schema([b.schema.field(n) for n in names] + [
-                    pa.field("input_ids", pa.list_(pa.int32())),
-                    pa.field("token_type_ids", pa.list_(pa.int32())),
-                    pa.field("length", pa.int32())]))
+        for whole in batches:
+            for b in CP.slices(whole, cols):
+                yield _encode_batch(b)
+
+    def _encode_batch(b):
+        segs = []
+        for c in cols:
+            cps, offs = CP.code_points(b.column(c))
+            segs.append((lookup(cps), offs))
+        ids, types, length = CP.frame(segs, CLS_ID, SEP_ID)
+        return pa.RecordBatch.from_arrays(
+            [b.column(n) for n in names] + [ids, types, length],
+            schema=pa.schema([b.schema.field(n) for n in names] + [
+                pa.field("input_ids", pa.list_(pa.int32())),
+                pa.field("token_type_ids", pa.list_(pa.int32())),
+                pa.field("length", pa.int32())]))
 
     return df.mapInArrow(run, out_schema)
 

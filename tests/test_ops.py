@@ -389,3 +389,17 @@ def test_spread_keeps_rows_and_only_fans_out_small_inputs(spark):
     assert "GreaterThan(doc_id,5)" in plan and "text" not in plan
     wide = spark.range(0, 100, numPartitions=target * 2)
     assert spread(wide) is wide
+
+
+def test_codepoint_slices_bound_text_bytes():
+    import pyarrow as pa
+    from tasklane.functions import codepoints as CP
+    b = pa.RecordBatch.from_pydict({"s": ["ab", "中文字", None, "x" * 10, "y"],
+                                    "k": [1, 2, 3, 4, 5]})
+    parts = list(CP.slices(b, ["s"], limit=6))
+    assert sum(p.num_rows for p in parts) == 5
+    assert [k for p in parts for k in p.column("k").to_pylist()] == [1, 2, 3, 4, 5]
+    for p in parts:
+        nbytes = sum(len(x.encode()) for x in p.column("s").to_pylist() if x)
+        assert p.num_rows == 1 or nbytes <= 6
+    assert list(CP.slices(b, ["s"], limit=1000)) == [b]
