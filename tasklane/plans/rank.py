@@ -31,8 +31,10 @@ def position_bucket(pos, width: int = DEFAULT_BUCKET_WIDTH) -> Column:
     return F.floor(_as_col(pos) / F.lit(width)).cast("long")
 
 
-def hex_bucket(hex_col, digits: int = 3) -> Column:
-    """Bucket for an ordering by a hex digest: its first ``digits`` digits."""
+def hex_bucket(hex_col, digits: int = 4) -> Column:
+    """Bucket for an ordering by a hex digest: its first ``digits`` digits.
+    Four digits give 65,536 buckets: about 1.5 M rows per window partition
+    at 10^11 rows, and a count table of at most 65,536 rows per group."""
     return F.substring(_as_col(hex_col), 1, digits)
 
 
