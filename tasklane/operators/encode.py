@@ -9,6 +9,8 @@ Arrow batches by default, or as a map-literal expression. A larger vocabulary is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +44,8 @@ def _ids(tokens: Column, m: Column) -> Column:
 
 
 def encode(df: DataFrame, vocab: DataFrame, text: str,
-           text_pair: str | None = None, method: str = "arrow") -> DataFrame:
+           text_pair: str | None = None, method: str = "arrow",
+           keep: Sequence[str] | None = None) -> DataFrame:
     """``input_ids`` = [CLS] a [SEP] (b [SEP]), ``token_type_ids``
     0 for the first segment, 1 for the second, and ``length``. NULL text
     encodes as empty.
@@ -52,9 +55,15 @@ def encode(df: DataFrame, vocab: DataFrame, text: str,
     (the vocabulary, at most ``MAP_LIMIT`` entries, travels in the task
     closure). ``method="expr"``: the same as column expressions with a map
     literal (Spark searches map literals linearly per character).
+    ``keep``: input columns carried to the output (default all); naming
+    only the needed ones keeps e.g. the raw text out of the Python round
+    trip.
     """
+    if keep is not None:
+        need = list(dict.fromkeys([*keep, text] + ([text_pair] if text_pair else [])))
+        df = df.select(*need)
     if method == "arrow":
-        return _encode_arrow(df, vocab, text, text_pair)
+        return _encode_arrow(df, vocab, text, text_pair, keep)
     m = vocab_map(vocab)
     empty = F.array().cast("array<string>")
     a = _ids(F.coalesce(char_array(text), empty), m)
@@ -67,9 +76,12 @@ def encode(df: DataFrame, vocab: DataFrame, text: str,
         ids = F.concat(cls, a, sep, b, sep)
         types = F.concat(F.array_repeat(F.lit(0), F.size(a) + 2),
                          F.array_repeat(F.lit(1), F.size(b) + 1))
-    return (df.withColumn("input_ids", ids)
-            .withColumn("token_type_ids", types)
-            .withColumn("length", F.size("input_ids")))
+    out = (df.withColumn("input_ids", ids)
+           .withColumn("token_type_ids", types)
+           .withColumn("length", F.size("input_ids")))
+    if keep is not None:
+        out = out.select(*keep, "input_ids", "token_type_ids", "length")
+    return out
 
 
 _ENC_FIELDS = [("input_ids", ArrayType(IntegerType())),
@@ -78,11 +90,13 @@ _ENC_FIELDS = [("input_ids", ArrayType(IntegerType())),
 
 
 def _encode_arrow(df: DataFrame, vocab: DataFrame, text: str,
-                  text_pair: str | None) -> DataFrame:
+                  text_pair: str | None,
+                  carry: Sequence[str] | None = None) -> DataFrame:
     lookup = CP.Lookup({r[0]: r[1] for r in _vocab_rows(vocab, MAP_LIMIT)},
                        UNK_ID)
     cols = [text] + ([text_pair] if text_pair else [])
-    keep = [f for f in df.schema.fields if f.name not in dict(_ENC_FIELDS)]
+    keep = [f for f in df.schema.fields if f.name not in dict(_ENC_FIELDS)
+            and (carry is None or f.name in carry)]
     out_schema = StructType(keep + [StructField(n, t) for n, t in _ENC_FIELDS])
     names = [f.name for f in keep]
 

@@ -390,8 +390,7 @@ FROM documents d LEFT JOIN ea ON d.doc_id = ea.k""")
 def q_e2(spark, sf):
     d = read_table(spark, sf, "documents", spread=True)
     v = V.build_vocab(d, "text", 200)
-    return E.encode(d.select("doc_id", "text"), v, "text").select(
-        "doc_id", "input_ids", "token_type_ids", "length")
+    return E.encode(d.select("doc_id", "text"), v, "text", keep=["doc_id"])
 
 
 _PAIRS = """
@@ -427,7 +426,8 @@ def _pair_encoded(spark, sf):
     # input twice (counts and rows), so the encoder runs once, after it.
     o = K.shuffle_order(p, "pos", epoch=0)
     b = K.assign_batches(o, "order", batch_size=32, accumulation=8)
-    return E.encode(b, v, "sentence1", "sentence2")
+    return E.encode(b, v, "sentence1", "sentence2",
+                    keep=["pos", "order", "batch_id", "step"])
 
 
 @register("e3_e4_pair_collate", _PAIR_ENC + """
