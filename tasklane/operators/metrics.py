@@ -151,7 +151,10 @@ def best_checkpoint(log: DataFrame, run: str = "run_id", step: str = "step",
                     score: str = "score") -> DataFrame:
     """The step with the highest score per run; the earliest such step
     wins (a later equal score does not replace it)."""
-    key = F.struct(F.col(score), -F.col(step))
-    return log.groupBy(run).agg(
-        F.max_by(F.col(step), key).alias("best_step"),
-        F.max(score).alias("best_score"))
+    # Hash aggregates only: the best score per run (one row per run, joined
+    # back by run), then the earliest step reaching it. Null-safe, so a run
+    # whose scores are all NULL keeps its earliest step.
+    best = log.groupBy(run).agg(F.max(score).alias("best_score"))
+    hit = log.join(best, run).where(F.col(score).eqNullSafe(F.col("best_score")))
+    return hit.groupBy(run).agg(F.min(step).alias("best_step"),
+                                F.first("best_score").alias("best_score"))

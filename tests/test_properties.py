@@ -87,3 +87,12 @@ def test_text_operators_match_python_on_random_strings(spark):
         assert got[i].lat == re.sub(r"[A-Za-z]+", "", s)
         assert got[i].runs2 == got[i].runs      # idempotent
         assert got[i].emo2 == got[i].emo        # cap mode is idempotent
+
+
+def test_best_checkpoint_first_best_wins_and_nulls(spark):
+    log = spark.createDataFrame(
+        [("a", 1, 0.5), ("a", 3, 0.9), ("a", 2, 0.9), ("a", 4, 0.1),
+         ("b", 6, None), ("b", 5, None), ("c", 1, None), ("c", 2, 0.3)],
+        "run_id string, step long, score double")
+    got = {r.run_id: (r.best_step, r.best_score) for r in M.best_checkpoint(log).collect()}
+    assert got == {"a": (2, 0.9), "b": (5, None), "c": (2, 0.3)}
