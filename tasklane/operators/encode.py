@@ -45,7 +45,8 @@ def _ids(tokens: Column, m: Column) -> Column:
 
 def encode(df: DataFrame, vocab: DataFrame, text: str,
            text_pair: str | None = None, method: str = "arrow",
-           keep: Sequence[str] | None = None) -> DataFrame:
+           keep: Sequence[str] | None = None,
+           id_col: str | None = None) -> DataFrame:
     """``input_ids`` = [CLS] a [SEP] (b [SEP]), ``token_type_ids``
     0 for the first segment, 1 for the second, and ``length``. NULL text
     encodes as empty.
@@ -57,14 +58,25 @@ def encode(df: DataFrame, vocab: DataFrame, text: str,
     literal (Spark searches map literals linearly per character).
     ``keep``: input columns carried to the output (default all); naming
     only the needed ones keeps e.g. the raw text out of the Python round
-    trip.
+    trip. A vocabulary over ``MAP_LIMIT`` entries is not collected: with
+    ``id_col`` (a row key) the join path ``encode_joined`` is used,
+    otherwise ``ValueError``.
     """
     if keep is not None:
-        need = list(dict.fromkeys([*keep, text] + ([text_pair] if text_pair else [])))
+        need = list(dict.fromkeys([*keep, text] + ([text_pair] if text_pair else [])
+                                  + ([id_col] if id_col else [])))
         df = df.select(*need)
+    rows = vocab.select("token", "id").limit(MAP_LIMIT + 1).collect()
+    if len(rows) > MAP_LIMIT:
+        if id_col is None:
+            raise ValueError(f"vocabulary has more than {MAP_LIMIT} entries; "
+                             "pass id_col to encode through a join")
+        out = encode_joined(df, vocab, id_col, text, text_pair)
+        return out if keep is None else out.select(
+            *keep, "input_ids", "token_type_ids", "length")
     if method == "arrow":
-        return _encode_arrow(df, vocab, text, text_pair, keep)
-    m = vocab_map(vocab)
+        return _encode_arrow(df, rows, text, text_pair, keep)
+    m = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
     empty = F.array().cast("array<string>")
     a = _ids(F.coalesce(char_array(text), empty), m)
     cls, sep = F.array(F.lit(CLS_ID)), F.array(F.lit(SEP_ID))
@@ -89,11 +101,10 @@ _ENC_FIELDS = [("input_ids", ArrayType(IntegerType())),
                ("length", IntegerType())]
 
 
-def _encode_arrow(df: DataFrame, vocab: DataFrame, text: str,
+def _encode_arrow(df: DataFrame, rows: list, text: str,
                   text_pair: str | None,
                   carry: Sequence[str] | None = None) -> DataFrame:
-    lookup = CP.Lookup({r[0]: r[1] for r in _vocab_rows(vocab, MAP_LIMIT)},
-                       UNK_ID)
+    lookup = CP.Lookup({r[0]: r[1] for r in rows}, UNK_ID)
     cols = [text] + ([text_pair] if text_pair else [])
     keep = [f for f in df.schema.fields if f.name not in dict(_ENC_FIELDS)
             and (carry is None or f.name in carry)]
@@ -121,23 +132,41 @@ def _encode_arrow(df: DataFrame, vocab: DataFrame, text: str,
     return df.mapInArrow(run, out_schema)
 
 
-def encode_joined(df: DataFrame, vocab: DataFrame, id_col: str,
-                  text: str) -> DataFrame:
-    """E2 for a vocabulary too large for a map literal (single text)."""
+def _joined_ids(df: DataFrame, vocab: DataFrame, id_col: str, text: str,
+                out: str) -> DataFrame:
+    """(id_col, out): the text's character ids in order, through a join with
+    the vocabulary (build side sized by AQE; hot characters split by AQE
+    skew handling); each sequence is re-assembled within its own group."""
     ex = df.select(id_col, F.posexplode(char_array(text)).alias("_e_p", "token"))
     j = ex.join(vocab.select("token", F.col("id").alias("_e_id")), "token",
                 "left")
     seq = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
         "_e_p", F.coalesce("_e_id", F.lit(UNK_ID)).alias("_e_v")))).alias("_e"))
-    a = F.coalesce(F.col("_e._e_v"), F.array().cast("array<int>"))
-    enc = seq.select(id_col, F.concat(F.array(F.lit(CLS_ID)), a,
-                                      F.array(F.lit(SEP_ID))).alias("input_ids"))
-    out = df.join(enc, id_col, "left").withColumn(
-        "input_ids", F.coalesce("input_ids", F.array(F.lit(CLS_ID),
-                                                     F.lit(SEP_ID))))
-    return (out.withColumn("token_type_ids",
-                           F.array_repeat(F.lit(0), F.size("input_ids")))
-            .withColumn("length", F.size("input_ids")))
+    return seq.select(id_col, F.col("_e._e_v").alias(out))
+
+
+def encode_joined(df: DataFrame, vocab: DataFrame, id_col: str,
+                  text: str, text_pair: str | None = None) -> DataFrame:
+    """E2 for a vocabulary too large to travel with the tasks: same output as
+    ``encode``; ``id_col`` must identify rows."""
+    empty = F.array().cast("array<int>")
+    out = df.join(_joined_ids(df, vocab, id_col, text, "_e_a"), id_col, "left")
+    a = F.coalesce(F.col("_e_a"), empty)
+    cls, sep = F.array(F.lit(CLS_ID)), F.array(F.lit(SEP_ID))
+    if text_pair is None:
+        ids = F.concat(cls, a, sep)
+        types = F.array_repeat(F.lit(0), F.size(a) + 2)
+    else:
+        out = out.join(_joined_ids(df, vocab, id_col, text_pair, "_e_b"),
+                       id_col, "left")
+        b = F.coalesce(F.col("_e_b"), empty)
+        ids = F.concat(cls, a, sep, b, sep)
+        types = F.concat(F.array_repeat(F.lit(0), F.size(a) + 2),
+                         F.array_repeat(F.lit(1), F.size(b) + 1))
+    return (out.withColumn("input_ids", ids)
+            .withColumn("token_type_ids", types)
+            .withColumn("length", F.size("input_ids"))
+            .drop("_e_a", "_e_b"))
 
 
 def pad(df: DataFrame, max_len, pad_id: int = PAD_ID) -> DataFrame:

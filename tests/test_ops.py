@@ -403,3 +403,35 @@ def test_codepoint_slices_bound_text_bytes():
         nbytes = sum(len(x.encode()) for x in p.column("s").to_pylist() if x)
         assert p.num_rows == 1 or nbytes <= 6
     assert list(CP.slices(b, ["s"], limit=1000)) == [b]
+
+
+def test_encode_joined_matches_map_encoder(spark):
+    from tasklane.operators import vocab as V
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(10 ** 6, ""), (10 ** 6 + 1, None), (10 ** 6 + 2, " 😀 a")],
+                                  "doc_id long, text string")
+    d = docs.unionByName(extra)
+    vocab = V.build_vocab(docs, "text", 50)
+    a = {r.doc_id: (r.input_ids, r.token_type_ids, r.length)
+         for r in E.encode(d, vocab, "text", keep=["doc_id"]).collect()}
+    b = {r.doc_id: (r.input_ids, r.token_type_ids, r.length)
+         for r in E.encode_joined(d, vocab, "doc_id", "text").collect()}
+    assert a == b
+    assert a[10 ** 6] == ([2, 3], [0, 0], 2)
+    pairs = d.select("doc_id", "text", F.reverse("text").alias("t2"))
+    pa_ = {r.doc_id: tuple(r[1:]) for r in E.encode(pairs, vocab, "text", "t2", keep=["doc_id"])
+           .select("doc_id", "input_ids", "token_type_ids", "length").collect()}
+    pb = {r.doc_id: tuple(r[1:]) for r in E.encode_joined(pairs, vocab, "doc_id", "text", "t2")
+          .select("doc_id", "input_ids", "token_type_ids", "length").collect()}
+    assert pa_ == pb
+    # a vocabulary over the limit goes through the join path when a row key is given
+    old = E.MAP_LIMIT
+    try:
+        E.MAP_LIMIT = 10
+        via = {r.doc_id: (r.input_ids, r.token_type_ids, r.length) for r in
+               E.encode(d, vocab, "text", keep=["doc_id"], id_col="doc_id").collect()}
+        assert via == a
+        with pytest.raises(ValueError):
+            E.encode(d, vocab, "text")
+    finally:
+        E.MAP_LIMIT = old
