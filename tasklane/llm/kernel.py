@@ -54,14 +54,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray
+def word_spans(buf: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE
                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the n+1 offsets of each row's
-    words in those arrays."""
+    words in those arrays. ``between``: the 256-entry table of separators."""
     if not buf.size:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(off), np.int64)
-    inside = ~SPACE[buf]
+    inside = ~between[buf]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

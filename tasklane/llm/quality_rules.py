@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tasklane.llm import kernel as K
 from tasklane.llm.common import arrow_map, table
 
-SAMPLE_PER_CLASS = 2000
+SAMPLE_PER_CLASS = 1000
 WORD_DIM = 1 << 14
 CHAR_DIM = 1 << 14
 CHAR_N = 4

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tasklane.llm import licenses
+from tasklane.llm.licenses import op6_license_scan
+from tasklane.llm.mixing import op7_mixing_sources
 from tasklane.llm.quality_rules import op10_quality_rules
+from tasklane.llm.secret_scan import op8_secret_scan
 from tasklane.llm.simhash import op9_simhash_near_dedup
+from tasklane.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_simhash_near_dedup, op10_quality_rules)}
+    f.__name__: f for f in (
+        op4_token_counts, op6_license_scan, op7_mixing_sources,
+        op8_secret_scan, op9_simhash_near_dedup, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_license_scan": licenses.oracle_sql()}
