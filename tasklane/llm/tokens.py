@@ -87,8 +87,8 @@ class ChunkEncoder:
         if not len(buf):
             return np.zeros(len(off) - 1, np.int64)
         starts, ends, ptr = chunk_spans(buf, off)
-        return K.sums(self.size[self._slots(buf, starts, ends)],
-                      ptr[:-1], ptr[1:])
+        slot = self._slots(buf, starts, ends)     # may replace the arrays
+        return K.sums(self.size[slot], ptr[:-1], ptr[1:])
 
     def encode(self, buf: np.ndarray, off: np.ndarray
                ) -> tuple[np.ndarray, np.ndarray]:
