@@ -273,6 +273,15 @@ def quality_rules(documents: DataFrame, model: Model | None,
         model, keep, min_words, max_repeat_percent, threshold), schema)
 
 
+def quality_filter(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``documents`` that are kept, with all their columns."""
+    names = documents.columns
+    plain = documents.toDF(*[c if c == "text" else f"_c{i}"
+                             for i, c in enumerate(names)])
+    judged = quality_rules(plain, model, plain.columns)
+    return judged.where("kept").select(*plain.columns).toDF(*names)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     documents = table(spark, sf_dir, "documents")

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -251,6 +252,17 @@ def links(distinct: DataFrame, radius: int = RADIUS,
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
+def fingerprint_components(prints: DataFrame, radius: int = RADIUS,
+                           parts: int | None = None, tile: int = TILE
+                           ) -> DataFrame:
+    """``(fp, root)``: each distinct fingerprint and the least fingerprint
+    (as a signed number) that links reach from it."""
+    nodes = cut_lineage(prints.select("fp").distinct())
+    root = components(links(nodes, radius, parts, tile))
+    return cut_lineage(nodes.join(root, nodes.fp == root.node, "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_components(prints: DataFrame, radius: int = RADIUS,
                        parts: int | None = None, tile: int = TILE
                        ) -> DataFrame:
@@ -261,15 +273,40 @@ def simhash_components(prints: DataFrame, radius: int = RADIUS,
     with a null id keep a row; their component's id is the smallest that is
     not null, or null if there is none. An empty table gives no rows."""
     prints = cut_lineage(prints.select("doc_id", "fp"))
-    nodes = cut_lineage(prints.groupBy("fp").agg(
-        F.min("doc_id").alias("least")))
-    root = components(links(nodes.select("fp"), radius, parts, tile))
-    rooted = nodes.join(root, nodes.fp == root.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    of = fingerprint_components(prints, radius, parts, tile)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = of.join(least, "fp")
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut_lineage(rooted.select("fp", "root").join(best, "root")
-                     .select("fp", "component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    named = cut_lineage(rooted.join(best, "root").select("fp",
+                                                         "component_id"))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_dedup(documents: DataFrame, shingle: int = SHINGLE,
+               radius: int = RADIUS) -> DataFrame:
+    """One row of each group of linked texts, with all columns: the one with
+    the smallest id (null last; ties by the text's hash), once if it is
+    repeated. See ``simhash_near_dedup`` for what links."""
+    prepare(documents.sparkSession)
+    names = documents.columns
+    own = documents.toDF(*[c if c in ("doc_id", "text") else f"_c{i}"
+                           for i, c in enumerate(names)])
+    key = [F.coalesce("doc_id", F.lit(-1 << 63).cast("long")).alias("_id"),
+           F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_hash")]
+    plain = own.columns
+    own = own.select("*", *key)
+    prints = cut_lineage(fingerprints(own, ["doc_id", "_id", "_hash"],
+                                      shingle))
+    of = fingerprint_components(prints, radius)
+    best = prints.join(of, "fp").groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("null"), "_id", "_hash"
+    )).alias("k")).select("k._id", "k._hash")
+    # Rows of a key are together after the join; the window needs no other
+    # exchange.
+    place = F.row_number().over(W.partitionBy("_id", "_hash").orderBy(
+        F.lit(0)))
+    return (own.join(best, ["_id", "_hash"]).withColumn("_n", place)
+            .where("_n = 1").select(*plain).toDF(*names))
 
 
 def simhash_near_dedup(documents: DataFrame, shingle: int = SHINGLE,
