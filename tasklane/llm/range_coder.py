@@ -204,7 +204,8 @@ def _below(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
 def _encode_lanes(ids: np.ndarray, size: np.ndarray, width: int
                   ) -> list[np.ndarray]:
     """``ids`` is steps x lanes; lane i has ``size[i]`` ids, longest first.
-    Where a prediction is right, its bytes are coded as certain."""
+    Where a prediction is right, its bytes leave the interval as it is, so
+    that a block's code doesn't depend on the blocks beside it."""
     model, out = _Model(len(size), width), _Encoder(len(size))
     active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
     for t, k in enumerate(active.tolist()):
@@ -219,10 +220,10 @@ def _encode_lanes(ids: np.ndarray, size: np.ndarray, width: int
                 byte = (x >> (8 * (width - 1 - b))) & 255
                 at = model.row(b, k, above) * 257
                 run = model.run[b].reshape(-1)
-                total = run.take(at + 256)
                 start = run.take(at + byte)
                 out.put(k, start * none, np.where(
-                    none, run.take(at + byte + 1) - start, total), total)
+                    none, run.take(at + byte + 1) - start, 1), np.where(
+                        none, run.take(at + 256), 1))
                 above = byte
         model.learn(k, symbol, x)
     return out.finish()
@@ -248,8 +249,8 @@ def _decode_lanes(words: list[np.ndarray], size: np.ndarray, width: int
                 known = (x >> (8 * (width - 1 - b))) & 255
                 row = model.row(b, k, above)
                 run = model.run[b].reshape(-1)
-                total = run.take(row * 257 + 256)
-                value, part = code.look(k, total)
+                value, part = code.look(k, np.where(
+                    none, run.take(row * 257 + 256), 1))
                 small = value.astype(np.int32)
                 tens = np.minimum(_below(model.coarse[b].take(row, axis=0),
                                          small), 15)
@@ -259,7 +260,7 @@ def _decode_lanes(words: list[np.ndarray], size: np.ndarray, width: int
                 byte = np.where(none, byte, known)
                 start = run.take(row * 257 + byte)
                 code.narrow(k, part, start * none, np.where(
-                    none, run.take(row * 257 + byte + 1) - start, total))
+                    none, run.take(row * 257 + byte + 1) - start, 1))
                 y = (y << 8) | byte
                 above = byte
             x = y
