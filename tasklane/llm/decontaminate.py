@@ -160,8 +160,8 @@ def prepare_items(rows: list[tuple], documents: DataFrame, n: int = SEED_N,
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman, linear gaps: the best local score and the end of its
-    first occurrence in ``text``. Rows run over the item; a running maximum
+    """Smith-Waterman, linear gaps: the best local score and where in ``text``
+    one alignment with it ends (the shortest part of the item). Rows run over the item; a running maximum
     carries gaps along a row."""
     slide = np.arange(len(text) + 1, dtype=np.int64) * -GAP
     above = np.zeros(len(text) + 1, np.int64)

@@ -34,6 +34,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 TILE = 4096
+_TILES = 1 << 30   # tile numbers of a cell
 BLOCK = 1 << 18    # pairs compared by one numpy call
 # Parts of the word that are counted apart, by the number of distinct
 # fingerprints: more parts skip more tile pairs but make smaller tiles. The
@@ -109,35 +110,33 @@ def fingerprints(documents: DataFrame, keep: list[str] | None = None,
                                                           T.LongType())]))
 
 
-def _cell(fp: Column, parts: int) -> Column:
-    """Bit counts of the parts, as one number in base 64."""
+def _base(parts: int, radius: int) -> int:
+    """Of the numbers that stand for part counts: large enough that a count
+    changed by ``radius`` never looks like another cell's."""
+    return 1 << (64 // parts + radius).bit_length()
+
+
+def _cell(fp: Column, parts: int, radius: int) -> Column:
+    """Bit counts of the parts, as the digits of one number."""
     width = 64 // parts
-    mask = F.lit((1 << width) - 1).cast("long")
-    out = F.lit(0)
+    out = F.lit(0).cast("long")
     for k in range(parts):
         part = F.shiftrightunsigned(fp, k * width)
         if width < 64:
-            part = part.bitwiseAND(mask)
-        out = out * 64 + F.bit_count(part)
-    return out.cast("long")
+            part = part.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        out = out * _base(parts, radius) + F.bit_count(part)
+    return out
 
 
 def _steps(parts: int, radius: int) -> list[int]:
     """Differences between the cells of two fingerprints within ``radius``;
     of each and its opposite, the one that isn't negative."""
-    vectors = [((), 0)]
+    codes = [(0, 0)]
     for _ in range(parts):
-        vectors = [((*v, d), s + abs(d)) for v, s in vectors
-                   for d in range(-radius, radius + 1)
-                   if s + abs(d) <= radius]
-    codes = set()
-    for v, _ in vectors:
-        code = 0
-        for d in v:
-            code = code * 64 + d
-        if code >= 0:
-            codes.add(code)
-    return sorted(codes)
+        codes = [(code * _base(parts, radius) + d, s + abs(d))
+                 for code, s in codes for d in range(-radius, radius + 1)
+                 if s + abs(d) <= radius]
+    return sorted({code for code, _ in codes if code >= 0})
 
 
 def _link_pair(a: np.ndarray, b: np.ndarray, same: bool, radius: int
@@ -212,14 +211,15 @@ def links(distinct: DataFrame, radius: int = RADIUS,
     ``fp`` at ``radius`` or fewer differing bits: all groups, as spanning
     forests of tile pairs."""
     parts = parts or parts_for(distinct.count())
-    cells = distinct.select("fp", _cell(F.col("fp"), parts).alias("cell"))
+    cells = distinct.select("fp", _cell(
+        F.col("fp"), parts, radius).alias("cell"))
     # Tiles of a cell: as many as its size asks for, dealt by a hash. No
     # window over a cell, however many fingerprints it has.
     counts = cells.groupBy("cell").agg(F.count("*").alias("n"))
     counts = cut_lineage(counts.select("cell", F.ceil(
         F.col("n") / (tile // 2)).cast("long").alias("tiles")))
     dealt = cells.join(counts, "cell").select(
-        (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.col("tiles"))
+        (F.col("cell") * _TILES + F.pmod(F.xxhash64("fp"), F.col("tiles"))
          ).alias("tile"), "fp")
     packed = arrow_map(
         dealt.repartition("tile").sortWithinPartitions("tile", "fp"),
@@ -239,8 +239,8 @@ def links(distinct: DataFrame, radius: int = RADIUS,
         .select("c1", "c2", "i", F.explode(F.sequence(
             F.lit(0).cast("long"), F.col("t2") - 1)).alias("j"))
         .where("c1 != c2 or i <= j")
-        .select((F.col("c1") * (1 << 32) + F.col("i")).alias("p"),
-                (F.col("c2") * (1 << 32) + F.col("j")).alias("q")))
+        .select((F.col("c1") * _TILES + F.col("i")).alias("p"),
+                (F.col("c2") * _TILES + F.col("j")).alias("q")))
     work = (pairs
             .join(packed.select(F.col("tile").alias("p"),
                                 F.col("fps").alias("left")), "p")
