@@ -59,7 +59,8 @@ def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     boffs = np.frombuffer(arr.buffers()[1], np.int64 if large else np.int32)[
         arr.offset:arr.offset + n + 1]
     data = arr.buffers()[2]
-    raw = b"" if data is None else data.to_pybytes()[boffs[0]:boffs[-1]]
+    first, last = int(boffs[0]), int(boffs[-1])
+    raw = b"" if data is None else data.slice(first, last - first).to_pybytes()
     cps = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
     lens = pc.utf8_length(arr).to_numpy(zero_copy_only=False).astype(np.int64)
     keep = cps != SPACE
@@ -83,17 +84,23 @@ class CountAccumulator:
         self.bmp += np.bincount(cps[low], minlength=BMP)
         if not low.all():
             self.rest.append(np.unique(cps[~low], return_counts=True))
+            if len(self.rest) > 64:
+                self.rest = [self._merged()]
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(np.concatenate([r[0] for r in self.rest]),
+                               return_inverse=True)
+        out = np.zeros(len(keys), np.int64)
+        np.add.at(out, back, np.concatenate([r[1] for r in self.rest]))
+        return keys, out
 
     def batch(self) -> pa.RecordBatch:
         keys = np.nonzero(self.bmp)[0]
         vals = self.bmp[keys]
         if self.rest:
-            u = np.concatenate([r[0] for r in self.rest])
-            c = np.concatenate([r[1] for r in self.rest])
-            uu, inv = np.unique(u, return_inverse=True)
-            keys = np.concatenate([keys, uu])
-            vals = np.concatenate([vals, np.bincount(inv, weights=c)
-                                   .astype(np.int64)])
+            more, counts = self._merged()
+            keys = np.concatenate([keys, more])
+            vals = np.concatenate([vals, counts])
         chars = "".join(map(chr, keys.tolist()))
         return pa.RecordBatch.from_arrays(
             [pa.array(list(chars), pa.string()), pa.array(vals, pa.int64())],

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,23 +92,16 @@ def char_array(col) -> Column:
 
 
 def replace_chars(col, lexicon: Mapping[str, str]) -> Column:
-    """T8 (small lexicon): each character found in ``lexicon`` becomes its
-    description; one pass, map literal, no shuffle."""
-    if not lexicon:
-        return _c(col)
-    keys = list(lexicon)
-    if all(len(k) == 1 for k in keys) and not any(
-            k in v for k in keys for v in lexicon.values()):
-        # No description contains a lexicon character, so chained
-        # ``replace`` (codegen, no array) equals the one-pass mapping.
-        return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]),
-                                                F.lit(kv[1])),
-                      lexicon.items(), _c(col))
-    m = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
-    chars = F.split(_c(col), "")
-    return F.array_join(
-        F.transform(chars, lambda ch: F.coalesce(F.try_element_at(m, ch), ch)),
-        "")
+    """Each character found in ``lexicon`` becomes its description, in
+    one pass over Arrow batches. The plan is the same for any lexicon; keys
+    of more than one character match nothing; descriptions aren't searched
+    again."""
+    table = {ord(k): v for k, v in lexicon.items() if len(k) == 1}
+
+    @F.pandas_udf("string")
+    def named(texts: pd.Series) -> pd.Series:
+        return texts.str.translate(table)
+    return named(_c(col)) if table else _c(col)
 
 
 def apply_rules(col, rules: Iterable[tuple[str, str]]) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklane.plans.rank import position_bucket, two_level_rank
+from tasklane.plans.rank import position_buckets, two_level_rank
 
 
 def _c(col) -> Column:
@@ -32,7 +32,7 @@ def ordered_union(frames: Sequence[DataFrame], pos: str = "pos",
     for f in tagged[1:]:
         out = out.unionByName(f, allowMissingColumns=allow_missing)
     return two_level_rank(out, order=[src, pos],
-                          buckets=[F.col(src), position_bucket(pos)],
+                          buckets=[F.col(src), *position_buckets(pos)],
                           out=id_col)
 
 
@@ -43,22 +43,29 @@ def keep_first(df: DataFrame, key, pos: str = "pos",
                           "_kf_prio", pos, payload).drop("_kf_prio")
 
 
-# Packing (prio, pos) into one long keeps the aggregation buffer fixed-width,
-# so Spark plans a hash aggregate (a struct minimum forces a sort aggregate
-# that sorts every text twice). pos must lie in [0, 2^40), prio in [0, 2^23).
-POS_BITS = 40
-_POS_MAX = 1 << POS_BITS
-_PRIO_MAX = 1 << (63 - POS_BITS)
+# (prio, pos) as one decimal keeps the aggregation buffer fixed-width, so
+# Spark plans a hash aggregate (a struct minimum forces a sort aggregate that
+# sorts every text twice). The step between two priorities exceeds the range
+# of a 64-bit position, so any position and any 32-bit priority fit.
+_STEP = 20_000_000_000_000_000_000
+_SHIFT = 1 << 63
+
+
+def _wide(c, value: int | None = None) -> Column:
+    return (F.lit(str(value)) if c is None else F.col(c)).cast("decimal(38,0)")
 
 
 def _packed(prio: str, pos: str) -> Column:
-    ok = (F.col(prio).between(0, _PRIO_MAX - 1)
-          & F.col(pos).between(0, _POS_MAX - 1))
-    packed = F.shiftleft(F.col(prio).cast("long"), POS_BITS) + F.col(pos)
-    return F.when(ok, packed).otherwise(F.raise_error(F.concat(
-        F.lit("priority_dedup: prio/pos out of packable range: "),
-        F.col(prio).cast("string"), F.lit("/"),
-        F.col(pos).cast("string")))).cast("long")
+    return (F.col(prio).cast("decimal(11,0)")
+            * F.lit(str(_STEP)).cast("decimal(20,0)")
+            + _wide(pos) + _wide(None, _SHIFT)).cast("decimal(38,0)")
+
+
+def _unpacked(packed: str) -> tuple[Column, Column]:
+    step = F.lit(str(_STEP)).cast("decimal(20,0)")
+    within = F.pmod(F.col(packed), step)
+    return ((F.col(packed) - within) / step,
+            within - F.lit(str(_SHIFT)).cast("decimal(20,0)"))
 
 
 def priority_dedup(df: DataFrame, key, prio: str = "prio", pos: str = "pos",
@@ -67,21 +74,20 @@ def priority_dedup(df: DataFrame, key, prio: str = "prio", pos: str = "pos",
     """D3: first occurrence under (prio, pos) survives, one row per key.
 
     Returns ``key_name, prio, pos, *payload``. NULL keys form one group, as
-    pandas does. Without payload the winner is ``min`` of the packed
-    (prio, pos) long (hash aggregate with map-side partials); with payload
-    it is ``min(struct(prio, pos, *payload))``.
+    pandas does. Without payload the winner is ``min`` of (prio, pos) packed
+    in a decimal (hash aggregate with map-side partials); with payload it is
+    ``min(struct(prio, pos, *payload))``. Any 64-bit position is accepted by
+    both; ``prio`` is a 32-bit integer.
     """
     fields = [prio, pos, *payload]
     keyed = df.select(_c(key).alias(key_name), *fields)
     grp = keyed.groupBy(F.xxhash64(key_name).alias("_pd_h"), key_name)
     if not payload:
         best = grp.agg(F.min(_packed(prio, pos)).alias("_pd_m"))
-        ptype = dict(df.select(prio).dtypes)[prio]
-        return best.select(
-            key_name,
-            F.shiftright("_pd_m", POS_BITS).cast(ptype).alias(prio),
-            F.col("_pd_m").bitwiseAND(F.lit(_POS_MAX - 1))
-            .cast(dict(df.select(pos).dtypes)[pos]).alias(pos))
+        types = dict(df.select(prio, pos).dtypes)
+        p, n = _unpacked("_pd_m")
+        return best.select(key_name, p.cast(types[prio]).alias(prio),
+                           n.cast(types[pos]).alias(pos))
     best = grp.agg(F.min(F.struct(*[F.col(f) for f in fields])).alias("_pd_w"))
     return best.select(key_name, *[F.col(f"_pd_w.{f}").alias(f)
                                    for f in fields])
@@ -90,7 +96,7 @@ def priority_dedup(df: DataFrame, key, prio: str = "prio", pos: str = "pos",
 def dense_ids_per_source(df: DataFrame, prio: str = "prio",
                          pos: str = "pos", out: str = "id") -> DataFrame:
     """P7 after D3: ids 0..n-1 per source in position order."""
-    return two_level_rank(df, order=[pos], buckets=[position_bucket(pos)],
+    return two_level_rank(df, order=[pos], buckets=position_buckets(pos),
                           groups=[prio], out=out)
 
 
@@ -109,8 +115,9 @@ def subtract_earlier(df: DataFrame, key, prio: str = "prio") -> DataFrame:
 
 
 def overlap_audit(df: DataFrame, key, src: str = "src") -> DataFrame:
-    """Keys present in more than one source (empty when decontaminated)."""
-    k = _c(key)
-    pairs = df.select(k.alias("key"), F.col(src)).distinct()
-    return (pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_sources"))
+    """Keys present in more than one source (empty when decontaminated).
+    One shuffle: a key's set of sources is combined before it."""
+    sources = F.collect_set(F.coalesce(F.col(src).cast("string"), F.lit("")))
+    return (df.select(_c(key).alias("key"), F.col(src)).groupBy("key")
+            .agg(F.size(sources).cast("long").alias("n_sources"))
             .where(F.col("n_sources") > 1))

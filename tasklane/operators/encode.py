@@ -1,10 +1,10 @@
 """Sequence encoding and padding.
 
-Character tokens map to ids through the vocabulary. A vocabulary whose size
-is bounded by ``MAP_LIMIT`` is collected once (checked) and travels with the
-tasks, so encoding is a narrow, shuffle-free projection: vectorised over
-Arrow batches by default, or as a map-literal expression. A larger vocabulary is joined per token
-(build side sized by AQE) and each sequence is re-assembled by id.
+Only single-character tokens can match a character, so the part of any
+vocabulary that encoding needs is bounded by Unicode (1.1 M code points, two
+arrays of a few MB). It is collected once and travels with the tasks:
+encoding is a narrow, shuffle-free pass, vectorised over Arrow batches,
+whatever the vocabulary's size.
 """
 
 from __future__ import annotations
@@ -19,81 +19,38 @@ from pyspark.sql.types import (ArrayType, IntegerType, StructField,
 
 from tasklane.functions import codepoints as CP
 
-from tasklane.functions.text import char_array
 from tasklane.operators.vocab import CLS_ID, PAD_ID, SEP_ID, UNK_ID
 
-MAP_LIMIT = 20000
-
-
-def _vocab_rows(vocab: DataFrame, limit: int) -> list:
-    rows = vocab.select("token", "id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"vocabulary has more than {limit} entries")
-    return rows
-
-
-def vocab_map(vocab: DataFrame, limit: int = MAP_LIMIT) -> Column:
-    """Map literal token -> id; refuses a vocabulary over ``limit`` rows."""
-    rows = _vocab_rows(vocab, limit)
-    return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-
-
-def _ids(tokens: Column, m: Column) -> Column:
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(m, t),
-                                                    F.lit(UNK_ID)))
-
-
 def encode(df: DataFrame, vocab: DataFrame, text: str,
-           text_pair: str | None = None, method: str = "arrow",
-           keep: Sequence[str] | None = None,
-           id_col: str | None = None) -> DataFrame:
+           text_pair: str | None = None,
+           keep: Sequence[str] | None = None) -> DataFrame:
     """``input_ids`` = [CLS] a [SEP] (b [SEP]), ``token_type_ids``
     0 for the first segment, 1 for the second, and ``length``. NULL text
-    encodes as empty.
-
-    ``method="arrow"``: a narrow ``mapInArrow`` that decodes each batch to
-    code points once and looks all of them up with one ``searchsorted``
-    (the vocabulary, at most ``MAP_LIMIT`` entries, travels in the task
-    closure). ``method="expr"``: the same as column expressions with a map
-    literal (Spark searches map literals linearly per character).
-    ``keep``: input columns carried to the output (default all); naming
-    only the needed ones keeps e.g. the raw text out of the Python round
-    trip. A vocabulary over ``MAP_LIMIT`` entries is not collected: with
-    ``id_col`` (a row key) the join path ``encode_joined`` is used,
-    otherwise ``ValueError``.
+    encodes as empty; of repeated tokens the smallest id counts.
+
+    A narrow ``mapInArrow`` that decodes each batch to code points once and
+    looks all of them up with one ``searchsorted``. ``keep``: input columns
+    carried to the output (default all); naming only the needed ones keeps
+    e.g. the raw text out of the Python round trip.
     """
     if keep is not None:
-        need = list(dict.fromkeys([*keep, text] + ([text_pair] if text_pair else [])
-                                  + ([id_col] if id_col else [])))
-        df = df.select(*need)
-    rows = vocab.select("token", "id").limit(MAP_LIMIT + 1).collect()
-    if len(rows) > MAP_LIMIT:
-        if id_col is None:
-            raise ValueError(f"vocabulary has more than {MAP_LIMIT} entries; "
-                             "pass id_col to encode through a join")
-        out = encode_joined(df, vocab, id_col, text, text_pair)
-        return out if keep is None else out.select(
-            *keep, "input_ids", "token_type_ids", "length")
-    if method == "arrow":
-        return _encode_arrow(df, rows, text, text_pair, keep)
-    m = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-    empty = F.array().cast("array<string>")
-    a = _ids(F.coalesce(char_array(text), empty), m)
-    cls, sep = F.array(F.lit(CLS_ID)), F.array(F.lit(SEP_ID))
-    if text_pair is None:
-        ids = F.concat(cls, a, sep)
-        types = F.array_repeat(F.lit(0), F.size(a) + 2)
-    else:
-        b = _ids(F.coalesce(char_array(text_pair), empty), m)
-        ids = F.concat(cls, a, sep, b, sep)
-        types = F.concat(F.array_repeat(F.lit(0), F.size(a) + 2),
-                         F.array_repeat(F.lit(1), F.size(b) + 1))
-    out = (df.withColumn("input_ids", ids)
-           .withColumn("token_type_ids", types)
-           .withColumn("length", F.size("input_ids")))
-    if keep is not None:
-        out = out.select(*keep, "input_ids", "token_type_ids", "length")
-    return out
+        df = df.select(*dict.fromkeys(
+            [*keep, text] + ([text_pair] if text_pair else [])))
+    rows = (vocab.where(F.char_length("token") == 1).groupBy("token")
+            .agg(F.min("id").alias("id")).collect())
+    return _encode_arrow(df, rows, text, text_pair, keep)
+
+
+def with_length(df: DataFrame, text: str, text_pair: str | None = None
+                ) -> DataFrame:
+    """E2's ``length`` without encoding: every character is one id, known or
+    not, between [CLS] and [SEP]."""
+    def chars(c: str) -> Column:
+        return F.coalesce(F.char_length(F.replace(F.trim(F.col(c)), F.lit(" "),
+                                                  F.lit(""))), F.lit(0))
+    n = chars(text) + 2
+    return df.withColumn("length", n if text_pair is None
+                         else n + chars(text_pair) + 1)
 
 
 _ENC_FIELDS = [("input_ids", ArrayType(IntegerType())),
@@ -132,43 +89,6 @@ def _encode_arrow(df: DataFrame, rows: list, text: str,
     return df.mapInArrow(run, out_schema)
 
 
-def _joined_ids(df: DataFrame, vocab: DataFrame, id_col: str, text: str,
-                out: str) -> DataFrame:
-    """(id_col, out): the text's character ids in order, through a join with
-    the vocabulary (build side sized by AQE; hot characters split by AQE
-    skew handling); each sequence is re-assembled within its own group."""
-    ex = df.select(id_col, F.posexplode(char_array(text)).alias("_e_p", "token"))
-    j = ex.join(vocab.select("token", F.col("id").alias("_e_id")), "token",
-                "left")
-    seq = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
-        "_e_p", F.coalesce("_e_id", F.lit(UNK_ID)).alias("_e_v")))).alias("_e"))
-    return seq.select(id_col, F.col("_e._e_v").alias(out))
-
-
-def encode_joined(df: DataFrame, vocab: DataFrame, id_col: str,
-                  text: str, text_pair: str | None = None) -> DataFrame:
-    """E2 for a vocabulary too large to travel with the tasks: same output as
-    ``encode``; ``id_col`` must identify rows."""
-    empty = F.array().cast("array<int>")
-    out = df.join(_joined_ids(df, vocab, id_col, text, "_e_a"), id_col, "left")
-    a = F.coalesce(F.col("_e_a"), empty)
-    cls, sep = F.array(F.lit(CLS_ID)), F.array(F.lit(SEP_ID))
-    if text_pair is None:
-        ids = F.concat(cls, a, sep)
-        types = F.array_repeat(F.lit(0), F.size(a) + 2)
-    else:
-        out = out.join(_joined_ids(df, vocab, id_col, text_pair, "_e_b"),
-                       id_col, "left")
-        b = F.coalesce(F.col("_e_b"), empty)
-        ids = F.concat(cls, a, sep, b, sep)
-        types = F.concat(F.array_repeat(F.lit(0), F.size(a) + 2),
-                         F.array_repeat(F.lit(1), F.size(b) + 1))
-    return (out.withColumn("input_ids", ids)
-            .withColumn("token_type_ids", types)
-            .withColumn("length", F.size("input_ids"))
-            .drop("_e_a", "_e_b"))
-
-
 def pad(df: DataFrame, max_len, pad_id: int = PAD_ID) -> DataFrame:
     """Pad ids with ``pad_id``, types with 0, mask 1/0 up to ``max_len``
     (a number or a column)."""

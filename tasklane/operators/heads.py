@@ -1,11 +1,12 @@
 """Scoring heads (H1-H8): batch inference with broadcast weights.
 
 Each row is scored only by its own task's head. Linear heads are array
-expressions over a per-task weight table joined on ``task_id`` (tasks x
-classes x dim values: model-sized; broadcast after a size check, a plain
-join beyond ``HEAD_BROADCAST_LIMIT``). MLP,
-experts and gates run as numpy matrix products on Arrow batches
-(``mapInArrow``) with weights in a broadcast variable.
+expressions over a per-task weight table joined on ``task_id``: broadcast
+when its measured size allows, otherwise joined on salted keys, since a task
+is a hot key. MLP, experts and gates run as numpy matrix products on Arrow
+batches (``mapInArrow``) with weights in a broadcast variable.
+
+A row whose task has no head, or whose sizes don't fit its head, is an error.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bound for the explicit broadcast of a head table (values).
-HEAD_BROADCAST_LIMIT = 50_000_000
+# Weight tables up to this many values are broadcast (400 MB).
+BROADCAST_VALUES = 50_000_000
+SALTS = 64
 
 
 def _dot(w: Column, x: Column) -> Column:
@@ -42,50 +44,60 @@ def head_table(heads: DataFrame) -> DataFrame:
                     F.col("_h.b").alias("bias"))
 
 
-def _bounded(table: DataFrame, values: Column,
-             limit: int = HEAD_BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast ``table`` only when it holds at most ``limit`` values (one
-    small aggregate checks it); otherwise leave the join to the planner."""
-    n = table.agg(F.sum(values)).first()[0] or 0
-    return F.broadcast(table) if n <= limit else table
+def _attach(features: DataFrame, table: DataFrame, x: str,
+            on: str | None = "task_id") -> DataFrame:
+    """Each row with its weights ``W`` and ``bias``: its task's, or with
+    ``on=None`` those of the table's one row. All rows stay; ``W`` is NULL
+    where there are none."""
+    n = table.agg(F.sum(F.size(F.flatten("W")))).first()[0] or 0
+    small = n <= BROADCAST_VALUES
+    if small and on:
+        return features.join(F.broadcast(table), on, "left")
+    many = table.withColumn("_salt", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return features.withColumn("_salt", F.pmod(
+        F.xxhash64(x), F.lit(SALTS))).join(
+            F.broadcast(many) if small else many,
+            ["_salt", *([on] if on else [])], "left").drop("_salt")
+
+
+def _checked(x: str) -> Column:
+    """Logits of an attached row; an error for a missing or unfit head."""
+    task = F.coalesce(F.col("task_id").cast("string"), F.lit("NULL"))
+    fits = F.forall("W", lambda w: F.size(w) == F.size(x))
+    return F.when(F.col("W").isNull(), F.raise_error(F.concat(
+        F.lit("no head for task "), task))
+        .cast("array<double>")).when(
+            ~fits, F.raise_error(F.concat(
+                F.lit("head and feature sizes differ in task "),
+                task)).cast("array<double>")
+    ).otherwise(matvec(F.col("W"), F.col(x), F.col("bias")))
 
 
 def linear_head(features: DataFrame, heads: DataFrame,
                 x: str = "feature") -> DataFrame:
     """H1/H2: ``logits = W_task x + b_task`` (hard sharing: one linear layer
-    per task over a shared feature). The head table (tasks x classes x dim
-    values) is broadcast after a size check."""
-    ht = head_table(heads)
-    j = features.join(_bounded(ht, F.size(F.flatten("W"))), "task_id")
-    return j.withColumn("logits", matvec(F.col("W"), F.col(x), F.col("bias"))) \
-        .drop("W", "bias")
+    per task over a shared feature)."""
+    j = _attach(features, head_table(heads), x)
+    return j.withColumn("logits", _checked(x)).drop("W", "bias")
 
 
 def single_linear_head(features: DataFrame, head: DataFrame,
-                       x: str = "feature",
-                       limit: int = HEAD_BROADCAST_LIMIT) -> DataFrame:
-    """H1: one linear head for every row. The head (classes x dim values,
-    size checked against ``limit``) is collected once and embedded as a
-    literal, so scoring is a narrow projection with no join."""
-    rows = head.select("cls", "w", "b").orderBy("cls").collect()
-    if sum(len(r.w) for r in rows) > limit:
-        raise ValueError("head too large to embed; use linear_head")
-    W = F.array(*[F.array(*[F.lit(float(v)) for v in r.w]) for r in rows])
-    b = F.array(*[F.lit(float(r.b)) for r in rows])
-    return features.withColumn("logits", matvec(W, F.col(x), b))
+                       x: str = "feature") -> DataFrame:
+    """H1: one linear head for every row."""
+    one = head_table(head.select(F.lit(0).alias("task_id"), "cls", "w", "b")
+                     ).drop("task_id")
+    j = _attach(features, one, x, on=None)
+    return j.withColumn("logits", _checked(x)).drop("W", "bias")
 
 
 def hard_plus_head(features: DataFrame, hidden: DataFrame, heads: DataFrame,
                    x: str = "feature") -> DataFrame:
     """H3: linear -> tanh -> linear, per task. ``hidden`` has the same
     layout as ``heads`` (rows = hidden units)."""
-    h1 = head_table(hidden).select("task_id", F.col("W").alias("W1"),
-                                   F.col("bias").alias("b1"))
-    j = features.join(_bounded(h1, F.size(F.flatten("W1"))), "task_id")
-    z = F.transform(matvec(F.col("W1"), F.col(x), F.col("b1")),
-                    lambda v: F.tanh(v))
-    j = j.withColumn("_hid", z).drop("W1", "b1")
-    return linear_head(j, heads, "_hid").drop("_hid")
+    j = _attach(features, head_table(hidden), x)
+    j = j.withColumn("_hid", F.transform(_checked(x), lambda v: F.tanh(v)))
+    return linear_head(j.drop("W", "bias"), heads, "_hid").drop("_hid")
 
 
 # ---------------------------------------------------------------- numpy heads
@@ -110,7 +122,8 @@ def score_numpy(features: DataFrame, model: Mapping, arch: str,
 
     ``model``:
       ``towers``: {task: [(W, b), ...]} final per-task linear layers
-      (H4 uses ``expert`` = [(W, b), ...] shared ReLU MLP before them);
+      (H4 uses ``expert`` = [(W, b), ...] a shared MLP before them: ReLU
+      between its layers, none after the last);
       ``experts``: [[(W, b), ...], ...] and ``gate`` (W, b) for ``moe``;
       ``gates``: {task: (W, b)} for ``mmoe``.
     Dropout is the identity at inference. Features of one batch become one
@@ -132,17 +145,19 @@ def score_numpy(features: DataFrame, model: Mapping, arch: str,
                  .astype(np.float64).reshape(n, -1) if n else
                  np.zeros((0, 0)))
             tasks = bt.column("task_id").to_numpy(zero_copy_only=False)
-            width = np.array([n_out[int(t)] for t in tasks], np.int64) \
-                if n else np.zeros(0, np.int64)
+            known, which = np.unique(tasks, return_inverse=True)
+            missing = [t for t in known.tolist() if int(t) not in n_out]
+            if missing:
+                raise ValueError(f"no tower for tasks {missing}")
+            width = np.array([n_out[int(t)] for t in known], np.int64)[which]
             offs = np.zeros(n + 1, np.int64)
             np.cumsum(width, out=offs[1:])
             vals = np.empty(offs[-1], np.float64)
             if arch == "expert":
-                shared = np.maximum(_mlp(X, m["expert"]), 0.0)
+                shared = _mlp(X, m["expert"])
             elif arch in ("moe", "mmoe"):
-                E = np.stack([np.maximum(_mlp(X, ex), 0.0)
-                              for ex in m["experts"]], axis=1)
-            for t in np.unique(tasks):
+                E = np.stack([_mlp(X, ex) for ex in m["experts"]], axis=1)
+            for t in known:
                 idx = np.nonzero(tasks == t)[0]
                 if arch == "expert":
                     h = shared[idx]
@@ -178,25 +193,33 @@ def score(features: DataFrame, arch: str, heads: DataFrame | None = None,
         return hard_plus_head(features, hidden, heads, x)
     if arch in ("expert", "moe", "mmoe"):
         return score_numpy(features, model, arch, x)
-    raise ValueError(f"share architecture {arch} not support now.")
+    raise ValueError(f"unknown head architecture: {arch!r}")
 
 
 def fit_linear_heads(features: DataFrame, x: str = "feature",
                      task_weights: Mapping[int, float] | None = None,
-                     max_iter: int = 100, reg: float = 0.0) -> dict:
-    """H8: per task, a multinomial logistic regression on fixed features
-    (minimises the task's mean cross-entropy). Returns {task: model}."""
+                     max_iter: int = 100, reg: float = 1e-4) -> dict:
+    """H8: the heads that minimise, over all tasks together, the weighted
+    mean of the tasks' mean cross-entropies plus ``reg`` / 2 times the sum of
+    squared weights. Returns {task: model}.
+
+    Tasks share no head parameter, so the joint objective falls apart: a
+    task with share ``s`` of the weights minimises its own mean cross-entropy
+    with ``reg / s``. Each is one multinomial logistic regression."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
+    tasks = sorted(r[0] for r in features.select("task_id").distinct()
+                   .collect())
+    weight = {t: float((task_weights or {}).get(t, 1.0)) for t in tasks}
+    if any(w <= 0 for w in weight.values()):
+        raise ValueError("task weights must be positive")
     models = {}
-    tasks = [r[0] for r in features.select("task_id").distinct().collect()]
-    for t in sorted(tasks):
+    for t in tasks:
         d = features.where(F.col("task_id") == t).select(
             array_to_vector(x).alias("features"),
-            F.col("target").cast("double").alias("label"),
-            F.lit(float((task_weights or {}).get(t, 1.0))).alias("w"))
-        lr = LogisticRegression(family="multinomial", maxIter=max_iter,
-                                regParam=reg, weightCol="w",
-                                standardization=False)
+            F.col("target").cast("double").alias("label"))
+        lr = LogisticRegression(
+            family="multinomial", maxIter=max_iter, standardization=False,
+            regParam=reg * sum(weight.values()) / weight[t])
         models[int(t)] = lr.fit(d)
     return models

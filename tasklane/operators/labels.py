@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklane.plans.rank import position_bucket, two_level_rank
+from tasklane.plans.rank import position_buckets, two_level_rank
 
 # Fixed values (task ids and label dictionaries; must equal the reference's).
 TASKS = {"ocnli": 0, "ocemotion": 1, "tnews": 2}
@@ -87,9 +87,16 @@ def decode_label(col, mapping: Mapping, what: str = "class index") -> Column:
                                              c.cast("string"))))
 
 
+# Predictions of the pair task are exported as class numbers.
+EXPORT_LABELS = {0: {v: v for v in PAIR_LABELS.values()}, 1: EMOTION_LABELS,
+                 2: HEADLINE_LABELS}
+
+
 def decode_task_label(idx_col, task_col,
                       dictionaries: Mapping[int, Mapping] = None) -> Column:
-    dictionaries = dictionaries or TASK_LABELS
+    """P6 for predictions of all tasks: the label text that is exported
+    (``EXPORT_LABELS``); an unknown task or class fails."""
+    dictionaries = dictionaries or EXPORT_LABELS
     out = None
     for t, d in dictionaries.items():
         e = decode_label(idx_col, d)
@@ -119,7 +126,7 @@ def head_per_task(df: DataFrame, k: int = 4, task: str = "task_id",
 def positional_split(df: DataFrame, n: int, pos: str = "pos",
                      groups=()) -> tuple[DataFrame, DataFrame]:
     """P10: rows [:n] and [n:] in ``pos`` order (via the two-level rank)."""
-    r = two_level_rank(df, order=[pos], buckets=[position_bucket(pos)],
+    r = two_level_rank(df, order=[pos], buckets=position_buckets(pos),
                        groups=groups, out="_ps_rank")
     return (r.where(F.col("_ps_rank") < n).drop("_ps_rank"),
             r.where(F.col("_ps_rank") >= n).drop("_ps_rank"))

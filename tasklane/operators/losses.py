@@ -18,6 +18,7 @@ from tasklane.functions.metrics import cross_entropy, focal
 from tasklane.operators import metrics as M
 from tasklane.operators.labels import TASKS
 from tasklane.plans.scan import affine_scan, scan_levels
+from tasklane.session import cut_lineage
 
 
 def sample_loss(scored: DataFrame, groups: Sequence[str] = (),
@@ -33,11 +34,11 @@ def sample_loss(scored: DataFrame, groups: Sequence[str] = (),
         row = focal("logits", "target", alpha, gamma)
         agg = {"mean": F.avg, "sum": F.sum}.get(reduction)
         if agg is None:
-            raise ValueError('reduction should be "mean" or "sum" here')
+            raise ValueError(f"unknown reduction: {reduction!r}")
         return scored.groupBy(*groups, "task_id").agg(agg(row).alias("loss"))
     if kind == "f1":
         return M.soft_f1_loss(scored, groups, average)
-    raise ValueError(f"sample loss {kind} not support now.")
+    raise ValueError(f"unknown sample loss: {kind!r}")
 
 
 def f1_empty_counts(losses: DataFrame, groups: Sequence[str],
@@ -94,12 +95,12 @@ def uncertainty_loss(losses: DataFrame, groups: Sequence[str] = (),
 
 
 def _loss_and_kpi(scored: DataFrame, batch: str, sample: str,
-                  eps: float = M.EPS) -> DataFrame:
+                  eps: float = M.EPS, **loss_options) -> DataFrame:
     """Per (batch, task): mean sample loss (ce) and hard macro-F1 over all
     C classes, in one scan and one partial aggregate: each row explodes to
     its C one-hot entries and carries its loss (and count) on class 0."""
     if sample != "ce":
-        per = sample_loss(scored, [batch], sample)
+        per = sample_loss(scored, [batch], sample, **loss_options)
         kpi = M.hard_f1(scored, [batch])
         return per.join(kpi, [batch, "task_id"], "inner")
     from tasklane.functions.metrics import argmax
@@ -126,18 +127,22 @@ def _loss_and_kpi(scored: DataFrame, batch: str, sample: str,
 def running_kpi(scored: DataFrame, running_alpha: float = 0.05,
                 task_alpha: float = 1.0, task_gamma: float = 1.0,
                 batch: str = "batch_id", sample: str = "ce",
-                r0: float = 0.5, levels: int | None = None) -> DataFrame:
+                r0: float = 0.5, levels: int | None = None,
+                **loss_options) -> DataFrame:
     """M12 state: per (batch, task) with rows: loss, kpi (hard macro-F1),
     running KPI ``r`` and priority weight ``w = -alpha (1-r)^gamma ln r``.
 
     ``r`` follows batches in order within each task, starting from ``r0``;
     computed by the distributed affine scan indexed by the (increasing,
     not necessarily dense) batch id. ``levels=None`` sizes the scan from
-    the largest batch id (one scalar aggregate over that column).
+    the largest batch id. ``loss_options`` go to ``sample_loss``.
+
+    The (batch, task) table is read once per level, so it is checkpointed:
+    the samples are scanned once.
     """
-    bt = _loss_and_kpi(scored, batch, sample)
+    bt = cut_lineage(_loss_and_kpi(scored, batch, sample, **loss_options))
     if levels is None:
-        mx = scored.agg(F.max(batch)).first()[0]
+        mx = bt.agg(F.max(batch)).first()[0]
         levels = scan_levels(mx or 0)
     seq = (bt.withColumn("_a", F.lit(1.0 - running_alpha))
            .withColumn("_b", F.lit(running_alpha) * F.col("kpi")))
@@ -167,9 +172,9 @@ def multi_task_loss(scored: DataFrame, sample: str = "ce",
     ``split='val'`` -> per-task losses and uniform ``val_loss`` over the
     whole split (validation always weighs tasks uniformly)."""
     if split not in ("train", "val"):
-        raise ValueError("split should be `train` or `val`.")
+        raise ValueError(f"unknown split: {split!r}")
     if not (weighting in ("uni", "uct", "dtp") or isinstance(weighting, dict)):
-        raise ValueError(f"task_weights {weighting} not support now.")
+        raise ValueError(f"unknown task weighting: {weighting!r}")
     groups = [batch] if split == "train" else []
     losses = sample_loss(scored, groups, sample, alpha, gamma, average)
     if sample == "f1" and f1_parity:
@@ -189,7 +194,7 @@ def multi_task_loss(scored: DataFrame, sample: str = "ce",
         return uncertainty_loss(losses, groups, log_variance)
     return dtp_loss(scored, batch=batch, running_alpha=running_alpha,
                     task_alpha=task_alpha, task_gamma=task_gamma,
-                    sample=sample)
+                    sample=sample, alpha=alpha, gamma=gamma, average=average)
 
 
 def step_loss(batch_losses: DataFrame, accumulation: int,

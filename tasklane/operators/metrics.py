@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklane.functions.metrics import EPS, argmax, cross_entropy, softmax
+from tasklane.functions.metrics import (EPS, argmax, cross_entropy, focal,
+                                        softmax)
 from tasklane.operators.labels import TASKS
 
 
@@ -54,7 +55,7 @@ def f1_from_counts(counts: DataFrame, groups: Sequence[str] = (),
         tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
         return counts.groupBy(*groups, task).agg(
             (tp * 2 / (tp * 2 + fn + fp + F.lit(eps))).alias(out))
-    raise ValueError('average should be "macro" or "micro".')
+    raise ValueError(f"unknown average: {average!r}")
 
 
 def soft_f1_loss(scored: DataFrame, groups: Sequence[str] = (),
@@ -73,12 +74,12 @@ def hard_f1(scored: DataFrame, groups: Sequence[str] = (),
                           average, eps, out="kpi")
 
 
-def _report_rows(scored: DataFrame, groups, with_loss: bool):
+def _report_rows(scored: DataFrame, groups, row_loss: Column | None = None):
     """Per-row contributions for M7 (and the loss of M16) in one scan."""
     pred = argmax("logits")
     hit = (F.col("target") == pred).cast("double")
     miss = F.lit(1.0) - hit
-    loss = cross_entropy("logits", "target") if with_loss else F.lit(0.0)
+    loss = F.lit(0.0) if row_loss is None else row_loss
     rows = F.array(
         F.struct(F.col("target").alias("cls"), hit.alias("tp"),
                  F.lit(0.0).alias("fp"), miss.alias("fn"),
@@ -100,7 +101,7 @@ def _report_rows(scored: DataFrame, groups, with_loss: bool):
 
 def macro_f1(scored: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """M7: per-task macro-F1 over classes present in target or prediction."""
-    return _report_rows(scored, list(groups), False).select(
+    return _report_rows(scored, list(groups)).select(
         *groups, "task_id", "f1")
 
 
@@ -125,15 +126,29 @@ def report(scored: DataFrame, tasks: Mapping[str, int] = None,
 
 
 def evaluate(scored: DataFrame, tasks: Mapping[str, int] = None,
-             groups: Sequence[str] = ()) -> DataFrame:
-    """Validation losses and report from one scan of ``scored``.
-
-    ``loss_<task>`` is the task's mean cross-entropy, ``val_loss`` their
-    uniform mean over tasks whose loss is a positive number.
+             groups: Sequence[str] = (), sample: str = "ce",
+             alpha: float = 1.0, gamma: float = 1.0,
+             average: str = "macro") -> DataFrame:
+    """Validation losses and report.
+
+    ``loss_<task>`` is the task's configured sample loss (``ce``, ``focal``
+    or ``f1``), ``val_loss`` their uniform mean over tasks whose loss is a
+    positive number. With ``f1`` a task without rows has loss 1 and counts,
+    as in training. Row-wise losses take one scan of ``scored``.
     """
     tasks = tasks or TASKS
     groups = list(groups)
-    per = _report_rows(scored, groups, True)
+    if sample == "f1":
+        from tasklane.operators.losses import f1_empty_counts
+        per = f1_empty_counts(soft_f1_loss(scored, groups, average), groups,
+                              tasks)
+        per = per.join(macro_f1(scored, groups), [*groups, "task_id"], "left")
+    elif sample in ("ce", "focal"):
+        per = _report_rows(scored, groups, cross_entropy("logits", "target")
+                           if sample == "ce" else
+                           focal("logits", "target", alpha, gamma))
+    else:
+        raise ValueError(f"unknown sample loss: {sample!r}")
     f1s = _task_columns(per, "f1", "f1_", tasks, groups, 0.0)
     losses = [F.max(F.when(F.col("task_id") == t, F.col("loss")))
               .alias(f"loss_{n}") for n, t in tasks.items()]

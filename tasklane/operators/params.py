@@ -46,6 +46,7 @@ def average_params(params: DataFrame, chunked: bool = False) -> DataFrame:
     """A1 + A2: elementwise mean of same-named tensors over models; names
     seen once are copied; ``position_ids`` names come from the model with
     the highest ``ord`` (last wins). Output (name, [chunk,] vals, n_models).
+    Sizes that differ (see ``shape_conflicts``) are an error.
     """
     keys = ["name", "chunk"] if chunked else ["name"]
     last = F.col("name").contains(KEEP_LAST)
@@ -54,12 +55,17 @@ def average_params(params: DataFrame, chunked: bool = False) -> DataFrame:
         F.max_by("vals", "ord").alias("_ap_last"),
         F.count(F.lit(1)).alias("_ap_n"))
     first = F.element_at("_ap_all", 1)
+    # A3: tensors of one name that are averaged must have one size.
+    same = F.forall("_ap_all", lambda a: F.size(a) == F.size(first))
     zero = F.transform(first, lambda _: F.lit(0.0))
     total = F.aggregate("_ap_all", zero,
                         lambda acc, a: F.zip_with(acc, a, lambda x, y: x + y))
     mean = F.transform(total, lambda v: v / F.col("_ap_n"))
     return g.select(*keys,
-                    F.when(last, F.col("_ap_last")).otherwise(mean).alias("vals"),
+                    F.when(last, F.col("_ap_last")).when(same, mean).otherwise(
+                        F.raise_error(F.concat(F.lit(
+                            "sizes differ between models: "), F.col("name")))
+                        .cast("array<double>")).alias("vals"),
                     F.when(last, F.lit(1)).otherwise(F.col("_ap_n"))
                     .cast("int").alias("n_models"))
 

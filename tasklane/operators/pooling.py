@@ -84,9 +84,15 @@ def layer_mixture(layers: DataFrame, scores: DataFrame,
         .select("task_id", "layer", "w")
     lt = layers.where(F.col("layer") >= 1).join(task_of, "id")
     # Broadcast behind a row-count check (tasks x layers is model config,
-    # but it is checked rather than assumed); a plain join beyond it.
-    small = w.limit(MIXTURE_BROADCAST_ROWS + 1).count() <= MIXTURE_BROADCAST_ROWS
-    j = lt.join(F.broadcast(w) if small else w, ["task_id", "layer"])
+    # but it is checked rather than assumed). Beyond it a join on salted
+    # keys: a task and layer is a hot key.
+    if w.limit(MIXTURE_BROADCAST_ROWS + 1).count() <= MIXTURE_BROADCAST_ROWS:
+        j = lt.join(F.broadcast(w), ["task_id", "layer"])
+    else:
+        many = w.withColumn("_salt", F.explode(F.sequence(
+            F.lit(0).cast("long"), F.lit(63).cast("long"))))
+        j = lt.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64))).join(
+            many, ["task_id", "layer", "_salt"])
     g = j.groupBy("id").agg(F.collect_list(F.transform(
         "vec", lambda x: x * F.col("w"))).alias("_v"))
     return g.select("id", _fold(F.col("_v"), lambda a, b: a + b)
@@ -168,3 +174,25 @@ def attention_pool(tokens: DataFrame, task_of: DataFrame,
                            T.StructField("feature",
                                          T.ArrayType(T.DoubleType()))])
     return seq.select("id", "task_id", "toks").mapInArrow(score, schema)
+
+
+def pool(method: str, tokens: DataFrame | None = None,
+         layers: DataFrame | None = None, pooled: DataFrame | None = None,
+         task_of: DataFrame | None = None, **options) -> DataFrame:
+    """(id, feature) by the configured method name: ``max``, ``mean``,
+    ``first``, ``last`` and ``attn`` over token vectors, ``mol`` and
+    ``inter`` over layer states, ``origin`` for a supplied vector. Other
+    options go to the method."""
+    over_tokens = {"max": max_pool, "mean": mean_pool, "first": first_token,
+                   "last": last_token}
+    if method in over_tokens:
+        return over_tokens[method](tokens, **options)
+    if method == "attn":
+        return attention_pool(tokens, task_of, **options)
+    if method == "mol":
+        return layer_mixture(layers, task_of=task_of, **options)
+    if method == "inter":
+        return layer_select(layers, **options)
+    if method == "origin":
+        return pooler_output(pooled, **options)
+    raise ValueError(f"unknown pooling method: {method!r}")

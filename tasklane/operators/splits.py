@@ -1,7 +1,7 @@
 """Splits and sampling (K1-K6), reproducible across engines.
 
 Randomness comes from ``md5(seed:...)`` so that DuckDB gives the same draws;
-an md5 number is its first 8 hex digits as a bigint. Every ordering runs
+an md5 number is its first 15 hex digits as a bigint (60 bits). Every ordering runs
 through the two-level rank, so no window holds a whole label or task.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklane.plans.rank import (hex_bucket, position_bucket,
+from tasklane.plans.rank import (hex_bucket, position_buckets,
                                  two_level_rank)
 
 SEED = 606
@@ -22,8 +22,10 @@ def _c(col) -> Column:
 
 
 def md5_number(hex_col) -> Column:
-    """First 8 hex digits of an md5 as a bigint in [0, 2^32)."""
-    return F.conv(F.substring(_c(hex_col), 1, 8), 16, 10).cast("long")
+    """First 15 hex digits of an md5 as a bigint in [0, 2^60): far more
+    than any task has rows, so each row can be drawn and the modulo is
+    even."""
+    return F.conv(F.substring(_c(hex_col), 1, 15), 16, 10).cast("long")
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str,
@@ -66,7 +68,7 @@ def oversample(df: DataFrame, task: str = "task_id", id_col: str = "id",
     the rows through an equi-join on (task, rank).
     """
     ranked = two_level_rank(df, order=[id_col],
-                            buckets=[position_bucket(id_col)],
+                            buckets=position_buckets(id_col),
                             groups=[task], out="_os_rank")
     counts = df.groupBy(task).agg(F.count(F.lit(1)).alias("_os_n"))
     extra = counts.withColumn(

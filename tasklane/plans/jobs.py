@@ -33,7 +33,7 @@ def _numbered(df: DataFrame, src: int) -> DataFrame:
 def pair_task_preparation(spark: SparkSession, train_path: str,
                           dev_path: str, out_dir: str) -> dict[str, DataFrame]:
     """JSON lines -> drop unlabelled -> dense id -> width fold ->
-    CSV per split, and the train-then-dev union as TSV (ids renumbered)."""
+    CSV per split, and the train-then-dev union as CSV (ids renumbered)."""
     outs = {}
     parts = []
     for i, (name, path) in enumerate((("train", train_path),
@@ -53,13 +53,13 @@ def pair_task_preparation(spark: SparkSession, train_path: str,
         parts.append(clean.drop("id"))
     u = dedup.ordered_union(parts, pos="pos", src="src", id_col="id")
     outs["trainval"] = u.select("id", "sentence1", "sentence2", "label")
-    io.write_tsv(outs["trainval"], f"{out_dir}/trainval.tsv")
+    io.write_csv(outs["trainval"], f"{out_dir}/trainval.csv")
     return outs
 
 
 def _renumber(df: DataFrame, pos: str, out: str, groups=()) -> DataFrame:
-    from tasklane.plans.rank import position_bucket, two_level_rank
-    return two_level_rank(df, order=[pos], buckets=[position_bucket(pos)],
+    from tasklane.plans.rank import position_buckets, two_level_rank
+    return two_level_rank(df, order=[pos], buckets=position_buckets(pos),
                           groups=groups, out=out)
 
 
@@ -115,6 +115,12 @@ def emotion_cleaning(spark: SparkSession, train_path: str,
     sentence and emoji naming, in one pass (no per-character rewrite)."""
     df = io.read_tsv(spark, train_path, io.SINGLE_TSV)
     report = V.oov_counts(df, "sentence", vocab)
+    # Only characters that the vocabulary lacks are named. What it knows of
+    # the lexicon is at most the lexicon.
+    keys = spark.createDataFrame([(k,) for k in lexicon], "token string")
+    known = {r[0] for r in keys.join(vocab.select("token"), "token",
+                                     "left_semi").collect()}
+    lexicon = {k: v for k, v in lexicon.items() if k not in known}
     cleaned = df.withColumn("sentence", T.clean(
         "sentence", ["squeeze_runs"]))
     cleaned = cleaned.withColumn("sentence", T.squeeze_emotes(
@@ -141,21 +147,38 @@ def test_conversion(spark: SparkSession, in_path: str, out_path: str,
 
 # ---------------------------------------------------------------- J5 / J6
 
-def evaluate_model(features: DataFrame, heads: DataFrame) -> DataFrame:
-    """Score each row with its task's head, then losses + report in one
-    scan (``features``: id, task_id, target, feature)."""
-    scored = H.linear_head(features, heads)
-    return M.evaluate(scored)
-
-
-def predictions(features: DataFrame, heads: DataFrame,
-                tasks: Mapping[str, int] | None = None) -> DataFrame:
-    """J6 plan: score, argmax, decode through the task's label dictionary
+def labelled_features(split: DataFrame, features: DataFrame) -> DataFrame:
+    """The rows of a resolved split (S6) with their feature vectors, which
+    the encoder outside of Spark left as (id, task_id, feature). A row
+    without a vector is an error."""
+    have = features.select("id", "task_id", "feature")
+    return split.join(have, ["id", "task_id"], "left").withColumn(
+        "feature", F.when(F.col("feature").isNull(), F.raise_error(F.concat(
+            F.lit("no feature for id "), F.col("id").cast("string")))
+            .cast(have.schema["feature"].dataType)).otherwise(
+                F.col("feature")))
+
+
+def evaluate_model(features: DataFrame, heads: DataFrame | None = None,
+                   arch: str = "hard", hidden: DataFrame | None = None,
+                   model: Mapping | None = None, **loss) -> DataFrame:
+    """Score each row with its task's head, then losses + report
+    (``features``: id, task_id, target, feature). ``arch`` and its weights
+    as in H7, ``loss`` as in M16."""
+    scored = H.score(features, arch, heads, hidden, model)
+    return M.evaluate(scored, **loss)
+
+
+def predictions(features: DataFrame, heads: DataFrame | None = None,
+                tasks: Mapping[str, int] | None = None, arch: str = "hard",
+                hidden: DataFrame | None = None,
+                model: Mapping | None = None) -> DataFrame:
+    """J6 plan: score (H7), argmax, label text of the export
     -> (id string, task, label string)."""
     tasks = tasks or L.TASKS
     names = F.create_map(*[F.lit(x) for kv in
                            ((v, k) for k, v in tasks.items()) for x in kv])
-    scored = H.linear_head(features, heads)
+    scored = H.score(features, arch, heads, hidden, model)
     return scored.select(
         F.col("id").cast("string").alias("id"),
         F.element_at(names, F.col("task_id")).alias("task"),
@@ -163,9 +186,10 @@ def predictions(features: DataFrame, heads: DataFrame,
 
 
 def predict_and_export(features: DataFrame, heads: DataFrame, out_dir: str,
-                       tasks: Mapping[str, int] | None = None) -> DataFrame:
+                       tasks: Mapping[str, int] | None = None,
+                       **weights) -> DataFrame:
     """Predictions written as ``{"id","label"}`` JSON lines per task."""
-    pred = predictions(features, heads, tasks)
+    pred = predictions(features, heads, tasks, **weights)
     io.write_predictions(pred, out_dir)
     return pred
 

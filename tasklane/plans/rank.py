@@ -1,13 +1,14 @@
-"""Two-level rank: a global ``row_number`` without a single-task window.
+"""Rank by levels: a global ``row_number`` without a single-task window.
 
 A window with no partition key (or keyed by a handful of labels) sends every
-row to one task. Instead the caller names a *bucket* that is non-decreasing in
-the ordering (``pos div W``, a hash prefix, ...). Rows are counted per
-``(group, bucket)``; a running sum over that small count table gives each
-bucket's offset; the final ``row_number`` runs inside ``(group, bucket)``
-partitions, so the heavy sort is spread over as many tasks as there are
-buckets. The count table has at most groups x buckets rows; whether it is
-broadcast is decided by AQE from its measured size.
+row to one task. Instead the caller names *buckets*, nested from coarse to
+fine and never decreasing along the ordering (parts of a position, a hash
+prefix, ...). Rows are counted per finest bucket; at each level a running sum
+within the parent bucket gives the offset of a bucket in its parent, and the
+final ``row_number`` runs inside the finest bucket. The heavy sort is spread
+over as many tasks as there are buckets, and no window at any level holds
+more than the children of one bucket, however sparse the positions are.
+Whether an offset table is broadcast is decided by AQE from its size.
 """
 
 from __future__ import annotations
@@ -17,18 +18,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Width of a position bucket: 65,536 consecutive positions are ranked by one
-# window partition. 10^10 rows give ~150k buckets -> a small offset table.
-DEFAULT_BUCKET_WIDTH = 1 << 16
-
-
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def position_bucket(pos, width: int = DEFAULT_BUCKET_WIDTH) -> Column:
-    """Bucket for an integral, non-negative ordering column."""
-    return F.floor(_as_col(pos) / F.lit(width)).cast("long")
+def position_buckets(pos) -> list[Column]:
+    """Nested buckets of an integral ordering column: its upper three groups
+    of 16 bits. 65,536 consecutive positions share a finest bucket, and no
+    bucket has more than 65,536 children."""
+    p = _as_col(pos).cast("long")
+    return [F.shiftright(p, 48),
+            F.shiftright(p, 32).bitwiseAND(F.lit(0xFFFF)),
+            F.shiftright(p, 16).bitwiseAND(F.lit(0xFFFF))]
 
 
 def hex_bucket(hex_col, digits: int = 4) -> Column:
@@ -38,13 +39,37 @@ def hex_bucket(hex_col, digits: int = 4) -> Column:
     return F.substring(_as_col(hex_col), 1, digits)
 
 
+def _offsets(counts: DataFrame, groups: list[str], bnames: list[str]
+             ) -> DataFrame:
+    """Rows of the group before each bucket, from the counts of the finest
+    buckets: the offset in the parent, plus the parent's."""
+    parent = groups + bnames[:-1]
+    running = Window.partitionBy(*parent).orderBy(bnames[-1]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    own = counts.select(*parent, bnames[-1], F.coalesce(
+        F.sum("_tl_n").over(running), F.lit(0)).alias("_tl_off"))
+    if len(bnames) == 1:
+        return own
+    up = _offsets(counts.groupBy(*parent).agg(F.sum("_tl_n").alias("_tl_n")),
+                  groups, bnames[:-1])
+    up = up.select(*[F.col(k).alias(f"_tl_p_{k}") for k in parent],
+                   F.col("_tl_off").alias("_tl_up"))
+    cond = F.lit(True)
+    for k in parent:
+        cond = cond & own[k].eqNullSafe(up[f"_tl_p_{k}"])
+    return own.join(up, cond).select(
+        *parent, bnames[-1], (F.col("_tl_off") + F.col("_tl_up"))
+        .alias("_tl_off"))
+
+
 def two_level_rank(df: DataFrame, order: Sequence, buckets: Sequence,
                    groups: Sequence[str] = (), out: str = "rank",
                    base: int = 0) -> DataFrame:
     """Add ``out`` = position of the row within ``groups`` under ``order``.
 
     ``order`` must be a total order (ties make the result arbitrary).
-    ``buckets`` are expressions that never decrease along ``order``.
+    ``buckets`` are expressions, coarse to fine, that together never
+    decrease along ``order``.
     The rank starts at ``base`` and is a ``long``.
     """
     groups = list(groups)
@@ -53,11 +78,9 @@ def two_level_rank(df: DataFrame, order: Sequence, buckets: Sequence,
     keys = groups + bnames
 
     counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n"))
-    running = Window.partitionBy(*groups).orderBy(*bnames).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(k).alias(f"_tl_o_{k}") for k in keys],
-        F.coalesce(F.sum("_tl_n").over(running), F.lit(0)).alias("_tl_off"))
+    found = _offsets(counts, groups, bnames)
+    offsets = found.select(*[F.col(k).alias(f"_tl_o_{k}") for k in keys],
+                           "_tl_off")
 
     cond = None
     for k in keys:

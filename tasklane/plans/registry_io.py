@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tasklane.functions import text as T
+from tasklane.operators import labels as L
 from tasklane.plans import jobs
 from tasklane.plans import oracle_sql as osql
 from tasklane.plans.catalog import register
@@ -47,15 +48,15 @@ kept AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END AS src
          FROM pairs WHERE label IS DISTINCT FROM '-')""")
 
 
-@register("j1_pair_trainval_tsv", _J1_KEPT + f"""
+@register("j1_pair_trainval_csv", _J1_KEPT + f"""
 SELECT CAST(row_number() OVER (ORDER BY src, pos) - 1 AS BIGINT) AS id,
        translate(sentence1, {FULL}, {HALF}) AS sentence1,
        translate(sentence2, {FULL}, {HALF}) AS sentence2, label
 FROM kept""")
 def q_j1_trainval(spark, sf):
-    """J1 (S1 JSON lines in, W2 TSV out) read back with S2b."""
+    """J1 (S1 JSON lines in, W1 CSV out) read back with S3."""
     out = _j1(spark, sf)
-    return io.read_tsv(spark, f"{out}/trainval.tsv", io.PAIR_TSV, quoted=True)
+    return io.read_csv(spark, f"{out}/trainval.csv", io.PAIR_TSV)
 
 
 @register("j1_pair_train_csv", _J1_KEPT + f"""
@@ -126,39 +127,113 @@ def q_s5(spark, sf):
     return io.read_lines(spark, root)
 
 
-_PAIR_DICT = {"user": "entailment", "assistant": "neutral",
-              "system": "contradiction"}
+# Pair samples as S6's files: raw labels for a split's own CSV, their class
+# numbers for the trainval TSV; a quote is put into every text, and turns
+# hold line ends.
+_S6_PAIRS = osql.with_(_PAIRS_SQL, """
+tv AS (SELECT pos AS id, '"' || sentence1 AS sentence1, sentence2 || '"x' AS sentence2,
+              CASE label WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 WHEN 'system' THEN 2
+                END AS n FROM pairs)""", """
+named AS (SELECT *, CASE n WHEN 0 THEN 'entailment' WHEN 1 THEN 'neutral'
+                           WHEN 2 THEN 'contradiction' END AS name FROM tv)""", """
+f AS (SELECT *, (row_number() OVER (PARTITION BY n ORDER BY md5('606:' || id), id) - 1) % 5
+                  AS fold FROM tv)""")
 
 
-@register("s6_load_split_train", osql.with_(_PAIRS_SQL, """
-tv AS (SELECT pos AS id, replace(sentence1, chr(10), ' ') AS sentence1,
-              replace(sentence2, chr(10), ' ') AS sentence2,
-              CASE label WHEN 'user' THEN 'entailment' WHEN 'assistant' THEN 'neutral'
-                         WHEN 'system' THEN 'contradiction' ELSE label END AS label
-       FROM pairs)""", """
-f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('606:' || id), id) - 1) % 5
-                  AS fold FROM tv)""") + """
-SELECT id, sentence1, sentence2, label, 0 AS task_id,
-       CASE label WHEN 'entailment' THEN 0 WHEN 'neutral' THEN 1
-                  WHEN 'contradiction' THEN 2 END AS target
-FROM f WHERE fold <> 0""")
-def q_s6(spark, sf):
-    """The pair task's trainval TSV (S2, quotes plain) resolved to the
-    train split of fold 0 (stratified 5-fold), labels encoded."""
-    root = io.scratch_dir(spark, "s6")
+def _s6_pairs(spark, sf, numbered: bool):
     p = conversation_pairs(spark, sf)
-    lab = F.col("label")
-    for raw, name in _PAIR_DICT.items():
-        lab = F.when(F.col("label") == raw, F.lit(name)).otherwise(lab)
-    nl = "\n"
-    tv = p.select(F.col("pos").alias("id"),
-                  F.replace("sentence1", F.lit(nl), F.lit(" ")).alias("sentence1"),
-                  F.replace("sentence2", F.lit(nl), F.lit(" ")).alias("sentence2"),
-                  lab.alias("label"))
-    io.write_tsv(tv, f"{root}/trainval.tsv")
-    spec = {"ocnli_trainval_path": f"{root}/trainval.tsv", "n_folds": 5,
-            "fold": 0}
-    return io.load_split(spark, spec, "ocnli", "train").select(
+    lab = None
+    for raw, name, n in (("user", "entailment", 0),
+                         ("assistant", "neutral", 1),
+                         ("system", "contradiction", 2)):
+        value = F.lit(str(n) if numbered else name)
+        lab = (F.when(F.col("label") == raw, value) if lab is None
+               else lab.when(F.col("label") == raw, value))
+    return p.select(F.col("pos").alias("id"),
+                    F.concat(F.lit('"'), "sentence1").alias("sentence1"),
+                    F.concat("sentence2", F.lit('"x')).alias("sentence2"),
+                    lab.alias("label"))
+
+
+def _s6(spark, sf, split, explicit):
+    root = io.scratch_dir(spark, "s6")
+    df = _s6_pairs(spark, sf, not explicit)
+    if explicit:
+        io.write_csv(df, f"{root}/own.csv")
+        spec = {f"ocnli_{split}_path": f"{root}/own.csv"}
+    else:
+        io.write_tsv(df, f"{root}/trainval.tsv")
+        spec = {"ocnli_trainval_path": f"{root}/trainval.tsv", "n_folds": 5,
+                "fold": 0}
+    return io.load_split(spark, spec, "ocnli", split).select(
+        "id", "sentence1", "sentence2", "label", "task_id", "target")
+
+
+_S6_NUMBERED = """
+SELECT id, sentence1, sentence2, CAST(n AS VARCHAR) AS label, 0 AS task_id, n AS target FROM """
+
+
+@register("s6_load_split_train", _S6_PAIRS + _S6_NUMBERED + "f WHERE fold <> 0")
+def q_s6(spark, sf):
+    """Train split of fold 0 of the pair task's trainval TSV."""
+    return _s6(spark, sf, "train", False)
+
+
+@register("s6_load_split_trainval", _S6_PAIRS + _S6_NUMBERED + "tv")
+def q_s6_trainval(spark, sf):
+    """All rows of the pair task's trainval TSV."""
+    return _s6(spark, sf, "trainval", False)
+
+
+@register("s6_load_split_explicit_csv", _S6_PAIRS + """
+SELECT id, sentence1, sentence2, name AS label, 0 AS task_id, n AS target FROM named""")
+def q_s6_csv(spark, sf):
+    """The pair task's own validation CSV, raw labels."""
+    return _s6(spark, sf, "val", True)
+
+
+def _s6_single(task, values):
+    tid = L.TASKS[task]
+    names = list(values.items())
+    cases = " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _) in enumerate(names))
+    target = " ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(names))
+    n = len(names)
+    sql = f"""
+SELECT doc_id AS id, '"' || text || chr(10) || 'z' AS sentence,
+       CASE doc_id % {n} {cases} END AS label, {tid} AS task_id,
+       CAST(CASE doc_id % {n} {target} END AS INTEGER) AS target FROM documents"""
+
+    def q(spark, sf):
+        root = io.scratch_dir(spark, "s6")
+        label = F.element_at(F.array(*[F.lit(str(k)) for k, _ in names]),
+                             (F.col("doc_id") % n + 1).cast("int"))
+        io.write_tsv(read_table(spark, sf, "documents").select(
+            F.col("doc_id").alias("id"), F.concat(
+                F.lit('"'), "text", F.lit("\nz")).alias("sentence"),
+            label.alias("label")), f"{root}/trainval.tsv")
+        spec = {f"{task}_trainval_path": f"{root}/trainval.tsv"}
+        return io.load_split(spark, spec, task, "trainval").select(
+            "id", "sentence", "label", "task_id", "target")
+    q.__doc__ = f"S6 and K3: the trainval TSV of {task}."
+    register(f"s6_load_split_trainval_{task}", sql)(q)
+
+
+_s6_single("ocemotion", L.EMOTION_LABELS)
+_s6_single("tnews", L.HEADLINE_LABELS)
+
+
+@register("s6_from_j1_csv", _J1_KEPT + f"""
+SELECT CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT) AS id,
+       translate(sentence1, {FULL}, {HALF}) AS sentence1,
+       translate(sentence2, {FULL}, {HALF}) AS sentence2, label,
+       0 AS task_id, CAST(NULL AS INTEGER) AS target
+FROM kept WHERE src = 0""")
+def q_s6_j1(spark, sf):
+    """The prepared train CSV as the pair task's own file. The
+    turns' labels are roles, so none is in the dictionary."""
+    out = _j1(spark, sf)
+    return io.load_split(spark, {"ocnli_train_path": f"{out}/train.csv"},
+                         "ocnli", "train").select(
         "id", "sentence1", "sentence2", "label", "task_id", "target")
 
 
@@ -270,8 +345,10 @@ def _j3(spark, sf):
     (d.orderBy("doc_id")
      .select(F.concat_ws("\t", F.col("doc_id").cast("string"), "s", "label"))
      .write.text(f"{root}/train"))
-    vocab = (read_table(spark, sf, "benchmark")
-             .select(F.explode(T.char_array("text")).alias("token")).distinct())
+    # The vocabulary knows one of the lexicon's characters.
+    vocab = (read_table(spark, sf, "benchmark").select(F.explode(F.concat(
+        T.char_array("text"), F.array(F.lit("😀")))).alias("token"))
+        .distinct())
     outs = jobs.emotion_cleaning(spark, f"{root}/train", vocab, LEXICON,
                                  f"{root}/out")
     return root, outs
@@ -293,8 +370,8 @@ em AS (SELECT sq.doc_id, src.label,
                       'b' || repeat('[怒]', least(ne, 30)) || 'Zz') AS y
        FROM sq JOIN src ON sq.doc_id = src.doc_id)
 SELECT doc_id AS id,
-       replace(replace(regexp_replace(y, '[A-Za-z]+', '', 'g'), '😭', ':大声哭喊的脸:'),
-               '😀', ':嘿嘿:') AS sentence,
+       replace(regexp_replace(y, '[A-Za-z]+', '', 'g'), '😭', ':大声哭喊的脸:')
+         AS sentence,
        label
 FROM em""")
 def q_j3_clean(spark, sf):
@@ -304,9 +381,24 @@ def q_j3_clean(spark, sf):
                        quoted=True)
 
 
+@register("t10_clean_emotion_train", f"""
+WITH src AS (SELECT doc_id, repeat('哈', CAST(doc_id % 15 AS INTEGER)) AS a,
+                    repeat('[怒]', CAST(doc_id % 40 AS INTEGER)) AS b, doc_id % 15 AS na,
+                    doc_id % 40 AS nb FROM documents)
+SELECT doc_id, repeat('哈', CAST(least(na, 6) AS INTEGER)) ||
+       repeat('[怒]', CAST(least(nb, 30) AS INTEGER)) || '，' AS text
+FROM src""")
+def q_t10_emotion(spark, sf):
+    """The emotion recipe squeezes runs and emotes, drops Latin."""
+    raw = ("concat(repeat('哈', cast(doc_id % 15 as int)), 'b', "
+           "repeat('[怒]', cast(doc_id % 40 as int)), 'Zz，')")
+    return read_table(spark, sf, "documents").select("doc_id", T.clean(
+        F.expr(raw), "emotion_train").alias("text"))
+
+
 @register("j3_emotion_oov_report", f"""
-WITH v AS (SELECT DISTINCT unnest(string_split(replace(trim(text), ' ', ''), '')) AS c
-           FROM benchmark),
+WITH v AS (SELECT DISTINCT unnest(string_split(replace(trim(text), ' ', '') || '😀', ''))
+             AS c FROM benchmark),
 x AS (SELECT unnest(string_split(replace(trim({_J3_SENT_SQL}), ' ', ''), '')) AS c
       FROM documents)
 SELECT c AS ch, count(*) AS n FROM x

@@ -8,6 +8,7 @@ Doubles are rounded to 9 decimals on both sides.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tasklane.functions import metrics as FM
@@ -286,6 +287,35 @@ def q_m13_f1(spark, sf):
     return l.select("batch_id", _r("loss").alias("loss"))
 
 
+_FOCAL_ROW = """pow(greatest(1 - (exp(logits[target + 1] - lse) + 1e-7), 0), 2.0)
+                  * -ln(exp(logits[target + 1] - lse) + 1e-7)"""
+
+
+@register("m13_focal_dtp", _DTP + f""",
+fo AS (SELECT batch_id, task_id, avg({_FOCAL_ROW}) AS fl FROM s2 GROUP BY ALL)
+SELECT batch_id, round(sum(w * fl) / sum(w), 9) AS loss
+FROM ww JOIN fo USING (batch_id, task_id) GROUP BY batch_id""")
+def q_m13_focal_dtp(spark, sf):
+    l = LS.multi_task_loss(fx.scored(spark, sf), "focal", "dtp", "train",
+                           gamma=2.0)
+    return l.select("batch_id", _r("loss").alias("loss"))
+
+
+@register("m16_evaluate_focal", _with(_REPORT_ROWS, f"""
+fo AS (SELECT task_id, avg({_FOCAL_ROW}) AS fl FROM s2 GROUP BY ALL)""") + f"""
+SELECT (SELECT round(max(fl) FILTER (WHERE task_id = 0), 9) FROM fo) AS loss_ocnli,
+       (SELECT round(max(fl) FILTER (WHERE task_id = 1), 9) FROM fo) AS loss_ocemotion,
+       (SELECT round(max(fl) FILTER (WHERE task_id = 2), 9) FROM fo) AS loss_tnews,
+       (SELECT round(sum(fl) FILTER (WHERE fl > 0) / count(fl) FILTER (WHERE fl > 0), 9)
+        FROM fo) AS val_loss,
+       round(f0, 9) AS f1_ocnli, round(f1_, 9) AS f1_ocemotion, round(f2, 9) AS f1_tnews,
+       round((f0 + f1_ + f2) / 3.0, 9) AS competition_score
+FROM (SELECT {_F1COLS} FROM pt)""")
+def q_m16_focal(spark, sf):
+    r = M.evaluate(fx.scored(spark, sf), sample="focal", gamma=2.0)
+    return r.select(*[_r(c).alias(c) for c in r.columns])
+
+
 # ---------------------------------------------------------------- M15
 
 @register("m15_best_checkpoint", """
@@ -451,7 +481,13 @@ SELECT round(sum(ml - length) / sum(ml), 9) AS pad_share_dynamic,
          AS pad_share_fixed
 FROM col""")
 def q_e5(spark, sf):
-    b = _pair_encoded(spark, sf)
+    """Lengths alone: nothing is encoded and nothing of the texts moves."""
+    from tasklane.plans.registry_prep import conversation_pairs
+    p = E.with_length(conversation_pairs(spark, sf).select(
+        "pos", "sentence1", "sentence2"), "sentence1", "sentence2").select(
+            "pos", "length")
+    b = K.assign_batches(K.shuffle_order(p, "pos", epoch=0), "order",
+                         batch_size=32, accumulation=8)
     dyn = E.padding_waste(b, (), "batch_id").withColumnRenamed(
         "pad_share", "pad_share_dynamic")
     fix = E.padding_waste(b, (), None, fixed_len=512).withColumnRenamed(
@@ -616,7 +652,7 @@ def q_h3(spark, sf):
 SELECT batch_id, task_id, round(kpi, 9) AS kpi, round(r, 9) AS r, round(w, 9) AS w FROM ww""")
 def q_st1(spark, sf):
     from tasklane.streaming.kpi import run_to_table
-    t = run_to_table(spark, fx.scored(spark, sf), n_files=4)
+    t = run_to_table(spark, fx.scored(spark, sf), n_files=2)
     return t.select("batch_id", "task_id", _r("kpi").alias("kpi"),
                     _r("r").alias("r"), _r("w").alias("w"))
 
@@ -646,13 +682,14 @@ def _row_ranges(spark, sf, ranges):
 def numpy_model(spark, sf):
     import numpy as np
     d = 64
-    t0, t1, t2, x1, x2, g = _row_ranges(
+    t0, t1, t2, x1, x2, g, y1, y2, c = _row_ranges(
         spark, sf, [(0, 3), (0, 7), (0, 10), (100, 164), (200, 264),
-                    (300, 306)])
+                    (300, 306), (320, 384), (384, 448), (450, 454)])
     towers = {t: [(w.T, np.zeros(w.shape[0]))]
               for t, w in enumerate([t0, t1, t2])}
-    e1 = [(x1.T, np.zeros(d))]
-    e2 = [(x2.T, np.zeros(d))]
+    assert c.shape == (4, d)
+    e1 = [(x1.T, c[0]), (y1.T, c[1])]
+    e2 = [(x2.T, c[2]), (y2.T, c[3])]
     gate = (g[0:2].T, np.zeros(2))
     gates = {t: (g[2 * t:2 * t + 2].T, np.zeros(2)) for t in range(3)}
     return {"towers": towers, "expert": e1, "experts": [e1, e2],
@@ -672,12 +709,24 @@ e2m AS (SELECT list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER
                AS W FROM embeddings WHERE vec_id >= 200 AND vec_id < 264),
 gm AS (SELECT list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER BY vec_id)
               AS W FROM embeddings WHERE vec_id >= 300 AND vec_id < 306),
-ex AS (SELECT f.id, f.task_id, f.x,
-              list_transform((SELECT W FROM hm), lambda r: greatest(list_dot_product(r, f.x), 0.0))
-                AS a1,
-              list_transform((SELECT W FROM e2m), lambda r: greatest(list_dot_product(r, f.x), 0.0))
-                AS a2
-       FROM f)"""
+y1m AS (SELECT list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER BY vec_id)
+               AS W FROM embeddings WHERE vec_id >= 320 AND vec_id < 384),
+y2m AS (SELECT list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER BY vec_id)
+               AS W FROM embeddings WHERE vec_id >= 384 AND vec_id < 448),
+bm AS (SELECT list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER BY vec_id)
+              AS B FROM embeddings WHERE vec_id >= 450 AND vec_id < 454),
+hid AS (SELECT f.id, f.task_id, f.x,
+              list_transform((SELECT W FROM hm), lambda r, i:
+                greatest(list_dot_product(r, f.x) + B[1][i], 0.0)) AS h1,
+              list_transform((SELECT W FROM e2m), lambda r, i:
+                greatest(list_dot_product(r, f.x) + B[3][i], 0.0)) AS h2, B
+       FROM f, bm),
+ex AS (SELECT id, task_id, x,
+              list_transform((SELECT W FROM y1m), lambda r, i:
+                list_dot_product(r, h1) + B[2][i]) AS a1,
+              list_transform((SELECT W FROM y2m), lambda r, i:
+                list_dot_product(r, h2) + B[4][i]) AS a2
+       FROM hid)"""
 
 
 def _mixture_sql(gate_row: str) -> str:
@@ -729,24 +778,36 @@ def q_f7(spark, sf):
     return p.select("id", _ra("feature", 6).alias("feature"))
 
 
-@register("h8_fit_linear_heads")
+@register("h8_fit_linear_heads", osql.with_(osql.SCORED, """
+c AS (SELECT task_id, target, count(*) AS k FROM scored GROUP BY ALL)""") + """
+SELECT task_id, CAST(sum(k) AS BIGINT) AS n, round(max(k) / sum(k), 9) AS majority_share,
+       true AS reaches_majority, true AS loss_below_uniform FROM c GROUP BY task_id""")
 def q_h8(spark, sf):
-    from pyspark.ml.functions import array_to_vector
+    """Facts about the fit that don't depend on the optimiser: no worse than
+    the majority class, and better than guessing evenly."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     f = features_table(spark, sf)
-    models = H.fit_linear_heads(f, max_iter=50)
+    models = H.fit_linear_heads(f, task_weights={0: 1.0, 1: 2.0, 2: 4.0},
+                                max_iter=50)
     out = None
     for t, m in models.items():
-        pred = m.transform(f.where(F.col("task_id") == t).select(
-            "id", "task_id", array_to_vector("feature").alias("features"),
-            F.col("target").cast("double").alias("label")))
-        acc = pred.groupBy("task_id").agg(
-            F.avg((F.col("prediction") == F.col("label")).cast("double"))
-            .alias("accuracy"), F.count(F.lit(1)).alias("n"))
-        out = acc if out is None else out.unionByName(acc)
+        hit = (F.col("prediction") == F.col("target")).cast("double")
+        loss = -F.log(F.element_at(vector_to_array("probability"),
+                                   F.col("target") + 1))
+        one = m.transform(f.where(F.col("task_id") == t).select(
+            "task_id", "target", array_to_vector("feature").alias("features")
+        )).groupBy("task_id").agg(
+            F.avg(hit).alias("accuracy"), F.avg(loss).alias("loss"),
+            F.lit(float(np.log(m.numClasses))).alias("uniform"))
+        out = one if out is None else out.unionByName(one)
     maj = (f.groupBy("task_id", "target").count().groupBy("task_id")
-           .agg((F.max("count")).alias("_m"), F.sum("count").alias("_n"))
-           .select("task_id", (F.col("_m") / F.col("_n")).alias("majority_share")))
-    return out.join(maj, "task_id")
+           .agg(F.sum("count").alias("n"),
+                (F.max("count") / F.sum("count")).alias("majority_share")))
+    return out.join(maj, "task_id").select(
+        "task_id", "n", _r("majority_share").alias("majority_share"),
+        (F.col("accuracy") >= F.col("majority_share"))
+        .alias("reaches_majority"),
+        (F.col("loss") < F.col("uniform")).alias("loss_below_uniform"))
 
 
 # ---------------------------------------------------------------- J5 / J6
@@ -785,9 +846,11 @@ def q_j5(spark, sf):
 
 
 def _j6_sql():
-    from tasklane.operators.labels import TASK_LABELS
-    dec = " ".join(f"WHEN task_id = {t} AND pred = {i} THEN '{k}'"
-                   for t, d in TASK_LABELS.items() for k, i in d.items())
+    from tasklane.operators.labels import EMOTION_LABELS, HEADLINE_LABELS
+    dec = "WHEN task_id = 0 THEN CAST(pred AS VARCHAR) " + " ".join(
+        f"WHEN task_id = {t} AND pred = {i} THEN '{k}'"
+        for t, d in ((1, EMOTION_LABELS), (2, HEADLINE_LABELS))
+        for k, i in d.items())
     return _J_LOGITS + f"""
 SELECT CAST(id AS VARCHAR) AS id,
        CASE task_id WHEN 0 THEN 'ocnli' WHEN 1 THEN 'ocemotion' ELSE 'tnews' END AS task,

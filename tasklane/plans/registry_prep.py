@@ -184,6 +184,20 @@ def q_t10(spark, sf):
     return _docs(spark, sf).select("doc_id", T.clean(x, "headline").alias("text"))
 
 
+def _t10_fold(recipe):
+    @register(f"t10_clean_{recipe}", f"""
+SELECT doc_id, translate(translate(text || chr(9), {HALF}, {FULL}), {FULL}, {HALF}) AS text
+FROM documents""")
+    def q(spark, sf):
+        return _docs(spark, sf).select("doc_id", T.clean(T.to_full_width(
+            F.concat("text", F.lit("\t"))), recipe).alias("text"))
+    q.__doc__ = f"T10: the {recipe} recipe folds widths and keeps tabs."
+
+
+_t10_fold("pair")
+_t10_fold("test")
+
+
 # ---------------------------------------------------------------- S4 + P4/P5/P7
 
 _LINE_SPARK = ("concat(cast(doc_id as string), '_!_', cast(100 + doc_id % 17 as string), "
@@ -309,18 +323,18 @@ def q_u2(spark, sf):
     pairs = L.drop_unlabelled(conversation_pairs(spark, sf)).select(
         F.col("pos").alias("id"), "sentence1", "sentence2",
         _map_col("label", _ROLE_DICT).alias("label"))
-    emo = _docs(spark, sf).select(F.col("doc_id").alias("id"),
-                                  F.col("text").alias("sentence1"),
-                                  _map_col("lang", _LANG_DICT).alias("label"))
-    lines = _docs(spark, sf).select(F.col("doc_id").alias("line_no"),
-                                    F.expr(_LINE_SPARK).alias("value"))
-    head = parse_delimited_lines(lines, "line_no").select(
-        F.col("line_no").alias("id"), F.col("sentence").alias("sentence1"),
-        F.col("code").alias("label"))
-    parts = [L.tag_task(p, t) for p, t in ((pairs, 0), (emo, 1), (head, 2))]
-    j = parts[0]
-    for p in parts[1:]:
-        j = j.unionByName(p, allowMissingColumns=True)
+    # One scan: a document is a sample of both single-text tasks.
+    lines = read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), "text", "lang",
+        F.expr(_LINE_SPARK).alias("value"))
+    parsed = parse_delimited_lines(lines, "id", keep=["text", "lang"])
+    singles = parsed.select("id", F.inline(F.array(
+        F.struct(F.lit(1).alias("task_id"), F.col("text").alias("sentence1"),
+                 _map_col("lang", _LANG_DICT).alias("label")),
+        F.struct(F.lit(2).alias("task_id"),
+                 F.col("sentence").alias("sentence1"),
+                 F.col("code").alias("label")))))
+    j = L.tag_task(pairs, 0).unionByName(singles, allowMissingColumns=True)
     return j.select("task_id", "id", "sentence1", "sentence2", "label",
                     L.encode_task_label("label", "task_id").cast("int")
                     .alias("target"))
@@ -328,9 +342,10 @@ def q_u2(spark, sf):
 
 # ---------------------------------------------------------------- P6/P9/P10/P11
 
-_DEC_SQL = " ".join(
+_DEC_SQL = "WHEN task_id = 0 THEN CAST(pred AS VARCHAR) " + " ".join(
     f"WHEN task_id = {t} AND pred = {i} THEN '{k}'"
-    for t, d in L.TASK_LABELS.items() for k, i in d.items())
+    for t, d in ((1, L.EMOTION_LABELS), (2, L.HEADLINE_LABELS))
+    for k, i in d.items())
 
 
 @register("p6_label_decode", osql.with_(osql.SCORED, """
@@ -378,7 +393,7 @@ def q_p11(spark, sf):
 
 # ---------------------------------------------------------------- K1-K6
 
-_MD5N = "CAST(('0x' || substr({x}, 1, 8)) AS BIGINT)"
+_MD5N = "CAST(('0x' || substr({x}, 1, 15)) AS BIGINT)"
 
 
 @register("k1_folds_lineitem", """

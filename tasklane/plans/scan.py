@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,7 +64,7 @@ def _exclusive_prefix(df: DataFrame, groups: list[str], idx: str, a: str,
                          .alias("pb"))
 
 
-def scan_levels(max_idx: int, width: int = 1024) -> int:
+def scan_levels(max_idx: int, width: int = 256) -> int:
     """Fewest levels whose top group holds at most ``width`` elements."""
     levels, span = 1, width
     while max_idx >= span:
@@ -73,10 +73,11 @@ def scan_levels(max_idx: int, width: int = 1024) -> int:
 
 
 def affine_scan(df: DataFrame, groups: Sequence[str], idx: str, a: str,
-                b: str, r0: float, out: str = "r", width: int = 1024,
-                levels: int = 3) -> DataFrame:
+                b: str, r0: float | Column, out: str = "r",
+                width: int = 256, levels: int = 3) -> DataFrame:
     """Add ``out`` = r after applying maps 0..idx (inclusive) to ``r0``.
 
+    ``r0`` is a number or a column of ``df``, constant within a group.
     ``idx`` holds distinct integers increasing in the order within each
     group; they need not be dense (a chunk of ``width`` consecutive values
     holds at most ``width`` elements). The top level holds at most
@@ -85,5 +86,6 @@ def affine_scan(df: DataFrame, groups: Sequence[str], idx: str, a: str,
     groups = list(groups)
     pref = _exclusive_prefix(df, groups, idx, a, b, width, levels - 1)
     j = df.join(pref, groups + [idx], "inner")
-    return j.withColumn(out, F.col(a) * (F.col("pa") * F.lit(r0) + F.col("pb"))
+    start = r0 if isinstance(r0, Column) else F.lit(r0)
+    return j.withColumn(out, F.col(a) * (F.col("pa") * start + F.col("pb"))
                         + F.col(b)).drop("pa", "pb")

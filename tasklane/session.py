@@ -7,6 +7,7 @@ fills in settings that are unset, so a cluster's own values always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,8 +78,9 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local runs, tests) a scratch
-    folder is made here.
+    A cluster names it. Where it is unset, a local session gets a scratch
+    folder; any other session is refused, since its executors wouldn't share
+    one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -87,6 +89,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the "
+                             "driver and all executors share")
         named = tempfile.mkdtemp(prefix="tasklane-ckpt-",
                                  dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(named)

@@ -40,10 +40,13 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, out: str = "id", groups=()) -> DataFrame:
-    """P7 over file order: dense 0..n-1 by (groups, file, block, row)."""
+    """P7 over file order: dense 0..n-1 by (groups, file, block, row). The
+    rows of a block, also those of an unsplittable file, are ranked in
+    windows of 65,536 (the low 33 bits of the row id count them)."""
     from tasklane.plans.rank import two_level_rank
     r = two_level_rank(df, order=["_file", "_block", "_row"],
-                       buckets=[F.col("_file"), F.col("_block")],
+                       buckets=[F.col("_file"), F.col("_block"),
+                                F.shiftright(F.col("_row"), 16)],
                        groups=groups, out=out)
     return r.drop("_file", "_block", "_row")
 
@@ -85,12 +88,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_delimited_lines(lines: DataFrame, line_no: str = "line_no",
-                          value: str = "value", sep: str = "_!_"
-                          ) -> DataFrame:
+                          value: str = "value", sep: str = "_!_",
+                          keep: Sequence[str] = ()) -> DataFrame:
     """Split each line on ``sep``: field 1 = class code, field 3 = title.
-    Missing fields give NULL."""
-    parts = F.split(F.col(value), sep.replace("!", "\\!"))
-    return lines.select(line_no,
+    Missing fields give NULL. ``keep``: other columns to carry."""
+    parts = F.split(F.col(value), "\\Q" + sep.replace("\\E", "\\E\\\\E\\Q") + "\\E")
+    return lines.select(line_no, *keep,
                         F.try_element_at(parts, F.lit(2)).alias("code"),
                         F.try_element_at(parts, F.lit(4)).alias("sentence"))
 
@@ -112,38 +115,51 @@ def read_params(spark: SparkSession, path: str,
 
 # ---------------------------------------------------------------- S6
 
+# Tasks whose own file for a split is a CSV with header and raw labels.
+_EXPLICIT = {0: ("train", "val"), 1: ("train",), 2: ("train", "val")}
+
+
 def load_split(spark: SparkSession, spec: Mapping, task: str,
                split: str) -> DataFrame:
     """(task, split, spec) -> labelled frame with ``task_id`` and
-    ``target``. An explicit ``<task>_<split>_path`` wins; otherwise folds of
-    ``<task>_trainval_path`` (``n_folds``, ``fold``) are used.
-
-    ``spec`` keys: ``<task>_<split>_path``, ``<task>_trainval_path``,
-    ``n_folds`` (default 5), ``fold`` (default 0).
+    ``target``.
+
+    * ``<task>_<split>_path`` (train, and but for the emotion task val): CSV
+      with header and raw labels; it wins over folds.
+    * ``<task>_trainval_path``: TSV without header. ``trainval`` is all of
+      it; train and val are its folds (``n_folds``, ``fold``). The pair
+      task's labels are class numbers there, the others' are raw.
+    * ``<task>_test_path``: TSV without header and labels.
+
+    Quoted fields may hold tabs and line ends, as ``write_tsv`` and
+    ``write_csv`` write them. A raw label that isn't in the task's dictionary
+    has no target.
     """
     if split not in ("train", "val", "trainval", "test"):
         raise ValueError(f"unknown split {split!r}")
     tid = L.TASKS[task]
-    pair = tid == 0
+    schema = PAIR_TSV if tid == 0 else SINGLE_TSV
     if split == "test":
-        schema = PAIR_TEST_TSV if pair else SINGLE_TEST_TSV
-    else:
-        schema = PAIR_TSV if pair else SINGLE_TSV
-    explicit = spec.get(f"{task}_{split}_path")
-    if explicit:
-        df = read_tsv(spark, explicit, schema)
+        return read_tsv(spark, spec[f"{task}_test_path"],
+                        PAIR_TEST_TSV if tid == 0 else SINGLE_TEST_TSV,
+                        quoted=True).withColumn("task_id", F.lit(tid))
+    own = spec.get(f"{task}_{split}_path") if split in _EXPLICIT[tid] else None
+    if own:
+        df = read_csv(spark, own, schema)
     else:
-        df = read_tsv(spark, spec[f"{task}_trainval_path"], PAIR_TSV if pair
-                      else SINGLE_TSV)
+        df = read_tsv(spark, spec[f"{task}_trainval_path"], schema,
+                      quoted=True)
         k = int(spec.get("n_folds", N_FOLDS))
-        if split in ("train", "val") and k >= 2:
-            df = fold_select(stratified_folds(df, "id", "label", k),
-                             int(spec.get("fold", 0)), split).drop("fold")
+        if split != "trainval" and k >= 2:
+            df = stratified_folds(df, "id", "label", k)
+            df = fold_select(df, int(spec.get("fold", 0)), split).drop("fold")
+        else:
+            df = fold_select(df, 0, "trainval")
+    numbered = tid == 0 and not own
     df = df.withColumn("task_id", F.lit(tid))
-    if "label" in df.columns:
-        df = df.withColumn("target", L.encode_task_label("label", "task_id")
-                           .cast("int"))
-    return df
+    return df.withColumn("target", F.col("label").cast("int") if numbered
+                         else L.encode_task_label("label", "task_id")
+                         .cast("int"))
 
 
 # ---------------------------------------------------------------- sinks

@@ -21,6 +21,13 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def _changed(spark: SparkSession, path: str) -> int:
+    """When the file or folder last changed, on any store of Hadoop's."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(where).getModificationTime()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                spread: bool = False) -> DataFrame:
     """Scan a supplied table. ``spread=True`` (for tables feeding CPU-heavy
@@ -30,12 +37,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     path = table_path(sf_dir, name)
-    schema = _SCHEMAS.get(path)
+    key = (spark.sparkContext.applicationId, path, _changed(spark, path))
+    schema = _SCHEMAS.get(key)
     if schema is None:
         # First read of a table infers its schema from the footers (a small
-        # job); later reads in this process declare it and skip that job.
+        # job); later reads of the same files declare it and skip that job.
         df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
+        _SCHEMAS[key] = df.schema
     else:
         df = spark.read.schema(schema).parquet(path)
     if spread:

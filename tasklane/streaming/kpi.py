@@ -1,117 +1,164 @@
 """ST1: running task KPI over a stream of scored batches.
 
 Training consumes mini-batches in order and carries a running KPI per task
-(dynamic task priority). As a Structured Streaming job: scored rows arrive
-(one scored batch is committed whole, e.g. one file), rows are grouped by
-``task_id`` and ``applyInPandasWithState`` keeps ``r`` and the last batch id
-per task. Inside a trigger the task's batches are processed in ``batch_id``
-order; a batch id not above the last one kept in state is late and is
-dropped and counted (``late`` column on the next emitted row and in state).
-State is O(1) per task; a trigger's group holds that trigger's rows only.
+(dynamic task priority). Scored rows arrive in files; the rows of a batch may
+be spread over several files and triggers, and each says how many rows its
+batch has (``batch_rows``). Every trigger
+
+* counts its rows per (batch, task, class) with a partial aggregate,
+* adds the counts of batches that aren't complete yet,
+* emits the complete batches below the first incomplete one, in order: their
+  KPI from the counts, and the recurrence by the distributed affine scan,
+* counts rows of batches that were already passed as late.
+
+State is the counts of open batches and one number per task, written as
+Parquet for each trigger; a repeated trigger reads the state before it and
+writes its own again, so output is exactly once. No task holds all rows of
+a task, a batch or a trigger.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tasklane.functions.metrics import argmax
-from tasklane.session import checkpoint_dir
-
-OUT_SCHEMA = ("batch_id long, task_id int, kpi double, r double, w double, "
-              "late long")
-STATE_SCHEMA = "r double, last_batch long, late long"
-
-
-def batch_macro_f1(batch: np.ndarray, target: np.ndarray, pred: np.ndarray,
-                   n_cls: int, eps: float = 1e-7
-                   ) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted batch ids, KPI per batch): macro F1 of the argmax over all C
-    classes (absent classes count as 0), for every batch at once."""
-    ub, inv = np.unique(batch, return_inverse=True)
-    size = len(ub) * n_cls
-    hit = pred == target
-    tp = np.bincount(inv[hit] * n_cls + target[hit], minlength=size)
-    fn = np.bincount(inv[~hit] * n_cls + target[~hit], minlength=size)
-    fp = np.bincount(inv[~hit] * n_cls + pred[~hit], minlength=size)
-    f1 = (2 * tp / (2 * tp + fp + fn + eps)).reshape(len(ub), n_cls)
-    return ub, f1.mean(axis=1)
-
-
-def _updater(running_alpha: float, task_alpha: float, task_gamma: float,
-             r0: float):
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        task = int(key[0])
-        if state.exists:
-            r, last, late = state.get
-        else:
-            r, last, late = r0, -1, 0
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        b = pdf["batch_id"].to_numpy(np.int64)
-        fresh = b > last
-        late += int((~fresh).sum())
-        if not fresh.any():
-            state.update((float(r), int(last), int(late)))
-            return
-        ub, kpi = batch_macro_f1(
-            b[fresh], pdf["target"].to_numpy(np.int64)[fresh],
-            pdf["pred"].to_numpy(np.int64)[fresh],
-            int(pdf["n_cls"].max()))
-        out = []
-        # the recurrence itself is sequential: one step per batch
-        for bid, k in zip(ub.tolist(), kpi.tolist()):
-            r = (1.0 - running_alpha) * r + running_alpha * k
-            w = -task_alpha * (1.0 - r) ** task_gamma * np.log(r)
-            out.append((int(bid), task, k, r, w, int(late)))
-        last = int(ub[-1])
-        state.update((float(r), int(last), int(late)))
-        yield pd.DataFrame(out, columns=["batch_id", "task_id", "kpi",
-                                         "r", "w", "late"])
-    return update
-
-
-def running_kpi_stream(stream: DataFrame, running_alpha: float = 0.05,
-                       task_alpha: float = 1.0, task_gamma: float = 1.0,
-                       r0: float = 0.5) -> DataFrame:
-    """Streaming DataFrame of (batch_id, task_id, kpi, r, w, late).
-
-    The argmax is a column expression, so only (batch, target, pred) reach
-    the Python state function, which scores all batches of a trigger with
-    one ``bincount`` and keeps O(1) state per task."""
-    return stream.select(
-        "task_id", "batch_id", "target", argmax("logits").alias("pred"),
-        F.size("logits").alias("n_cls")).groupBy("task_id") \
-        .applyInPandasWithState(
-            _updater(running_alpha, task_alpha, task_gamma, r0),
-            OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+from pyspark.sql.streaming import StreamingQuery
+
+from tasklane.operators import metrics as M
+from tasklane.plans.scan import affine_scan, scan_levels
+from tasklane.session import checkpoint_dir, cut_lineage
+
+_COUNTS = ("batch_id long, task_id int, cls int, tp double, fp double, "
+           "fn double")
+_ROWS = "batch_id long, n long, batch_rows long"
+_TASKS = "task_id int, r double, last_batch long"
+OUT_SCHEMA = "batch_id long, task_id int, kpi double, r double, w double"
+LATE_SCHEMA = "batch_id long, n long"
+
+
+class _Step:
+    """One trigger: state of the trigger before in, output and state out."""
+
+    def __init__(self, base: str, running_alpha: float, task_alpha: float,
+                 task_gamma: float, r0: float):
+        self.base, self.r0 = base, r0
+        self.running_alpha = running_alpha
+        self.task_alpha, self.task_gamma = task_alpha, task_gamma
+
+    def _state(self, spark: SparkSession, epoch: int, name: str,
+               schema: str) -> DataFrame:
+        if epoch < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(
+            f"{self.base}/state/{epoch}/{name}")
+
+    def __call__(self, rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        counts0, rows0, tasks0 = (
+            self._state(spark, epoch - 1, name, schema) for name, schema in (
+                ("counts", _COUNTS), ("rows", _ROWS), ("tasks", _TASKS)))
+        # One row per task: the last batch emitted.
+        last = tasks0.agg(F.max("last_batch")).first()[0]
+        passed = F.col("batch_id") <= (-1 if last is None else last)
+        arrived = cut_lineage(rows.groupBy("batch_id").agg(
+            F.count("*").alias("n"),
+            F.max("batch_rows").cast("long").alias("batch_rows")))
+        have = cut_lineage(rows0.unionByName(arrived.where(~passed)).groupBy(
+            "batch_id").agg(F.sum("n").alias("n"),
+                            F.max("batch_rows").alias("batch_rows")))
+        counts = cut_lineage(counts0.unionByName(M.class_counts(
+            rows.where(~passed), ["batch_id"], soft=False).select(
+                "batch_id", F.col("task_id").cast("int").alias("task_id"),
+                F.col("cls").cast("int").alias("cls"), "tp", "fp", "fn"))
+            .groupBy("batch_id", "task_id", "cls").agg(
+                F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
+                F.sum("fn").alias("fn")))
+        first_open = have.where("n < batch_rows").agg(
+            F.min("batch_id")).first()[0]
+        ready = F.lit(True) if first_open is None else \
+            F.col("batch_id") < first_open
+        kpi = M.f1_from_counts(counts.where(ready), ["batch_id"], "macro",
+                               M.EPS, out="kpi")
+        seq = kpi.join(tasks0.select("task_id", F.col("r").alias("_r0")),
+                       "task_id", "left").select(
+            "batch_id", "task_id", "kpi",
+            F.coalesce("_r0", F.lit(self.r0)).alias("_r0"),
+            F.lit(1.0 - self.running_alpha).alias("_a"),
+            (F.col("kpi") * self.running_alpha).alias("_b"))
+        seq = cut_lineage(seq)
+        top = seq.agg(F.max("batch_id")).first()[0]
+        out = affine_scan(seq, ["task_id"], "batch_id", "_a", "_b",
+                          F.col("_r0"), levels=scan_levels(top or 0))
+        out = cut_lineage(out.select(
+            "batch_id", "task_id", "kpi", "r",
+            (-F.lit(self.task_alpha) * F.pow(1.0 - F.col("r"), F.lit(
+                self.task_gamma)) * F.log("r")).alias("w")))
+        out.write.mode("overwrite").parquet(f"{self.base}/out/epoch={epoch}")
+        arrived.where(passed).select("batch_id", "n").write.mode(
+            "overwrite").parquet(f"{self.base}/late/epoch={epoch}")
+        tasks = out.groupBy("task_id").agg(
+            F.max_by("r", "batch_id").alias("r"),
+            F.max("batch_id").alias("last_batch")).unionByName(tasks0)
+        tasks = tasks.groupBy("task_id").agg(
+            F.max_by("r", "last_batch").alias("r"),
+            F.max("last_batch").alias("last_batch"))
+        for name, df in (("counts", counts.where(~ready)),
+                         ("rows", have.where(~ready)), ("tasks", tasks)):
+            df.write.mode("overwrite").parquet(
+                f"{self.base}/state/{epoch}/{name}")
+
+
+def running_kpi_stream(stream: DataFrame, base: str,
+                       running_alpha: float = 0.05, task_alpha: float = 1.0,
+                       task_gamma: float = 1.0, r0: float = 0.5,
+                       trigger: dict | None = None) -> StreamingQuery:
+    """Start the stream of (batch_id, task_id, target, logits, batch_rows);
+    ``base`` is a folder on a shared store. ``read_output`` and ``read_late``
+    give its tables. A batch first seen after a later one was emitted is
+    late; its rows are counted, not lost silently."""
+    step = _Step(base, running_alpha, task_alpha, task_gamma, r0)
+    return (stream.writeStream.foreachBatch(step)
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_output(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(OUT_SCHEMA).parquet(f"{base}/out").select(
+        "batch_id", "task_id", "kpi", "r", "w")
+
+
+def read_late(spark: SparkSession, base: str) -> DataFrame:
+    """Rows that came too late, per batch."""
+    return spark.read.schema(LATE_SCHEMA).parquet(f"{base}/late").groupBy(
+        "batch_id").agg(F.sum("n").alias("n"))
+
+
+def with_batch_rows(scored: DataFrame) -> DataFrame:
+    """What the producer of a batch knows: how many rows it has."""
+    size = scored.groupBy("batch_id").agg(F.count("*").alias("batch_rows"))
+    return scored.join(size, "batch_id")
 
 
 def run_to_table(spark: SparkSession, scored: DataFrame, n_files: int = 4,
                  **kw) -> DataFrame:
-    """Replay ``scored`` as a file stream (``n_files`` commits in batch
-    order, one per trigger) through ``running_kpi_stream`` into a parquet
-    sink under the shared checkpoint folder; return the sink as a table."""
+    """Replay ``scored`` as a file stream and return its output table. Each
+    of ``n_files`` ranges of batches is committed in two halves, one trigger
+    each, so every batch is spread over triggers."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/st1-{uuid.uuid4().hex}"
-    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ckpt"
-    bounds = scored.agg({"batch_id": "max"}).collect()[0][0]
-    step = max(1, (int(bounds) + n_files) // n_files)
+    src = f"{base}/in"
+    rows = with_batch_rows(scored)
+    top = scored.agg({"batch_id": "max"}).first()[0] or 0
+    step = int(top) // n_files + 1
     for i in range(n_files):
-        part = scored.where((scored.batch_id >= i * step) &
-                            (scored.batch_id < (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(src)
-    stream = (spark.readStream.schema(scored.schema)
-              .option("maxFilesPerTrigger", 1).parquet(src))
-    q = (running_kpi_stream(stream, **kw).writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", ck)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+        for half in (0, 1):
+            rows.where((F.col("batch_id") >= i * step)
+                       & (F.col("batch_id") < (i + 1) * step)
+                       & (F.pmod(F.xxhash64("id"), F.lit(2)) == half)
+                       ).write.mode("append").parquet(src)
+    files = len(spark.read.parquet(src).inputFiles())
+    stream = (spark.readStream.schema(rows.schema)
+              .option("maxFilesPerTrigger", -(-files // (2 * n_files)))
+              .parquet(src))
+    running_kpi_stream(stream, base, **kw).awaitTermination()
+    return read_output(spark, base)

@@ -13,6 +13,7 @@ from conftest import SF_SMALL
 from tasklane.operators import (dedup, encode as E, heads as H, labels as L,
                                 losses as LS, metrics as M, params as A,
                                 pooling as P, splits as K)
+from tasklane.functions import text as T
 from tasklane.plans import fixtures as fx
 from tasklane.plans import jobs
 from tasklane.sources import io
@@ -81,9 +82,11 @@ def test_priority_dedup_packed_matches_struct(spark):
                                         payload=["x"]).drop("x")
     assert packed == sorted(map(tuple, with_payload.collect()), key=str)
     assert ("a", 1, 7) in packed and (None, 0, 4) in packed
-    bad = spark.createDataFrame([("a", 0, -1)], "k string, prio int, pos long")
-    with pytest.raises(Exception, match="packable"):
-        dedup.priority_dedup(bad, "k").collect()
+    edge = [("a", p, q) for p in (-2 ** 31, 0, 2 ** 31 - 1)
+            for q in (-2 ** 63, -1, 2 ** 41, 2 ** 63 - 1)]
+    for i in range(len(edge)):
+        df = spark.createDataFrame(edge[i:], "k string, prio int, pos long")
+        assert [tuple(r) for r in dedup.priority_dedup(df, "k").collect()] == [edge[i]]
 
 
 def test_subtract_earlier(spark):
@@ -112,6 +115,24 @@ def test_encode_pair_types(spark):
     assert r.length == 7
 
 
+def _expr_encode(df, vocab, a, b):
+    """E2 as expressions, written apart from the operator."""
+    m = F.create_map(*[F.lit(x) for r in vocab.collect() for x in (r[0], r[1])])
+
+    def ids(c):
+        chars = F.split(F.replace(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(" "),
+                                  F.lit("")), "")
+        return F.transform(F.filter(chars, lambda x: x != ""),
+                           lambda x: F.coalesce(F.try_element_at(m, x), F.lit(1)))
+    cls, sep = F.array(F.lit(2)), F.array(F.lit(3))
+    first = F.concat(cls, ids(a), sep)
+    rest = F.concat(ids(b), sep) if b else F.array().cast("array<int>")
+    return (df.withColumn("input_ids", F.concat(first, rest))
+            .withColumn("token_type_ids", F.concat(F.transform(first, lambda _: F.lit(0)),
+                                                   F.transform(rest, lambda _: F.lit(1))))
+            .withColumn("length", F.size("input_ids")))
+
+
 def test_encode_arrow_matches_expr(spark):
     vocab = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3),
                                    ("a", 4), ("中", 5), ("😀", 6), ("\t", 7)],
@@ -121,7 +142,7 @@ def test_encode_arrow_matches_expr(spark):
     df = spark.createDataFrame(rows, "k int, s1 string, s2 string").repartition(3)
     for pair in (None, "s2"):
         arrow = sorted(E.encode(df, vocab, "s1", pair).collect())
-        expr = sorted(E.encode(df, vocab, "s1", pair, method="expr").collect())
+        expr = sorted(_expr_encode(df, vocab, "s1", pair).collect())
         assert arrow == expr
     r = {x.k: x for x in E.encode(df, vocab, "s1", "s2").collect()}
     assert r[0].input_ids == [2, 4, 5, 6, 1, 3, 1, 4, 3]
@@ -236,7 +257,11 @@ def test_numpy_heads_vs_numpy(spark):
         [(i, i % 3, [float(v) for v in rng.normal(size=d)]) for i in range(30)],
         "id long, task_id int, feature array<double>")
     towers = {t: [(rng.normal(size=(d, c)), rng.normal(size=c))] for t, c in enumerate([3, 7, 10])}
-    ex = [[(rng.normal(size=(d, d)), rng.normal(size=d))] for _ in range(2)]
+    ex = [[(rng.normal(size=(d, d)), rng.normal(size=d)) for _ in range(2)] for _ in range(2)]
+
+    def expert(layers, x):
+        (w1, b1), (w2, b2) = layers
+        return np.maximum(x @ w1 + b1, 0) @ w2 + b2
     gates = {t: (rng.normal(size=(d, 2)), rng.normal(size=2)) for t in range(3)}
     model = {"towers": towers, "expert": ex[0], "experts": ex, "gate": gates[0], "gates": gates}
     X = {r.id: (np.array(r.feature), r.task_id) for r in feats.collect()}
@@ -244,17 +269,17 @@ def test_numpy_heads_vs_numpy(spark):
         got = {r.id: np.array(r.logits) for r in H.score(feats, arch, model=model).collect()}
         for i, (x, t) in X.items():
             if arch == "expert":
-                h = np.maximum(x @ ex[0][0][0] + ex[0][0][1], 0)
+                h = expert(ex[0], x)
             else:
                 gw, gb = gates[0] if arch == "moe" else gates[t]
                 g = np.exp(x @ gw + gb)
                 g /= g.sum()
-                h = sum(g[j] * np.maximum(x @ ex[j][0][0] + ex[j][0][1], 0) for j in range(2))
+                h = sum(g[j] * expert(ex[j], x) for j in range(2))
             want = h @ towers[t][0][0] + towers[t][0][1]
             assert np.allclose(got[i], want), arch
 
 
-def test_streaming_equals_batch_and_drops_late(spark):
+def test_streaming_equals_batch(spark):
     from tasklane.streaming.kpi import run_to_table
     s = fx.scored(spark, SF_SMALL)
     st = {(r.batch_id, r.task_id): r.r for r in run_to_table(spark, s, n_files=2).collect()}
@@ -263,6 +288,25 @@ def test_streaming_equals_batch_and_drops_late(spark):
     assert all(st[k] == pytest.approx(bt[k], abs=1e-12) for k in bt)
 
 
+def test_streaming_holds_open_batches_and_counts_late_rows(spark, tmp_out):
+    from tasklane.streaming import kpi
+    s = fx.scored(spark, SF_SMALL).where("batch_id < 3").withColumn("batch_rows", F.lit(32))
+    base = f"{tmp_out}/st1"
+    step = kpi._Step(base, 0.05, 1.0, 1.0, 0.5)
+    half = F.pmod(F.col("id"), F.lit(2)) == 0
+    step(s.where((F.col("batch_id") == 0) & half), 0)
+    assert kpi.read_output(spark, base).count() == 0
+    step(s.where(((F.col("batch_id") == 0) & ~half) | ((F.col("batch_id") == 2) & half)), 1)
+    assert {r.batch_id for r in kpi.read_output(spark, base).collect()} == {0}
+    last = s.where((F.col("batch_id") == 2) & ~half)
+    step(last, 2)
+    step(last, 2)          # the same trigger again changes nothing
+    assert {r.batch_id for r in kpi.read_output(spark, base).collect()} == {0, 2}
+    step(s.where("batch_id = 1"), 3)
+    assert {r.batch_id for r in kpi.read_output(spark, base).collect()} == {0, 2}
+    assert [tuple(r) for r in kpi.read_late(spark, base).collect()] == [(1, 32)]
+
+
 def test_io_roundtrips_and_jobs(spark, tmp_out):
     conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
     pairs = conv.alias("a").join(conv.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id"))
@@ -274,7 +318,7 @@ def test_io_roundtrips_and_jobs(spark, tmp_out):
     pairs.limit(5).coalesce(1).write.json(dv)
     outs = jobs.pair_task_preparation(spark, tr, dv, f"{tmp_out}/j1")
     n_keep = pairs.where(F.col("label") != "-").count()
-    back = io.read_tsv(spark, f"{tmp_out}/j1/trainval.tsv", io.PAIR_TSV, quoted=True)
+    back = io.read_csv(spark, f"{tmp_out}/j1/trainval.csv", io.PAIR_TSV)
     assert back.count() == outs["trainval"].count()
     ids = sorted(r.id for r in back.collect())
     assert ids == list(range(len(ids)))
@@ -339,7 +383,7 @@ def test_emotion_cleaning_job_brute_force(spark, tmp_out):
               " " * 8]
     sents = [re.sub(r"[\t\n\r]", " ", t) for t in docs[:30]] + extras
     _write_lines(f"{tmp_out}/train", [f"{i}\t{s}\t1" for i, s in enumerate(sents)])
-    vocab = spark.createDataFrame([(c,) for c in "哈好[]怒"], "token string")
+    vocab = spark.createDataFrame([(c,) for c in "哈好[]怒😀"], "token string")
     lex = {"😭": ":大声哭喊的脸:", "😀": ":嘿嘿:"}
     out = jobs.emotion_cleaning(spark, f"{tmp_out}/train", vocab, lex, f"{tmp_out}/out")
 
@@ -347,12 +391,12 @@ def test_emotion_cleaning_job_brute_force(spark, tmp_out):
         s = re.sub(r"(.)\1{6,}", lambda m: m.group(1) * 6, s)
         s = re.sub(r"((\[[一-龥]+\])\2{29})\2+", r"\1", s)
         s = re.sub(r"[A-Za-z]+", "", s)
-        return "".join(lex.get(c, c) for c in s)
+        return s.replace("😭", lex["😭"])      # the vocabulary knows the other
 
     got = {r.id: r.sentence for r in out["clean"].collect()}
     assert got == {i: py_clean(s) for i, s in enumerate(sents)}
     want = Counter(c for s in sents for c in s.strip(" ").replace(" ", ""))
-    for c in "哈好[]怒":
+    for c in "哈好[]怒😀":
         want.pop(c, None)
     assert {r.ch: r.n for r in out["oov"].collect()} == dict(want)
 
@@ -405,33 +449,118 @@ def test_codepoint_slices_bound_text_bytes():
     assert list(CP.slices(b, ["s"], limit=1000)) == [b]
 
 
-def test_encode_joined_matches_map_encoder(spark):
-    from tasklane.operators import vocab as V
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
-    extra = spark.createDataFrame([(10 ** 6, ""), (10 ** 6 + 1, None), (10 ** 6 + 2, " 😀 a")],
-                                  "doc_id long, text string")
-    d = docs.unionByName(extra)
-    vocab = V.build_vocab(docs, "text", 50)
-    a = {r.doc_id: (r.input_ids, r.token_type_ids, r.length)
-         for r in E.encode(d, vocab, "text", keep=["doc_id"]).collect()}
-    b = {r.doc_id: (r.input_ids, r.token_type_ids, r.length)
-         for r in E.encode_joined(d, vocab, "doc_id", "text").collect()}
-    assert a == b
-    assert a[10 ** 6] == ([2, 3], [0, 0], 2)
-    pairs = d.select("doc_id", "text", F.reverse("text").alias("t2"))
-    pa_ = {r.doc_id: tuple(r[1:]) for r in E.encode(pairs, vocab, "text", "t2", keep=["doc_id"])
-           .select("doc_id", "input_ids", "token_type_ids", "length").collect()}
-    pb = {r.doc_id: tuple(r[1:]) for r in E.encode_joined(pairs, vocab, "doc_id", "text", "t2")
-          .select("doc_id", "input_ids", "token_type_ids", "length").collect()}
-    assert pa_ == pb
-    # a vocabulary over the limit goes through the join path when a row key is given
-    old = E.MAP_LIMIT
+def test_any_vocabulary_and_lexicon_size(spark):
+    big = spark.createDataFrame([(chr(0x4E00 + i), i) for i in range(20000)]
+                                + [(chr(0x20000 + i), 50000 + i) for i in range(10000)]
+                                + [("ab", 9), ("x", 5), ("x", 7)], "token string, id int")
+    df = spark.createDataFrame([(1, chr(0x4E00 + 19999) + "x" + chr(0x20000 + 9999) + "y")],
+                               "k int, s string")
+    got = E.encode(df, big, "s").first()
+    assert got.input_ids == [2, 19999, 5, 59999, 1, 3]
+    assert E.with_length(df, "s").first().length == got.length == 6
+    lex = {chr(0x4E00 + i): f"<{i}>" for i in range(4000)} | {"<": "(", "no": "!"}
+    t = chr(0x4E00) + "<" + chr(0x4E00 + 3999) + "no"
+    one = spark.createDataFrame([(t,), (None,), ("",)], "s string")
+    assert [r[0] for r in one.select(T.replace_chars("s", lex)).collect()] == [
+        "<0>(<3999>no", None, ""]
+
+
+def test_ranks_of_sparse_positions(spark):
+    from tasklane.plans.rank import position_buckets, two_level_rank
+    ids = [i * 10 ** 6 for i in range(3000)] + [2 ** 62, 2 ** 62 + 1, -5, -2 ** 63]
+    df = spark.createDataFrame([(i, i % 2) for i in ids], "id long, g long").repartition(7)
+    got = {r.id: r["rank"] for r in two_level_rank(
+        df, ["id"], position_buckets("id")).collect()}
+    assert got == {v: k for k, v in enumerate(sorted(ids))}
+    for g in (0, 1):
+        own = sorted(i for i in ids if i % 2 == g)
+        got = {r.id: r["rank"] for r in two_level_rank(
+            df, ["id"], position_buckets("id"), groups=["g"]).where(F.col("g") == g).collect()}
+        assert got == {v: k for k, v in enumerate(own)}
+
+
+def test_errors_instead_of_lost_rows(spark):
+    f = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 5, [1.0, 2.0])],
+                              "id long, task_id int, feature array<double>")
+    h = spark.createDataFrame([(0, 0, [1.0, 1.0], 0.5), (0, 1, [0.0, 1.0], 0.0)],
+                              "task_id int, cls int, w array<double>, b double")
+    assert H.linear_head(f.where("id = 1"), h).first().logits == [3.5, 2.0]
+    assert H.single_linear_head(f, h).count() == 2
+    with pytest.raises(Exception, match="no head for task 5"):
+        H.linear_head(f, h).collect()
+    with pytest.raises(Exception, match="sizes differ"):
+        H.linear_head(f.where("id = 1").withColumn("feature", F.array(F.lit(1.0))), h).collect()
+    old = H.BROADCAST_VALUES
+    try:
+        H.BROADCAST_VALUES = 0
+        assert H.linear_head(f.where("id = 1"), h).first().logits == [3.5, 2.0]
+        with pytest.raises(Exception, match="no head for task 5"):
+            H.linear_head(f, h).collect()
+    finally:
+        H.BROADCAST_VALUES = old
+    p = spark.createDataFrame([(0, 0, "a", [1.0, 2.0, 3.0]), (1, 1, "a", [1.0, 2.0])],
+                              "model_id int, ord int, name string, vals array<double>")
+    with pytest.raises(Exception, match="sizes differ between models: a"):
+        A.average_params(p).collect()
+
+
+def test_sample_loss_options_reach_dtp_and_evaluation(spark):
+    s = fx.scored(spark, SF_SMALL)
+    a, b = (LS.multi_task_loss(s, "focal", "dtp", gamma=g).agg(F.sum("loss")).first()[0]
+            for g in (1.0, 3.0))
+    assert abs(a - b) > 1e-6
+    val = LS.multi_task_loss(s, "f1", "uni", "val").first()
+    ev = M.evaluate(s, sample="f1").first()
+    assert ev.val_loss == pytest.approx(val.val_loss)
+    assert ev.f1_tnews == pytest.approx(M.report(s).first().f1_tnews)
+
+
+def test_separator_is_plain_text(spark):
+    lines = spark.createDataFrame([(0, "1|100|x|title|y")], "line_no long, value string")
+    assert io.parse_delimited_lines(lines, sep="|").first().sentence == "title"
+
+
+def test_pooling_by_name(spark):
+    tok = fx.tokens(spark, SF_SMALL)
+    for name, fn in (("max", P.max_pool), ("mean", P.mean_pool), ("first", P.first_token),
+                     ("last", P.last_token)):
+        assert sorted(P.pool(name, tok).collect()) == sorted(fn(tok).collect())
+    lay = fx.layers(spark, SF_SMALL)
+    assert P.pool("inter", layers=lay, layer=2).count() == P.layer_select(lay, 2).count()
+    task_of = lay.select("id", (F.col("id") % 2).cast("int").alias("task_id")).distinct()
+    scores = spark.createDataFrame([(t, i, float(t + i)) for t in range(2) for i in range(4)],
+                                   "task_id int, layer int, score double")
+    mixed = {r.id: r.feature for r in P.pool("mol", layers=lay, task_of=task_of,
+                                             scores=scores).collect()}
+    old = P.MIXTURE_BROADCAST_ROWS
     try:
-        E.MAP_LIMIT = 10
-        via = {r.doc_id: (r.input_ids, r.token_type_ids, r.length) for r in
-               E.encode(d, vocab, "text", keep=["doc_id"], id_col="doc_id").collect()}
-        assert via == a
-        with pytest.raises(ValueError):
-            E.encode(d, vocab, "text")
+        P.MIXTURE_BROADCAST_ROWS = 0
+        salted = {r.id: r.feature for r in P.pool("mol", layers=lay, task_of=task_of,
+                                                  scores=scores).collect()}
     finally:
-        E.MAP_LIMIT = old
+        P.MIXTURE_BROADCAST_ROWS = old
+    assert mixed.keys() == salted.keys()
+    assert all(np.allclose(mixed[k], salted[k]) for k in mixed)
+    with pytest.raises(ValueError, match="unknown pooling"):
+        P.pool("sum", tok)
+
+
+def test_evaluate_and_predict_from_a_split(spark, tmp_out):
+    rows = spark.createDataFrame([(i, f'say "{i}"\n', ["106", "116"][i % 2]) for i in range(6)],
+                                 "id long, sentence string, label string")
+    io.write_tsv(rows, f"{tmp_out}/tv.tsv")
+    split = io.load_split(spark, {"tnews_trainval_path": f"{tmp_out}/tv.tsv"}, "tnews",
+                          "trainval")
+    feats = spark.createDataFrame([(i, 2, [float(i % 2), 1.0]) for i in range(6)],
+                                  "id long, task_id int, feature array<double>")
+    n = len(L.HEADLINE_LABELS)
+    a, b = L.HEADLINE_LABELS[106], L.HEADLINE_LABELS[116]
+    heads = spark.createDataFrame([(2, c, [4.0 * (c == b) - 4.0 * (c == a), 2.0 * (c == a)], 0.0)
+                                   for c in range(n)],
+                                  "task_id int, cls int, w array<double>, b double")
+    both = jobs.labelled_features(split, feats)
+    assert jobs.evaluate_model(both, heads, sample="focal").first().f1_tnews == 1.0
+    got = {r.id: (r.task, r.label) for r in jobs.predictions(both, heads).collect()}
+    assert got == {str(i): ("tnews", ["106", "116"][i % 2]) for i in range(6)}
+    with pytest.raises(Exception, match="no feature for id"):
+        jobs.labelled_features(split, feats.where("id < 5")).collect()

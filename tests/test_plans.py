@@ -9,14 +9,9 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 _BAD = re.compile(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython")
-# Queries that write their inputs first (file jobs and sinks) are planned
-# over their own scratch files; they are covered by test_oracle.
-_SKIP_PREFIX = ("j1_", "j2_", "j3_", "j4_", "w3_", "w4_", "s5_", "s6_", "s7_",
-                "st1_", "h8_")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries()
-                                        if not n.startswith(_SKIP_PREFIX)))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.LLM_QUERIES)))
 def test_plan_has_no_pairwise_joins_or_row_udfs(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
