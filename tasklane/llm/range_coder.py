@@ -26,7 +26,7 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 4096
-LANES = 2048               # blocks that are coded side by side
+LANES = 1024               # blocks that are coded side by side
 
 MAGIC = b"TLR1"
 _HEAD = struct.Struct("<4sBIII")     # magic, bytes per id, ids, crc32, words
@@ -209,7 +209,7 @@ def _encode_lanes(ids: np.ndarray, size: np.ndarray, width: int
     model, out = _Model(len(size), width), _Encoder(len(size))
     active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
     for t, k in enumerate(active.tolist()):
-        x = ids[t, :k]
+        x = ids[t, :k].astype(np.int64)
         model.contexts(k)
         symbol = np.where(x == model.guess[0], 0, np.where(
             x == model.guess[1], 1, 2))
@@ -232,7 +232,8 @@ def _encode_lanes(ids: np.ndarray, size: np.ndarray, width: int
 def _decode_lanes(words: list[np.ndarray], size: np.ndarray, width: int
                   ) -> np.ndarray:
     model, code = _Model(len(size), width), _Decoder(words)
-    ids = np.zeros((int(size[0]), len(size)), np.int64)
+    ids = np.zeros((int(size[0]), len(size)),
+                   np.int32 if width == 2 else np.int64)
     sixteen = np.arange(16)
     active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
     for t, k in enumerate(active.tolist()):
@@ -278,7 +279,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         order = np.argsort(-size, kind="stable")
         top = max((int(b.max()) for b in own if len(b)), default=0)
         width = 2 if top < 1 << 16 else 4
-        grid = np.zeros((int(size.max(initial=0)), len(own)), np.int64)
+        grid = np.zeros((int(size.max(initial=0)), len(own)),
+                        np.int32 if width == 2 else np.int64)
         for lane, i in enumerate(order):
             grid[:size[i], lane] = own[i]
         words = _encode_lanes(grid, size[order], width) if size.any() else [

@@ -15,8 +15,9 @@ import numpy as np
 
 from tasklane.llm import kernel as K
 
-CACHE_ENTRIES = 1 << 20
-SLICE_BYTES = 4 << 20
+CACHE_ENTRIES = 1 << 19
+SLICE_BYTES = 1 << 20
+ENCODE_TEXTS = 4096        # chunks given to the tokenizer at once
 
 
 def chunk_spans(buf: np.ndarray, off: np.ndarray
@@ -50,18 +51,21 @@ class ChunkEncoder:
         self.size = np.zeros(0, np.int64)
         self.store = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = self.encode_many(texts)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32,
-                          int(size.sum()))
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, texts: list[str]
+               ) -> None:
+        """Put new chunks at their sorted places."""
+        sizes, parts = [], [self.store]
+        for a in range(0, len(texts), ENCODE_TEXTS):
+            found = self.encode_many(texts[a:a + ENCODE_TEXTS])
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts.append(np.fromiter((i for x in found for i in x),
+                                     np.uint32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
         start = np.concatenate([[0], np.cumsum(size)[:-1]]) + len(self.store)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.size = np.concatenate([self.size, size])[order]
-        self.store = np.concatenate([self.store, ids])
+        self.known = np.insert(self.known, at, hashes)
+        self.start = np.insert(self.start, at, start)
+        self.size = np.insert(self.size, at, size)
+        self.store = np.concatenate(parts)
 
     def _slots(self, buf, starts, ends):
         h = K.span_hashes(buf, starts, ends)
@@ -75,7 +79,7 @@ class ChunkEncoder:
         new[inside] = self.known[at[inside]] != each[inside]
         if new.any():
             data = buf.tobytes()
-            self._learn(each[new], [
+            self._learn(at[new], each[new], [
                 data[a:b].decode() for a, b in zip(
                     starts[first[new]].tolist(), ends[first[new]].tolist(),
                     strict=True)])
