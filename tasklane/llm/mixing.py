@@ -132,29 +132,32 @@ def plan(documents: DataFrame, keep: list[str] | None = None,
     prepare(documents.sparkSession)
     keep = ["doc_id", "source"] if keep is None else keep
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # A source's key has no null, so that joins and windows share a
+    # partitioning: the texts are shuffled once here.
+    key = ["_named", "_name", "_bucket"]
     rows = sized(documents, keep).withColumns({
-        "_md5": digest, "_bucket": F.substring(digest, 1, BUCKET_DIGITS)})
+        "_md5": digest, "_bucket": F.substring(digest, 1, BUCKET_DIGITS),
+        "_named": F.col("source").isNotNull(),
+        "_name": F.coalesce("source", F.lit(""))})
     # Small: a row for each source and bucket that occurs.
-    sums = cut_lineage(rows.groupBy("source", "_bucket").agg(
+    sums = cut_lineage(rows.groupBy(*key).agg(
         F.sum("size").alias("bucket_size")))
     above = F.coalesce(F.sum("bucket_size").over(
-        W.partitionBy("source").orderBy("_bucket").rowsBetween(
+        W.partitionBy("_named", "_name").orderBy("_bucket").rowsBetween(
             W.unboundedPreceding, -1)), F.lit(0))
-    goal = targets(sums.groupBy("source").agg(
-        F.sum("bucket_size").alias("source_size")), weights, max_epochs)
-    goal = goal.select(F.col("source").alias("_s"), "source_size", "kind",
-                       "target")
-    placed = (sums.select("source", "_bucket", above.alias("above"))
-              .join(goal, F.col("source").eqNullSafe(F.col("_s")))
-              .select(F.col("source").alias("_s"),
-                      F.col("_bucket").alias("_b"), "above", "source_size",
-                      "kind", "target"))
-    within = W.partitionBy("source", "_bucket").orderBy(
+    source = F.when(F.col("_named"), F.col("_name")).alias("source")
+    goal = targets(sums.groupBy("_named", "_name").agg(
+        F.sum("bucket_size").alias("source_size")).select(
+            source, "source_size"), weights, max_epochs)
+    goal = goal.select(F.col("source").isNotNull().alias("_named"),
+                       F.coalesce("source", F.lit("")).alias("_name"),
+                       "source_size", "kind", "target")
+    placed = sums.select(*key, above.alias("above")).join(
+        goal, ["_named", "_name"])
+    within = W.partitionBy(*key).orderBy(
         "_md5", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(within),
-                                             F.lit(0)))
-    rows = rows.join(placed, F.col("source").eqNullSafe(F.col("_s"))
-                     & (F.col("_bucket") == F.col("_b")))
+    rows = rows.join(placed, key).withColumn("_in", F.coalesce(
+        F.sum("size").over(within), F.lit(0)))
     middle = (F.col("above") + F.col("_in")).cast("double") + F.col(
         "size") / 2.0
     epochs = F.when((F.col("size") > 0) & (middle < F.col("target")), F.least(
