@@ -204,3 +204,56 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
             .sortWithinPartitions("_first", "doc_id")
             .select("doc_id", "source", "size", "source_size", "target",
                     "taken", "positions"))
+
+
+def _invert_sql(share: str, knots: tuple) -> str:
+    """``_invert`` as SQL."""
+    step = 1.0 / (len(knots) - 1)
+    whole = sum((a + b) / 2 * step for a, b in zip(knots, knots[1:],
+                                                   strict=False))
+    out, done = "CASE", 0.0
+    for k, (a, b) in enumerate(zip(knots, knots[1:], strict=False)):
+        slope, need = (b - a) / step, f"({share} * {whole}::DOUBLE - {done}::DOUBLE)"
+        t = (f"CASE WHEN {need} <= 0 THEN 0.0::DOUBLE ELSE {need} * 2.0::DOUBLE / "
+             f"(sqrt(greatest({a * a}::DOUBLE + {need} * {slope * 2}::DOUBLE, "
+             f"0.0::DOUBLE)) + {a}::DOUBLE) END")
+        done += (a + b) / 2 * step
+        out += (f" WHEN {share} * {whole}::DOUBLE <= {done}::DOUBLE THEN "
+                f"{k * step}::DOUBLE + least({t}, {step}::DOUBLE)")
+    return f"least({out} ELSE 1.0::DOUBLE END, 1.0::DOUBLE)"
+
+
+def oracle_sql() -> str:
+    """The query in DuckDB."""
+    share = "((middle + e * source_size) / target)"
+    place = " ".join(f"WHEN {k} THEN {_invert_sql(share, s)}"
+                     for k, s in enumerate(SCHEDULES))
+    rising = "OVER (ORDER BY ratio RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    weights = ", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)
+    return f"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+    (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(WEIGHTS)} AS kind
+  FROM d GROUP BY source),
+w AS (SELECT *, [{weights}][kind + 1] AS w,
+    source_size * {float(MAX_EPOCHS)}::DOUBLE AS most FROM s),
+r AS (SELECT *, most / w AS ratio FROM w),
+f AS (SELECT *, sum(most) {rising} + ratio * (sum(w) OVER () - sum(w) {rising})
+    <= sum(source_size) OVER () AS full_ FROM r),
+t AS (SELECT source, source_size, kind, CASE WHEN full_ THEN most ELSE
+    ((sum(source_size) OVER ())::DOUBLE
+      - sum(CASE WHEN full_ THEN most ELSE 0.0::DOUBLE END) OVER ()) * w
+    / sum(CASE WHEN full_ THEN 0.0::DOUBLE ELSE w END) OVER () END AS target FROM f),
+m AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.kind, t.target,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ASC NULLS FIRST, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + size / 2.0::DOUBLE
+    AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, CASE WHEN size > 0 AND middle < target THEN
+    least(ceil((target - middle) / source_size), {MAX_EPOCHS})::INTEGER ELSE 0 END AS times
+  FROM m)
+SELECT doc_id, source, size, source_size, target, size * times AS taken,
+  list_transform(range(times), lambda e: CASE kind {place} END) AS positions
+FROM n"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tasklane.llm import licenses, url_filter
+from tasklane.llm import licenses, mixing, url_filter
 from tasklane.llm.decontaminate import op3_benchmark_decontamination
 from tasklane.llm.html_extract import op2_html_extract
 from tasklane.llm.licenses import op6_license_scan
@@ -27,4 +27,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.oracle_sql(),
-    "op6_license_scan": licenses.oracle_sql()}
+    "op6_license_scan": licenses.oracle_sql(),
+    "op7_mixing_sources": mixing.oracle_sql()}
