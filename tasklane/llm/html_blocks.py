@@ -49,7 +49,7 @@ ROLES = frozenset(
 # Words of class and id values by which sites mark such parts.
 HINTS = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner "
-    "breadcrumb breadcrumbs byline comment comments consent cookie cookies "
+    "breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright disqus donate footer gdpr header hidden login masthead menu "
     "menus modal nav navbar navigation newsletter notice notices overlay "
     "pager pagination paywall popup promo promoted promotion related reply "

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tasklane.llm import kernel as K
 from tasklane.llm.common import arrow_map, table
 
-SAMPLE_PER_CLASS = 1000
+SAMPLE_PER_CLASS = 2000
 WORD_DIM = 1 << 14
 CHAR_DIM = 1 << 14
 CHAR_N = 4
@@ -98,21 +98,29 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 250
-         ) -> Model:
-    """Full-batch Adam on the even rows, calibration on every fourth."""
+def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float,
+         steps: int = 250) -> Model:
+    """Full-batch Adam on three rows of four, with both classes counting
+    alike; calibration on the others, with good rows counting as ``share`` of
+    all, which they are in the whole label table."""
     y = np.array([r[0] for r in rows], np.float64)
     held = np.arange(len(rows)) % 4 == 3
-    size = np.array([len(r[1]) for r in rows])
-    ids = np.concatenate([r[1] for r in rows]).astype(np.int64)
-    val = np.concatenate([r[2] for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), size)
     dim = WORD_DIM + CHAR_DIM
     # Rare features stay small: each is scaled by its root mean square.
-    rms = np.sqrt(np.bincount(ids, val * val, dim) / len(rows)) + 1e-4
-    x = val / rms[ids] / 30.0
-    train = ~held[row]
-    tx, ti, tr = x[train], ids[train], row[train]
+    rms = np.zeros(dim)
+    for _, ids, values in rows:
+        rms[ids] += values.astype(np.float64) ** 2
+    rms = np.sqrt(rms / len(rows)) + 1e-4
+
+    def flat(of: np.ndarray):
+        own = np.flatnonzero(of)
+        if not len(own):
+            return np.zeros(0), np.zeros(0, np.intp), own
+        ids = np.concatenate([rows[i][1] for i in own]).astype(np.intp)
+        x = np.concatenate([rows[i][2] for i in own])
+        x /= (rms[ids] * 30.0).astype(np.float32)
+        return x, ids, np.repeat(own, [len(rows[i][1]) for i in own])
+    tx, ti, tr = flat(~held)
     weight = np.where(held, 0.0, 1.0)
     for k in (0, 1):     # classes count alike
         part = (y == k) & ~held
@@ -129,20 +137,22 @@ def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 250
         a, c = 1 - 0.9 ** step, 1 - 0.99 ** step
         w -= 0.05 * (m / a) / (np.sqrt(v / c) + 1e-8)
         b -= 0.05 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
-    score = np.bincount(row, x * w[ids], len(rows)) + b
-    slope, shift = _platt(score[held], y[held])
+    hx, hi, hr = flat(held)
+    score = np.bincount(hr, hx * w[hi], len(rows)) + b
+    slope, shift = _platt(score[held], y[held], share)
     fixed = np.round(w / rms / 30.0 * SCALE).astype(np.int64)
     return Model(fixed[:WORD_DIM], fixed[WORD_DIM:], b, slope, shift)
 
 
-def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _platt(score: np.ndarray, y: np.ndarray, share: float
+           ) -> tuple[float, float]:
     """Newton's method on the two calibration parameters, with the smoothed
     targets that keep them finite when the classes separate."""
     if len(set(y.tolist())) < 2:
         return 1.0, 0.0
     good, bad = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    weight = np.where(y == 1, 0.5 / good, 0.5 / bad)
+    weight = np.where(y == 1, share / good, (1 - share) / bad)
     x = np.stack([score, np.ones_like(score)], 1)
     p = np.array([1.0, 0.0])
     for _ in range(50):
@@ -163,6 +173,8 @@ def train(documents: DataFrame, labels: DataFrame,
     marked = (labels.where("doc_id is not null and quality in (0, 1)")
               .groupBy("doc_id").agg(F.min("quality").cast("int")
                                      .alias("quality")))
+    counts = {r.quality: r["count"]
+              for r in marked.groupBy("quality").count().collect()}
     picks = None
     for k in (0, 1):
         part = (marked.where(F.col("quality") == k)
@@ -179,7 +191,7 @@ def train(documents: DataFrame, labels: DataFrame,
              np.frombuffer(r["values"], np.float32)) for r in rows]
     if len({r[0] for r in rows}) < 2:
         return None
-    return _fit(rows)
+    return _fit(rows, counts[1] / (counts[0] + counts[1]))
 
 
 def measures(buf: np.ndarray, off: np.ndarray, starts, ends, ptr

@@ -70,6 +70,9 @@ def test_quality_model_on_held_out_rows(spark, sf_dir):
     right = judged.agg(F.avg((F.col("kept") == (F.col("quality") == 1))
                              .cast("double"))).first()[0]
     assert right > 0.95
+    few = labels.where("quality = 0").limit(1).unionByName(
+        labels.where("quality = 1").limit(1))
+    assert quality_rules.train(documents, few) is not None
     assert quality_rules.train(documents, labels.where("quality = 1")) is None
     assert quality_rules.train(documents, labels.where("false")) is None
 
