@@ -86,7 +86,7 @@ def sums(values: np.ndarray, start: np.ndarray, stop: np.ndarray
     return total[np.maximum(stop, start)] - total[start]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_MUL, pow(_MUL, -1, 1 << 64)):
