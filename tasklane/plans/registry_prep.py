@@ -324,7 +324,7 @@ def q_u2(spark, sf):
         F.col("pos").alias("id"), "sentence1", "sentence2",
         _map_col("label", _ROLE_DICT).alias("label"))
     # One scan: a document is a sample of both single-text tasks.
-    lines = read_table(spark, sf, "documents").select(
+    lines = read_table(spark, sf, "documents", spread=True).select(
         F.col("doc_id").alias("id"), "text", "lang",
         F.expr(_LINE_SPARK).alias("value"))
     parsed = parse_delimited_lines(lines, "id", keep=["text", "lang"])
