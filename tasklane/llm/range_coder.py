@@ -26,7 +26,7 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 4096
-LANES = 512                # blocks that are coded side by side
+LANES = 768                # blocks that are coded side by side
 
 MAGIC = b"TLR1"
 _HEAD = struct.Struct("<4sBIII")     # magic, bytes per id, ids, crc32, words
