@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 Words are runs of letters and digits (any byte outside ASCII counts as a
-letter), lower-cased. Every window of a few successive n-grams of a test item
-gives its rarest one, by its count over the whole corpus, as a seed: a run of
-``SEED_N + SEED_WINDOW - 1`` unchanged words always holds one. A text that
-has a seed is aligned with that item around the seed, by word, with
-Smith-Waterman; edited, cut or reordered copies keep a high score. A text is
-contaminated if an alignment reaches ``MIN_SCORE`` of an item's perfect score.
+letter), lower-cased. Every n-gram of a test item is a seed, so any run of
+``SEED_N`` unchanged words holds one. A text that has a seed is aligned with
+that item around the seed, by word, with Smith-Waterman; edited, cut or
+reordered copies keep a high score. A text is contaminated if an alignment
+reaches ``MIN_SCORE`` of an item's perfect score. Places where too few of the
+item's words stand near the seed for any alignment to reach it are skipped.
 
 Test items are a stated query set. They are read in blocks of bounded size
 (``BLOCK_WORDS``); each block's hashes travel to the tasks and every text is
@@ -29,7 +29,6 @@ from tasklane.llm import kernel as K
 from tasklane.llm.common import arrow_map, table
 
 SEED_N = 3
-SEED_WINDOW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 BLOCK_WORDS = 1 << 20
@@ -98,19 +97,6 @@ def _grams(words: np.ndarray, ptr: np.ndarray, n: int):
     return K.gram_hashes(words, n)[at], at
 
 
-def _count_batches(grams: np.ndarray, n: int):
-    def run(batches, schema):
-        known, count = Lookup(grams), np.zeros(len(grams), np.int64)
-        for batch in K.byte_slices(batches, "text"):
-            got, _ = _grams(*_words(batch.column("text")), n)
-            count += np.bincount(known.find(got)[1], minlength=len(grams))
-        at = np.flatnonzero(count)
-        if len(at):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(count[at])], schema=schema)
-    return run
-
-
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS
                 ) -> list[list[tuple]]:
     """Distinct ``(item_id, text)`` rows in blocks of bounded total length.
@@ -125,10 +111,8 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS
             for b in range(blocks)]
 
 
-def prepare_items(rows: list[tuple], documents: DataFrame, n: int = SEED_N,
-                  window: int = SEED_WINDOW) -> Items | None:
-    """Items of at least ``n`` words with their seeds; counts of the items'
-    n-grams come from every text of ``documents``."""
+def prepare_items(rows: list[tuple], n: int = SEED_N) -> Items | None:
+    """Items of at least ``n`` words with all their n-grams as seeds."""
     words, ptr = _words(pa.array([r[1] for r in rows], pa.string()))
     keep = np.flatnonzero(np.diff(ptr) >= n)
     if not len(keep):
@@ -137,26 +121,12 @@ def prepare_items(rows: list[tuple], documents: DataFrame, n: int = SEED_N,
     ptr = np.concatenate([[0], np.cumsum(np.diff(ptr)[keep])])
     ids = [rows[i][0] for i in keep]
     grams, at = _grams(words, ptr, n)
-    each = np.unique(grams)
-    counts = arrow_map(documents.select("text"), _count_batches(each, n),
-                       T.StructType([T.StructField("gram", T.LongType()),
-                                     T.StructField("n", T.LongType())]))
-    times = np.zeros(len(each), np.int64)
-    for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        times[r.gram] = r.n
-    rare = times[np.searchsorted(each, grams)]
+    order = np.argsort(grams, kind="stable")
+    grams, at = grams[order], at[order]
+    seeds, first = np.unique(grams, return_index=True)
     row = np.searchsorted(ptr, at, side="right") - 1
-    chosen = set()
-    for i in range(len(ids)):
-        own = np.flatnonzero(row == i)
-        for a in range(max(1, len(own) - window + 1)):
-            part = own[a:a + window]
-            chosen.add(int(part[np.argmin(rare[part])]))
-    pick = np.array(sorted(chosen), np.int64)
-    pick = pick[np.argsort(grams[pick], kind="stable")]
-    seeds, first = np.unique(grams[pick], return_index=True)
-    return Items(ids, words, ptr, seeds, np.append(first, len(pick)),
-                 row[pick], at[pick] - ptr[row[pick]])
+    return Items(ids, words, ptr, seeds, np.append(first, len(at)),
+                 row, at - ptr[row])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -199,15 +169,19 @@ def _hits(items: Items, known: Lookup, words, ptr, n: int, min_score: float):
     left = np.maximum(begin - slack, ptr[row])
     right = np.minimum(begin + size + slack, ptr[row + 1])
     # Windows of a row and item that overlap are aligned as one.
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (
+        left[1:] > right[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(row)) - 1
     done: dict[tuple[int, int], tuple[int, int, int]] = {}
-    k = 0
-    while k < len(row):
-        i, j, a, b = int(row[k]), int(item[k]), int(left[k]), int(right[k])
-        k += 1
-        while k < len(row) and row[k] == i and item[k] == j and left[k] <= b:
-            b = max(b, int(right[k]))
-            k += 1
+    for i, j, a, b in zip(row[first].tolist(), item[first].tolist(),
+                          left[first].tolist(), right[last].tolist(),
+                          strict=True):
         own = items.words[items.ptr[j]:items.ptr[j + 1]]
+        # No alignment matches more words than stand in both.
+        if np.isin(own, words[a:b]).sum() < min_score * len(own):
+            continue
         score, end = align(own, words[a:b])
         if score >= min_score * MATCH * len(own) and score > done.get(
                 (i, j), (0,))[0]:
@@ -240,8 +214,7 @@ _HIT = "array<struct<item_id: bigint, score: double, start: bigint, " \
 
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame,
                    keep: list[str] | None = None, n: int = SEED_N,
-                   window: int = SEED_WINDOW, min_score: float = MIN_SCORE
-                   ) -> DataFrame:
+                   min_score: float = MIN_SCORE) -> DataFrame:
     """One row for each row of ``documents``: the columns in ``keep``
     (default ``doc_id``; not named ``hits``) and ``hits``, the test items it
     holds with their score (share of a perfect one) and the words of the
@@ -253,7 +226,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame,
     tables give no rows or no hits."""
     keep = ["doc_id"] if keep is None else keep
     need = list(dict.fromkeys([*keep, "text"]))
-    blocks = [prepare_items(rows, documents, n, window)
+    blocks = [prepare_items(rows, n)
               for rows in item_blocks(benchmark)]
     blocks = [b for b in blocks if b is not None]
     found = documents.select(*need)

@@ -185,6 +185,37 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontaminate.benchmark_hits(df.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("edit", ["replace", "insert", "delete"])
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_decontamination_finds_copies_edited_throughout(spark, edit, every):
+    rng = np.random.default_rng(13)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [rng.choice(vocab, 36).tolist() for _ in range(4)]
+
+    def copy(item):
+        out = []
+        for k, w in enumerate(item, 1):
+            if k % every:
+                out.append(w)
+            elif edit != "delete":
+                out += [w, "new"] if edit == "insert" else ["new"]
+        return out
+    # Many equal copies and a verbatim one don't hide one another.
+    docs = [(k, " ".join([*rng.choice(vocab, 50), *copy(items[k % 4]),
+                          *rng.choice(vocab, 50)])) for k in range(40)]
+    docs += [(100, " ".join(items[0])),
+             *[(200 + k, " ".join(rng.choice(vocab, 136)))
+               for k in range(10)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(
+        [(k, " ".join(w)) for k, w in enumerate(items)],
+        "item_id long, text string")
+    got = {r.doc_id: [h.item_id for h in r.hits] for r in
+           decontaminate.benchmark_hits(df, bench).collect()}
+    assert got == {k: [k % 4] for k in range(40)} | {100: [0]} | {
+        200 + k: [] for k in range(10)}
+
+
 def _words(rng, n):
     return " ".join(rng.choice([f"x{i}" for i in range(5000)], n))
 
