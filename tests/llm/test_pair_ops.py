@@ -241,6 +241,49 @@ def test_pages_without_an_article_lose_what_the_host_repeats(spark):
     assert html_extract.html_extract(df.where("false")).count() == 0
 
 
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(3)
+    for top in (5, 300, 1 << 22, 1 << 40):
+        x = np.unique(rng.integers(0, top, 1000))
+        assert (html_extract.unpack(html_extract.pack(x)) == x).all()
+    assert not len(html_extract.unpack(html_extract.pack(np.zeros(0, int))))
+
+
+def test_runs_count_over_the_whole_host(spark):
+    rng = np.random.default_rng(10)
+    section, few, note = (_words(rng, n) for n in (14, 15, 16))
+    rows, want = [], {}
+    for i in range(300):
+        body = _words(rng, 20)
+        more = section if i % 20 == 0 else few if i % 50 == 1 else ""
+        url, text = f"http://h.com/{i}", [body, more] if more == few else [
+            body]
+        if i < 20:      # an article, its note outside of others' articles
+            rows.append((i, url, f"<article><p>{body}</p><p>{note}</p>"
+                         f"</article><footer>{note}</footer>"))
+            text = [body]
+        else:
+            rows.append((i, url, f"<p>{body}</p><p>{more}</p>"))
+        want[i] = "\n".join(text)
+    # Copies of a page count once, whatever group they are in.
+    copied = _words(rng, 25)
+    rows += [(1000 + i, f"http://h.com/c{i}", f"<p>{copied}</p>")
+             for i in range(40)]
+    want |= {1000 + i: copied for i in range(40)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (4, 64, 1000):
+        got = html_extract.html_extract(df, group_pages=size).collect()
+        assert {r.page_id: r.text for r in got} == want
+    # A large host of few distinct pages is like a small one.
+    same = spark.createDataFrame(
+        [(i, f"http://h.com/{i}", f"<p>{note}</p><p>{few if i % 2 else body}"
+          f"</p>") for i in range(60)],
+        "page_id long, url string, html string")
+    for size in (8, 1000):
+        assert all(r.n_removed == 0 for r in html_extract.html_extract(
+            same, group_pages=size).collect())
+
+
 def test_articles_keep_what_they_share(spark):
     rng = np.random.default_rng(9)
     shared, note = _words(rng, 60), _words(rng, 15)
