@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 MAIN, REST, CHROME = 0, 1, 2
@@ -56,6 +57,12 @@ HINTS = frozenset(
     "replies respond search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription taboola toolbar topbar widget "
     "widgets".split())
+# Words that beside hints still name a part: share-buttons, related-posts.
+PARTS = frozenset(
+    "area bar block body box btn button buttons card cards container content "
+    "feed field form group icon icons inner item items link links list panel "
+    "post posts row section slot thread title unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 # What the class of an article element may say to be no article.
 NO_ARTICLE = frozenset("ad ads advert advertisement comment comments reply "
                        "sponsored promo related teaser".split())
@@ -70,8 +77,63 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _named_parts(names: str) -> set[str]:
+    """Hints among class tokens and ids that name nothing but page parts; a
+    slug such as ``related-work`` isn't one."""
+    out: set[str] = set()
+    for token in names.split():
+        words = set(_WORD.findall(token))
+        if words & HINTS and words <= HINTS | PARTS:
+            out |= words & HINTS
+    return out
+
+
+class Forms:
+    """Which forms of a page hold an article, a main element or most of its
+    text; found in one pass, when first asked."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, None
+
+    def _read(self) -> None:
+        self.ends, self.bodies, self.at, self.sums = [], [], [0], [0]
+        pos, total, size = 0, 0, len(self.page)
+        while pos < size:
+            m = _TAG.search(self.page, pos)
+            stop = m.start() if m else size
+            total += sum(map(len, self.page[pos:stop].split()))
+            pos = m.end() if m else size
+            self.at.append(pos)
+            self.sums.append(total)
+            name = m[2].lower() if m and m[2] else ""
+            if name == "form" and m[1]:
+                self.ends.append(pos)
+            elif name and not m[1]:
+                if name in RAW:
+                    end = re.compile(rf"</{name}\s*>?", re.I).search(
+                        self.page, pos)
+                    pos = end.end() if end else size
+                elif name in ("article", "main") or _attributes(m[3]).get(
+                        "role", "").lower() in ("article", "main"):
+                    self.bodies.append(pos)
+
+    def contains(self, pos: int) -> bool:
+        """Whether the form whose start tag ends at ``pos`` is a container."""
+        if self.ends is None:
+            self._read()
+        k = bisect_left(self.ends, pos)
+        end = self.ends[k] if k < len(self.ends) else len(self.page)
+        k = bisect_left(self.bodies, pos)
+        if k < len(self.bodies) and self.bodies[k] <= end:
+            return True
+        own = self.sums[bisect_right(self.at, end) - 1] - self.sums[
+            bisect_right(self.at, pos) - 1]
+        return 2 * own > self.sums[-1]
+
+
 def _dropped(name: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element starts a part that isn't article text."""
+    """Whether an element starts a part that isn't article text. A form that
+    is a mere container comes under the name ``div``."""
     if name in DROP or name == "header" and not in_article:
         return True
     if not attrs or name in ("html", "body", "main"):
@@ -87,7 +149,12 @@ def _dropped(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
     if name == "article":
         return bool(words & NO_ARTICLE)
+    if in_article and name in HEADINGS:
+        return False
     found = words & HINTS
+    if found and (in_article or name in HEADINGS or name == "section"):
+        found = _named_parts(
+            f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
     if in_article:
         found = found - {"header"}
     return bool(found) and not words & LAYOUT
@@ -108,6 +175,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     # name, dropped, in article, in main
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
     is_open: Counter = Counter()
+    forms = Forms(page)
     pos, size = 0, len(page)
 
     def flush() -> None:
@@ -168,7 +236,12 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         _, drop, article, main = stack[-1]
         attrs = _attributes(m[3]) if m[3].strip() else {}
         if not drop:
-            drop = _dropped(name, attrs, article)
+            kind = name
+            if name == "form" and (is_open["form"] or forms.contains(pos)):
+                kind = "div"
+                if attrs.get("role", "").lower() == "form":
+                    attrs.pop("role")
+            drop = _dropped(kind, attrs, article)
         if not drop:
             role = attrs.get("role", "").lower()
             article = article or name == "article" or role == "article"

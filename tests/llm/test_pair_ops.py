@@ -347,6 +347,24 @@ def test_blocks(page, want):
     assert html_blocks.blocks(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><section id='related-work'><h2 id='role-of-advertising'>a</h2>"
+     "<p id='notice-period'>b</p><div class='social-science'>c</div></section>"
+     "<div class='related-posts'>d</div><div id='share'>e</div></article>",
+     [(0, "a"), (0, "b"), (0, "c"), (2, "d"), (2, "e")]),
+    ("<h2 id='role-of-advertising'>a</h2><section id='related-work'>b"
+     "</section><div id='main-nav'>c</div>", [(1, "a"), (1, "b"), (2, "c")]),
+    ("<form id='aspnetForm' role='form'><nav>n</nav><article>text<select>"
+     "<option>s</select></article><button>go</button></form>",
+     [(2, "n"), (0, "text"), (2, "s"), (2, "go")]),
+    ("<p>few</p><form><p>most of the text of a page</p><button>go</button>"
+     "</form>", [(1, "few"), (1, "most of the text of a page"), (2, "go")]),
+    ("<p>most of the text</p><form>find</form>",
+     [(1, "most of the text"), (2, "find")])])
+def test_blocks_keep_article_text_beside_hints_and_forms(page, want):
+    assert html_blocks.blocks(page) == want
+
+
 def test_blocks_of_deep_and_long_pages():
     deep = "<div>" * 3000 + "x" + "</p></i>" * 3000 + "</div>" * 3000 + "y"
     assert html_blocks.blocks(deep) == [(1, "x"), (1, "y")]
