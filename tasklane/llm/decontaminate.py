@@ -5,8 +5,10 @@ letter), lower-cased. Every n-gram of a test item is a seed, so any run of
 ``SEED_N`` unchanged words holds one. A text that has a seed is aligned with
 that item around the seed, by word, with Smith-Waterman; edited, cut or
 reordered copies keep a high score. A text is contaminated if an alignment
-reaches ``MIN_SCORE`` of an item's perfect score. Places where too few of the
-item's words stand near the seed for any alignment to reach it are skipped.
+reaches ``MIN_SCORE`` of an item's perfect score, or, so that a part of a long
+item counts as well, if one has ``MIN_WORDS`` equal words more than
+``EDIT_WORDS`` for each edit. Places where too few of the item's words stand
+near the seed for any alignment to reach either are skipped.
 
 Test items are a stated query set. They are read in blocks of bounded size
 (``BLOCK_WORDS``); each block's hashes travel to the tasks and every text is
@@ -31,6 +33,8 @@ from tasklane.llm.common import arrow_map, table
 SEED_N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
+MIN_WORDS = 13
+EDIT_WORDS = 3
 BLOCK_WORDS = 1 << 20
 
 _BETWEEN = np.ones(256, bool)
@@ -129,17 +133,18 @@ def prepare_items(rows: list[tuple], n: int = SEED_N) -> Items | None:
                  row, at - ptr[row])
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+def align(item: np.ndarray, text: np.ndarray, match: int = MATCH,
+          mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int]:
     """Smith-Waterman, linear gaps: the best local score and where in ``text``
     one alignment with it ends (the shortest part of the item). Rows run over the item; a running maximum
     carries gaps along a row."""
-    slide = np.arange(len(text) + 1, dtype=np.int64) * -GAP
+    slide = np.arange(len(text) + 1, dtype=np.int64) * -gap
     above = np.zeros(len(text) + 1, np.int64)
     best, end = 0, 0
     for w in item:
         row = np.zeros(len(text) + 1, np.int64)
-        row[1:] = above[:-1] + np.where(text == w, MATCH, MISMATCH)
-        np.maximum(row, above + GAP, out=row)
+        row[1:] = above[:-1] + np.where(text == w, match, mismatch)
+        np.maximum(row, above + gap, out=row)
         np.maximum(row, 0, out=row)
         row = np.maximum.accumulate(row + slide) - slide
         top = int(row.argmax())
@@ -149,9 +154,10 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _hits(items: Items, known: Lookup, words, ptr, n: int, min_score: float):
+def _hits(items: Items, known: Lookup, words, ptr, n: int, min_score: float,
+          min_words: int):
     """``(row, item, score, start word, end word)`` of the alignments that
-    reach the threshold: the best of each row and item."""
+    reach a threshold: the best of each row and item."""
     grams, at = _grams(words, ptr, n)
     where, seed = known.find(grams)
     if not len(where):
@@ -180,12 +186,23 @@ def _hits(items: Items, known: Lookup, words, ptr, n: int, min_score: float):
                           strict=True):
         own = items.words[items.ptr[j]:items.ptr[j + 1]]
         # No alignment matches more words than stand in both.
-        if np.isin(own, words[a:b]).sum() < min_score * len(own):
+        both = int(np.isin(own, words[a:b]).sum())
+        if both < min(min_score * len(own), min_words):
             continue
         score, end = align(own, words[a:b])
-        if score >= min_score * MATCH * len(own) and score > done.get(
-                (i, j), (0,))[0]:
-            back = align(own[::-1], words[a:a + end][::-1])[1]
+        if score < min_score * MATCH * len(own):
+            # A part alone. Its span is that of the stricter alignment.
+            score, end = align(own, words[a:b], 1, *[-EDIT_WORDS] * 2
+                               ) if both >= min_words else (0, 0)
+            if score < min_words:
+                continue
+            back = align(own[::-1], words[a:a + end][::-1], 1,
+                         *[-EDIT_WORDS] * 2)[1]
+            score = align(own, words[a + end - back:a + end])[0]
+        else:
+            back = 0
+        if score > done.get((i, j), (0,))[0]:
+            back = back or align(own[::-1], words[a:a + end][::-1])[1]
             done[i, j] = (score, a + end - back - int(ptr[i]),
                           a + end - int(ptr[i]))
     for (i, j), found in done.items():
@@ -193,14 +210,15 @@ def _hits(items: Items, known: Lookup, words, ptr, n: int, min_score: float):
         yield i, j, found[0] / full, found[1], found[2]
 
 
-def _match_batches(items: Items, keep, n: int, min_score: float):
+def _match_batches(items: Items, keep, n: int, min_score: float,
+                   min_words: int):
     def run(batches, schema):
         known = Lookup(items.seeds)
         for batch in K.byte_slices(batches, "text"):
             words, ptr = _words(batch.column("text"))
             own: list[list] = [[] for _ in range(batch.num_rows)]
             for i, j, score, a, b in _hits(items, known, words, ptr, n,
-                                           min_score):
+                                           min_score, min_words):
                 own[i].append({"item_id": items.ids[j], "score": score,
                                "start": a, "end": b})
             yield K.with_columns(batch, keep, {
@@ -214,7 +232,8 @@ _HIT = "array<struct<item_id: bigint, score: double, start: bigint, " \
 
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame,
                    keep: list[str] | None = None, n: int = SEED_N,
-                   min_score: float = MIN_SCORE) -> DataFrame:
+                   min_score: float = MIN_SCORE, min_words: int = MIN_WORDS
+                   ) -> DataFrame:
     """One row for each row of ``documents``: the columns in ``keep``
     (default ``doc_id``; not named ``hits``) and ``hits``, the test items it
     holds with their score (share of a perfect one) and the words of the
@@ -238,7 +257,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame,
         inner = T.StructType([*found.schema.fields, T.StructField(
             "hits", T._parse_datatype_string(_HIT))])
         found = arrow_map(found, _match_batches(
-            items, found.columns, n, min_score), inner
+            items, found.columns, n, min_score, min_words), inner
         ).withColumnRenamed("hits", parts[-1])
     return found.select(*keep, reduce(
         lambda a, b: F.concat(a, b), [F.col(p) for p in parts]

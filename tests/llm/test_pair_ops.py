@@ -216,6 +216,32 @@ def test_decontamination_finds_copies_edited_throughout(spark, edit, every):
         200 + k: [] for k in range(10)}
 
 
+def test_decontamination_finds_parts_of_long_items(spark):
+    rng = np.random.default_rng(14)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [rng.choice(vocab, n).tolist() for n in (59, 400, 2000)]
+
+    def edited(words, every):
+        return [w if k % every else "new" for k, w in enumerate(words, 1)]
+    parts = [(items[0][20:49], 0), (items[2][600:1500], 2),
+             (edited(items[1][100:160], 6), 1),
+             (edited(items[2][:150], 5), 2), (items[1][50:63], 1),
+             (items[1][50:62], None), (edited(items[1][100:160], 3), None)]
+    docs = [(k, " ".join([*rng.choice(vocab, 80), "before", *p, "after",
+                          *rng.choice(vocab, 80)]))
+            for k, (p, _) in enumerate(parts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(
+        [(k, " ".join(w)) for k, w in enumerate(items)],
+        "item_id long, text string")
+    got = {r.doc_id: r.hits for r in
+           decontaminate.benchmark_hits(df, bench).collect()}
+    assert {k: [h.item_id for h in v] for k, v in got.items()} == {
+        k: [] if j is None else [j] for k, (_, j) in enumerate(parts)}
+    assert (got[0][0].start, got[0][0].end) == (81, 110)
+    assert got[1][0].score == 900 / 2000
+
+
 def _words(rng, n):
     return " ".join(rng.choice([f"x{i}" for i in range(5000)], n))
 
