@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tasklane.llm import licenses, mixing, url_filter
+from tasklane.llm import hard_negatives, licenses, mixing, url_filter
+from tasklane.llm.best_fit import op13_best_fit_packing
+from tasklane.llm.conversation_repair import op12_conversation_repair
 from tasklane.llm.decontaminate import op3_benchmark_decontamination
+from tasklane.llm.hard_negatives import op11_hard_negative_mining
 from tasklane.llm.html_extract import op2_html_extract
 from tasklane.llm.licenses import op6_license_scan
 from tasklane.llm.mixing import op7_mixing_sources
@@ -23,9 +26,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_url_filter, op2_html_extract, op3_benchmark_decontamination,
         op4_token_counts, op5_token_output, op6_license_scan,
         op7_mixing_sources, op8_secret_scan, op9_simhash_near_dedup,
-        op10_quality_rules)}
+        op10_quality_rules, op11_hard_negative_mining,
+        op12_conversation_repair, op13_best_fit_packing)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.oracle_sql(),
     "op6_license_scan": licenses.oracle_sql(),
-    "op7_mixing_sources": mixing.oracle_sql()}
+    "op7_mixing_sources": mixing.oracle_sql(),
+    "op11_hard_negative_mining": hard_negatives.oracle_sql()}
