@@ -367,6 +367,6 @@ SELECT p.anchor_id, p.id AS positive_id,
   n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
 FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
   AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
-QUALIFY row_number() OVER first <= 5
 WINDOW first AS (PARTITION BY p.anchor_id, p.id
-  ORDER BY n.score DESC, n.id)"""
+  ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER first <= 5"""
