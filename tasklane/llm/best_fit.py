@@ -143,8 +143,8 @@ def _piece_batches(vocabulary: str | None, end_id: int, capacity: int):
     """Each document's ids with the end id, cut; nothing of the ids is kept
     but the checksums. ``nth`` counts the task's pieces of a length."""
     def run(batches, schema):
-        own = tokens.ChunkEncoder(tokens.bpe_json(
-            vocabulary or tokens.vocabulary(VOCABULARY)))
+        own = tokens.json_encoder(
+            vocabulary or tokens.vocabulary(VOCABULARY))
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in K.byte_slices(batches, "text", tokens.SLICE_BYTES):

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+STRIDE = 1 << 17           # bytes hashed by one running sum
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -87,10 +88,11 @@ def sums(values: np.ndarray, start: np.ndarray, stop: np.ndarray
 
 
 @lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, for two strides."""
     out = []
     for base in (_MUL, pow(_MUL, -1, 1 << 64)):
-        run = np.full(size, base, _U)
+        run = np.full(2 * STRIDE, base, _U)
         run[0] = 1
         out.append(np.cumprod(run, dtype=_U))
     return out[0], out[1]
@@ -103,17 +105,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _polynomial(data: np.ndarray, up: np.ndarray) -> int:
+    """A long span's polynomial, stride by stride."""
+    total, scale = 0, 1
+    jump = pow(_MUL, STRIDE, 1 << 64)
+    for a in range(0, len(data), STRIDE):
+        part = data[a:a + STRIDE].astype(_U) + _U(1)
+        part *= up[:len(part)]
+        total += int(part.sum(dtype=_U)) * scale
+        scale = scale * jump % (1 << 64)
+    return total % (1 << 64)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray
                 ) -> np.ndarray:
     """64-bit hash of each byte span: a polynomial in the bytes, taken from
-    one running sum over the buffer, then finalised with the length."""
-    size = 1 << max(16, int(len(buf)).bit_length())
-    up, down = _powers(size)
-    run = np.zeros(len(buf) + 1, _U)
-    np.cumsum((buf.astype(_U) + _U(1)) * up[:len(buf)], dtype=_U,
-              out=run[1:])
-    value = (run[ends] - run[starts]) * down[starts]
-    return mix(value ^ ((ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)))
+    running sums, then finalised with the length. A sum covers a stride of
+    the buffer and the spans that start in it, so what this needs beside the
+    spans is the same for a buffer of any length; a longer span has sums of
+    its own."""
+    if len(starts) and (starts[1:] < starts[:-1]).any():
+        order = np.argsort(starts, kind="stable")
+        out = np.empty(len(starts), _U)
+        out[order] = span_hashes(buf, starts[order], ends[order])
+        return out
+    up, down = _powers()
+    value = np.zeros(len(starts), _U)
+    size = ends - starts
+    edge = np.searchsorted(starts, np.arange(0, len(buf) + STRIDE, STRIDE))
+    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if a == z:
+            continue
+        small = a + np.flatnonzero(size[a:z] <= STRIDE)
+        if len(small):
+            base = int(starts[small[0]])
+            part = buf[base:int(ends[small].max())].astype(_U)
+            part += _U(1)
+            part *= up[:len(part)]
+            run = np.zeros(len(part) + 1, _U)
+            np.cumsum(part, dtype=_U, out=run[1:])
+            value[small] = (run[ends[small] - base]
+                            - run[starts[small] - base]
+                            ) * down[starts[small] - base]
+    for i in np.flatnonzero(size > STRIDE).tolist():
+        value[i] = _polynomial(buf[starts[i]:ends[i]], up)
+    return mix(value ^ (size.astype(_U) * _U(0xD6E8FEB86659FD93)))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

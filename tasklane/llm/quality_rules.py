@@ -98,49 +98,79 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float,
-         steps: int = 250) -> Model:
-    """Full-batch Adam on three rows of four, with both classes counting
-    alike; calibration on the others, with good rows counting as ``share`` of
-    all, which they are in the whole label table."""
+class _Sparse:
+    """Feature values of some rows, by row and by feature."""
+
+    def __init__(self, rows: list[tuple], scale: np.ndarray):
+        self.n = len(rows)
+        self.ids = np.concatenate([r[1] for r in rows]).astype(np.intp)
+        self.x = np.concatenate([r[2] for r in rows]) / scale[self.ids]
+        self.row = np.repeat(np.arange(self.n), [len(r[1]) for r in rows])
+        order = np.argsort(self.ids, kind="stable")
+        self.by, self.by_row = self.x[order], self.row[order]
+        ids = self.ids[order]
+        self.edge = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        self.used = ids[self.edge]
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.x * w[self.ids], self.n)
+
+    def gradient(self, err: np.ndarray) -> np.ndarray:
+        """For the features in ``used``."""
+        return np.add.reduceat(self.by * err[self.by_row], self.edge)
+
+
+def _descend(rows: list[tuple], scale: np.ndarray, w: np.ndarray, b: float,
+             steps: int) -> tuple[np.ndarray, float]:
+    """Full-batch Adam from given weights, both classes counting alike, until
+    the loss stands still."""
     y = np.array([r[0] for r in rows], np.float64)
-    held = np.arange(len(rows)) % 4 == 3
+    of = _Sparse(rows, scale)
+    weight = np.zeros(len(y))
+    for k in (0, 1):
+        weight[y == k] = 1 / max(1, (y == k).sum())
+    u = w[of.used]
+    m, v = np.zeros((2, len(u) + 1))
+    before = np.inf
+    for step in range(1, steps + 1):
+        w[of.used] = u
+        p = _sigmoid(of.scores(w) + b)
+        if step % 10 == 0:
+            loss = -(weight * np.log(np.where(y == 1, p, 1 - p) + 1e-300)
+                     ).sum()
+            if before - loss < 1e-3 * before:
+                break
+            before = loss
+        err = (p - y) * weight
+        g = np.append(of.gradient(err) + 1e-5 * u, err.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = 0.05 * (m / (1 - 0.9 ** step)) / (
+            np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        u, b = u - move[:-1], b - move[-1]
+    w[of.used] = u
+    return w, float(b)
+
+
+def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float,
+         steps: int = 250, more: int = 60) -> Model:
+    """Weights of three rows of four are calibrated on the others, with good
+    rows counting as ``share`` of all, which they are in the whole label
+    table; then all rows take part in some more steps."""
     dim = WORD_DIM + CHAR_DIM
     # Rare features stay small: each is scaled by its root mean square.
     rms = np.zeros(dim)
     for _, ids, values in rows:
         rms[ids] += values.astype(np.float64) ** 2
-    rms = np.sqrt(rms / len(rows)) + 1e-4
-
-    def flat(of: np.ndarray):
-        own = np.flatnonzero(of)
-        if not len(own):
-            return np.zeros(0), np.zeros(0, np.intp), own
-        ids = np.concatenate([rows[i][1] for i in own]).astype(np.intp)
-        x = np.concatenate([rows[i][2] for i in own])
-        x /= (rms[ids] * 30.0).astype(np.float32)
-        return x, ids, np.repeat(own, [len(rows[i][1]) for i in own])
-    tx, ti, tr = flat(~held)
-    weight = np.where(held, 0.0, 1.0)
-    for k in (0, 1):     # classes count alike
-        part = (y == k) & ~held
-        weight[part] /= max(1, part.sum())
-    w, b = np.zeros(dim), 0.0
-    m, v, mb, vb = np.zeros(dim), np.zeros(dim), 0.0, 0.0
-    for step in range(1, steps + 1):
-        score = np.bincount(tr, tx * w[ti], len(rows)) + b
-        err = (_sigmoid(score) - y) * weight
-        g = np.bincount(ti, tx * err[tr], dim) + 1e-5 * w
-        gb = err.sum()
-        m, mb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb
-        v, vb = 0.99 * v + 0.01 * g * g, 0.99 * vb + 0.01 * gb * gb
-        a, c = 1 - 0.9 ** step, 1 - 0.99 ** step
-        w -= 0.05 * (m / a) / (np.sqrt(v / c) + 1e-8)
-        b -= 0.05 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
-    hx, hi, hr = flat(held)
-    score = np.bincount(hr, hx * w[hi], len(rows)) + b
-    slope, shift = _platt(score[held], y[held], share)
-    fixed = np.round(w / rms / 30.0 * SCALE).astype(np.int64)
+    rms = (np.sqrt(rms / len(rows)) + 1e-4) * 30.0
+    held = [r for i, r in enumerate(rows) if i % 4 == 3]
+    seen = [r for i, r in enumerate(rows) if i % 4 != 3]
+    w, b = _descend(seen, rms, np.zeros(dim), 0.0, steps)
+    slope, shift = (1.0, 0.0)
+    if held:
+        slope, shift = _platt(_Sparse(held, rms).scores(w) + b, np.array(
+            [r[0] for r in held], np.float64), share)
+    w, b = _descend(rows, rms, w, b, more)
+    fixed = np.round(w / rms * SCALE).astype(np.int64)
     return Model(fixed[:WORD_DIM], fixed[WORD_DIM:], b, slope, shift)
 
 
@@ -167,30 +197,34 @@ def _platt(score: np.ndarray, y: np.ndarray, share: float
 def train(documents: DataFrame, labels: DataFrame,
           per_class: int = SAMPLE_PER_CLASS) -> Model | None:
     """Fit on ``per_class`` labelled rows of each class, the first by a hash
-    of ``doc_id``. A document with several label rows counts as bad if any
-    says so; null labels are ignored. ``None`` if a class has no row."""
-    spark = documents.sparkSession
+    of ``doc_id`` among those that ``documents`` holds. A document with
+    several label rows counts as bad if any says so; null labels are ignored.
+    ``None`` if no row of a class is among the documents."""
     marked = (labels.where("doc_id is not null and quality in (0, 1)")
               .groupBy("doc_id").agg(F.min("quality").cast("int")
-                                     .alias("quality")))
+                                     .alias("quality"))
+              .join(documents.select("doc_id").distinct(), "doc_id",
+                    "left_semi"))
     counts = {r.quality: r["count"]
               for r in marked.groupBy("quality").count().collect()}
+    if len(counts) < 2:
+        return None
     picks = None
     for k in (0, 1):
         part = (marked.where(F.col("quality") == k)
                 .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
         picks = part if picks is None else picks.unionByName(part)
-    picks = spark.createDataFrame(picks.collect(), picks.schema)
+    picks = documents.sparkSession.createDataFrame(picks.collect(),
+                                                   picks.schema)
+    # Of a repeated id one row: that of the least hash of its text.
     sample = (documents.select("doc_id", "text")
-              .join(F.broadcast(picks), "doc_id")
-              .select("doc_id", "quality", "text"))
+              .join(F.broadcast(picks), "doc_id").groupBy("doc_id")
+              .agg(F.min("quality").alias("quality"), F.min_by(
+                  "text", F.xxhash64("text")).alias("text")))
     rows = arrow_map(sample, _sample_batches, _SAMPLE).collect()
-    rows = list({r.doc_id: r for r in sorted(
-        rows, key=lambda r: (r.doc_id, r.ids, r.values))}.values())
+    rows.sort(key=lambda r: r.doc_id)
     rows = [(r.quality, np.frombuffer(r.ids, np.int32),
              np.frombuffer(r["values"], np.float32)) for r in rows]
-    if len({r[0] for r in rows}) < 2:
-        return None
     return _fit(rows, counts[1] / (counts[0] + counts[1]))
 
 

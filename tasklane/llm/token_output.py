@@ -105,8 +105,8 @@ class _Part:
 
 def _write_batches(vocabulary: str | None, end_id: int, block_ids: int):
     def run(batches, schema):
-        own = tokens.ChunkEncoder(tokens.bpe_json(
-            vocabulary or tokens.vocabulary(VOCABULARY)))
+        own = tokens.json_encoder(
+            vocabulary or tokens.vocabulary(VOCABULARY))
         part = _Part(TaskContext.get().partitionId(), block_ids)
         for batch in K.byte_slices(batches, "text", tokens.SLICE_BYTES):
             ids, off = own.encode(*K.flat(batch.column("text")))

@@ -17,7 +17,8 @@ from tasklane.llm import kernel as K
 
 CACHE_ENTRIES = 1 << 19
 SLICE_BYTES = 1 << 20
-ENCODE_TEXTS = 4096        # chunks given to the tokenizer at once
+ENCODE_TEXTS = 4096        # strings given to the tokenizer at once
+JOIN = 64                  # chunks in one of them
 
 
 def chunk_spans(buf: np.ndarray, off: np.ndarray
@@ -39,10 +40,15 @@ def chunk_spans(buf: np.ndarray, off: np.ndarray
 
 
 class ChunkEncoder:
-    """``encode_many``: a list of strings -> their id lists."""
+    """Encodings of chunks, kept. ``encode_many``: a list of strings -> their
+    id lists. ``widths``: the bytes that each id stands for, where ids spell
+    the text byte by byte; then new chunks are encoded ``JOIN`` at a time,
+    as one string, and told apart by their bytes."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]],
+                 widths: np.ndarray | None = None):
         self.encode_many = encode_many
+        self.widths = widths
         self._clear()
 
     def _clear(self) -> None:
@@ -51,21 +57,59 @@ class ChunkEncoder:
         self.size = np.zeros(0, np.int64)
         self.store = np.zeros(0, np.uint32)
 
-    def _learn(self, at: np.ndarray, hashes: np.ndarray, texts: list[str]
-               ) -> None:
-        """Put new chunks at their sorted places."""
-        sizes, parts = [], [self.store]
+    def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        sizes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for a in range(0, len(texts), ENCODE_TEXTS):
-            found = self.encode_many(texts[a:a + ENCODE_TEXTS])
+            found = self.encode_many([t.decode()
+                                      for t in texts[a:a + ENCODE_TEXTS]])
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            parts.append(np.fromiter((i for x in found for i in x),
-                                     np.uint32, int(sizes[-1].sum())))
-        size = np.concatenate(sizes)
-        start = np.concatenate([[0], np.cumsum(size)[:-1]]) + len(self.store)
+            parts += [np.array(x, np.uint32) for x in found]
+        return np.concatenate(sizes), np.concatenate(parts)
+
+    def _joined(self, texts: list[bytes]
+                ) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_encoded``; None where the ids don't spell the texts."""
+        size, ids = self._encoded([b"".join(texts[a:a + JOIN])
+                                   for a in range(0, len(texts), JOIN)])
+        spelt = np.concatenate([[0], np.cumsum(self.widths[ids])])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        at = np.searchsorted(spelt, ends)
+        if at[-1] >= len(spelt) or (spelt[at] != ends).any():
+            return None
+        return np.diff(at, prepend=0), ids
+
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, texts: list[bytes],
+               alone: np.ndarray) -> None:
+        """Put new chunks at their sorted places. ``alone``: those that
+        can't be joined with others."""
+        size = np.zeros(len(texts), np.int64)
+        start = np.zeros(len(texts), np.int64)
+        base = len(self.store)
+        together = np.flatnonzero(~alone)
+        found = self._joined([texts[i] for i in together]) if len(
+            together) else None
+        done = [self.store]
+        for rows, (n, ids) in ([(together, found)] if found else []):
+            size[rows], start[rows] = n, base + np.cumsum(n) - n
+            done.append(ids)
+            base += len(ids)
+        rest = np.flatnonzero(alone) if found else np.arange(len(texts))
+        n, ids = self._encoded([texts[i] for i in rest])
+        size[rest], start[rest] = n, base + np.cumsum(n) - n
         self.known = np.insert(self.known, at, hashes)
         self.start = np.insert(self.start, at, start)
         self.size = np.insert(self.size, at, size)
-        self.store = np.concatenate(parts)
+        self.store = np.concatenate([*done, ids])
+
+    def _alone(self, buf, starts, ends) -> np.ndarray:
+        """Chunks that don't start with white space or may end with it."""
+        if self.widths is None:
+            return np.ones(len(starts), bool)
+        end, two, three = (buf[np.maximum(ends - k, 0)] for k in (1, 2, 3))
+        wide = (two == 0xC2) | (three == 0xE1) | (three == 0xE2) | (
+            three == 0xE3)
+        return ~K.SPACE[buf[starts]] | K.SPACE[end] | (end >= 0x80) & wide
 
     def _slots(self, buf, starts, ends):
         h = K.span_hashes(buf, starts, ends)
@@ -78,11 +122,12 @@ class ChunkEncoder:
         inside = at < len(self.known)
         new[inside] = self.known[at[inside]] != each[inside]
         if new.any():
-            data = buf.tobytes()
+            data = memoryview(buf)
+            a, b = starts[first[new]], ends[first[new]]
             self._learn(at[new], each[new], [
-                data[a:b].decode() for a, b in zip(
-                    starts[first[new]].tolist(), ends[first[new]].tolist(),
-                    strict=True)])
+                bytes(data[x:y]) for x, y in zip(a.tolist(), b.tolist(),
+                                                 strict=True)],
+                self._alone(buf, a, b))
             at = np.searchsorted(self.known, each)
         return at[back]
 
@@ -133,6 +178,26 @@ def bpe_json(path: str) -> Callable[[list[str]], list[list[int]]]:
         texts, add_special_tokens=False)]
 
 
+def json_encoder(path: str) -> ChunkEncoder:
+    """For a tokenizer file of the tokenizers library. The ids of byte-level
+    pairs spell a text: each character of a token stands for one byte."""
+    import json
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    plain = own.get("normalizer") is None and own["model"][
+        "type"] == "BPE" and (own.get("pre_tokenizer") or {}).get(
+            "type") == "ByteLevel" and not own["pre_tokenizer"].get(
+                "add_prefix_space")
+    if not plain:
+        return ChunkEncoder(bpe_json(path))
+    names = own["model"]["vocab"] | {
+        t["content"]: t["id"] for t in own.get("added_tokens", ())}
+    widths = np.zeros(max(names.values()) + 1, np.int64)
+    for name, i in names.items():
+        widths[i] = len(name)
+    return ChunkEncoder(bpe_json(path), widths)
+
+
 def vocabulary(name: str) -> str:
     """Where an installed public vocabulary file is."""
     import public_tokenizers
