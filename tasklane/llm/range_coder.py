@@ -25,7 +25,7 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
+BLOCK_IDS = 1024
 LANES = 768                # blocks that are coded side by side
 
 MAGIC = b"TLR1"
@@ -105,7 +105,7 @@ class _Model:
         above = None
         for b in range(self.width):
             byte = (ids >> (8 * (self.width - 1 - b))) & 255
-            self.count[b].reshape(-1)[self.row(b, k, above) * 256
+            self.count[b].reshape(-1)[self.row(b, self.lane[:k], above) * 256
                                       + byte] += _STEP
             above = byte
         self.two[:k] = self.one[:k]
@@ -114,9 +114,8 @@ class _Model:
         if self.step == self.next:
             self.refresh()
 
-    def row(self, b: int, k: int, above):
-        lane = self.lane[:k]
-        return lane if b == 0 else lane * _GROUPS + (above & (_GROUPS - 1))
+    def row(self, b: int, lanes: np.ndarray, above):
+        return lanes if b == 0 else lanes * _GROUPS + (above & (_GROUPS - 1))
 
 
 class _Window:
@@ -126,19 +125,22 @@ class _Window:
         self.low = np.zeros(n, np.int64)
         self.range = np.full(n, _MASK, np.int64)
 
-    def narrow(self, k: int, part, start, size) -> None:
-        """Take a part of the interval; shift words that are settled."""
-        low, rng = self.low[:k], self.range[:k]
-        low += start * part
-        np.multiply(part, size, out=rng)
+    def narrow(self, lanes: np.ndarray, part, start, size) -> None:
+        """Take a part of the interval of some blocks; shift words that are
+        settled."""
+        low = self.low[lanes] + start * part
+        rng = part * size
+        self.low[lanes], self.range[lanes] = low, rng
         todo = np.flatnonzero(_due(low, rng))
-        while len(todo):
-            a, r = low[todo], rng[todo]
-            r = np.where((a ^ (a + r)) < _TOP, r, -a & (_BOTTOM - 1))
-            self.shifted(todo, a)
-            a, r = (a << 16) & _MASK, r << 16
-            low[todo], rng[todo] = a, r
-            todo = todo[_due(a, r)]
+        lanes, low, rng = lanes[todo], low[todo], rng[todo]
+        while len(lanes):
+            rng = np.where((low ^ (low + rng)) < _TOP, rng,
+                           -low & (_BOTTOM - 1))
+            self.shifted(lanes, low)
+            low, rng = (low << 16) & _MASK, rng << 16
+            self.low[lanes], self.range[lanes] = low, rng
+            todo = np.flatnonzero(_due(low, rng))
+            lanes, low, rng = lanes[todo], low[todo], rng[todo]
 
 
 def _due(low, rng):
@@ -155,8 +157,8 @@ class _Encoder(_Window):
         self.lanes.append(lanes.astype(np.int32))
         self.words.append((low >> 32).astype(np.uint16))
 
-    def put(self, k: int, start, size, total) -> None:
-        self.narrow(k, self.range[:k] // total, start, size)
+    def put(self, lanes: np.ndarray, start, size, total) -> None:
+        self.narrow(lanes, self.range[lanes] // total, start, size)
 
     def finish(self) -> list[np.ndarray]:
         """Words of each lane."""
@@ -188,10 +190,10 @@ class _Decoder(_Window):
                             ) | self.flat.take(at, mode="clip")
         self.at[lanes] = at + 1
 
-    def look(self, k: int, total):
+    def look(self, lanes: np.ndarray, total):
         """Place of the code in ``total``, and the size of one part."""
-        part = self.range[:k] // total
-        return np.minimum((self.code[:k] - self.low[:k]) // part,
+        part = self.range[lanes] // total
+        return np.minimum((self.code[lanes] - self.low[lanes]) // part,
                           total - 1), part
 
 
@@ -204,8 +206,7 @@ def _below(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
 def _encode_lanes(ids: np.ndarray, size: np.ndarray, width: int
                   ) -> list[np.ndarray]:
     """``ids`` is steps x lanes; lane i has ``size[i]`` ids, longest first.
-    Where a prediction is right, its bytes leave the interval as it is, so
-    that a block's code doesn't depend on the blocks beside it."""
+    Only the blocks whose predictions are wrong code bytes."""
     model, out = _Model(len(size), width), _Encoder(len(size))
     active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
     for t, k in enumerate(active.tolist()):
@@ -213,17 +214,17 @@ def _encode_lanes(ids: np.ndarray, size: np.ndarray, width: int
         model.contexts(k)
         symbol = np.where(x == model.guess[0], 0, np.where(
             x == model.guess[1], 1, 2))
-        out.put(k, *model.span(symbol), model.edges[2])
-        none, above = symbol == 2, None
-        if none.any():
+        out.put(model.lane[:k], *model.span(symbol), model.edges[2])
+        none = np.flatnonzero(symbol == 2)
+        if len(none):
+            y, above = x[none], None
             for b in range(width):
-                byte = (x >> (8 * (width - 1 - b))) & 255
-                at = model.row(b, k, above) * 257
+                byte = (y >> (8 * (width - 1 - b))) & 255
+                at = model.row(b, none, above) * 257
                 run = model.run[b].reshape(-1)
                 start = run.take(at + byte)
-                out.put(k, start * none, np.where(
-                    none, run.take(at + byte + 1) - start, 1), np.where(
-                        none, run.take(at + 256), 1))
+                out.put(none, start, run.take(at + byte + 1) - start,
+                        run.take(at + 256))
                 above = byte
         model.learn(k, symbol, x)
     return out.finish()
@@ -238,33 +239,31 @@ def _decode_lanes(words: list[np.ndarray], size: np.ndarray, width: int
     active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
     for t, k in enumerate(active.tolist()):
         model.contexts(k)
-        value, part = code.look(k, model.edges[2])
+        lanes = model.lane[:k]
+        value, part = code.look(lanes, model.edges[2])
         symbol = (value >= model.edges[0]) * 1 + (value >= model.edges[1])
-        code.narrow(k, part, *model.span(symbol))
+        code.narrow(lanes, part, *model.span(symbol))
         x = np.where(symbol == 0, model.guess[0], model.guess[1]
                      ).astype(np.int64)
-        none, above = symbol == 2, None
-        if none.any():
-            y = np.zeros(k, np.int64)
+        none = np.flatnonzero(symbol == 2)
+        if len(none):
+            y, above = np.zeros(len(none), np.int64), None
             for b in range(width):
-                known = (x >> (8 * (width - 1 - b))) & 255
-                row = model.row(b, k, above)
+                row = model.row(b, none, above)
                 run = model.run[b].reshape(-1)
-                value, part = code.look(k, np.where(
-                    none, run.take(row * 257 + 256), 1))
+                value, part = code.look(none, run.take(row * 257 + 256))
                 small = value.astype(np.int32)
                 tens = np.minimum(_below(model.coarse[b].take(row, axis=0),
                                          small), 15)
                 first = row * 257 + tens * 16
                 byte = tens * 16 + _below(run.take(
                     (first + 1)[:, None] + sixteen), small)
-                byte = np.where(none, byte, known)
                 start = run.take(row * 257 + byte)
-                code.narrow(k, part, start * none, np.where(
-                    none, run.take(row * 257 + byte + 1) - start, 1))
+                code.narrow(none, part, start, run.take(
+                    row * 257 + byte + 1) - start)
                 y = (y << 8) | byte
                 above = byte
-            x = y
+            x[none] = y
         ids[t, :k] = x
         model.learn(k, symbol, x)
     return ids

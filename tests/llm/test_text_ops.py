@@ -212,6 +212,52 @@ def test_chunks_encode_as_whole_texts():
                     encode([t])[0])
 
 
+def test_joined_chunks_encode_as_whole_texts(spark, sf_dir):
+    import pyarrow as pa
+
+    from tasklane.llm import kernel as K
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    encode = tokens.bpe_json(path)
+    texts = ["", "  lead and  trail  ", "don't 'll we'd\t\t x\n\n\ny z ",
+             "é b c\u3000d\u00a0e  f\u2003", "a" * 50, " \u3042 \u3042\u3000",
+             " tail\u00a0", " 漢字 1 22  333\r\n4", " <|endoftext|> x",
+             "<|endoftext|>", " a<|endoftext|> b", " \U0001f600 é ré ",
+             *[r.text or "" for r in spark.read.parquet(
+                 f"{sf_dir}/documents.parquet").limit(300).collect()]]
+    own = tokens.json_encoder(path)
+    assert own.widths is not None
+    for _ in range(2):
+        ids, off = own.encode(*K.flat(pa.array(texts)))
+        for i, want in enumerate(encode(texts)):
+            assert ids[off[i]:off[i + 1]].tolist() == list(want), texts[i]
+    own = tokens.json_encoder(path)
+    own.widths = own.widths + 1                 # ids that don't spell texts
+    ids, off = own.encode(*K.flat(pa.array(texts)))
+    assert ids.tolist() == [x for t in encode(texts) for x in t]
+
+
+def test_span_hashes_of_any_length():
+    import tracemalloc
+
+    from tasklane.llm import kernel as K
+    buf = np.frombuffer(b"ab\x00c" * (K.STRIDE + 3), np.uint8)
+    size = len(buf)
+    starts = np.array([0, 5, 5, K.STRIDE - 1, size - 9, size, 0, 4])
+    ends = np.array([size, 5, 9, K.STRIDE + 9, size, size, 4, size])
+    got = K.span_hashes(buf, starts, ends)
+    for a, b, h in zip(starts, ends, got, strict=True):
+        value = 0
+        for x in buf[a:b].tolist()[::-1]:
+            value = (value * K._MUL + x + 1) % (1 << 64)
+        assert h == K.mix(np.array([value ^ int(b - a) * 0xD6E8FEB86659FD93
+                                    % (1 << 64)], np.uint64))[0]
+    long = np.tile(buf, 64)
+    tracemalloc.start()
+    K.span_hashes(long, np.array([0]), np.array([len(long)]))
+    assert tracemalloc.get_traced_memory()[1] < len(long) // 4
+    tracemalloc.stop()
+
+
 def _fill(sizes, weights, most):
     """Targets by repeated resharing."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
