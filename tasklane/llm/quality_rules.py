@@ -102,22 +102,31 @@ class _Sparse:
     """Feature values of some rows, by row and by feature."""
 
     def __init__(self, rows: list[tuple], scale: np.ndarray):
+        size = np.array([len(r[1]) for r in rows])
         self.n = len(rows)
-        self.ids = np.concatenate([r[1] for r in rows]).astype(np.intp)
-        self.x = np.concatenate([r[2] for r in rows]) / scale[self.ids]
-        self.row = np.repeat(np.arange(self.n), [len(r[1]) for r in rows])
+        self.ids = np.concatenate([r[1] for r in rows])
+        self.x = np.concatenate([r[2] for r in rows])
+        self.x /= scale.astype(np.float32)[self.ids]
+        self.some = np.flatnonzero(size)
+        self.first = (np.cumsum(size) - size)[self.some]
         order = np.argsort(self.ids, kind="stable")
-        self.by, self.by_row = self.x[order], self.row[order]
+        self.by = self.x[order]
+        self.by_row = np.repeat(np.arange(self.n, dtype=np.int32),
+                                size)[order]
         ids = self.ids[order]
         self.edge = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        self.used = ids[self.edge]
+        self.used = ids[self.edge].astype(np.intp)
 
     def scores(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.x * w[self.ids], self.n)
+        out = np.zeros(self.n)
+        out[self.some] = np.add.reduceat(
+            self.x * w.astype(np.float32)[self.ids], self.first)
+        return out
 
     def gradient(self, err: np.ndarray) -> np.ndarray:
         """For the features in ``used``."""
-        return np.add.reduceat(self.by * err[self.by_row], self.edge)
+        return np.add.reduceat(self.by * err.astype(np.float32)[self.by_row],
+                               self.edge).astype(np.float64)
 
 
 def _descend(rows: list[tuple], scale: np.ndarray, w: np.ndarray, b: float,
