@@ -84,6 +84,21 @@ def q_j4(spark, sf):
                        quoted=True)
 
 
+@register("s3_parallel_csv", """
+SELECT doc_id AS id, '"' || text || chr(10) || lang AS sentence,
+       CASE WHEN source = '' THEN NULL ELSE source || '",' END AS label
+FROM documents""")
+def q_s3_parallel(spark, sf):
+    """S3 by blocks: all documents as quoted fields with line ends, quotes
+    and separators (W1), cut into records by quote parity."""
+    root = io.scratch_dir(spark, "s3")
+    io.write_csv(read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(
+            F.lit('"'), "text", F.lit("\n"), "lang").alias("sentence"),
+        F.concat("source", F.lit('",')).alias("label")), root)
+    return io.read_csv(spark, root, io.SINGLE_TSV)
+
+
 @register("w3_predictions_jsonl", _j6_sql())
 def q_w3(spark, sf):
     """J6 export (W3: one JSON-lines folder per task) read back with S1."""

@@ -16,6 +16,7 @@ from tasklane.functions.text import clean
 from tasklane.session import checkpoint_dir
 from tasklane.operators import labels as L
 from tasklane.operators.splits import N_FOLDS, fold_select, stratified_folds
+from tasklane.sources.quoted import read_quoted
 
 PAIR_JSON = "sentence1 string, sentence2 string, label string"
 SINGLE_JSON = "sentence string, label string"
@@ -63,9 +64,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = PAIR_JSON,
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str = SINGLE_TSV,
-             quoted: bool = False) -> DataFrame:
+             quoted: bool = False, parallel: bool = True) -> DataFrame:
     """S2 (``quoted=False``: quotes are plain characters) and S2b
-    (``quoted=True``: double quotes honoured). No header."""
+    (``quoted=True``: double quotes honoured). No header. Quoted files are
+    read by blocks; ``parallel=False`` takes each file whole, for those with
+    quotes inside of unquoted fields."""
+    if quoted and parallel:
+        return read_quoted(spark, path, schema, sep="\t")
     r = spark.read.schema(schema).option("sep", "\t").option("header", False)
     if quoted:
         r = (r.option("quote", '"').option("escape", '"')
@@ -75,8 +80,12 @@ def read_tsv(spark: SparkSession, path: str, schema: str = SINGLE_TSV,
     return r.option("nullValue", "").csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S3: CSV with header, quoted fields may hold newlines."""
+def read_csv(spark: SparkSession, path: str, schema: str,
+             parallel: bool = True) -> DataFrame:
+    """S3: CSV with header, quoted fields may hold newlines; ``parallel`` as
+    in ``read_tsv``."""
+    if parallel:
+        return read_quoted(spark, path, schema, header=True)
     return (spark.read.schema(schema).option("header", True)
             .option("multiLine", True).option("escape", '"')
             .option("nullValue", "").csv(path))
