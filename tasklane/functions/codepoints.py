@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 
 SPACE = 0x20
 BMP = 0x10000
-# Arrow list offsets are int32: a slice's text bytes (>= its code points)
-# stay below this so the encoded arrays of one slice cannot overflow them.
-SLICE_BYTES = 1 << 29
+# A slice's text bytes (>= its code points): bounds the arrays of one slice,
+# whose offsets are 32-bit numbers. A longer text is a slice of its own.
+SLICE_BYTES = 1 << 22
 
 
 def slices(batch: pa.RecordBatch, cols: list[str],
@@ -46,9 +46,9 @@ def slices(batch: pa.RecordBatch, cols: list[str],
         start = end
 
 
-def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(cps, offsets): code points of every non-space character of every
-    row, and row offsets into ``cps`` (length ``len(arr) + 1``)."""
+def all_code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(cps, offsets): code points of every row, and row offsets into
+    ``cps`` (length ``len(arr) + 1``)."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     arr = arr.fill_null("")
@@ -63,11 +63,17 @@ def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = b"" if data is None else data.slice(first, last - first).to_pybytes()
     cps = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
     lens = pc.utf8_length(arr).to_numpy(zero_copy_only=False).astype(np.int64)
+    offs = np.zeros(n + 1, np.int64)
+    np.cumsum(lens, out=offs[1:])
+    return cps, offs
+
+
+def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``all_code_points``, without spaces."""
+    cps, offs = all_code_points(arr)
     keep = cps != SPACE
     cum = np.zeros(len(cps) + 1, np.int64)
     np.cumsum(keep, out=cum[1:])
-    offs = np.zeros(n + 1, np.int64)
-    np.cumsum(lens, out=offs[1:])
     return cps[keep], cum[offs]
 
 

@@ -1,15 +1,16 @@
 """Sequence encoding and padding.
 
-Only single-character tokens can match a character, so the part of any
-vocabulary that encoding needs is bounded by Unicode (1.1 M code points, two
-arrays of a few MB). It is collected once and travels with the tasks:
-encoding is a narrow, shuffle-free pass, vectorised over Arrow batches,
-whatever the vocabulary's size.
+Encoding is a narrow, shuffle-free pass, vectorised over Arrow batches. By
+characters, only single-character tokens can match, so the part of any
+vocabulary that it needs is bounded by Unicode (1.1 M code points, two
+arrays of a few MB); it is collected once and travels with the tasks. By
+words, the vocabulary's tries travel, and a vocabulary of over
+``MAX_VOCAB_CHARS`` characters is refused.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +19,13 @@ from pyspark.sql.types import (ArrayType, IntegerType, StructField,
                                StructType)
 
 from tasklane.functions import codepoints as CP
+from tasklane.functions.subword import Pieces
+from tasklane.operators.vocab import (CLS_ID, PAD_ID, SEP_ID, SPECIALS,
+                                      UNK_ID)
+
+# Characters of all tokens: a few dozen bytes each in a task.
+MAX_VOCAB_CHARS = 4_000_000
 
-from tasklane.operators.vocab import CLS_ID, PAD_ID, SEP_ID, UNK_ID
 
 def encode(df: DataFrame, vocab: DataFrame, text: str,
            text_pair: str | None = None,
@@ -38,7 +44,45 @@ def encode(df: DataFrame, vocab: DataFrame, text: str,
             [*keep, text] + ([text_pair] if text_pair else [])))
     rows = (vocab.where(F.char_length("token") == 1).groupBy("token")
             .agg(F.min("id").alias("id")).collect())
-    return _encode_arrow(df, rows, text, text_pair, keep)
+    lookup = CP.Lookup({r[0]: r[1] for r in rows}, UNK_ID)
+
+    def ids(column):
+        cps, offs = CP.code_points(column)
+        return lookup(cps), offs
+    return _encode_arrow(df, ids, text, text_pair, keep)
+
+
+def encode_words(df: DataFrame, vocab: DataFrame, text: str,
+                 text_pair: str | None = None,
+                 keep: Sequence[str] | None = None, lower: bool = False,
+                 continuation: str = "##", longest_word: int = 100
+                 ) -> DataFrame:
+    """E2 by words: as ``encode``, but words (runs between white space,
+    punctuation and CJK characters, which are words alone) become the longest
+    tokens that spell them, those behind the first with the ``continuation``
+    mark. A word that can't be spelt, or is longer than ``longest_word``, is
+    [UNK]. The special tokens are no words of a text. ``lower``: texts are
+    lower-cased first."""
+    cols = [text] + ([text_pair] if text_pair else [])
+    if keep is not None:
+        df = df.select(*dict.fromkeys([*keep, *cols]))
+    names = dict.fromkeys(keep or df.columns)
+    plain = vocab.where(F.col("token").isNotNull()
+                        & ~F.col("token").isin(*SPECIALS))
+    chars = plain.agg(F.sum(F.char_length("token"))).first()[0] or 0
+    if chars > MAX_VOCAB_CHARS:
+        raise ValueError(f"a vocabulary of {chars} characters; up to "
+                         f"{MAX_VOCAB_CHARS} travel with the tasks")
+    rows = plain.groupBy("token").agg(F.min("id").alias("id")).collect()
+    pieces = Pieces({r.token: r.id for r in rows}, UNK_ID, continuation,
+                    longest_word)
+
+    def ids(column):
+        return pieces(*CP.all_code_points(column))
+    seen = {c: f"_e2_{i}" for i, c in enumerate(cols)}
+    df = df.select(*names, *[(F.lower(c) if lower else F.col(c)).alias(n)
+                             for c, n in seen.items()])
+    return _encode_arrow(df, ids, seen[text], seen.get(text_pair), [*names])
 
 
 def with_length(df: DataFrame, text: str, text_pair: str | None = None
@@ -58,10 +102,10 @@ _ENC_FIELDS = [("input_ids", ArrayType(IntegerType())),
                ("length", IntegerType())]
 
 
-def _encode_arrow(df: DataFrame, rows: list, text: str,
+def _encode_arrow(df: DataFrame, to_ids: Callable, text: str,
                   text_pair: str | None,
                   carry: Sequence[str] | None = None) -> DataFrame:
-    lookup = CP.Lookup({r[0]: r[1] for r in rows}, UNK_ID)
+    """``to_ids``: an Arrow column -> all its ids, and row offsets."""
     cols = [text] + ([text_pair] if text_pair else [])
     keep = [f for f in df.schema.fields if f.name not in dict(_ENC_FIELDS)
             and (carry is None or f.name in carry)]
@@ -74,10 +118,7 @@ def _encode_arrow(df: DataFrame, rows: list, text: str,
                 yield _encode_batch(b)
 
     def _encode_batch(b):
-        segs = []
-        for c in cols:
-            cps, offs = CP.code_points(b.column(c))
-            segs.append((lookup(cps), offs))
+        segs = [to_ids(b.column(c)) for c in cols]
         ids, types, length = CP.frame(segs, CLS_ID, SEP_ID)
         return pa.RecordBatch.from_arrays(
             [b.column(n) for n in names] + [ids, types, length],

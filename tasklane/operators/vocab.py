@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklane.functions.codepoints import CountAccumulator, code_points
+from tasklane.functions.subword import ASCII_SYMBOLS, CJK
 from tasklane.functions.text import char_array
 
 # Special tokens first, in this order, ids 0..3.
@@ -85,3 +86,47 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
     specials = spark.createDataFrame(list(zip(SPECIALS, range(len(SPECIALS)))),
                                      "token string, id int")
     return specials.unionByName(ranked)
+
+
+# As ``functions.subword`` cuts words, for regular expressions: what vanishes,
+# and what is a word alone.
+GONE = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\p{Cf}\p{Co}\x{FFFD}"
+ALONE = r"\p{P}" + "".join(f"\\x{ord(c):02x}" for c in ASCII_SYMBOLS) + "".join(
+    f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK)
+WORD = rf"[{ALONE}]|[^{ALONE}\p{{Z}}\t\n\r]+"
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n) over all texts, words cut as for ``encode_words``."""
+    words = F.regexp_extract_all(F.regexp_replace(
+        F.col(text), f"[{GONE}]", ""), F.lit(WORD), F.lit(0))
+    return (df.select(F.explode(words).alias("word"))
+            .groupBy("word").agg(F.count("*").alias("n")))
+
+
+def build_word_vocab(df: DataFrame, text: str, size: int,
+                     continuation: str = "##", stem: int = 3) -> DataFrame:
+    """E1 for words: (token, id): the specials, then the ``size`` most
+    frequent of words, their first characters and stems, what follows the
+    stem, and the characters behind the first (these two as continuations),
+    by (count desc, token)."""
+    def goes_on(c):
+        return F.concat(F.lit(continuation), c)
+    word = F.col("word")
+    chars = F.split(F.substring(word, 2, 2 ** 31 - 1), "")
+    tokens = F.concat(
+        F.array_distinct(F.array(word, F.left(word, F.lit(1)),
+                                 F.left(word, F.lit(stem)))),
+        F.when(F.char_length(word) > stem, F.array(goes_on(
+            F.substring(word, stem + 1, 2 ** 31 - 1)))).otherwise(
+            F.array().cast("array<string>")),
+        F.transform(F.filter(chars, lambda c: c != ""), goes_on))
+    top = (word_counts(df, text).select(F.explode(tokens).alias("token"), "n")
+           .groupBy("token").agg(F.sum("n").alias("n"))
+           .orderBy(F.col("n").desc(), "token").limit(size))
+    ranked = top.select("token", (F.row_number().over(Window.orderBy(
+        F.col("n").desc(), "token")) - 1 + len(SPECIALS)).cast("int")
+        .alias("id"))
+    specials = df.sparkSession.createDataFrame(
+        list(zip(SPECIALS, range(len(SPECIALS)))), "token string, id int")
+    return specials.unionByName(ranked)

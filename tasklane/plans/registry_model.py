@@ -423,6 +423,56 @@ def q_e2(spark, sf):
     return E.encode(d.select("doc_id", "text"), v, "text", keep=["doc_id"])
 
 
+# Words, the vocabulary's tokens and, round by round, the longest token at
+# each place that the spelling of a distinct word has reached.
+_SUBWORD_SQL = rf"""WITH RECURSIVE
+cut AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[{V.GONE}]', '', 'g'),
+               '{V.WORD}') AS ws FROM documents),
+occ AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut),
+cnt AS (SELECT w, count(*) AS n FROM occ GROUP BY w),
+cand AS (SELECT unnest(list_concat(
+           list_distinct([w, left(w, 1), left(w, 3)]),
+           CASE WHEN length(w) > 3 THEN ['##' || substr(w, 4)] ELSE [] END,
+           list_transform(range(2, length(w) + 1), lambda j: '##' || substr(w, j, 1)))) AS token, n
+         FROM cnt),
+top AS (SELECT token, sum(n) AS n FROM cand GROUP BY token
+        ORDER BY sum(n) DESC, token LIMIT 600),
+voc AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS id FROM top),
+pieces AS (SELECT CASE WHEN token[:2] = '##' AND token <> '##' THEN substr(token, 3)
+                    ELSE token END AS piece,
+                  token[:2] = '##' AND token <> '##' AS goes_on, id FROM voc),
+sizes AS (SELECT DISTINCT length(piece) AS n FROM pieces),
+spelt AS (
+  SELECT w, 1 AS pos, 0 AS k, CAST(NULL AS BIGINT) AS id FROM cnt WHERE length(w) <= 100
+  UNION ALL
+  SELECT w, pos + n, k + 1, id FROM (
+    SELECT s.w, s.pos, s.k, z.n, p.id,
+           row_number() OVER (PARTITION BY s.w ORDER BY z.n DESC) AS nth
+    FROM spelt s JOIN sizes z ON s.pos + z.n <= length(s.w) + 1
+    JOIN pieces p ON p.piece = substr(s.w, s.pos, z.n) AND p.goes_on = (s.k > 0))
+  WHERE nth = 1),
+done AS (SELECT w FROM spelt WHERE k > 0 AND pos = length(w) + 1),
+word_ids AS (SELECT w, list(id ORDER BY k) AS ids FROM spelt SEMI JOIN done USING (w)
+             WHERE k > 0 GROUP BY w),
+ids AS (SELECT doc_id, flatten(list(coalesce(ids, [1]) ORDER BY i)) AS ids
+        FROM occ LEFT JOIN word_ids USING (w) GROUP BY doc_id)
+SELECT d.doc_id, list_transform([2] || coalesce(ids, []) || [3], lambda x: CAST(x AS INTEGER))
+         AS input_ids,
+       list_transform(range(len(coalesce(ids, [])) + 2), lambda x: CAST(0 AS INTEGER))
+         AS token_type_ids,
+       CAST(len(coalesce(ids, [])) + 2 AS INTEGER) AS length
+FROM documents d LEFT JOIN ids USING (doc_id)"""
+
+
+@register("e2_encode_subword", _SUBWORD_SQL)
+def q_e2_subword(spark, sf):
+    """E2 by words: longest match over words, stems and continuations."""
+    d = read_table(spark, sf, "documents", spread=True)
+    v = V.build_word_vocab(d, "text", 600)
+    return E.encode_words(d.select("doc_id", "text"), v, "text",
+                          keep=["doc_id"])
+
+
 _PAIRS = """
 pairs AS (SELECT a.conv_id * 1000 + a.turn AS pos, a.text AS s1, b.text AS s2
           FROM conversations a JOIN conversations b
