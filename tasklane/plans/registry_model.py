@@ -707,6 +707,30 @@ def q_st1(spark, sf):
                     _r("r").alias("r"), _r("w").alias("w"))
 
 
+# Every tenth batch loses a row, which no later file brings.
+_LOST = "vec_id % 320 = 5"
+
+
+@register("st1_deadline", _DTP.replace(
+    "FROM embeddings", f"FROM (SELECT * FROM embeddings WHERE NOT ({_LOST}))") + f"""
+SELECT batch_id, task_id, round(kpi, 9) AS kpi, round(r, 9) AS r, round(w, 9) AS w,
+       CAST(coalesce(n, 0) AS BIGINT) AS missing
+FROM ww LEFT JOIN (SELECT vec_id // 32 AS batch_id, count(*) AS n FROM embeddings
+                   WHERE {_LOST} GROUP BY 1) USING (batch_id)""")
+def q_st1_deadline(spark, sf):
+    """ST1 with lost rows: keyed state closes their batches at the deadline."""
+    from tasklane.streaming import deadline
+    from tasklane.streaming.kpi import read_output
+    _, base = deadline.replay_lossy(spark, fx.scored(spark, sf),
+                                    F.col("id") % 320 == 5, n_files=1)
+    missing = deadline.read_incomplete(spark, base).select(
+        "batch_id", (F.col("batch_rows") - F.col("n")).alias("missing"))
+    return read_output(spark, base).join(missing, "batch_id", "left").select(
+        "batch_id", "task_id", _r("kpi").alias("kpi"), _r("r").alias("r"),
+        _r("w").alias("w"), F.coalesce("missing", F.lit(0).cast("long"))
+        .alias("missing"))
+
+
 # ---------------------------------------------------------------- F7, H4-H6, H8
 # Weights are model-sized: a bounded number of embedding rows is collected
 # once and broadcast. Oracles use the same rows; tests also compare with numpy.

@@ -78,8 +78,20 @@ class _Step:
             F.min("batch_id")).first()[0]
         ready = F.lit(True) if first_open is None else \
             F.col("batch_id") < first_open
-        kpi = M.f1_from_counts(counts.where(ready), ["batch_id"], "macro",
-                               M.EPS, out="kpi")
+        tasks = self._emit(counts.where(ready), tasks0, epoch)
+        arrived.where(passed).select("batch_id", "n").write.mode(
+            "overwrite").parquet(f"{self.base}/late/epoch={epoch}")
+        for name, df in (("counts", counts.where(~ready)),
+                         ("rows", have.where(~ready)), ("tasks", tasks)):
+            df.write.mode("overwrite").parquet(
+                f"{self.base}/state/{epoch}/{name}")
+
+    def _emit(self, counts: DataFrame, tasks0: DataFrame, epoch: int
+              ) -> DataFrame:
+        """Write the output of whole batches, all below any later one; the
+        tasks' state after them."""
+        kpi = M.f1_from_counts(counts, ["batch_id"], "macro", M.EPS,
+                               out="kpi")
         seq = kpi.join(tasks0.select("task_id", F.col("r").alias("_r0")),
                        "task_id", "left").select(
             "batch_id", "task_id", "kpi",
@@ -88,25 +100,24 @@ class _Step:
             (F.col("kpi") * self.running_alpha).alias("_b"))
         seq = cut_lineage(seq)
         top = seq.agg(F.max("batch_id")).first()[0]
+        if top is None:                    # nothing leaves
+            spark = counts.sparkSession
+            spark.createDataFrame([], OUT_SCHEMA).write.mode(
+                "overwrite").parquet(f"{self.base}/out/epoch={epoch}")
+            return tasks0
         out = affine_scan(seq, ["task_id"], "batch_id", "_a", "_b",
-                          F.col("_r0"), levels=scan_levels(top or 0))
+                          F.col("_r0"), levels=scan_levels(top))
         out = cut_lineage(out.select(
             "batch_id", "task_id", "kpi", "r",
             (-F.lit(self.task_alpha) * F.pow(1.0 - F.col("r"), F.lit(
                 self.task_gamma)) * F.log("r")).alias("w")))
         out.write.mode("overwrite").parquet(f"{self.base}/out/epoch={epoch}")
-        arrived.where(passed).select("batch_id", "n").write.mode(
-            "overwrite").parquet(f"{self.base}/late/epoch={epoch}")
         tasks = out.groupBy("task_id").agg(
             F.max_by("r", "batch_id").alias("r"),
             F.max("batch_id").alias("last_batch")).unionByName(tasks0)
-        tasks = tasks.groupBy("task_id").agg(
+        return tasks.groupBy("task_id").agg(
             F.max_by("r", "last_batch").alias("r"),
             F.max("last_batch").alias("last_batch"))
-        for name, df in (("counts", counts.where(~ready)),
-                         ("rows", have.where(~ready)), ("tasks", tasks)):
-            df.write.mode("overwrite").parquet(
-                f"{self.base}/state/{epoch}/{name}")
 
 
 def running_kpi_stream(stream: DataFrame, base: str,
