@@ -884,6 +884,53 @@ def q_h8(spark, sf):
         (F.col("loss") < F.col("uniform")).alias("loss_below_uniform"))
 
 
+@register("h8_joint_fit", osql.with_(osql.SCORED, """
+c AS (SELECT task_id, target, count(*) AS k FROM scored GROUP BY ALL)""") + """
+SELECT task_id, CAST(sum(k) AS BIGINT) AS n, true AS reaches_majority,
+       true AS loss_below_uniform, true AS variance_fits_loss, true AS below_separate_fits
+FROM c GROUP BY task_id""")
+def q_h8_joint(spark, sf):
+    """Facts about the joint fit: as for H8; each learned variance is twice
+    its task's loss, where the objective is least; the objective (M11) is
+    below that of the separate fits after as many iterations."""
+    import math
+
+    from tasklane.operators import joint_fit
+    f = features_table(spark, sf)
+    fit = joint_fit.fit_jointly(f, hidden=8, steps=60, reg=0.01)
+    hidden, heads = fit.tables(spark)
+    scored = H.score(f, "hard_plus", heads, hidden)
+    mine = LS.uncertainty_loss(LS.sample_loss(scored, [], "ce"),
+                               log_variance=fit.log_variance)
+    apart = None
+    for t, m in H.fit_linear_heads(f, max_iter=fit.jobs, reg=0.01).items():
+        one = spark.createDataFrame(
+            [(t, i, w.tolist(), float(b)) for i, (w, b) in enumerate(zip(
+                m.coefficientMatrix.toArray(), m.interceptVector))],
+            "task_id int, cls int, w array<double>, b double")
+        apart = one if apart is None else apart.unionByName(one)
+    theirs = LS.uncertainty_loss(LS.sample_loss(
+        H.linear_head(f, apart), [], "ce"))
+    below = mine.first().loss < theirs.first().loss      # a row each
+    hit = (FM.argmax("logits") == F.col("target")).cast("double")
+    said = F.create_map(*[F.lit(v) for t, s in fit.log_variance.items()
+                          for v in (t, math.exp(s))])
+    per = scored.groupBy("task_id").agg(
+        F.avg(hit).alias("accuracy"), F.avg(FM.cross_entropy(
+            "logits", "target")).alias("loss"),
+        F.max(F.size("logits")).alias("classes"))
+    maj = (f.groupBy("task_id", "target").count().groupBy("task_id")
+           .agg(F.sum("count").alias("n"),
+                (F.max("count") / F.sum("count")).alias("majority")))
+    return per.join(maj, "task_id").select(
+        "task_id", "n", (F.col("accuracy") >= F.col("majority"))
+        .alias("reaches_majority"),
+        (F.col("loss") < F.log(F.col("classes"))).alias("loss_below_uniform"),
+        (F.abs(said[F.col("task_id")] / (2 * F.col("loss")) - 1) < 0.1)
+        .alias("variance_fits_loss"),
+        F.lit(below).alias("below_separate_fits"))
+
+
 # ---------------------------------------------------------------- J5 / J6
 
 _J_LOGITS = "WITH " + _HEAD_SQL.strip() + """,
