@@ -8,6 +8,8 @@ array per model (a handful), summed with ``zip_with`` - no explode.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,24 +52,30 @@ def average_params(params: DataFrame, chunked: bool = False) -> DataFrame:
     """
     keys = ["name", "chunk"] if chunked else ["name"]
     last = F.col("name").contains(KEEP_LAST)
-    g = params.groupBy(*keys).agg(
-        F.collect_list("vals").alias("_ap_all"),
-        F.max_by("vals", "ord").alias("_ap_last"),
-        F.count(F.lit(1)).alias("_ap_n"))
-    first = F.element_at("_ap_all", 1)
-    # A3: tensors of one name that are averaged must have one size.
-    same = F.forall("_ap_all", lambda a: F.size(a) == F.size(first))
-    zero = F.transform(first, lambda _: F.lit(0.0))
-    total = F.aggregate("_ap_all", zero,
-                        lambda acc, a: F.zip_with(acc, a, lambda x, y: x + y))
-    mean = F.transform(total, lambda v: v / F.col("_ap_n"))
-    return g.select(*keys,
-                    F.when(last, F.col("_ap_last")).when(same, mean).otherwise(
-                        F.raise_error(F.concat(F.lit(
-                            "sizes differ between models: "), F.col("name")))
-                        .cast("array<double>")).alias("vals"),
-                    F.when(last, F.lit(1)).otherwise(F.col("_ap_n"))
-                    .cast("int").alias("n_models"))
+    # A vector has one place at least: one more is added, and cut off below.
+    vector = array_to_vector(F.concat(F.col("vals").cast("array<double>"),
+                                      F.array(F.lit(0.0))))
+    # A3: tensors of one name that are averaged must have one size, so there
+    # is one row for each name and chunk already, or an error.
+    by_size = params.where(F.col("vals").isNotNull()).groupBy(
+        *keys, F.size("vals").alias("_ap_size")).agg(
+        Summarizer.mean(vector).alias("_ap_mean"),
+        F.max_by(F.when(last, F.col("vals")), "ord").alias("_ap_last"),
+        F.max("ord").alias("_ap_ord"), F.count(F.lit(1)).alias("_ap_n"))
+    one = by_size.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_ap_sizes"),
+        F.max_by("_ap_last", "_ap_ord").alias("_ap_last"),
+        F.max_by("_ap_mean", "_ap_ord").alias("_ap_mean"),
+        F.max_by("_ap_size", "_ap_ord").alias("_ap_size"),
+        F.sum("_ap_n").alias("_ap_n"))
+    mean = F.slice(vector_to_array("_ap_mean"), F.lit(1), F.col("_ap_size"))
+    return one.select(
+        *keys, F.when(last, F.col("_ap_last")).when(
+            F.col("_ap_sizes") == 1, mean).otherwise(F.raise_error(F.concat(
+                F.lit("sizes differ between models: "), F.col("name")))
+            .cast("array<double>")).alias("vals"),
+        F.when(last, F.lit(1)).otherwise(F.col("_ap_n")).cast("int")
+        .alias("n_models"))
 
 
 def shape_conflicts(params: DataFrame) -> DataFrame:

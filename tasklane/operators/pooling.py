@@ -1,9 +1,11 @@
 """Feature pooling over long token tables (F1-F8).
 
 Input ``tokens(id, pos, vec array<double>[, mask boolean])``. Pooling is a
-group-by on the sequence id; a group holds one sequence's tokens (bounded by
-the model's maximum length). Elementwise max/mean fold the collected vectors
-with ``zip_with``; first/last token are ``where``/``max_by``.
+group-by on the sequence id, of partial results that combine before the
+shuffle: running maxima and means of vectors (``pyspark.ml.stat.Summarizer``),
+and for attention a running maximum, rescaled sum and weighted vector. No
+task holds a sequence, however long. First/last token are
+``where``/``max_by``.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,21 +35,21 @@ def _fold(vecs, op):
     return F.aggregate(rest, first, lambda acc, v: F.zip_with(acc, v, op))
 
 
+def _summary(tokens: DataFrame, metric) -> DataFrame:
+    rows = tokens.where(F.col("vec").isNotNull()).select(
+        "id", array_to_vector("vec").alias("_v"))
+    return rows.groupBy("id").agg(vector_to_array(metric(F.col("_v")))
+                                  .alias("feature"))
+
+
 def max_pool(tokens: DataFrame, include_padding: bool = False) -> DataFrame:
     """per-dimension max over positions (pads excluded by default)."""
-    t = _masked(tokens, include_padding)
-    g = t.groupBy("id").agg(F.collect_list("vec").alias("_v"))
-    return g.select("id", _fold(F.col("_v"), lambda a, b: F.greatest(a, b)).alias("feature"))
+    return _summary(_masked(tokens, include_padding), Summarizer.max)
 
 
 def mean_pool(tokens: DataFrame, include_padding: bool = False) -> DataFrame:
     """per-dimension mean over positions."""
-    t = _masked(tokens, include_padding)
-    g = t.groupBy("id").agg(F.collect_list("vec").alias("_v"),
-                            F.count(F.lit(1)).alias("_n"))
-    s = _fold(F.col("_v"), lambda a, b: a + b)
-    return g.select("id", F.transform(s, lambda x: x / F.col("_n"))
-                    .alias("feature"))
+    return _summary(_masked(tokens, include_padding), Summarizer.mean)
 
 
 def first_token(tokens: DataFrame) -> DataFrame:
@@ -109,6 +114,58 @@ def pooler_output(df: DataFrame, col: str = "pooled") -> DataFrame:
     return df.select("id", F.col(col).alias("feature"))
 
 
+def _attend_batches(weights, n_heads: int):
+    """A row for each sequence of a batch: per head the largest score, the
+    sum of exponentials above it and the mean vector with these weights."""
+    def run(batches):
+        own = weights.value
+        wk, wv = own["wk"], own["wv"]
+        query = own["task_embedding"] @ own["wq"]       # tasks x d
+        d = query.shape[1]
+        dh = d // n_heads
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            order = np.argsort(batch.column("id").to_numpy(
+                zero_copy_only=False), kind="stable")
+            ids = batch.column("id").to_numpy(zero_copy_only=False)[order]
+            x = batch.column("vec").flatten().to_numpy(
+                zero_copy_only=False).astype(np.float64).reshape(
+                -1, wk.shape[0])[order]
+            on = batch.column("mask").to_numpy(
+                zero_copy_only=False).astype(bool)[order]
+            task = batch.column("task_id").to_numpy(
+                zero_copy_only=False).astype(np.int64)[order]
+            score = ((x @ wk) * query[task]).reshape(-1, n_heads, dh).sum(
+                axis=2) / np.sqrt(dh)
+            score = np.where(on[:, None], score, -np.inf)
+            start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            size = np.diff(np.r_[start, n])
+            top = np.maximum.reduceat(score, start, axis=0)
+            with np.errstate(invalid="ignore"):
+                e = np.where(on[:, None], np.exp(
+                    score - np.repeat(top, size, 0)), 0.0)
+            total = np.add.reduceat(e, start, axis=0)
+            share = e / np.repeat(np.where(total > 0, total, 1.0), size, 0)
+            mean = np.add.reduceat(np.repeat(share, dh, axis=1) * (x @ wv),
+                                   start, axis=0)
+
+            def rows(values, width):
+                return pa.ListArray.from_arrays(
+                    pa.array((np.arange(len(start) + 1) * width).astype(
+                        np.int32)), pa.array(values.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[start]), rows(top, n_heads),
+                 rows(total, n_heads), rows(mean, d)],
+                names=["id", "top", "total", "mean"])
+    return run
+
+
+_PARTIAL = ("id long, top array<double>, total array<double>, "
+            "mean array<double>")
+
+
 def attention_pool(tokens: DataFrame, task_of: DataFrame,
                    weights: Mapping[str, np.ndarray], n_heads: int = 1
                    ) -> DataFrame:
@@ -117,63 +174,34 @@ def attention_pool(tokens: DataFrame, task_of: DataFrame,
     For each head: q = task_embedding[task] @ Wq, k = x @ Wk, v = x @ Wv;
     softmax(q.k / sqrt(d_head)) over the unmasked positions; weighted sum
     of v; heads concatenated. ``weights``: ``task_embedding`` (tasks x d),
-    ``wq``, ``wk``, ``wv`` (d x d). Tokens are grouped per sequence (one
-    shuffle), then each Arrow batch of sequences is scored in one vectorised
-    numpy pass (segment max / sum by ``reduceat``; no Python loop per row).
-    """
+    ``wq``, ``wk``, ``wv`` (d x d). A sequence without unmasked positions
+    gives zeros.
+
+    Every Arrow batch reduces its part of a sequence to one row; parts meet
+    as means weighted with ``total * exp(top - largest top)``."""
     sc = tokens.sparkSession.sparkContext
-    bw = sc.broadcast({k: np.asarray(v, dtype=np.float64)
-                       for k, v in weights.items()})
+    own = {k: np.asarray(v, dtype=np.float64) for k, v in weights.items()}
+    width = own["wv"].shape[1] // n_heads
     t = tokens if "mask" in tokens.columns else tokens.withColumn(
         "mask", F.lit(True))
-    seq = (t.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(
-        "pos", "vec", "mask"))).alias("toks")).join(task_of, "id"))
-
-    def score(batches):
-        W = bw.value
-        te, wq, wk, wv = W["task_embedding"], W["wq"], W["wk"], W["wv"]
-        d = wq.shape[1]
-        dh = d // n_heads
-        Q = te @ wq                               # tasks x d
-        for bt in batches:
-            n = bt.num_rows
-            toks = bt.column("toks")
-            offs = toks.offsets.to_numpy().astype(np.int64)
-            offs = offs - offs[0]
-            lens = np.diff(offs)
-            flat = toks.flatten()
-            X = (flat.field("vec").flatten().to_numpy(zero_copy_only=False)
-                 .astype(np.float64).reshape(-1, wk.shape[0]))
-            m = flat.field("mask").to_numpy(zero_copy_only=False).astype(bool)
-            tt = np.repeat(bt.column("task_id").to_numpy(
-                zero_copy_only=False).astype(np.int64), lens)
-            K, V = X @ wk, X @ wv                  # tokens x d
-            # per head score of every token: k . q / sqrt(dh)
-            S = (K * Q[tt]).reshape(-1, n_heads, dh).sum(axis=2) / np.sqrt(dh)
-            S = np.where(m[:, None], S, -np.inf)
-            starts = offs[:-1]
-            feat = np.zeros((n, d))
-            if len(S):
-                with np.errstate(invalid="ignore"):
-                    mx = np.maximum.reduceat(S, starts, axis=0)
-                    E = np.where(m[:, None], np.exp(S - np.repeat(mx, lens, 0)),
-                                 0.0)
-                den = np.add.reduceat(E, starts, axis=0)
-                P = E / np.repeat(np.where(den > 0, den, 1.0), lens, 0)
-                for h in range(n_heads):
-                    sl = slice(h * dh, (h + 1) * dh)
-                    feat[:, sl] = np.add.reduceat(P[:, h, None] * V[:, sl],
-                                                  starts, axis=0)
-            feature = pa.ListArray.from_arrays(
-                pa.array((np.arange(n + 1) * d).astype(np.int32), pa.int32()),
-                pa.array(feat.reshape(-1), pa.float64()))
-            yield pa.RecordBatch.from_arrays([bt.column("id"), feature],
-                                             names=["id", "feature"])
-
-    schema = T.StructType([T.StructField("id", T.LongType()),
-                           T.StructField("feature",
-                                         T.ArrayType(T.DoubleType()))])
-    return seq.select("id", "task_id", "toks").mapInArrow(score, schema)
+    parts = t.join(task_of, "id").select("id", "task_id", "vec", F.coalesce(
+        "mask", F.lit(False)).alias("mask")).mapInArrow(
+        _attend_batches(sc.broadcast(own), n_heads), _PARTIAL)
+
+    def of(name: str, h: int) -> Column:
+        return F.element_at(name, h + 1)
+    best = parts.select("*", *[F.max(of("top", h)).over(W.partitionBy("id"))
+                               .alias(f"_top{h}") for h in range(n_heads)])
+    nothing = F.lit(float("-inf"))
+
+    def head(h: int) -> Column:
+        top = F.col(f"_top{h}")
+        weight = F.when(top == nothing, 1.0).otherwise(
+            of("total", h) * F.exp(of("top", h) - top))
+        return vector_to_array(Summarizer.mean(array_to_vector(F.slice(
+            "mean", h * width + 1, width)), weight))
+    return best.groupBy("id").agg(F.concat(*map(head, range(n_heads)))
+                                  .alias("feature"))
 
 
 def pool(method: str, tokens: DataFrame | None = None,
