@@ -1,8 +1,8 @@
-"""Scalar text operators as Column expressions (JVM-side, no Python UDF).
+"""Scalar text operators as Column expressions (JVM-side but for T8).
 
 T1 width fold, T2 tab removal, T3 long-run squeeze, T4 bracket-emote squeeze,
 T5 Latin-letter strip, T6 character split, T8 character replacement, T9 rule
-lists. All stay inside whole-stage codegen.
+lists. All but T8, a kernel on Arrow columns, stay inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tasklane.functions.naming import Lexicon
+
 # Fixed values (width fold, must equal the reference's mapping):
 # U+3000 IDEOGRAPHIC SPACE -> U+0020 SPACE, and U+FF01..U+FF5E -> U+0021..U+007E
 # (code point minus 0xFEE0). Built from that rule; 95 characters each.
@@ -93,15 +95,17 @@ def char_array(col) -> Column:
 
 def replace_chars(col, lexicon: Mapping[str, str]) -> Column:
     """Each character found in ``lexicon`` becomes its description, in
-    one pass over Arrow batches. The plan is the same for any lexicon; keys
+    one vectorised pass over Arrow columns. The plan is the same for any lexicon; keys
     of more than one character match nothing; descriptions aren't searched
     again."""
-    table = {ord(k): v for k, v in lexicon.items() if len(k) == 1}
-
-    @F.pandas_udf("string")
-    def named(texts: pd.Series) -> pd.Series:
-        return texts.str.translate(table)
-    return named(_c(col)) if table else _c(col)
+    if not lexicon:
+        return _c(col)
+    names = Lexicon(lexicon)
+
+    @F.arrow_udf("string")
+    def named(texts: pa.Array) -> pa.Array:
+        return names(texts)
+    return named(_c(col))
 
 
 def apply_rules(col, rules: Iterable[tuple[str, str]]) -> Column:

@@ -3,8 +3,8 @@
 Counting pre-aggregates per task on Arrow batches (one row per distinct
 character leaves a task), then sums per character; membership is an
 anti/equi join whose build side AQE broadcasts only when its measured size
-is small. Re-assembly after a per-character join keeps one document per
-group, i.e. bounded by the text's own length.
+is small. Replacement (T8) is a narrow pass; only a lexicon beyond
+``LEXICON_BYTES`` is joined by character.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tasklane.functions.codepoints import CountAccumulator, code_points
 from tasklane.functions.subword import ASCII_SYMBOLS, CJK
-from tasklane.functions.text import char_array
+from tasklane.functions.text import char_array, replace_chars
 
 # Special tokens first, in this order, ids 0..3.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
@@ -54,15 +54,32 @@ def oov_counts(df: DataFrame, text: str, vocab: DataFrame,
     return char_counts(df, text).join(v, "ch", "left_anti")
 
 
+# Descriptions of a lexicon that travels with the tasks.
+LEXICON_BYTES = 32 << 20
+
+
 def replace_chars_table(df: DataFrame, id_col: str, text: str,
                         lexicon: DataFrame, ch: str = "ch",
                         rep: str = "rep") -> DataFrame:
-    """T8 for a large lexicon table: explode characters with positions, join
-    the lexicon, re-assemble each text in position order."""
+    """T8 for a lexicon table: (id, text). Of several descriptions of a
+    character the smallest counts; NULL ones don't. Keys are single
+    characters, which Unicode bounds, so all but a lexicon of over
+    ``LEXICON_BYTES`` travels with the tasks and the pass is narrow."""
+    names = lexicon.where((F.char_length(ch) == 1) & F.col(rep).isNotNull()) \
+        .groupBy(F.col(ch).alias("_rc_ch")).agg(F.min(rep).alias("_rc_rep"))
+    size = names.agg(F.sum(F.octet_length("_rc_rep"))).first()[0] or 0
+    if size > LEXICON_BYTES:
+        return _replace_by_join(df, id_col, text, names)
+    return df.select(id_col, replace_chars(
+        text, {r[0]: r[1] for r in names.collect()}).alias(text))
+
+
+def _replace_by_join(df: DataFrame, id_col: str, text: str,
+                     names: DataFrame) -> DataFrame:
+    """Characters with positions, joined, put together in order."""
     ex = df.select(id_col, F.posexplode(F.split(F.col(text), "")).alias(
         "_rc_pos", "_rc_ch"))
-    lex = lexicon.select(F.col(ch).alias("_rc_ch"), F.col(rep).alias("_rc_rep"))
-    j = ex.join(lex, "_rc_ch", "left")
+    j = ex.join(names, "_rc_ch", "left")
     out = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
         "_rc_pos", F.coalesce("_rc_rep", "_rc_ch").alias("_rc_s")))).alias("_rc"))
     res = out.select(id_col, F.array_join(F.col("_rc._rc_s"), "").alias(text))
