@@ -2,9 +2,12 @@
 
 Words are runs of letters and digits (any byte outside ASCII counts as a
 letter), lower-cased. Every n-gram of a test item is a seed, so any run of
-``SEED_N`` unchanged words holds one. A text that has a seed is aligned with
-that item around the seed, by word, with Smith-Waterman; edited, cut or
-reordered copies keep a high score. A text is contaminated if an alignment
+``SEED_N`` unchanged words holds one. One common n-gram proves nothing, several
+of one item that stand in a text as they stand in the item are rare: a text
+with two to five seeds of an item (one for each ten words) within its length
+near one diagonal, or one seed of an item of fewer than ``LONE_WORDS`` words,
+is aligned with that item around them, by word, with Smith-Waterman; edited,
+cut or reordered copies keep a high score. A text is contaminated if an alignment
 reaches ``MIN_SCORE`` of an item's perfect score, or, so that a part of a long
 item counts as well, if one has ``MIN_WORDS`` equal words more than
 ``EDIT_WORDS`` for each edit. Places where too few of the item's words stand
@@ -12,14 +15,17 @@ near the seed for any alignment to reach either are skipped.
 
 Test items are a stated query set. They are read in blocks of bounded size
 (``BLOCK_WORDS``); each block's hashes travel to the tasks and every text is
-compared with them in Arrow batches, so nothing of the corpus is shuffled,
-and a larger benchmark costs more passes, not more memory.
+compared with them in Arrow batches, so nothing of the corpus is shuffled.
+A benchmark of several blocks costs a pass for each, between which the texts
+and their hits so far are written to the shared folder: the driver and a task
+hold one block.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +35,15 @@ from pyspark.sql import types as T
 
 from tasklane.llm import kernel as K
 from tasklane.llm.common import arrow_map, table
+from tasklane.session import checkpoint_dir
 
 SEED_N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 MIN_WORDS = 13
+LONE_WORDS = 8             # items shorter than this need one seed alone
+WORDS_PER_SEED = 10        # others one for so many words, at least two,
+MOST_SEEDS = 5             # and at most so many
 EDIT_WORDS = 3
 BLOCK_WORDS = 1 << 20
 
@@ -102,17 +112,17 @@ def _grams(words: np.ndarray, ptr: np.ndarray, n: int):
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS
-                ) -> list[list[tuple]]:
-    """Distinct ``(item_id, text)`` rows in blocks of bounded total length.
-    Blocks are cut by a hash of the item, so one is read at a time."""
+                ) -> Iterator[list[tuple]]:
+    """Distinct ``(item_id, text)`` rows in blocks of bounded total length,
+    cut by a hash of the text and read one at a time."""
     items = benchmark.select("item_id", "text").where(
         "text is not null").distinct()
     words = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     blocks = max(1, -(-int(words) // block_words))
     key = F.pmod(F.xxhash64("text"), F.lit(blocks))
-    return [sorted(map(tuple, items.where(key == b).collect()),
-                   key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-            for b in range(blocks)]
+    for b in range(blocks):
+        yield sorted(map(tuple, items.where(key == b).collect()),
+                     key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def prepare_items(rows: list[tuple], n: int = SEED_N) -> Items | None:
@@ -170,8 +180,36 @@ def _hits(items: Items, known: Lookup, words, ptr, n: int, min_score: float,
     item, begin = items.item[entry], place - items.offset[entry]
     order = np.lexsort((begin, item, row))
     row, item, begin = row[order], item[order], begin[order]
+    offset = items.offset[entry][order]
     size = items.ptr[item + 1] - items.ptr[item]
     slack = size // 2 + 4
+    # A second seed, elsewhere in the item and in the text, near the same
+    # diagonal.
+    pair = ((row[1:] == row[:-1]) & (item[1:] == item[:-1])
+            & (begin[1:] - begin[:-1] <= slack[1:])
+            & (offset[1:] != offset[:-1])
+            & (begin[1:] + offset[1:] != begin[:-1] + offset[:-1]))
+    sure = size < LONE_WORDS
+    sure[1:] |= pair
+    sure[:-1] |= pair
+    if not sure.any():
+        return
+    row, item, begin, size, slack = (x[sure] for x in (
+        row, item, begin, size, slack))
+    needed = np.where(size < LONE_WORDS, 1, np.clip(
+        size // WORDS_PER_SEED, 2, MOST_SEEDS))
+    last = np.arange(len(row)) + needed - 1
+    inside = np.minimum(last, len(row) - 1)
+    full = np.flatnonzero((last == inside) & (row[inside] == row) & (
+        item[inside] == item) & (begin[inside] - begin <= slack))
+    cover = np.zeros(len(row) + 1, np.int64)
+    np.add.at(cover, full, 1)
+    np.add.at(cover, last[full] + 1, -1)
+    sure = np.cumsum(cover[:-1]) > 0
+    if not sure.any():
+        return
+    row, item, begin, size, slack = (x[sure] for x in (
+        row, item, begin, size, slack))
     left = np.maximum(begin - slack, ptr[row])
     right = np.minimum(begin + size + slack, ptr[row + 1])
     # Windows of a row and item that overlap are aligned as one.
@@ -232,10 +270,10 @@ _HIT = "array<struct<item_id: bigint, score: double, start: bigint, " \
 
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame,
                    keep: list[str] | None = None, n: int = SEED_N,
-                   min_score: float = MIN_SCORE, min_words: int = MIN_WORDS
-                   ) -> DataFrame:
+                   min_score: float = MIN_SCORE, min_words: int = MIN_WORDS,
+                   block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each row of ``documents``: the columns in ``keep``
-    (default ``doc_id``; not named ``hits``) and ``hits``, the test items it
+    (default ``doc_id``; not named ``hits`` or ``_before``) and ``hits``, the test items it
     holds with their score (share of a perfect one) and the words of the
     text they span.
 
@@ -245,23 +283,27 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame,
     tables give no rows or no hits."""
     keep = ["doc_id"] if keep is None else keep
     need = list(dict.fromkeys([*keep, "text"]))
-    blocks = [prepare_items(rows, n)
-              for rows in item_blocks(benchmark)]
-    blocks = [b for b in blocks if b is not None]
     found = documents.select(*need)
-    if not blocks:
-        return found.select(*keep, F.array().cast(_HIT).alias("hits"))
-    parts = []
-    for i, items in enumerate(blocks):
-        parts.append(f"_h{i}")
+    hits = F.array().cast(_HIT)
+    after = False
+    for rows in item_blocks(benchmark, block_words):
+        items = prepare_items(rows, n)
+        if items is None:
+            continue
+        if after:              # one block's items in a plan at a time
+            spark = documents.sparkSession
+            path = (f"{checkpoint_dir(spark).rstrip('/')}/"
+                    f"hits-{uuid.uuid4().hex}")
+            found.withColumn("_before", hits).drop("hits").write.parquet(path)
+            found = spark.read.parquet(path)
+            hits = F.col("_before")
         inner = T.StructType([*found.schema.fields, T.StructField(
             "hits", T._parse_datatype_string(_HIT))])
         found = arrow_map(found, _match_batches(
-            items, found.columns, n, min_score, min_words), inner
-        ).withColumnRenamed("hits", parts[-1])
-    return found.select(*keep, reduce(
-        lambda a, b: F.concat(a, b), [F.col(p) for p in parts]
-    ).alias("hits"))
+            items, found.columns, n, min_score, min_words), inner)
+        hits = F.concat(hits, "hits") if after else F.col("hits")
+        after = True
+    return found.select(*keep, hits.alias("hits"))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, **options

@@ -178,8 +178,12 @@ def test_decontamination_finds_edited_copies(spark):
     assert clean.columns == df.columns
     assert clean.count() == len(docs) - 6
     # in blocks of a few items, the same
-    small = decontaminate.item_blocks(bench, 100)
+    small = list(decontaminate.item_blocks(bench, 100))
     assert len(small) > 3 and sum(map(len, small)) == len(items) + 3
+    again = decontaminate.benchmark_hits(df, bench, ["doc_id"],
+                                         block_words=100).collect()
+    assert sorted((str(r.doc_id), sorted(r.hits)) for r in again) == sorted(
+        (str(r.doc_id), sorted(r.hits)) for r in got)
     assert decontaminate.benchmark_hits(df, bench.where("false")).where(
         "size(hits) > 0").count() == 0
     assert decontaminate.benchmark_hits(df.where("false"), bench).count() == 0
@@ -216,6 +220,67 @@ def test_decontamination_finds_copies_edited_throughout(spark, edit, every):
         200 + k: [] for k in range(10)}
 
 
+def test_common_words_cost_no_alignment(monkeypatch):
+    """Long ordinary texts and many items of the same words: two seeds near
+    one diagonal are rare."""
+    rng = np.random.default_rng(15)
+    vocab = np.array([f"w{i}" for i in range(400)])
+    share = 1 / np.arange(1, 401)
+    share /= share.sum()
+
+    def text(n):
+        return " ".join(rng.choice(vocab, n, p=share))
+    items = decontaminate.prepare_items([(k, text(40)) for k in range(2000)])
+    words, ptr = decontaminate._words(pa.array([text(3000)]))
+    done, own = [], decontaminate.align
+    monkeypatch.setattr(decontaminate, "align",
+                        lambda *a: done.append(1) or own(*a))
+    known = decontaminate.Lookup(items.seeds)
+    hits = list(decontaminate._hits(items, known, words, ptr, 3, 0.5, 13))
+    grams, _ = decontaminate._grams(words, ptr, 3)
+    assert not hits and len(known.find(grams)[0]) > 500
+    assert len(done) < 200
+
+
+def test_every_pair_that_aligns_with_its_seeds_is_found():
+    """Against the alignment of all texts with all items, whole."""
+    rng = np.random.default_rng(16)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(rng.choice(vocab, int(rng.integers(3, 30)))))
+            for k in range(40)]
+    texts = []
+    for k in range(160):
+        part = [w for w in rows[k % 40][1].split() if rng.random() > 0.15]
+        texts.append(" ".join([*rng.choice(vocab, 15), *part,
+                               *rng.choice(vocab, 15)]))
+    items = decontaminate.prepare_items(rows)
+    words, ptr = decontaminate._words(pa.array(texts))
+    got = {(i, j): s for i, j, s, _, _ in decontaminate._hits(
+        items, decontaminate.Lookup(items.seeds), words, ptr, 3, 0.5, 13)}
+    seen = 0
+    for i in range(len(texts)):
+        text = words[ptr[i]:ptr[i + 1]]
+        for j in range(len(rows)):
+            own = items.words[items.ptr[j]:items.ptr[j + 1]]
+            score, end = decontaminate.align(own, text)
+            if (i, j) in got:
+                assert got[i, j] <= score / (2 * len(own)) + 1e-9
+                continue
+            if score < len(own):
+                continue
+            back = decontaminate.align(own[::-1], text[:end][::-1])[1]
+            places = {}
+            for a in range(end - back, end - 2):
+                for o in range(len(own) - 2):
+                    if (text[a:a + 3] == own[o:o + 3]).all():
+                        places.setdefault(o, a)
+            needed = 1 if len(own) < decontaminate.LONE_WORDS else max(
+                2, len(own) // decontaminate.WORDS_PER_SEED)
+            assert len(set(places.values())) < needed, (i, j)
+        seen += (i, i % 40) in got
+    assert seen > 100
+
+
 def test_decontamination_finds_parts_of_long_items(spark):
     rng = np.random.default_rng(14)
     vocab = [f"w{i}" for i in range(3000)]
