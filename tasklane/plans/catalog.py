@@ -62,3 +62,12 @@ def q_d3_raw(spark, sf):
 @register("d3_priority_dedup_folded", _d3_sql(_FOLD))
 def q_d3_folded(spark, sf):
     return _d3(spark, sf, folded=True)
+
+
+@register("d3_late_texts", _d3_sql(_FOLD))
+def q_d3_late(spark, sf):
+    """D3 on digests; texts are read where they lie."""
+    from tasklane.operators.bitmaps import dedup_late_texts
+    return dedup_late_texts(
+        fx.corpus(spark, sf), T.fold_width("text"), key_name="text").select(
+            "prio", "pos", "id", "text")
