@@ -454,6 +454,24 @@ def q_k4(spark, sf):
         "event_type", "event_id", "draw")
 
 
+@register("k4_multinomial_split", """
+WITH cnt AS (SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids
+             FROM events GROUP BY event_type)
+SELECT event_type, n AS n_rows, n_ids, max(n) OVER () - n AS n_drawn,
+       max(n) OVER () AS n_total
+FROM cnt""")
+def q_k4_split(spark, sf):
+    """K4 by multinomial splitting; the draws are numpy's, the totals SQL's."""
+    from tasklane.operators.multinomial import oversample_split
+    ev = read_table(spark, sf, "events").select("event_type", "event_id")
+    return oversample_split(ev, "event_type", "event_id").groupBy(
+        "event_type").agg(
+            F.count_if(F.col("copy") == 0).alias("n_rows"),
+            F.countDistinct("event_id").alias("n_ids"),
+            F.count_if(F.col("copy") > 0).alias("n_drawn"),
+            F.count(F.lit(1)).alias("n_total"))
+
+
 @register("k5_shuffle", """
 SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('606:0:' || doc_id), doc_id) - 1 AS BIGINT)
        AS "order"
@@ -484,9 +502,21 @@ def q_d1(spark, sf):
         F.col("key").alias("text"), "pos")
 
 
-@register("d2_subtract_earlier", osql.with_(osql.CORPUS, """
+_D2_SQL = osql.with_(osql.CORPUS, """
 fp AS (SELECT text, min(prio) AS p FROM corpus GROUP BY text)""") + """
-SELECT c.prio, c.pos, c.text FROM corpus c JOIN fp ON c.text = fp.text AND c.prio = fp.p""")
+SELECT c.prio, c.pos, c.text FROM corpus c JOIN fp ON c.text = fp.text AND c.prio = fp.p"""
+
+
+@register("d2_bloom_subtract", _D2_SQL)
+def q_d2_bloom(spark, sf):
+    """D2 behind Bloom filters of the earlier sources' keys."""
+    from tasklane.operators.bitmaps import subtract_filtered
+    from tasklane.plans import fixtures as fx
+    return subtract_filtered(fx.corpus(spark, sf), "text", "prio").select(
+        "prio", "pos", "text")
+
+
+@register("d2_subtract_earlier", _D2_SQL)
 def q_d2(spark, sf):
     from tasklane.plans import fixtures as fx
     return dedup.subtract_earlier(fx.corpus(spark, sf), "text", "prio").select(
