@@ -20,7 +20,7 @@ from tasklane.plans.catalog import register
 from tasklane.plans.registry_model import (_j6_sql, features_table,
                                            heads_table, q_j5)
 from tasklane.plans.registry_prep import _PAIRS_SQL, conversation_pairs
-from tasklane.sources import io
+from tasklane.sources import commits, io
 from tasklane.sources.tables import read_table
 
 HALF, FULL = osql.HALF, osql.FULL
@@ -109,6 +109,19 @@ def q_w3(spark, sf):
     return back.select("id", "task", "label")
 
 
+@register("w3_committed_predictions", _j6_sql())
+def q_w3_committed(spark, sf):
+    """J6's predictions behind a manifest, after an export of other labels
+    and one that was staged but never published."""
+    root = io.scratch_dir(spark, "w3c")
+    pred = jobs.predictions(features_table(spark, sf), heads_table(spark, sf))
+    other = pred.withColumn("label", F.lit("old"))
+    commits.commit_predictions(other, root)
+    commits.stage(other, root, io.write_predictions)
+    commits.commit_predictions(pred, root)
+    return commits.read_predictions(spark, root).select("id", "task", "label")
+
+
 _W4_TAGS = ["loss_ocnli", "loss_ocemotion", "loss_tnews", "val_loss",
             "f1_ocnli", "f1_ocemotion", "f1_tnews", "competition_score"]
 
@@ -131,6 +144,19 @@ def q_w4(spark, sf):
     return spark.read.schema(io.METRICS_SCHEMA).parquet(root)
 
 
+@register("w4_committed_metrics", _w4_sql())
+def q_w4_committed(spark, sf):
+    """W4 behind a manifest: the J5 evaluation written, staged once more
+    without a commit, and repeated."""
+    root = io.scratch_dir(spark, "w4c")
+    wide = q_j5(spark, sf)
+    commits.commit_metrics(wide, root, "eval", 0)
+    commits.stage(wide.withColumn("step", F.lit(0)), root,
+                  lambda d, p: io.append_metrics(d, p, "eval"))
+    commits.commit_metrics(wide, root, "eval", 0)
+    return commits.read_metrics(spark, root)
+
+
 # ---------------------------------------------------------------- S5 / S6 / S7
 
 @register("s5_line_scan", """
