@@ -4,8 +4,10 @@ Markup gives each block of a page a zone (see ``html_blocks``). The token
 streams of a host's pages are then concatenated and their suffixes sorted, so
 that long substrings repeated across distinct pages stand next to each other.
 Where markup doesn't tell what is article (zone REST), tokens covered by a
-run that enough of the host's distinct pages repeat are boilerplate, and the
-unique runs between are kept. Inside an article a block goes only if runs that
+run that enough of the host's distinct pages repeat are marked. A block marked
+whole goes; one that is mostly marked loses the marked runs at its ends and
+keeps its unique ones; any other block is kept whole, so a sentence that pages
+share is never cut out of a paragraph. Inside an article a block goes only if runs that
 enough pages show outside of their articles cover all of it: a passage that
 several articles share is article text. ``ENOUGH_PAGES`` distinct pages of a
 host are enough whatever its size; on smaller hosts ``MIN_SHARE`` of them.
@@ -45,6 +47,7 @@ MIN_RUN = 8            # tokens; a power of two
 MIN_PAGES = 3
 MIN_SHARE = 0.3
 ENOUGH_PAGES = 10
+BLOCK_SHARE = 0.8      # marked part of a block that loses its marked ends
 GROUP_PAGES = 128
 BUCKET_GROUPS = 32     # groups of a host for each bucket of its runs
 PRINT_BITS = 22        # distinct prints of a bucket
@@ -136,6 +139,22 @@ def _cover(start: np.ndarray, run: int, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def _at_borders(gone: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """What goes of the marked tokens: all of a block that is marked whole;
+    of one marked to ``BLOCK_SHARE`` or more, the runs at its start and end,
+    so that a unique run between or beside them stays. Other blocks are text
+    of their page's own that happens to share a sentence: they stay whole."""
+    words = np.diff(ptr)
+    mostly = K.sums(gone, ptr[:-1], ptr[1:]) >= BLOCK_SHARE * words
+    block = K.rows_of(ptr)
+    at = np.arange(len(gone))
+    kept = np.flatnonzero(~gone)
+    first, last = ptr[1:].copy(), ptr[:-1] - 1      # of the unmarked tokens
+    np.minimum.at(first, block[kept], kept)
+    np.maximum.at(last, block[kept], kept)
+    return mostly[block] & ((at < first[block]) | (at > last[block]))
+
+
 def _distinct(pages: list[list[tuple[int, str]]]) -> tuple[dict, np.ndarray]:
     """Pages with the same blocks count as one: their numbers."""
     alike: dict = {}
@@ -265,6 +284,7 @@ def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN,
         words = np.diff(ptr)
         full = K.sums(shown, ptr[:-1], ptr[1:]) == words
         drop_block = full & (zone == H.MAIN)
+        gone = _at_borders(gone, ptr)
     data, out, first = buf.tobytes(), [], 0
     for p in pages:
         here = range(first, first + len(p))

@@ -332,6 +332,82 @@ def test_pages_without_an_article_lose_what_the_host_repeats(spark):
     assert html_extract.html_extract(df.where("false")).count() == 0
 
 
+def _brute_host(pages):
+    """Texts of one host's pages without article markup, each page a list of
+    blocks of words: runs counted by dictionaries, blocks cut by regular
+    steps."""
+    distinct = list(dict.fromkeys(tuple(map(tuple, p)) for p in pages))
+    seen = {}
+    for k, p in enumerate(distinct):
+        s = [w for b in p for w in b]
+        for i in range(len(s) - 7):
+            seen.setdefault(tuple(s[i:i + 8]), set()).add(k)
+    need = max(3, min(10, -(-3 * len(distinct) // 10)))
+    out = []
+    for p in pages:
+        s = [w for b in p for w in b]
+        hit = [False] * len(s)
+        for i in range(len(s) - 7):
+            if len(distinct) >= 3 and len(seen[tuple(s[i:i + 8])]) >= need:
+                hit[i:i + 8] = [True] * 8
+        lines, at = [], 0
+        for b in p:
+            own, at = hit[at:at + len(b)], at + len(b)
+            words = list(zip(b, own, strict=True))
+            if sum(own) >= 0.8 * len(b):
+                while words and words[0][1]:
+                    words.pop(0)
+                while words and words[-1][1]:
+                    words.pop()
+            if words:
+                lines.append(" ".join(w for w, _ in words))
+        out.append("\n".join(lines))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_whole_host_matches_brute_force(spark, seed):
+    """Menus, footers with a unique end, shared sentences at the start, in
+    the middle and at the end of paragraphs, copies of pages."""
+    rng = np.random.default_rng(seed)
+    chrome = [_words(rng, n).split() for n in (3, 9, 14, 25)]
+    shared = [_words(rng, n).split() for n in (8, 15, 15)]
+    n = (7, 45, 90, 160)[seed]
+    pages = []
+    for i in range(n):
+        blocks = [chrome[k] for k in rng.permutation(4)[:rng.integers(0, 4)]]
+        for _ in range(rng.integers(0, 4)):
+            own = _words(rng, rng.integers(1, 40)).split()
+            at = rng.integers(0, len(own) + 1)
+            blocks.append(own[:at] + shared[rng.integers(3)] + own[at:]
+                          if rng.random() < 0.5 else own)
+        blocks.append(chrome[2] + [f"tail{i}"] if i % 3 else chrome[2])
+        pages.append(pages[i - 1] if i % 11 == 10 else blocks)
+    df = spark.createDataFrame(
+        [(i, f"http://h.com/{i}", "".join(f"<p>{' '.join(b)}</p>" for b in p))
+         for i, p in enumerate(pages)], "page_id long, url string, html string")
+    want = dict(enumerate(_brute_host(pages)))
+    for size in (16, 1000):
+        got = html_extract.html_extract(df, group_pages=size).collect()
+        assert {r.page_id: r.text for r in got} == want
+
+
+def test_shared_sentences_stay_in_their_paragraphs(spark):
+    rng = np.random.default_rng(12)
+    sentence, banner = _words(rng, 15), _words(rng, 12)
+    rows, want = [], {}
+    for i in range(400):
+        a, b = _words(rng, 20), _words(rng, 25)
+        body = (f"{a} {sentence} {b}" if i % 30 == 0 else f"{a} {b}")
+        more = f"<div>{banner}</div>" if i % 10 == 0 else ""
+        rows.append((i, "http://big.com/", f"{more}<p>{body}</p>"))
+        want[i] = body
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extract.html_extract(df).collect()
+    assert {r.page_id: r.text for r in got} == want
+    assert {r.n_removed for r in got} == {0, 12}
+
+
 def test_packed_numbers_round_trip():
     rng = np.random.default_rng(3)
     for top in (5, 300, 1 << 22, 1 << 40):
