@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tasklane.llm import (licenses, mixing, quality_rules, secret_scan,
-                          token_counts, tokens, url_filter)
+from tasklane.llm import (identifiers, licenses, mixing, quality_rules,
+                          secret_scan, token_counts, tokens, url_filter)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "lorem ipsum dolor sit amet " * 40_000
@@ -137,6 +137,60 @@ def test_markov_models_add_spans_and_keep_the_rest(spark):
     assert np.allclose(none, 0)
 
 
+# Words that the labelled names don't use.
+HELD_OUT = (
+    "abort anchor archive balance banner barrier beacon branch broker "
+    "calendar canvas carrier catalog circuit compile contract coupon cursor "
+    "dashboard deposit digest dispatch echo escape facade fallback firewall "
+    "fixture folder forward fragment freeze gallery garbage greeting guard "
+    "harvest heartbeat hidden inherit journal kernel keyboard launch ledger "
+    "lookup margin merchant migrate mirror mutation navigator observer "
+    "overlay palette pending pipeline quarter queue receipt recover refund "
+    "registry remote render replica request resolver response retry rollback "
+    "router sandbox scheduler segment serial session shipment snapshot socket "
+    "storage stream subscriber supplier switch template tenant thread ticket "
+    "timeout transaction trigger update upload user vault vendor version "
+    "viewport visitor volume wallet warehouse widget window worker").split()
+
+
+def test_models_tell_held_out_names_from_held_out_strings(spark, sf_dir):
+    ratio = secret_scan.train(spark.read.parquet(
+        f"{sf_dir}/documents.parquet"))
+    rng = np.random.default_rng(77)
+    assert not set(HELD_OUT) & set(identifiers.WORDS)
+    names = {identifiers.identifier(rng, HELD_OUT) for _ in range(4000)}
+    names = sorted(n for n in names if len(n) >= secret_scan.MIN_RUN)
+    assert len(names) > 2000
+    fixed = ["getUserNameFromDatabase", "XMLHttpRequestFactoryBean",
+             "AbstractSingletonProxyFactoryBean",
+             "kubernetes-deployment-v2-config", "Szczebrzeszyn-Zamojszczyzna",
+             "Donaudampfschifffahrtsgesellschaft", "4845168114407329123",
+             "2024-01-31T23-59-59", "thisIsAVeryLongMethodName2",
+             "NumberFormatException", "ALLOWED_HOSTS_FROM_ENVIRONMENT"]
+
+    def flagged(texts):
+        rows = list(enumerate(texts))
+        got = secret_scan.secret_scan(spark.createDataFrame(
+            rows, "doc_id long, text string"), ratio).collect()
+        return [texts[r.doc_id] for r in got if r.n_markov]
+
+    assert flagged(fixed) == []
+    assert len(flagged(names)) < 0.01 * len(names)
+    for kind, alphabet in identifiers.ALPHABETS.items():
+        strings = [identifiers.random_string(rng, alphabet)
+                   for _ in range(500)]
+        assert len(flagged(strings)) >= 0.95 * len(strings), kind
+
+
+def test_few_identifiers_leave_the_patterns_alone(spark):
+    df = spark.createDataFrame(
+        [(1, "a short text token=abcdef99 q7Zk29xVb4Tn8LwPd3Rs6Yh1"),
+         (2, None)], "doc_id long, text string")
+    ratio = secret_scan.train(df)
+    got = secret_scan.secret_scan(df, ratio).orderBy("doc_id").collect()
+    assert [(r.n_assign, r.n_markov) for r in got] == [(1, 0), (0, 0)]
+
+
 def test_license_scan_matches_its_sql(spark, sf_dir):
     import duckdb
     con = duckdb.connect()
