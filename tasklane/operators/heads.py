@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Weight tables up to this many values are broadcast (400 MB).
-BROADCAST_VALUES = 50_000_000
+# Weight tables up to this many values are broadcast (32 MB of doubles).
+BROADCAST_VALUES = 4 << 20
 SALTS = 64
 
 
@@ -44,12 +44,15 @@ def head_table(heads: DataFrame) -> DataFrame:
                     F.col("_h.b").alias("bias"))
 
 
-def _attach(features: DataFrame, table: DataFrame, x: str,
+def _attach(features: DataFrame, heads: DataFrame, x: str,
             on: str | None = "task_id") -> DataFrame:
     """Each row with its weights ``W`` and ``bias``: its task's, or with
-    ``on=None`` those of the table's one row. All rows stay; ``W`` is NULL
-    where there are none."""
-    n = table.agg(F.sum(F.size(F.flatten("W")))).first()[0] or 0
+    ``on=None`` those of the one head. All rows stay; ``W`` is NULL
+    where there are none. The values are counted in the rows of ``heads``
+    before they are grouped, so the count shuffles nothing but its sums."""
+    table = head_table(heads)
+    table = table if on else table.drop("task_id")
+    n = heads.agg(F.sum(F.size("w") + 1)).first()[0] or 0
     small = n <= BROADCAST_VALUES
     if small and on:
         return features.join(F.broadcast(table), on, "left")
@@ -78,15 +81,14 @@ def linear_head(features: DataFrame, heads: DataFrame,
                 x: str = "feature") -> DataFrame:
     """H1/H2: ``logits = W_task x + b_task`` (hard sharing: one linear layer
     per task over a shared feature)."""
-    j = _attach(features, head_table(heads), x)
+    j = _attach(features, heads, x)
     return j.withColumn("logits", _checked(x)).drop("W", "bias")
 
 
 def single_linear_head(features: DataFrame, head: DataFrame,
                        x: str = "feature") -> DataFrame:
     """H1: one linear head for every row."""
-    one = head_table(head.select(F.lit(0).alias("task_id"), "cls", "w", "b")
-                     ).drop("task_id")
+    one = head.select(F.lit(0).alias("task_id"), "cls", "w", "b")
     j = _attach(features, one, x, on=None)
     return j.withColumn("logits", _checked(x)).drop("W", "bias")
 
@@ -95,7 +97,7 @@ def hard_plus_head(features: DataFrame, hidden: DataFrame, heads: DataFrame,
                    x: str = "feature") -> DataFrame:
     """H3: linear -> tanh -> linear, per task. ``hidden`` has the same
     layout as ``heads`` (rows = hidden units)."""
-    j = _attach(features, head_table(hidden), x)
+    j = _attach(features, hidden, x)
     j = j.withColumn("_hid", F.transform(_checked(x), lambda v: F.tanh(v)))
     return linear_head(j.drop("W", "bias"), heads, "_hid").drop("_hid")
 
