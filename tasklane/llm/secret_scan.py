@@ -42,10 +42,10 @@ MIN_VALUE = 6
 MIN_RUN = 16            # shortest token that the models score
 MIN_IDENTIFIER = 8      # shortest run that trains the ordinary model
 LETTER_SHARE = 0.75     # least part of letters in such a run
-MIN_PAIRS = 1000        # ordinary pairs of the table below which only the
-                        # patterns run
 PER_ALPHABET = 1000     # labelled random strings of each alphabet
 NAMES = 20_000          # labelled ordinary names
+HALF_TRUST = 16         # ordinary pairs of the table, about one identifier's,
+                        # at which the ratios count half
 HALF_WEIGHT = 1000      # a table's pairs after a character that weigh as
                         # much, at most, as the labelled sample's
 MIN_TOTAL = 10.0        # thresholds on the log-likelihood ratio, in nats
@@ -194,18 +194,17 @@ def _model(counts: np.ndarray, sample: list[str]) -> np.ndarray:
 def train(documents: DataFrame, per_alphabet: int = PER_ALPHABET,
           names: int = NAMES) -> np.ndarray:
     """Log-likelihood ratio of each character pair, random against ordinary.
-    At most ``2 * SIZE**2`` sums reach the driver. With fewer than
-    ``MIN_PAIRS`` ordinary pairs in the table (an empty one, say) all ratios
-    are 0: nothing is known about its identifiers and only the patterns
-    run."""
+    At most ``2 * SIZE**2`` sums reach the driver. The ratios grow smoothly
+    with the ordinary pairs that the table shows, by ``n / (n + HALF_TRUST)``:
+    without any (an empty one, say) all are 0 and only the patterns run; from
+    a few identifiers on they hardly change, whatever the table's size."""
     sums = arrow_map(documents.select("text"), _count_batches, _COUNTS)
     counts = np.zeros((2, SIZE * SIZE))
     for r in sums.groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
         counts[r.kind, r.pair] += r.n
-    if counts[0].sum() < MIN_PAIRS:
-        return np.zeros(SIZE * SIZE)
     strings, ordinary = identifiers.samples(per_alphabet, names)
-    return _model(counts[1], strings) - _model(counts[0], ordinary)
+    trust = counts[0].sum() / (counts[0].sum() + HALF_TRUST)
+    return trust * (_model(counts[1], strings) - _model(counts[0], ordinary))
 
 
 def _added(text: str, base, ratio, min_total, min_mean):

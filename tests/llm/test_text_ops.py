@@ -191,6 +191,17 @@ def test_few_identifiers_leave_the_patterns_alone(spark):
     assert [(r.n_assign, r.n_markov) for r in got] == [(1, 0), (0, 0)]
 
 
+@pytest.mark.parametrize("copies", [2, 12, 200])
+def test_secret_models_know_no_least_size(spark, copies):
+    # 5 identifiers, about 70 pairs, a copy: 140 to 14,000 pairs
+    plain = "internationalization administrators considered responsibilities"
+    rows = [(0, "q7Zk29xVb4Tn8LwPd3Rs6Yh1 " + plain)] + [
+        (i, f"{plain} getUserNameFromDatabase") for i in range(1, copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secret_scan.secret_scan(df, secret_scan.train(df)).collect()
+    assert {r.doc_id: r.spans for r in got if r.spans} == {0: "markov:0:24"}
+
+
 def test_license_scan_matches_its_sql(spark, sf_dir):
     import duckdb
     con = duckdb.connect()
