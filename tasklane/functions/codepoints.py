@@ -17,7 +17,7 @@ SPACE = 0x20
 BMP = 0x10000
 # A slice's text bytes (>= its code points): bounds the arrays of one slice,
 # whose offsets are 32-bit numbers. A longer text is a slice of its own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 19
 
 
 def slices(batch: pa.RecordBatch, cols: list[str],

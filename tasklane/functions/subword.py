@@ -7,8 +7,8 @@ then the longest continuation token at each place reached; a word that can't
 be spelt to its end is unknown as a whole.
 
 Tokens form two tries (starts and continuations) over code points, kept as
-sorted arrays of (node, code point) and child. All words of a batch walk them
-at once, a code point at a step.
+sorted arrays of (node, code point) and child. All distinct words of a batch
+walk them at once, a code point at a step.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import unicodedata
 
 import numpy as np
 
-_SPLIT, _ALONE, _GONE, _PLAIN = range(4)
+_SPLIT, _ALONE, _GONE, _PLAIN, _UNASSIGNED = range(5)
 
 # Ranges of code points that are words alone.
 CJK = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF),
@@ -35,6 +35,8 @@ def _class(cp: int) -> int:
     kind = unicodedata.category(ch)
     if kind[0] == "Z":
         return _SPLIT
+    if kind == "Cn" and cp != 0xFFFD:
+        return _UNASSIGNED
     if kind[0] == "C" or cp == 0xFFFD:
         return _GONE
     if kind[0] == "P" or ch in ASCII_SYMBOLS or any(
@@ -43,13 +45,28 @@ def _class(cp: int) -> int:
     return _PLAIN
 
 
-def words(cps: np.ndarray, offsets: np.ndarray
+_KINDS = np.full(0x110000, -1, np.int8)      # of the code points seen
+
+
+def _kinds(cps: np.ndarray) -> np.ndarray:
+    kind = _KINDS[cps]
+    new = kind < 0
+    if new.any():
+        each = np.unique(cps[new])
+        _KINDS[each] = [_class(c) for c in each.tolist()]
+        kind = _KINDS[cps]
+    return kind
+
+
+def words(cps: np.ndarray, offsets: np.ndarray, unassigned: bool = False
           ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points without control characters, start and end of each word in
-    them, and the n+1 offsets of each row's words."""
-    each, back = np.unique(cps, return_inverse=True)
-    kind = np.array([_class(c) for c in each.tolist()], np.int8)[back]
+    them, and the n+1 offsets of each row's words. ``unassigned``: code points
+    without a character stay, as parts of words."""
+    kind = _kinds(cps)
     keep = kind != _GONE
+    if not unassigned:
+        keep &= kind != _UNASSIGNED
     at = np.concatenate([[0], np.cumsum(keep)])[offsets]
     cps, kind = cps[keep], kind[keep]
     inside = kind != _SPLIT
@@ -66,6 +83,46 @@ def words(cps: np.ndarray, offsets: np.ndarray
     return cps, starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at)
 
 
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of all runs, one run after the other."""
+    first = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - first, size)
+
+
+def distinct(cps: np.ndarray, start: np.ndarray, end: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """One occurrence of each distinct word, and which of these each word is.
+    Found by a 64-bit hash and compared; on a clash all words stay apart."""
+    size = end - start
+    if not len(size):
+        none = np.zeros(0, np.int64)
+        return none, none
+    at = _flat(start, size)
+    own = cps[at]
+    power = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
+    np.multiply.accumulate(power, out=power)
+    first = np.cumsum(size) - size
+    h = np.add.reduceat((own.astype(np.uint64) + np.uint64(1)) * power[
+        np.arange(len(at)) - np.repeat(first, size)], first)
+    h ^= h >> np.uint64(29)
+    _, one, back = np.unique(h, return_index=True, return_inverse=True)
+    like = one[back]
+    if (size[like] != size).any() or (
+            cps[at + np.repeat(start[like] - start, size)] != own).any():
+        return np.arange(len(size)), np.arange(len(size))
+    return one, back
+
+
+def counted_words(cps: np.ndarray, offsets: np.ndarray):
+    """(word, n) of all rows together; a word may come more than once."""
+    cps, start, end, _ = words(cps, offsets, unassigned=True)
+    one, back = distinct(cps, start, end)
+    text = cps.astype("<u4").tobytes().decode("utf-32-le")
+    return zip([text[a:b] for a, b in zip(start[one].tolist(),
+                                          end[one].tolist(), strict=True)],
+               np.bincount(back, minlength=len(one)).tolist(), strict=True)
+
+
 class Pieces:
     """A vocabulary's tries. ``tokens``: text -> id; those with the
     ``continuation`` mark go on within a word."""
@@ -116,7 +173,15 @@ class Pieces:
     def __call__(self, cps: np.ndarray, offsets: np.ndarray
                  ) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in sequence and the n+1 offsets of each row's."""
-        cps, start, end, ptr = words(cps.astype(np.int64), offsets)
+        cps, start, end, ptr = words(cps, offsets)
+        one, back = distinct(cps, start, end)
+        ids, edge = self._spell(cps.astype(np.int64), start[one], end[one])
+        n = np.diff(edge)[back]
+        return (ids[_flat(edge[:-1][back], n)],
+                np.concatenate([[0], np.cumsum(n)])[ptr])
+
+    def _spell(self, cps, start, end) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in sequence and the n+1 offsets of each word's."""
         at = start.copy()
         spelt = end - start <= self.longest
         on = np.flatnonzero(spelt)
@@ -137,5 +202,5 @@ class Pieces:
         ids = np.concatenate([ids[keep], np.full(len(bad), self.unknown)])
         order = np.argsort(of, kind="stable")     # pieces came in sequence
         n = np.bincount(of, minlength=len(start)).astype(np.int64)
-        return (ids[order].astype(np.int32),
-                np.concatenate([[0], np.cumsum(n)])[ptr])
+        return ids[order].astype(np.int32), np.concatenate(
+            [[0], np.cumsum(n)])

@@ -22,6 +22,7 @@ from tasklane.functions import codepoints as CP
 from tasklane.functions.subword import Pieces
 from tasklane.operators.vocab import (CLS_ID, PAD_ID, SEP_ID, SPECIALS,
                                       UNK_ID)
+from tasklane.session import cut_lineage
 
 # Characters of all tokens: a few dozen bytes each in a task.
 MAX_VOCAB_CHARS = 4_000_000
@@ -67,8 +68,10 @@ def encode_words(df: DataFrame, vocab: DataFrame, text: str,
     if keep is not None:
         df = df.select(*dict.fromkeys([*keep, *cols]))
     names = dict.fromkeys(keep or df.columns)
-    plain = vocab.where(F.col("token").isNotNull()
-                        & ~F.col("token").isin(*SPECIALS))
+    # Measured, then collected: it is made once.
+    plain = cut_lineage(vocab.where(
+        F.col("token").isNotNull() & ~F.col("token").isin(*SPECIALS))
+        .select("token", "id"))
     chars = plain.agg(F.sum(F.char_length("token"))).first()[0] or 0
     if chars > MAX_VOCAB_CHARS:
         raise ValueError(f"a vocabulary of {chars} characters; up to "

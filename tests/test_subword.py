@@ -100,6 +100,52 @@ def test_a_large_vocabulary_is_refused(spark, monkeypatch):
         E.encode_words(vocab, vocab, "token")
 
 
+def test_a_batch_spells_each_word_once(monkeypatch):
+    walked = []
+    own = subword.Pieces._spell
+    monkeypatch.setattr(subword.Pieces, "_spell", lambda self, cps, a, b: (
+        walked.append(len(a)), own(self, cps, a, b))[1])
+    pieces = subword.Pieces(TOKENS, 1)
+    texts = TEXTS * 50
+    ids, off = pieces(*CP.all_code_points(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert ids[off[i]:off[i + 1]].tolist() == _encode(t, TOKENS)
+    assert walked == [len({w for t in TEXTS for w in _cut(t)})]
+
+
+def test_words_whose_hashes_clash_stay_apart(monkeypatch):
+    monkeypatch.setattr(subword.np, "unique", lambda h, **_: (
+        h[:1], np.zeros(1, int), np.zeros(len(h), int)))
+    cps = np.array([97, 98, 97, 99], np.uint32)
+    one, back = subword.distinct(cps, np.array([0, 2]), np.array([2, 4]))
+    assert one.tolist() == back.tolist() == [0, 1]
+
+
+def test_the_vocabulary_is_made_once(spark):
+    df = spark.createDataFrame([("ab ab b",)], "text string")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    vocab = V.build_word_vocab(df, "text", 9).coalesce(1).mapInArrow(
+        count, "token string, id int")
+    E.encode_words(df, vocab, "text").collect()
+    assert made.value == V.build_word_vocab(df, "text", 9).count()
+
+
+def test_counted_words_are_the_regular_expressions(spark):
+    """Unassigned code points included."""
+    texts = TEXTS + ["a\u0378b", "x\ue000y\ufeffz", "\u0085 a\x1f", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = df.select(F.explode(F.regexp_extract_all(F.regexp_replace(
+        "text", f"[{V.GONE}]", ""), F.lit(V.WORD), F.lit(0))).alias("w")
+        ).groupBy("w").count()
+    assert {r.word: r.n for r in V.word_counts(df, "text").collect()} == {
+        r["w"]: r["count"] for r in want.collect()}
+
+
 def test_all_rows_of_a_batch_walk_together():
     pieces = subword.Pieces(TOKENS, 1)
     long = "unaffable " * 20_000
