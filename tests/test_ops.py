@@ -435,6 +435,24 @@ def test_spread_keeps_rows_and_only_fans_out_small_inputs(spark):
     assert spread(wide) is wide
 
 
+def test_counting_and_encoding_take_memory_for_a_slice_only(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+    from tasklane.functions import codepoints as CP
+    from tasklane.operators import vocab as V
+    text = pa.array(["a text of some words, " * 20] * 40_000)    # 17 MB
+    whole = pa.RecordBatch.from_arrays([text, text], names=["_s", "t"])
+    tracemalloc.start()
+    counts = [*V._count_partition([whole.select(["_s"])])]
+    for b in CP.slices(whole, ["_s", "t"]):
+        CP.frame([CP.code_points(b.column(c)) for c in ("_s", "t")], 2, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(counts[0]["n"].to_pylist()) == 17 * 20 * 40_000
+    assert peak < 32e6
+
+
 def test_codepoint_slices_bound_text_bytes():
     import pyarrow as pa
     from tasklane.functions import codepoints as CP
