@@ -18,16 +18,18 @@ BENCH_SHIFT = 10 ** 9
 SEED = 606
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, spread: bool = True
+           ) -> DataFrame:
     """Four overlapping sources of priority 0..3 (prio int, pos long, text).
 
     0 = benchmark (pos shifted by 10^9) + documents with doc_id % 7 = 0;
     1 = doc_id % 3 = 0, made full-width where doc_id % 6 = 0;
     2 = doc_id % 2 = 0; 3 = all documents.
     One scan of documents: each document emits one row per source that
-    holds it (``inline`` of its membership list).
+    holds it (``inline`` of its membership list). ``spread=False`` where the
+    rows are dealt out anew anyway.
     """
-    docs = read_table(spark, sf_dir, "documents", spread=True).select(
+    docs = read_table(spark, sf_dir, "documents", spread=spread).select(
         F.col("doc_id").alias("pos"), "text")
     pos, text = F.col("pos"), F.col("text")
 

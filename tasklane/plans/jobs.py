@@ -1,8 +1,8 @@
 """End-to-end jobs (J1-J6): file in, file out, one lazy plan per output.
 
 Each job composes the operators. An intermediate that feeds several
-outputs is checkpointed once into the shared checkpoint folder
-(``cut_lineage``) rather than recomputed per output. Row order of an input file is kept through (file, block, row) keys
+outputs is kept once in the shared checkpoint folder (``cut_lineage``,
+``staged``) rather than recomputed per output. Row order of an input file is kept through (file, block, row) keys
 taken right above the scan.
 """
 
@@ -18,13 +18,15 @@ from tasklane.functions.metrics import argmax
 from tasklane.operators import dedup, labels as L, metrics as M
 from tasklane.operators import heads as H
 from tasklane.operators import vocab as V
+from tasklane.plans.rank import (block_rank, position_buckets,
+                                 two_level_rank)
 from tasklane.session import cut_lineage
 from tasklane.sources import io
 
 
 def _numbered(df: DataFrame, src: int) -> DataFrame:
     """(src, pos): pos = dense position of the row in its input."""
-    return io.number_rows(io.with_position(df), out="pos").withColumn(
+    return io.number_scanned(io.with_position(df), out="pos").withColumn(
         "src", F.lit(src))
 
 
@@ -58,7 +60,6 @@ def pair_task_preparation(spark: SparkSession, train_path: str,
 
 
 def _renumber(df: DataFrame, pos: str, out: str, groups=()) -> DataFrame:
-    from tasklane.plans.rank import position_buckets, two_level_rank
     return two_level_rank(df, order=[pos], buckets=position_buckets(pos),
                           groups=groups, out=out)
 
@@ -87,19 +88,21 @@ def headline_preparation(spark: SparkSession, test_path: str, dev_path: str,
                                 payload=["label"], key_name="sentence")
     best = best.where(F.col("src") > 0).withColumn(
         "label", L.strict_int("label"))
-    ided = dedup.dense_ids_per_source(best, prio="src", pos="pos", out="id")
-    # Four outputs read the deduplicated table: checkpoint it once into the
-    # shared folder (survives executor loss, no recomputation per output).
-    ided = cut_lineage(ided)
+    # Four outputs read the deduplicated table: sort it once into the shared
+    # folder (survives executor loss, no recomputation per output). There rows
+    # count up in each sorted partition, so ids need no further shuffle.
+    best = best.orderBy("src", "pos").withColumn(
+        "_row", F.monotonically_increasing_id())
+    best = io.staged(best, "j2-best").withColumn(
+        "_part", F.shiftright("_row", 33))
+    ided = block_rank(best, ["_part"], "_row", groups=["src"], out="id")
     outs = {}
     for name, s in (("dev", 1), ("train", 2), ("extra", 3)):
         outs[name] = ided.where(F.col("src") == s).select(
             "id", "sentence", "label")
         io.write_csv(outs[name], f"{out_dir}/{name}.csv")
-    tv = dedup.ordered_union(
-        [ided.where(F.col("src") == 2).select("pos", "sentence", "label"),
-         ided.where(F.col("src") == 1).select("pos", "sentence", "label")],
-        pos="pos", src="_part", id_col="id")
+    both = best.where(F.col("src").isin(1, 2)).withColumn("_last", -F.col("src"))
+    tv = block_rank(both, ["_last", "_part"], "_row", out="id")
     outs["trainval"] = tv.select("id", "sentence", "label")
     io.write_tsv(outs["trainval"], f"{out_dir}/trainval.tsv")
     return outs

@@ -62,6 +62,28 @@ def _offsets(counts: DataFrame, groups: list[str], bnames: list[str]
         .alias("_tl_off"))
 
 
+def block_rank(df: DataFrame, blocks: Sequence[str], row: str,
+               groups: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """Add ``out`` = position of the row within ``groups`` by (blocks, row),
+    for rows that lie in blocks already: among the rows of a group in a block
+    ``row`` counts up by one. No row moves: one row per block (an input split
+    or a sorted partition) is aggregated and sent to the tasks."""
+    keys = [*groups, *blocks]
+    own = df.groupBy(*keys).agg(F.min(row).alias("_br_first"),
+                                F.count(F.lit(1)).alias("_br_n"))
+    before = Window.partitionBy(*groups).orderBy(*blocks).rowsBetween(
+        Window.unboundedPreceding, -1)
+    shift = own.select(*[F.col(k).alias(f"_br_k_{k}") for k in keys], (
+        F.coalesce(F.sum("_br_n").over(before), F.lit(0))
+        - F.col("_br_first")).alias("_br_shift"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(shift[f"_br_k_{k}"])
+    return df.join(F.broadcast(shift), cond).withColumn(
+        out, F.col(row) + F.col("_br_shift")).drop(
+        "_br_shift", *[f"_br_k_{k}" for k in keys])
+
+
 def two_level_rank(df: DataFrame, order: Sequence, buckets: Sequence,
                    groups: Sequence[str] = (), out: str = "rank",
                    base: int = 0) -> DataFrame:

@@ -52,6 +52,14 @@ def number_rows(df: DataFrame, out: str = "id", groups=()) -> DataFrame:
     return r.drop("_file", "_block", "_row")
 
 
+def number_scanned(df: DataFrame, out: str = "id") -> DataFrame:
+    """As ``number_rows``, for all rows of ``with_position`` directly above a
+    scan, which count up by one in a block: no row is shuffled or sorted."""
+    from tasklane.plans.rank import block_rank
+    return block_rank(df, ["_file", "_block"], "_row", out=out).drop(
+        "_file", "_block", "_row")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = PAIR_JSON,
                keep_corrupt: bool = False) -> DataFrame:
     """One JSON object per line; malformed lines kept in
@@ -110,7 +118,7 @@ def parse_delimited_lines(lines: DataFrame, line_no: str = "line_no",
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """S4 from files: the line number is the position of the line in its
     file order (file path, offset)."""
-    raw = number_rows(_with_pos(spark.read.text(path)), out="line_no")
+    raw = number_scanned(_with_pos(spark.read.text(path)), out="line_no")
     return parse_delimited_lines(raw)
 
 
@@ -180,6 +188,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read again:
+    compressed, and later scans read only the columns they need."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None,
               mode: str = "overwrite") -> None:
     """CSV with header; text is written as is (no whitespace trim)."""

@@ -4,6 +4,7 @@ losses, parameters, pooling, heads and streaming."""
 import json
 import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -372,6 +373,33 @@ def test_headline_preparation_job_brute_force(spark, tmp_out):
     assert sorted(map(tuple, back.collect())) == got["train"]
 
 
+def test_headline_preparation_moves_texts_twice(spark, tmp_out):
+    """J2 sends every text through one shuffle to find its copies; the kept
+    ones through one more, into order. Numbering moves none."""
+    for name, line in (("test", "{0}\t句{0}\t1"), ("extra", "{0}_!_1_!_x_!_句{0}_!_"),
+                       ("dev", '{{"sentence": "句{0}", "label": "1"}}'),
+                       ("train", '{{"sentence": "句{0}b", "label": "2"}}')):
+        for part in range(3):
+            _write_lines(f"{tmp_out}/{name}/{part}", [
+                line.format(part * 100 + i) for i in range(50 + part)])
+    outs = jobs.headline_preparation(
+        spark, *[f"{tmp_out}/{n}/*" for n in ("test", "dev", "train", "extra")],
+        f"{tmp_out}/out")
+    assert [outs[n].count() for n in ("dev", "train", "extra", "trainval")] == [
+        0, 153, 0, 153]
+    got = outs["trainval"].orderBy("id").collect()
+    assert [(r.id, r.sentence) for r in got] == [(i, f"句{x}b") for i, x in enumerate(
+        p * 100 + j for p in range(3) for j in range(50 + p))]
+    for out in outs.values():
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in re.findall(r"Exchange.*", plan) if "sentence" in x]
+        assert not re.search(r"Exchange hashpartitioning\([^)]*_tl_", plan)
+    lines = io.number_scanned(io.with_position(spark.read.text(f"{tmp_out}/extra/*")))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r.id for r in lines.collect()) == list(range(153))
+
+
 def test_emotion_cleaning_job_brute_force(spark, tmp_out):
     """J3 against plain Python re on sample texts plus constructed runs,
     emotes, Latin letters and emoji."""
