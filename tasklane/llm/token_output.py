@@ -35,7 +35,6 @@ from tasklane.session import checkpoint_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-READ_BLOCKS = R.LANES
 
 _INDEX = ("doc", "doc_id", "at", "n", "before", "doc_len", "skipped")
 _FILE = T.StructType([
@@ -66,12 +65,12 @@ class _Part:
         self.held += len(ids)
 
     def blocks(self, all_of_it: bool, schema: pa.Schema):
-        """Full groups of blocks; at the end all."""
-        group = self.block_ids * R.LANES
-        if not self.held or not all_of_it and self.held < group:
+        """Full blocks; at the end all."""
+        if not self.held or not all_of_it and self.held < self.block_ids:
             return
         ids = np.concatenate(self.ids)
-        stop = len(ids) if all_of_it else len(ids) // group * group
+        stop = len(ids) if all_of_it else (
+            len(ids) // self.block_ids * self.block_ids)
         cut = range(0, stop, self.block_ids)
         own = [ids[a:min(a + self.block_ids, stop)] for a in cut]
         data = R.encode_blocks(own)
@@ -100,13 +99,13 @@ class _Part:
         self.block += len(own)
         self.done += stop
         self.docs = left
-        self.ids, self.held = [ids[stop:]], len(ids) - stop
+        self.ids, self.held = [ids[stop:].copy()], len(ids) - stop
 
 
 def _write_batches(vocabulary: str | None, end_id: int, block_ids: int):
     def run(batches, schema):
-        own = tokens.json_encoder(
-            vocabulary or tokens.vocabulary(VOCABULARY))
+        own = tokens.json_encoder(vocabulary) if vocabulary \
+            else tokens.installed_encoder(VOCABULARY)
         part = _Part(TaskContext.get().partitionId(), block_ids)
         for batch in K.byte_slices(batches, "text", tokens.SLICE_BYTES):
             ids, off = own.encode(*K.flat(batch.column("text")))
@@ -192,9 +191,6 @@ _PIECE = T.StructType([
 
 
 def _read_batches(batches, schema):
-    held: list[pa.RecordBatch] = []
-    count = 0
-
     def pieces(rows: pa.Table) -> pa.RecordBatch:
         ids = R.decode_blocks(rows["data"].to_pylist())
         index = {c: rows[c].combine_chunks() for c in _INDEX}
@@ -214,15 +210,8 @@ def _read_batches(batches, schema):
              pa.array(flat["doc_len"]), pa.array(flat["n"]),
              pa.array(share.astype(np.int64))], schema=schema)
     for batch in batches:
-        for start in range(0, batch.num_rows, READ_BLOCKS):
-            cut = batch.slice(start, READ_BLOCKS)
-            held.append(cut)
-            count += cut.num_rows
-            if count >= READ_BLOCKS:
-                yield pieces(pa.Table.from_batches(held))
-                held, count = [], 0
-    if count:
-        yield pieces(pa.Table.from_batches(held))
+        for row in range(batch.num_rows):
+            yield pieces(pa.Table.from_batches([batch.slice(row, 1)]))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

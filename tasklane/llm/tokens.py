@@ -10,12 +10,14 @@ repeat often; a task keeps the encodings of those it has seen, found by a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
 from tasklane.llm import kernel as K
 
 CACHE_ENTRIES = 1 << 19
+KEPT_ENTRIES = 1 << 20     # of an encoder that outlives its task
 SLICE_BYTES = 1 << 20
 ENCODE_TEXTS = 4096        # strings given to the tokenizer at once
 JOIN = 64                  # chunks in one of them
@@ -43,12 +45,15 @@ class ChunkEncoder:
     """Encodings of chunks, kept. ``encode_many``: a list of strings -> their
     id lists. ``widths``: the bytes that each id stands for, where ids spell
     the text byte by byte; then new chunks are encoded ``JOIN`` at a time,
-    as one string, and told apart by their bytes."""
+    as one string, and told apart by their bytes. ``entries``: how many chunks
+    are kept."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]],
-                 widths: np.ndarray | None = None):
+                 widths: np.ndarray | None = None,
+                 entries: int = CACHE_ENTRIES):
         self.encode_many = encode_many
         self.widths = widths
+        self.entries = entries
         self._clear()
 
     def _clear(self) -> None:
@@ -115,7 +120,7 @@ class ChunkEncoder:
         h = K.span_hashes(buf, starts, ends)
         each, first, back = np.unique(h, return_index=True,
                                       return_inverse=True)
-        if len(self.known) + len(each) > CACHE_ENTRIES:
+        if len(self.known) + len(each) > self.entries:
             self._clear()
         at = np.searchsorted(self.known, each)
         new = np.ones(len(each), bool)
@@ -178,7 +183,7 @@ def bpe_json(path: str) -> Callable[[list[str]], list[list[int]]]:
         texts, add_special_tokens=False)]
 
 
-def json_encoder(path: str) -> ChunkEncoder:
+def json_encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
     """For a tokenizer file of the tokenizers library. The ids of byte-level
     pairs spell a text: each character of a token stands for one byte."""
     import json
@@ -189,13 +194,20 @@ def json_encoder(path: str) -> ChunkEncoder:
             "type") == "ByteLevel" and not own["pre_tokenizer"].get(
                 "add_prefix_space")
     if not plain:
-        return ChunkEncoder(bpe_json(path))
+        return ChunkEncoder(bpe_json(path), entries=entries)
     names = own["model"]["vocab"] | {
         t["content"]: t["id"] for t in own.get("added_tokens", ())}
     widths = np.zeros(max(names.values()) + 1, np.int64)
     for name, i in names.items():
         widths[i] = len(name)
-    return ChunkEncoder(bpe_json(path), widths)
+    return ChunkEncoder(bpe_json(path), widths, entries)
+
+
+@lru_cache(maxsize=1)
+def installed_encoder(name: str) -> ChunkEncoder:
+    """For an installed vocabulary; a worker's later tasks find what earlier
+    ones loaded and encoded."""
+    return json_encoder(vocabulary(name), KEPT_ENTRIES)
 
 
 def vocabulary(name: str) -> str:

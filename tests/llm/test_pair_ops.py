@@ -4,6 +4,7 @@ and exact round trips."""
 from __future__ import annotations
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -558,6 +559,45 @@ def test_range_coder_round_trips():
             range_coder.decode_blocks([bad])
 
 
+def test_range_coder_beats_zlib_at_little_cost():
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, 1 << 20), 50_000).astype(np.uint32)
+    ids[1::7] = ids[::7][:len(ids[1::7])] + 1        # some can be predicted
+    began = time.process_time()
+    data = range_coder.encode_blocks([ids])
+    back = range_coder.decode_blocks(data)
+    # both ways; blocks with tables of their own took 3.7 and more
+    assert time.process_time() - began < 2
+    assert (back[0] == ids).all()
+    assert len(data[0]) < len(zlib.compress(ids.astype("<u2").tobytes()))
+
+
+def test_range_coder_lanes_of_any_length():
+    rng = np.random.default_rng(3)
+    lane = range_coder.LANE_IDS
+    for n in (1, 2, lane, lane + 1, 3 * lane - 1, 7 * lane + 5,
+              range_coder.BLOCK_IDS + 1):
+        ids = (rng.integers(0, 50_000, n) * (rng.random(n) < 0.3)
+               ).astype(np.uint32)
+        if n < 9 * lane:
+            ids[-1] = 2 ** 32 - 1
+        got = range_coder.decode_blocks(range_coder.encode_blocks([ids]))
+        assert (got[0] == ids).all()
+
+
+def test_installed_encoder_is_kept_and_bounded():
+    from tasklane.llm import kernel as K
+    own = tokens.installed_encoder(token_output.VOCABULARY)
+    assert own is tokens.installed_encoder(token_output.VOCABULARY)
+    assert own.entries == tokens.KEPT_ENTRIES
+    path = tokens.vocabulary(token_output.VOCABULARY)
+    small, plain = tokens.json_encoder(path, 4), tokens.bpe_json(path)
+    for text in ("one two three", " four five", " one six two three", ""):
+        ids, _ = small.encode(*K.flat(pa.array([text])))
+        assert ids.tolist() == list(plain([text])[0])
+        assert len(small.known) <= 4
+
+
 def test_moved_checksums():
     rng = np.random.default_rng(1)
     a, b = (rng.bytes(n) for n in (100, 12345))
