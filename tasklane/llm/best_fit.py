@@ -7,7 +7,8 @@ finds the tightest open sequences in logarithmic time, and those of equal
 remaining capacity are filled together. The result, a table whose size
 depends on the capacity and never on the documents, says for each rank among
 the pieces of a length which sequence and offset it has. A piece's rank is
-its number within its task plus the pieces of that length in earlier tasks.
+its number among those of its task and length, in the task's order, plus the
+pieces of that length in earlier tasks.
 
 Every piece is placed as one-by-one best-fit decreasing over the whole corpus
 would place it; no group of documents is packed apart.
@@ -29,17 +30,18 @@ from pyspark.sql import types as T
 
 from tasklane.llm import kernel as K
 from tasklane.llm import tokens
-from tasklane.llm.common import arrow_map, prepare, table
+from tasklane.llm.common import arrow_map, batch_rows, prepare, table
 from tasklane.session import checkpoint_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 CAPACITY = 1024
+TEXT_ROWS = 512            # texts that are read and go to a worker at once
 _RANK_BITS = 44            # of a key made of a length and a rank
 
 _PIECES = T.StructType([
     T.StructField("part", T.IntegerType()),
-    T.StructField("nth", T.LongType()),
+    T.StructField("pos", T.LongType()),
     T.StructField("doc_id", T.LongType()),
     T.StructField("piece", T.IntegerType()),
     T.StructField("start", T.LongType()),
@@ -141,12 +143,13 @@ def lookup(rows: np.ndarray, length: np.ndarray, rank: np.ndarray,
 
 def _piece_batches(vocabulary: str | None, end_id: int, capacity: int):
     """Each document's ids with the end id, cut; nothing of the ids is kept
-    but the checksums. ``nth`` counts the task's pieces of a length."""
+    but the checksums. ``pos`` counts the task's pieces. Tasks of a worker
+    share the encoder of the installed vocabulary."""
     def run(batches, schema):
-        own = tokens.json_encoder(
-            vocabulary or tokens.vocabulary(VOCABULARY))
+        own = tokens.json_encoder(vocabulary) if vocabulary \
+            else tokens.installed_encoder(VOCABULARY)
         part = TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
+        seen = 0
         for batch in K.byte_slices(batches, "text", tokens.SLICE_BYTES):
             ids, off = own.encode(*K.flat(batch.column("text")))
             ids = np.insert(ids, off[1:], end_id)
@@ -162,19 +165,13 @@ def _piece_batches(vocabulary: str | None, end_id: int, capacity: int):
             at = (off[doc] + start) * 4
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(
                 at.tolist(), (at + length * 4).tolist(), strict=True)]
-            order = np.argsort(length, kind="stable")
-            sort = length[order]
-            run_start = np.flatnonzero(np.r_[True, sort[1:] != sort[:-1]])
-            runs = np.diff(np.r_[run_start, len(sort)])
-            nth = np.empty(len(doc), np.int64)
-            nth[order] = np.arange(len(sort)) - np.repeat(
-                run_start, runs) + seen[sort]
-            seen[sort[run_start]] += runs
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(doc), part, np.int32)), pa.array(nth),
+                [pa.array(np.full(len(doc), part, np.int32)),
+                 pa.array(seen + np.arange(len(doc))),
                  batch.column("doc_id").take(pa.array(doc)),
                  pa.array(piece.astype(np.int32)), pa.array(start),
                  pa.array(length), pa.array(crc, pa.int64())], schema=schema)
+            seen += len(doc)
     return run
 
 
@@ -206,14 +203,20 @@ def pack(documents: DataFrame, capacity: int = CAPACITY,
     path on every worker, by default the installed one.
 
     The pieces (without ids) are written to the shared folder once, so that
-    counts and ranks are of the same pieces even if a task runs again."""
+    counts and ranks are of the same pieces even if a task runs again. They
+    are few bytes for each task, so a shuffle by document and piece gathers
+    them first: tasks that encode open no files, and there are as many files
+    as the pieces' bytes call for. A task that runs again sends each piece to
+    the same place."""
     spark = documents.sparkSession
     prepare(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/packing-{uuid.uuid4().hex}"
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"),
                             F.col("text").alias("text"))
-    arrow_map(rows, _piece_batches(vocabulary, end_id, capacity),
-              _PIECES).write.parquet(path)
+    found = arrow_map(rows, _piece_batches(vocabulary, end_id, capacity),
+                      _PIECES).hint("rebalance", "doc_id", "piece")
+    with batch_rows(spark, TEXT_ROWS):
+        found.write.parquet(path)
     pieces = spark.read.schema(_PIECES).parquet(path)
     # One row for each task and length, then at most one for each length.
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
@@ -222,7 +225,10 @@ def pack(documents: DataFrame, capacity: int = CAPACITY,
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(
         W.partitionBy("length").orderBy("part").rowsBetween(
             W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).select(
+    nth = F.row_number().over(W.partitionBy("part", "length").orderBy(
+        "pos", "doc_id", "piece")) - 1
+    ranked = pieces.withColumn("nth", nth.cast("long")).join(
+        before, ["part", "length"]).select(
         *_PACKED.names[:5], (F.col("nth") + F.col("before")).alias("rank"))
     return arrow_map(ranked, _place_batches(place(total, capacity),
                                             capacity), _PACKED)

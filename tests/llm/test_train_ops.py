@@ -10,10 +10,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tasklane.llm import best_fit, conversation_repair, hard_negatives, tokens
+from tasklane.llm.common import arrow_map, batch_rows
 
 # ---- hard negatives ------------------------------------------------------
 
@@ -365,3 +368,90 @@ def test_packing_query(spark, sf_dir):
         f"{sf_dir}/documents.parquet").collect()]
     got = best_fit.op13_best_fit_packing(spark, sf_dir).collect()
     _assert_packed(got, texts, 1024)
+
+
+def test_packing_tasks_open_no_file_each(spark):
+    """24 tasks encode; their few pieces are gathered before they're
+    written."""
+    from pathlib import Path
+    from tasklane.session import checkpoint_dir
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    there = set(folder.glob("packing-*"))
+    texts = [(i, "lorem ipsum " * (i % 7)) for i in range(96)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    _assert_packed(best_fit.pack(df.repartition(24), 64).collect(), texts, 64)
+    (new,) = set(folder.glob("packing-*")) - there
+    assert 1 <= len(list(new.glob("*.parquet"))) < 12
+
+
+def test_equal_lengths_are_taken_in_file_order(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    for key in range(4):
+        spark.createDataFrame([(key * 10 + i, "a b c") for i in range(9, 0, -1)
+                               ], "doc_id long, text string").coalesce(
+            1).write.mode("append").parquet(path)
+    rows = spark.read.parquet(path)
+    want = [r.doc_id for r in rows.collect()]
+    got = best_fit.pack(rows, 4).orderBy("sequence_id", "offset").collect()
+    assert [r.doc_id for r in got] == want
+
+
+def test_tasks_of_a_worker_share_an_encoder(monkeypatch):
+    made, encoder = [], tokens.json_encoder
+    monkeypatch.setattr(tokens, "json_encoder",
+                        lambda *a: made.append(a) or encoder(*a))
+    monkeypatch.setattr(best_fit.TaskContext, "get", lambda: type(
+        "Task", (), {"partitionId": lambda self: 3})())
+    tokens.installed_encoder.cache_clear()
+    schema = to_arrow_schema(best_fit._PIECES)
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["a b", None]})
+    run = best_fit._piece_batches(None, best_fit.END_ID, 64)
+    first, second = ([b.to_pylist() for b in run(iter([batch, batch]), schema)]
+                     for _ in range(2))
+    assert first == second and len(made) == 1
+    assert [(r["part"], r["pos"]) for b in first for r in b] == [
+        (3, n) for n in range(4)]
+
+
+def test_arrow_batches_are_small_meanwhile(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def largest():
+        return max(r.id for r in arrow_map(
+            spark.range(0, 3000, 1, 1), lambda batches, schema: (
+                pa.RecordBatch.from_arrays([pa.array([b.num_rows])],
+                                           schema=schema) for b in batches),
+            spark.range(1).schema).collect())
+    before = spark.conf.get(name, None)
+    try:
+        for own in (None, "2000", "0", "70"):
+            spark.conf.unset(name) if own is None else spark.conf.set(
+                name, own)
+            with batch_rows(spark, 100):
+                assert largest() == (70 if own == "70" else 100)
+            assert spark.conf.get(name, None) == own
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(
+            name, before)
+
+
+def test_packing_reads_texts_in_small_batches(spark, monkeypatch):
+    """Batches of the size that ``pack`` asks for while it encodes; the
+    session's setting is back afterwards."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch",
+             "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name, None) for name in names]
+    batches = best_fit._piece_batches
+
+    def checked(*args):
+        def run(given, schema):
+            def small():
+                for batch in given:
+                    assert batch.num_rows <= 512
+                    yield batch
+            return batches(*args)(small(), schema)
+        return run
+    monkeypatch.setattr(best_fit, "_piece_batches", checked)
+    df = spark.range(0, 4000, 1, 1).selectExpr("id doc_id", "'a b' text")
+    assert best_fit.pack(df).count() == 4000
+    assert [spark.conf.get(name, None) for name in names] == before
